@@ -7,9 +7,9 @@ every respect the operators look at; rows that repeat only ``doc_id`` stay apart
 
 from __future__ import annotations
 
-import contextlib
+import gc
 import tempfile
-from collections.abc import Iterator
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 #: A word is a run of bytes other than 0x20 and 0x09-0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text that one Python step holds at a time, unless one document is longer.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 4 << 20
 #: Text whose keys one bucket of a keyed exchange is sized for.
 BUCKET_BYTES = 16 << 20
 #: Where a missing doc_id stands in the order of documents: after all others.
@@ -39,27 +39,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftline-checkpoints-"))
 
 
-@contextlib.contextmanager
-def freed_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Within this block, the shuffle files of a finished action are removed.
-
-    For steps that end in checkpoint(): later steps read the checkpoint, so the
-    shuffle behind it would only hold disk."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Materialise in the shared checkpoint folder, cut the lineage, free the shuffles behind it."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    with freed_shuffles(spark):
-        return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)
+    del df
+    for _ in range(2):  # Spark removes the files of a shuffle once the driver has collected the plan that made it
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
+    return kept
 
 
 def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
@@ -188,6 +178,15 @@ def unplanes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
+def id_planes(values: np.ndarray) -> bytes:
+    """64-bit ids as steps from one to the next, byte by byte: ids near each other then compress well."""
+    return np.diff(values, prepend=np.int64(0)).astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def un_id_planes(data: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<i8").ravel())
+
+
 def binary_runs(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     """Consecutive runs of a numeric array as an Arrow column of binaries."""
     offsets = np.concatenate(([0], np.cumsum(counts * values.itemsize))).astype(np.int64)

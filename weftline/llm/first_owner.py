@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from weftline.llm.common import binary_runs, cut, planes, runs, unplanes
+from weftline.llm.common import binary_runs, cut, id_planes, planes, runs, un_id_planes, unplanes
 
 REQUEST = "bucket int, settled boolean, main binary, extra binary, owners binary, tags binary, counts binary, places binary"
 ANSWER = "doc_id long, tag int, places binary"
@@ -52,7 +52,7 @@ def _packed(doc: np.ndarray, place: np.ndarray, owners: np.ndarray, tags: np.nda
     step = np.diff(place, prepend=0)
     step[starts] = place[starts]
     present = doc[starts]
-    return owners[present].tobytes(), tags[present].astype(np.int32).tobytes(), planes(np.diff(np.append(starts, len(doc)))), planes(step)
+    return id_planes(owners[present]), tags[present].astype(np.int32).tobytes(), planes(np.diff(np.append(starts, len(doc)))), planes(step)
 
 
 def _places(counts: np.ndarray, steps: np.ndarray) -> np.ndarray:
@@ -96,7 +96,7 @@ def _answer(table: pa.Table) -> pa.Table:
     for row in table.to_pylist():
         counts.append(unplanes(row["counts"]).astype(np.int64))
         places.append(_places(counts[-1], unplanes(row["places"])))
-        owners.append(np.frombuffer(row["owners"], np.int64))
+        owners.append(un_id_planes(row["owners"]))
         tags.append(np.frombuffer(row["tags"], np.int32))
         settled.append(np.full(len(places[-1]), row["settled"]))
         mains.append(np.frombuffer(row["main"], np.uint64))

@@ -13,14 +13,12 @@ other columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import NO_ID, bucket_count, chunks, keyed, runs, text_bytes, window_hashes, word_hashes
+from weftline.llm.common import NO_ID, bucket_count, chunks, keyed, text_bytes, window_hashes, word_hashes
 from weftline.llm.first_owner import REQUEST, losing_places, requests
 
 WINDOW_WORDS = 13
@@ -39,16 +37,17 @@ def _ask(width: int, n_buckets: int):
 
 
 def removal_spans(docs: DataFrame, width: int = WINDOW_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text, n_words, spans (array of struct start, stop: words start..stop-1 go), cleaned (kept words joined by one space)."""
+    """doc_id, tag, n_words, spans (array of struct start, stop: words start..stop-1 go), cleaned (kept words joined by one space)."""
     rows = keyed(docs, id_col, text_col)
     n_buckets = bucket_count(docs, text_bytes(docs, text_col))
     lost = losing_places(rows.mapInArrow(_ask(width, n_buckets), REQUEST))
     lost = lost.groupBy("doc_id", "tag").agg(F.collect_list("places").alias("places"))
     left = rows.withColumn("owner", F.coalesce("doc_id", F.lit(int(NO_ID))))
-    joined = left.join(lost.withColumnsRenamed({"doc_id": "owner", "tag": "owner_tag"}).withColumnRenamed("owner_tag", "tag"), ["owner", "tag"], "left")
-    return joined.select("doc_id", "text", "places").mapInArrow(_cleaner(width), "doc_id long, text string, n_words long, spans array<struct<start:int,stop:int>>, cleaned string")
+    joined = left.join(lost.withColumnRenamed("doc_id", "owner"), ["owner", "tag"], "left")
+    return joined.select("doc_id", "tag", "text", "places").mapInArrow(_cleaner(width), "doc_id long, tag int, n_words long, spans array<struct<start:int,stop:int>>, cleaned string")
 
 
+_ROWS = 500
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
 
@@ -64,7 +63,7 @@ def merged(starts: np.ndarray, width: int) -> list[dict]:
 
 def _cleaner(width: int):
     def clean(batches):
-        for batch in batches:
+        for batch in (b.slice(i, _ROWS) for b in batches for i in range(0, b.num_rows, _ROWS)):
             n_words, spans, cleaned = [], [], []
             for text, places in zip(batch.column("text").cast(pa.binary()).fill_null(b"").to_pylist(), batch.column("places").to_pylist(), strict=True):
                 words = text.split()
@@ -73,7 +72,7 @@ def _cleaner(width: int):
                 for x in reversed(found):
                     del words[x["start"] : x["stop"]]
                 cleaned.append(b" ".join(words))
-            yield pa.record_batch([batch.column("doc_id"), batch.column("text"), pa.array(n_words, pa.int64()), pa.array(spans, _SPANS), pa.array(cleaned, pa.binary()).cast(pa.string())], names=["doc_id", "text", "n_words", "spans", "cleaned"])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("tag"), pa.array(n_words, pa.int64()), pa.array(spans, _SPANS), pa.array(cleaned, pa.binary()).cast(pa.string())], names=["doc_id", "tag", "n_words", "spans", "cleaned"])
 
     return clean
 
