@@ -8,8 +8,7 @@ document of a pair to the other, in a random direction that keeps both
 expectations, until one of the two is integral.  A chunk of documents leaves at
 most one fractional document; those of many chunks meet in further chunks, level
 by level, until each source has one, which a last draw rounds.  So a source's
-words differ from its target by less than one document, and documents are paired
-by falling size, so that this one is small.
+words differ from its target by less than its largest document.
 
 Defined cases: a null text has no words and is taken 0 times over; a null source
 is a source, after all others; null ids stay null; repeated rows are drawn each;
@@ -79,7 +78,7 @@ def pivot(p: np.ndarray, size: np.ndarray, draw: np.ndarray) -> tuple[np.ndarray
 
 def _round(level: int, last: bool):
     def rounded(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["size", "draw_key", "doc_id"], ascending=[False, True, True], kind="stable", ignore_index=True)  # small ones last: what stays open is small
+        rows = rows.sort_values(["draw_key", "doc_id", "size"], kind="stable", ignore_index=True)
         draw = _uniform(rows["draw_key"].to_numpy(), level)
         p, held = pivot(rows["p"].to_numpy(), rows["size"].to_numpy(), draw)
         if held >= 0 and last:
