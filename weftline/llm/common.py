@@ -45,10 +45,10 @@ def cut(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(spark)
     kept = df.checkpoint(eager=True)
     del df
-    for _ in range(2):  # Spark removes the files of a shuffle once the driver has collected the plan that made it
+    for _ in range(3):  # Spark removes the files of a shuffle once the driver has collected the plan that made it
         gc.collect()
         spark.sparkContext._jvm.System.gc()
-        time.sleep(0.2)
+        time.sleep(0.3)
     return kept
 
 

@@ -14,12 +14,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from weftline.llm.common import binary_runs, cut, id_planes, planes, runs, un_id_planes, unplanes
+from weftline.llm.common import cut, id_planes, planes, runs, un_id_planes, unplanes
 
 REQUEST = "bucket int, settled boolean, main binary, extra binary, owners binary, tags binary, counts binary, places binary"
-ANSWER = "doc_id long, tag int, places binary"
+ANSWER = "part int, owners binary, tags binary, counts binary, places binary"
 _REQUEST = pa.schema([("bucket", pa.int32()), ("settled", pa.bool_()), *((c, pa.binary()) for c in ("main", "extra", "owners", "tags", "counts", "places"))])
-_ANSWER = pa.schema([("doc_id", pa.int64()), ("tag", pa.int32()), ("places", pa.binary())])
+_ANSWER = pa.schema([("part", pa.int32()), *((c, pa.binary()) for c in ("owners", "tags", "counts", "places"))])
 
 
 def _groups(main: np.ndarray, extra: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,25 +91,43 @@ def requests(n_buckets: int, main: np.ndarray, extra: np.ndarray, doc: np.ndarra
         yield pa.record_batch([pa.array(c, f.type) for c, f in zip(rows, _REQUEST, strict=True)], schema=_REQUEST)
 
 
-def _answer(table: pa.Table) -> pa.Table:
-    owners, tags, counts, places, mains, extras, settled = [], [], [], [], [], [], []
-    for row in table.to_pylist():
-        counts.append(unplanes(row["counts"]).astype(np.int64))
-        places.append(_places(counts[-1], unplanes(row["places"])))
-        owners.append(un_id_planes(row["owners"]))
-        tags.append(np.frombuffer(row["tags"], np.int32))
-        settled.append(np.full(len(places[-1]), row["settled"]))
-        mains.append(np.frombuffer(row["main"], np.uint64))
-        extras.append(np.frombuffer(row["extra"], np.uint16))
-    counts, owners, tags, lost, place = (np.concatenate(x) for x in (counts, owners, tags, settled, places))
-    entry = np.repeat(np.arange(len(owners)), counts)
-    asked = np.flatnonzero(~lost)
-    lost[asked] = _losers(np.concatenate(mains), np.concatenate(extras), owners[entry[asked]])
-    found = entry[lost]
-    starts = runs(found)
-    return pa.Table.from_arrays([pa.array(owners[found[starts]]), pa.array(tags[found[starts]]), binary_runs(place[lost].astype("<u4"), np.diff(np.append(starts, len(found))))], schema=_ANSWER)
-
-
-def losing_places(asked: DataFrame) -> DataFrame:
-    """doc_id (null ids as NO_ID), tag, places: for each document with lost entries, their places as little-endian 32-bit numbers, in one or several rows; cut from its lineage."""
-    return cut(asked.groupBy("bucket").applyInArrow(_answer, ANSWER))
+def _answer(n_parts: int):
+    def answer(table: pa.Table) -> pa.Table:
+        owners, tags, counts, places, mains, extras, settled = [], [], [], [], [], [], []
+        for row in table.to_pylist():
+            counts.append(unplanes(row["counts"]).astype(np.int64))
+            places.append(_places(counts[-1], unplanes(row["places"])))
+            owners.append(un_id_planes(row["owners"]))
+            tags.append(np.frombuffer(row["tags"], np.int32))
+            settled.append(np.full(len(places[-1]), row["settled"]))
+            mains.append(np.frombuffer(row["main"], np.uint64))
+            extras.append(np.frombuffer(row["extra"], np.uint16))
+        counts, owners, tags, lost, place = (np.concatenate(x) for x in (counts, owners, tags, settled, places))
+        entry = np.repeat(np.arange(len(owners)), counts)
+        asked = np.flatnonzero(~lost)
+        lost[asked] = _losers(np.concatenate(mains), np.concatenate(extras), owners[entry[asked]])
+        entry, place = entry[lost], place[lost]
+        part = tags[entry] % n_parts
+        order = np.argsort(part, kind="stable")
+        entry, place, part = entry[order], place[order], part[order]
+        starts = runs(part)
+        rows = [(int(part[s]), *_packed(entry[s:e], place[s:e], owners, tags)) for s, e in zip(starts, np.append(starts[1:], len(part)), strict=True)]
+        return pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_ANSWER)], schema=_ANSWER)
+
+    return answer
+
+
+def losing_places(asked: DataFrame, n_parts: int) -> DataFrame:
+    """The lost entries, packed by part (tag modulo n_parts) of their documents; read with places_by_row. Cut from its lineage."""
+    return cut(asked.groupBy("bucket").applyInArrow(_answer(n_parts), ANSWER))
+
+
+def places_by_row(answers: pa.Table) -> dict[tuple[int, int], list[np.ndarray]]:
+    """(owner, tag) to the places its documents lost, for the answers of one part; null ids are NO_ID."""
+    found: dict[tuple[int, int], list[np.ndarray]] = {}
+    for row in answers.to_pylist():
+        counts = unplanes(row["counts"]).astype(np.int64)
+        places = np.split(_places(counts, unplanes(row["places"])), np.cumsum(counts)[:-1])
+        for owner, tag, own in zip(un_id_planes(row["owners"]).tolist(), np.frombuffer(row["tags"], np.int32).tolist(), places, strict=True):
+            found.setdefault((owner, tag), []).append(own)
+    return found

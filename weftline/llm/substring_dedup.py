@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import NO_ID, bucket_count, chunks, keyed, text_bytes, window_hashes, word_hashes
-from weftline.llm.first_owner import REQUEST, losing_places, requests
+from weftline.llm.first_owner import REQUEST, losing_places, places_by_row, requests
 
 WINDOW_WORDS = 13
 _SECOND_BASE = 0xD6E8FEB86659FD93
@@ -40,14 +40,11 @@ def removal_spans(docs: DataFrame, width: int = WINDOW_WORDS, id_col: str = "doc
     """doc_id, tag, n_words, spans (array of struct start, stop: words start..stop-1 go), cleaned (kept words joined by one space)."""
     rows = keyed(docs, id_col, text_col)
     n_buckets = bucket_count(docs, text_bytes(docs, text_col))
-    lost = losing_places(rows.mapInArrow(_ask(width, n_buckets), REQUEST))
-    lost = lost.groupBy("doc_id", "tag").agg(F.collect_list("places").alias("places"))
-    left = rows.withColumn("owner", F.coalesce("doc_id", F.lit(int(NO_ID))))
-    joined = left.join(lost.withColumnRenamed("doc_id", "owner"), ["owner", "tag"], "left")
-    return joined.select("doc_id", "tag", "text", "places").mapInArrow(_cleaner(width), "doc_id long, tag int, n_words long, spans array<struct<start:int,stop:int>>, cleaned string")
+    lost = losing_places(rows.mapInArrow(_ask(width, n_buckets), REQUEST), n_buckets)
+    parts = rows.select("*", F.pmod("tag", F.lit(n_buckets)).alias("part"))
+    return parts.groupBy("part").cogroup(lost.groupBy("part")).applyInArrow(_cleaner(width), "doc_id long, tag int, n_words long, spans array<struct<start:int,stop:int>>, cleaned string")
 
 
-_ROWS = 500
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
 
@@ -62,17 +59,18 @@ def merged(starts: np.ndarray, width: int) -> list[dict]:
 
 
 def _cleaner(width: int):
-    def clean(batches):
-        for batch in (b.slice(i, _ROWS) for b in batches for i in range(0, b.num_rows, _ROWS)):
-            n_words, spans, cleaned = [], [], []
-            for text, places in zip(batch.column("text").cast(pa.binary()).fill_null(b"").to_pylist(), batch.column("places").to_pylist(), strict=True):
-                words = text.split()
-                n_words.append(len(words))
-                spans.append(found := merged(np.frombuffer(b"".join(places), "<u4").astype(np.int64), width) if places else [])
-                for x in reversed(found):
-                    del words[x["start"] : x["stop"]]
-                cleaned.append(b" ".join(words))
-            yield pa.record_batch([batch.column("doc_id"), batch.column("tag"), pa.array(n_words, pa.int64()), pa.array(spans, _SPANS), pa.array(cleaned, pa.binary()).cast(pa.string())], names=["doc_id", "tag", "n_words", "spans", "cleaned"])
+    def clean(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        lost, n_words, spans, cleaned = places_by_row(answers), [], [], []
+        texts = docs.column("text").cast(pa.binary())
+        for i, (doc_id, tag) in enumerate(zip(docs.column("doc_id").to_pylist(), docs.column("tag").to_pylist(), strict=True)):
+            words = (texts[i].as_py() or b"").split()
+            n_words.append(len(words))
+            places = lost.get((NO_ID if doc_id is None else doc_id, tag))
+            spans.append(found := merged(np.concatenate(places), width) if places else [])
+            for x in reversed(found):
+                del words[x["start"] : x["stop"]]
+            cleaned.append(b" ".join(words))
+        return pa.table({"doc_id": docs.column("doc_id"), "tag": docs.column("tag"), "n_words": pa.array(n_words, pa.int64()), "spans": pa.array(spans, _SPANS), "cleaned": pa.array(cleaned, pa.binary()).cast(pa.string())})
 
     return clean
 
