@@ -81,7 +81,7 @@ def requests(n_buckets: int, main: np.ndarray, extra: np.ndarray, doc: np.ndarra
     at = at[np.argsort(bucket, kind="stable")]
     bucket = np.sort(bucket, kind="stable")
     starts = runs(bucket)
-    for s, e in zip(starts, np.append(starts[1:], len(at)), strict=True):
+    for s, e in zip(starts, np.append(starts, len(at))[1:], strict=True):
         own = at[s:e]
         add(int(bucket[s]), False, main[own].tobytes(), extra[own].astype(np.uint16).tobytes(), *_packed(doc[own], place[own], owners, tags))
         if len(rows[0]) >= 64:
@@ -111,7 +111,7 @@ def _answer(n_parts: int):
         order = np.argsort(part, kind="stable")
         entry, place, part = entry[order], place[order], part[order]
         starts = runs(part)
-        rows = [(int(part[s]), *_packed(entry[s:e], place[s:e], owners, tags)) for s, e in zip(starts, np.append(starts[1:], len(part)), strict=True)]
+        rows = [(int(part[s]), *_packed(entry[s:e], place[s:e], owners, tags)) for s, e in zip(starts, np.append(starts, len(part))[1:], strict=True)]
         return pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_ANSWER)], schema=_ANSWER)
 
     return answer

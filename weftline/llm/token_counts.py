@@ -58,7 +58,7 @@ class _Chunk:
         bucket = np.fromiter(map(zlib.crc32, pieces), np.uint64, len(pieces)) % np.uint64(n_buckets)
         order = np.argsort(bucket, kind="stable")
         starts = runs(bucket[order])
-        for s, e in zip(starts, np.append(starts[1:], len(order)), strict=True):
+        for s, e in zip(starts, np.append(starts, len(order))[1:], strict=True):
             own = order[s:e]
             texts = [pieces[i] for i in own]
             sizes = planes(np.array([len(t) for t in texts]))
