@@ -39,13 +39,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftline-checkpoints-"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared checkpoint folder, cut the lineage, free the shuffles behind it."""
+def cut(df: DataFrame, free: bool = True) -> DataFrame:
+    """Materialise in the shared checkpoint folder and cut the lineage; free: remove the shuffles behind it now, not some time later."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     kept = df.checkpoint(eager=True)
     del df
-    for _ in range(3):  # Spark removes the files of a shuffle once the driver has collected the plan that made it
+    for _ in range(3 if free else 0):  # Spark removes the files of a shuffle once the driver has collected the plan that made it
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.3)
