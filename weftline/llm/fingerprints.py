@@ -113,10 +113,10 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ask = steps.select(F.col("next_of").alias("of"), F.col("next_tag").alias("tag"), F.col("of").alias("to_of"), F.col("tag").alias("to_tag"), "place", F.floor(F.col("n_chars") / 3).cast("int").alias("take"))
     # n_kept goes along so that both uses of `made` read the same columns, and so the same exchange
     given = made.join(ask, ["of", "tag"]).select(F.col("to_of").alias("of"), F.col("to_tag").alias("tag"), "place", F.expr("substring(text, 1, take)").alias("head"), F.col("hashes").alias("next_hashes"), F.col("n_kept").alias("next_kept"))
-    both = made.join(given, ["of", "tag"]).where("next_kept >= 0")
+    both = made.join(given, ["of", "tag"])
 
     kept = (F.length("text") - F.floor(F.length("text") / 3)).cast("int")
-    both = both.select("of", "text", "hashes", "n_kept", "next_hashes", F.length("text").cast("long").alias("n_chars"), kept.alias("kept"), F.concat(F.substring("text", F.lit(1), kept), "head").alias("edited"))
+    both = both.select("of", "text", "hashes", "n_kept", F.when(F.col("next_kept") >= 0, F.col("next_hashes")).alias("next_hashes"), F.length("text").cast("long").alias("n_chars"), kept.alias("kept"), F.concat(F.substring("text", F.lit(1), kept), "head").alias("edited"))
     last = F.col("kept") - GRAM - WINDOW + 1
     start = F.greatest(last - WINDOW + 2, F.lit(0))
     tail = F.expr("substring(edited, start + 1, length(edited))")
