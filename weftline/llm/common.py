@@ -66,10 +66,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, tag, text and nothing else, whatever other columns there are."""
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] | None = None) -> DataFrame:
+    """doc_id, tag, text and nothing else, whatever other columns there are; those of `carry` in a struct carried."""
     key, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
-    return docs.select(key.alias("doc_id"), F.hash(key, text).alias("tag"), text.alias("text"))
+    more = [] if carry is None else [F.struct(*(F.col(c) for c in carry), F.lit(0).alias("_")).alias("carried")]
+    return docs.select(key.alias("doc_id"), F.hash(key, text).alias("tag"), text.alias("text"), *more)
 
 
 def chunks(batches, columns: tuple[str, ...] = ("doc_id", "tag"), limit: int = CHUNK_BYTES):

@@ -201,7 +201,7 @@ def _leader_pairs(members: DataFrame, tested: DataFrame, leaders: int, percent:
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int = THRESHOLD_PERCENT, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, tag, n_shingles, component_id of every row."""
+    """doc_id, tag, n_shingles, component_id, stays of every row; stays: true for one row of each component (and its repetitions)."""
     texts = keyed(docs, id_col, text_col)
     signed = cut(texts.mapInArrow(_sign(width, bands, rows), _SIGNED))
     nameless = F.lit(_NAMELESS) + F.xxhash64("set_key").bitwiseAND(F.lit(_NAMELESS - 1))
@@ -234,9 +234,11 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int =
         largest = members.groupBy("bucket").count().agg(F.max("count")).first()[0]
         if largest is None or (turn > STAR_TURNS and leaders >= largest):
             break
-    out = signed.join(classes.select("set_key", "node"), "set_key", "left").join(labels, "node", "left")
+    firsts = classes.select("set_key", "node", F.col("tag").alias("first_tag"))
+    out = signed.join(firsts, "set_key", "left").join(labels, "node", "left")
     component = F.coalesce("comp", "node", "doc_id")
-    return out.select("doc_id", "tag", "n_shingles", F.when(component < _NAMELESS, component).alias("component_id"))
+    stays = F.col("node").isNull() | ((F.coalesce("comp", "node") == F.col("node")) & (F.col("tag") == F.col("first_tag")))
+    return out.select("doc_id", "tag", "n_shingles", F.when(component < _NAMELESS, component).alias("component_id"), stays.alias("stays"))
 
 
 def near_duplicate_report(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:

@@ -36,18 +36,24 @@ def _ask(width: int, n_buckets: int):
     return ask
 
 
-def removal_spans(docs: DataFrame, width: int = WINDOW_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, tag, n_words, spans (array of struct start, stop: words start..stop-1 go), cleaned (kept words joined by one space)."""
-    rows = keyed(docs, id_col, text_col)
+def removal_spans(docs: DataFrame, width: int = WINDOW_WORDS, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, tag, n_words, spans (array of struct start, stop: words start..stop-1 go), cleaned (kept words joined by one space), carried (struct of the columns in `carry`, as they are)."""
+    rows = keyed(docs, id_col, text_col, carry)
     n_buckets = bucket_count(docs, text_bytes(docs, text_col))
-    lost = losing_places(rows.mapInArrow(_ask(width, n_buckets), REQUEST), n_buckets)
+    lost = losing_places(rows.drop("carried").mapInArrow(_ask(width, n_buckets), REQUEST), n_buckets)
     parts = rows.select("*", F.pmod("tag", F.lit(n_buckets)).alias("part"))
-    return parts.groupBy("part").cogroup(lost.groupBy("part")).applyInArrow(_cleaner(width), "doc_id long, tag int, n_words long, spans array<struct<start:int,stop:int>>, cleaned string")
+    schema = f"doc_id long, tag int, n_words long, spans array<struct<start:int,stop:int>>, cleaned string, carried {rows.schema['carried'].dataType.simpleString()}"
+    return parts.groupBy("part").cogroup(lost.groupBy("part")).applyInArrow(_cleaner(width), schema)
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
 
+def _nullable(column: pa.ChunkedArray) -> pa.ChunkedArray:
+    """The same structs, each field allowed to be null, as the declared result has it."""
+    return column.cast(pa.struct([pa.field(f.name, f.type) for f in column.type]))
+
+
 def merged(starts: np.ndarray, width: int) -> list[dict]:
     """Maximal intervals covered by windows of `width` words at these places."""
     starts = np.unique(starts)
@@ -70,7 +76,7 @@ def _cleaner(width: int):
             for x in reversed(found):
                 del words[x["start"] : x["stop"]]
             cleaned.append(b" ".join(words))
-        return pa.table({"doc_id": docs.column("doc_id"), "tag": docs.column("tag"), "n_words": pa.array(n_words, pa.int64()), "spans": pa.array(spans, _SPANS), "cleaned": pa.array(cleaned, pa.binary()).cast(pa.string())})
+        return pa.table({"doc_id": docs.column("doc_id"), "tag": docs.column("tag"), "n_words": pa.array(n_words, pa.int64()), "spans": pa.array(spans, _SPANS), "cleaned": pa.array(cleaned, pa.binary()).cast(pa.string()), "carried": _nullable(docs.column("carried"))})
 
     return clean
 
