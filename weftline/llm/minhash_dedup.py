@@ -6,11 +6,13 @@ two permutations make all coordinates.  Bands of ROWS coordinates put documents
 into buckets; BANDS of them find a pair of similarity 0.8 but for 2 in 100,000.
 
 Documents with one shingle set are one node.  Nodes of a bucket are not paired
-with each other: a few leaders per bucket are compared with the nodes not yet
-linked to them, on whole shingle sets; linked nodes merge, and only buckets in
-which several components are left go on, with more leaders each turn, until all
-pairs across components are tested.  So links between nodes already connected
-are not computed, and none between components is lost.
+with each other.  In a few turns each node is compared, on whole shingle sets,
+with one leader of its buckets, and linked nodes merge.  What then is left in
+buckets of several components goes through an exact join: two sets of the wanted
+similarity share one of their first shingles, rare ones first, at places that
+leave room for enough others.  Only pairs across components that pass this are
+compared.  So links between nodes already connected are not computed, no group's
+pairs are written out, and no link between components is lost.
 
 Defined cases: a text of fewer words than a shingle is one shingle, a null or
 blank text has none and is linked with nothing; rows of one doc_id are one
@@ -27,7 +29,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from weftline.llm.common import NO_ID, chunks, cut, keyed, mix, window_hashes, word_hashes
 from weftline.llm.components import connected
@@ -35,8 +36,8 @@ from weftline.llm.components import connected
 SHINGLE_WORDS = 5
 THRESHOLD_PERCENT = 80
 BANDS, ROWS = 36, 6
-#: Turns in which each node is compared with one leader, before leaders grow in number.
-STAR_TURNS = 3
+#: Turns in which each node is compared with one leader, before the exact join of the rest.
+STAR_TURNS = 2
 #: Nodes without a doc_id are numbered from here on.
 _NAMELESS = 1 << 62
 _SIGMA, _PI = np.uint64(0x2545F4914F6CDD1D), (np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35))
@@ -192,12 +193,36 @@ def _star_pairs(members: DataFrame, tested: DataFrame | None, turn: int, percent
     return pairs.groupBy("node").agg(F.max_by("leader", F.struct("count", "leader")).alias("leader"))
 
 
-def _leader_pairs(members: DataFrame, tested: DataFrame, leaders: int, percent: int) -> DataFrame:
-    """All pairs across components of a bucket's first nodes with the nodes after them."""
-    ranked = members.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy("node")))
-    heads = ranked.where(F.col("place") <= leaders).select("bucket", F.col("node").alias("leader"), F.col("size").alias("leader_size"), F.col("comp").alias("leader_comp"), F.col("place").alias("leader_place"))
-    pairs = ranked.join(heads, "bucket").where("comp <> leader_comp AND place > leader_place").where(_near_in_size(percent))
-    return _untested(pairs.select("node", "leader").distinct(), tested)
+def _shingles(batches):
+    """node, size, shingle: a row for each member of each set."""
+    for batch in batches:
+        for node, data in zip(batch.column("node").to_pylist(), batch.column("set").to_pylist(), strict=True):
+            shingles = _unpacked(data).view(np.int64)
+            yield pa.record_batch([pa.array(np.full(len(shingles), node)), pa.array(np.full(len(shingles), len(shingles))), pa.array(shingles)], names=["node", "size", "shingle"])
+
+
+def _prefix_pairs(members: DataFrame, sets: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
+    """All pairs across components that can be similar enough, by an exact join on first shingles.
+
+    Shingles are ordered by how many of these nodes have them.  If sets of a and b
+    members are similar enough, they have at least percent / (100 + percent) *
+    (a + b) in common, and the first common one stands among the first
+    a - percent * a + 1 of either, with enough places left after it in both.
+    Shingles of a single node come first, match nothing, and are only counted."""
+    nodes = members.select("node", "comp").distinct()
+    rows = sets.join(nodes.select("node"), "node", "left_semi").mapInArrow(_shingles, "node long, size long, shingle long")
+    shared = rows.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    ordered = F.array_sort(F.collect_list(F.struct("n", "shingle")))
+    per_node = rows.join(shared, "shingle").groupBy("node", "size").agg(ordered.alias("shingles"))
+    alone = F.col("size") - F.size("shingles")
+    length = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1 - alone
+    first = per_node.where(length > 0).select("node", "size", alone.alias("alone"), F.posexplode(F.slice("shingles", 1, length.cast("int"))).alias("at", "s"))
+    first = cut(first.join(nodes, "node").select("node", "size", "comp", F.col("s.shingle").alias("shingle"), (F.col("alone") + F.col("at")).alias("place")))
+    other = first.select("shingle", *(F.col(c).alias(f"leader_{c}") for c in ("node", "size", "comp", "place")))
+    room = F.least(F.col("size") - F.col("place"), F.col("leader_size") - F.col("leader_place"))
+    fits = (100 + percent) * room >= percent * (F.col("size") + F.col("leader_size"))
+    both = first.join(other, "shingle").where((F.col("node") > F.col("leader_node")) & (F.col("comp") != F.col("leader_comp")) & _near_in_size(percent) & fits)
+    return _untested(both.select("node", F.col("leader_node").alias("leader")).distinct(), tested)
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int = THRESHOLD_PERCENT, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -218,21 +243,18 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int =
     held = wanted.join(whole, ["of", "of_tag"]).groupBy("of", "of_tag").agg(F.first("node").alias("node"), F.first("text").alias("text"))
     sets = cut(held.select("node", "text").mapInArrow(_sets(width), "node long, set binary"))
 
-    labels, tested, turn, leaders = cut(members.select("node", "comp").distinct(), free=False), None, 0, 1
-    while True:
+    labels, tested = cut(members.select("node", "comp").distinct(), free=False), None
+    for turn in range(STAR_TURNS + 1):
         if turn < STAR_TURNS:
             pairs = _star_pairs(members, tested, turn, percent)
         else:
-            leaders *= 4
-            pairs = _leader_pairs(members, tested, leaders, percent)
+            pairs = _prefix_pairs(members, sets, tested, percent)
         result = _tested(pairs, sets, percent)
         roots = connected(_links(result, labels))
         labels = cut(_joined(labels, roots), free=False)
         members = cut(_active(_joined(members, roots)), free=False)
         tested = result if tested is None else cut(tested.union(result), free=False)
-        turn += 1
-        largest = members.groupBy("bucket").count().agg(F.max("count")).first()[0]
-        if largest is None or (turn > STAR_TURNS and leaders >= largest):
+        if members.isEmpty():
             break
     firsts = classes.select("set_key", "node", F.col("tag").alias("first_tag"))
     out = signed.join(firsts, "set_key", "left").join(labels, "node", "left")
