@@ -1,0 +1 @@
+"""No streaming operators: the network description is a document, read once per run."""
