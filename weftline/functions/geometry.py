@@ -23,7 +23,7 @@ def point_and_tangent(shape: Column, distance: Column) -> Column:
     start = F.struct(F.lit(0.0).alias("travelled"), nothing.alias("found"))
 
     def step(state, segment):
-        a, b = segment["0"], segment["1"]
+        a, b = segment.a, segment.b
         dx, dy = b.x - a.x, b.y - a.y
         length = F.hypot(dx, dy)
         t = F.when(length > 0, (target - state.travelled) / length).otherwise(0.0)
@@ -52,4 +52,8 @@ def rectangle(entry: Column, exit_: Column, width: Column) -> Column:
 def centroid(points: Column) -> Column:
     """Mean point, summed in order; the origin for no points."""
     n = F.greatest(F.size(points), F.lit(1)).cast("double")
-    return F.struct(*((F.aggregate(points, F.lit(0.0), lambda s, p, c=c: s + p[c]) / n).alias(c) for c in "xyz"))
+
+    def mean(c: str) -> Column:
+        return (F.aggregate(points, F.lit(0.0), lambda total, p: total + p[c]) / n).alias(c)
+
+    return F.struct(*map(mean, "xyz"))

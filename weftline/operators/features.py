@@ -19,7 +19,7 @@ def gate_pairs(zones: DataFrame) -> DataFrame:
     """Entries and exits side by side, as far as both go; what is left over of the longer list is ignored."""
     n = F.least(F.size("entries"), F.size("exits"))
     both = F.arrays_zip(F.slice("entries", 1, n).alias("entry"), F.slice("exits", 1, n).alias("exit"))
-    return zones.select("junction_pos", "from_edge", "dir_ords", "zone_id", F.posexplode(both).alias("gate_pos", "g")).select("*", F.col("g")["0"].alias("entry"), F.col("g")["1"].alias("exit")).drop("g")
+    return zones.select("junction_pos", "from_edge", "dir_ords", "zone_id", F.posexplode(both).alias("gate_pos", "g")).select("*", F.col("g")["entry"].alias("entry"), F.col("g")["exit"].alias("exit")).drop("g")
 
 
 def check_lanes(zones: DataFrame, net: NetworkFrames) -> None:

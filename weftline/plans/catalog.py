@@ -5,11 +5,299 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weftline.functions.crs import parse_proj, to_lon_lat
+from weftline.functions.geometry import distance_from_start, point_and_tangent
+from weftline.functions.text import plain_number
+from weftline.operators import resolve, zones
+from weftline.operators.features import gate_pairs, lane_rectangles, zone_shapes
+from weftline.schemas import NetworkFrames
+from weftline.sinks import detector_rows, feature_json, output_file
+from weftline.sources.starviews import repeated_lanes, star_network
+
+CAP_M = 40.0
+
+
+def _dirs(column: str = "dirs"):
+    return F.array_join(F.transform(column, lambda d: d.label), "+").alias("dirs")
+
+
+def _zones(net: NetworkFrames, cap: float | None = None) -> DataFrame:
+    return zones.generate(net, cap)[0]
+
+
+def _on_network(build: Callable[[NetworkFrames], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: build(star_network(spark, sf_dir))
+
+
+def _flat_gates(z: DataFrame) -> DataFrame:
+    return gate_pairs(z).select("junction_pos", "zone_id", "gate_pos", F.col("entry.lane").alias("lane"), F.col("entry.pos").alias("entry_pos"), F.col("exit.pos").alias("exit_pos"), F.col("entry.friendly").alias("friendly"))
+
+
+def _flagship(net: NetworkFrames) -> DataFrame:
+    z = _zones(net)
+    return z.select(
+        "junction_pos",
+        "junction_id",
+        "zone_id",
+        output_file(F.col("zone_id")).alias("file"),
+        F.size("entries").alias("n_lanes"),
+        F.array_join(F.transform("entries", lambda g: g.lane), " ").alias("lanes"),
+        F.array_join(F.transform("exits", lambda g: plain_number(g.pos)), " ").alias("exit_positions"),
+        F.col("icon.x").alias("icon_x"),
+        F.col("icon.y").alias("icon_y"),
+    )
+
+
+def _lane_points(net: NetworkFrames, from_end: bool) -> DataFrame:
+    lanes = resolve.unique_lanes(net).withColumn("station", F.explode(F.array(F.lit(-1.0), F.floor(F.col("length_m") / 4), F.floor(F.col("length_m")) / 2, F.col("length_m"))))
+    at = point_and_tangent(F.col("shape"), distance_from_start(F.col("station"), F.lit(from_end), F.col("length_m")))
+    return lanes.select("lane_id", "station", at.alias("p")).select("lane_id", "station", *(F.round(f"p.{c}", 6).alias(c) for c in ("x", "y", "tx", "ty")))
+
+
+def _rings(net: NetworkFrames) -> DataFrame:
+    g = lane_rectangles(_zones(net, CAP_M), net).select("junction_pos", "zone_id", "gate_pos", F.posexplode("ring").alias("corner", "p"))
+    return g.select("junction_pos", "zone_id", "gate_pos", "corner", F.round("p.x", 6).alias("x"), F.round("p.y", 6).alias("y"))
+
+
+def _rings_lonlat(net: NetworkFrames) -> DataFrame:
+    place = net.location.first()
+    g = lane_rectangles(_zones(net, CAP_M), net).select("junction_pos", "zone_id", "gate_pos", F.posexplode("ring").alias("corner", "p"))
+    there = to_lon_lat(parse_proj(place["proj"]), place["net_x"], place["net_y"], F.col("p.x"), F.col("p.y"))
+    return g.select("junction_pos", "zone_id", "gate_pos", "corner", there.alias("q")).select("junction_pos", "zone_id", "gate_pos", "corner", F.round("q.lon", 6).alias("lon"), F.round("q.lat", 6).alias("lat"))
+
+
+def _stop_lines(net: NetworkFrames) -> DataFrame:
+    return zone_shapes(_zones(net), net).select("junction_pos", "zone_id", F.size("rings").alias("n_rings"), F.round("stop_line.x", 6).alias("x"), F.round("stop_line.y", 6).alias("y"))
+
+
+def _phase_reversal(net: NetworkFrames) -> DataFrame:
+    """Zones and their lanes don't depend on the phases' order: rows in either result only, and rows in all."""
+    turned = net.with_frames(programs=net.programs.withColumn("phases", F.reverse("phases")))
+    lanes_of = lambda z: z.select("zone_id", F.array_sort(F.transform("entries", lambda g: g.lane)).alias("lanes"))
+    a, b = lanes_of(_zones(net)), lanes_of(_zones(turned))
+    counts = a.exceptAll(b).select(F.lit("only_before").alias("side")).union(b.exceptAll(a).select(F.lit("only_after"))).union(a.select(F.lit("zones")))
+    return counts.groupBy("side").agg(F.count("*").alias("n"))
+
+
+def _first_oor(net: NetworkFrames) -> DataFrame:
+    return resolve.lane_keys(net).where(F.col("first_oor").isNotNull()).select("lane_id", F.col("first_oor.tl").alias("program"), F.col("first_oor.link_index").alias("link_index"))
+
+
+def _status_literal(net: NetworkFrames) -> DataFrame:
+    """The range test in its literal form, over every phase."""
+    programs = resolve.unique_programs(net).select("tl", "phases")
+    joined = resolve.resolved_connections(net).where("tl IS NOT NULL AND link_index IS NOT NULL").join(programs, "tl")
+    return joined.select("lane_id", "conn_pos", resolve.in_range(F.col("link_index"), F.col("phases")).alias("in_range"))
+
+
+_NETWORK_QUERIES: dict[str, Callable[[NetworkFrames], DataFrame]] = {
+    "zones_flagship": _flagship,
+    "lanes_unnest": lambda net: net.lanes.select("edge_id", "lane_id", "lane_index", "length_m", F.array_join("allow", " ").alias("allow")),
+    "incoming_lanes": lambda net: net.inc_lanes.select("junction_pos", "inc_pos", "lane_id"),
+    "signal_junctions": lambda net: zones.signal_junctions(net).select("junction_id", "kind"),
+    "vehicle_lanes": lambda net: zones.vehicle_lanes(net).select("junction_id", "inc_pos", "lane_id", "length_m"),
+    "programs_first_wins": lambda net: resolve.unique_programs(net).select("tl", F.size("phases").alias("n_phases"), "min_len"),
+    "connections_resolved": lambda net: resolve.resolved_connections(net).select("lane_id", "conn_pos", "from_edge", "dir_ord"),
+    "connection_status": lambda net: resolve.connection_status(net).select("lane_id", "conn_pos", "status"),
+    "link_index_in_range": _status_literal,
+    "lane_direction_sets": lambda net: resolve.lane_keys(net).select("lane_id", "n_ok", _dirs()),
+    "lane_first_out_of_range": _first_oor,
+    "lane_reasons": lambda net: zones.lane_reasons(net).select("junction_id", "inc_pos", "lane_id", F.coalesce("reason", F.lit("grouped")).alias("reason")),
+    "diagnostics_messages": lambda net: zones.generate(net)[1].select("junction_pos", "inc_pos", "message"),
+    "unconnected_lanes": lambda net: zones.vehicle_lanes(net).join(resolve.lane_keys(net), "lane_id", "left_anti").select("junction_id", "lane_id"),
+    "zone_groups": lambda net: _zones(net).select("junction_pos", "from_edge", F.array_join(F.transform("dir_ords", lambda o: o.cast("string")), ",").alias("dir_ords"), F.size("entries").alias("n_lanes")),
+    "zone_ids": lambda net: _zones(net).groupBy("zone_id").agg(F.count("*").alias("n")),
+    "zone_gates": lambda net: _flat_gates(_zones(net)),
+    "zone_gates_capped": lambda net: _flat_gates(_zones(net, CAP_M)),
+    "lane_point_at": lambda net: _lane_points(net, False),
+    "lane_point_from_end": lambda net: _lane_points(net, True),
+    "lane_rings": _rings,
+    "zone_stop_lines": _stop_lines,
+    "zone_rings_lonlat": _rings_lonlat,
+    "phase_reversal_invariance": _phase_reversal,
+    "zones_xml": lambda net: detector_rows(_zones(net)).select("_id", "_file", "_pos", F.to_json("detEntry").alias("entries"), F.to_json("detExit").alias("exits")),
+    "zones_geojson": lambda net: feature_json(_zones(net, CAP_M), net),
+}
+
+
+def _lanes_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.last_wins(repeated_lanes(spark, sf_dir), ["l_orderkey", "l_linenumber"], ["lane_pos"]).select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: _on_network(build) for name, build in _NETWORK_QUERIES.items()} | {"lanes_last_wins": _lanes_last_wins}
+
+
+_FRAMES = """
+WITH lanes AS (
+  SELECT o_custkey, o_orderkey, CAST(o_custkey AS VARCHAR) AS edge_id, CAST(o_orderkey AS VARCHAR) AS lane_id,
+    CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INTEGER) AS lane_index,
+    floor(o_totalprice / 250) / 4.0 AS length_m,
+    CASE o_orderstatus WHEN 'P' THEN 'pedestrian' WHEN 'O' THEN 'passenger pedestrian' ELSE '' END AS allow
+  FROM orders
+), junctions AS (
+  SELECT n_nationkey AS junction_pos, CAST(n_nationkey AS VARCHAR) AS junction_id, n_nationkey * 100.0::DOUBLE AS x, n_nationkey * -50.0::DOUBLE AS y,
+    CASE n_regionkey WHEN 0 THEN 'traffic_light' WHEN 1 THEN 'priority' WHEN 2 THEN 'traffic_light_unregulated'
+      WHEN 3 THEN 'traffic_light_right_on_red' ELSE 'rail_signal' END AS kind
+  FROM nation
+), signals AS (
+  SELECT * FROM junctions WHERE kind LIKE 'traffic_light%'
+), inc AS (
+  SELECT c_nationkey AS junction_pos, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY o_orderkey) - 1 AS INTEGER) AS inc_pos,
+    CAST(o_orderkey AS VARCHAR) AS lane_id
+  FROM orders JOIN customer ON o_custkey = c_custkey
+), conns AS (
+  SELECT lane_id, edge_id AS from_edge, CAST(l_linenumber - 1 AS INTEGER) AS dir_ord,
+    CASE WHEN l_returnflag <> 'N' THEN CAST(l_suppkey AS VARCHAR) END AS tl, CAST(CAST(l_quantity AS INTEGER) % 12 - 1 AS INTEGER) AS link_index,
+    CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS INTEGER) AS conn_pos
+  FROM lineitem JOIN lanes ON l_orderkey = o_orderkey
+), states AS (
+  SELECT CAST(s_suppkey AS VARCHAR) AS tl, 4 + (s_suppkey + i) % 8 AS len
+  FROM (SELECT s_suppkey, unnest(range(0, 2 + s_nationkey % 3)) AS i FROM supplier WHERE s_suppkey % 5 <> 0 AND s_suppkey % 17 <> 1)
+), progs AS (
+  SELECT CAST(s_suppkey AS VARCHAR) AS tl, CAST(coalesce(n_phases, 0) AS INTEGER) AS n_phases, CAST(min_len AS INTEGER) AS min_len
+  FROM supplier LEFT JOIN (SELECT tl, count(*) AS n_phases, min(len) AS min_len FROM states GROUP BY tl) s ON s.tl = CAST(s_suppkey AS VARCHAR)
+  WHERE s_suppkey % 5 <> 0
+), status AS (
+  SELECT conns.*, CASE WHEN progs.tl IS NULL OR link_index IS NULL THEN 'none'
+      WHEN link_index >= 0 AND (min_len IS NULL OR link_index < min_len) THEN 'ok' ELSE 'oor' END AS status
+  FROM conns LEFT JOIN progs ON conns.tl = progs.tl
+), labels AS (
+  SELECT * FROM (VALUES (0, 'straight'), (1, 'turn'), (2, 'turn_left_hand'), (3, 'left'), (4, 'right'), (5, 'partial_left'), (6, 'partial_right')) t(dir_ord, label)
+), keys AS (
+  SELECT lane_id, min(from_edge) AS from_edge, CAST(sum((status = 'ok')::INTEGER) AS BIGINT) AS n_ok,
+    coalesce((SELECT string_agg(label, '+' ORDER BY dir_ord) FROM labels WHERE list_contains(ords, labels.dir_ord)), '') AS dirs,
+    coalesce((SELECT string_agg(CAST(dir_ord AS VARCHAR), ',' ORDER BY dir_ord) FROM labels WHERE list_contains(ords, labels.dir_ord)), '') AS dir_ords,
+    oor_tl, oor_link
+  FROM (SELECT lane_id, from_edge, status, list(dir_ord) FILTER (WHERE status = 'ok') OVER (PARTITION BY lane_id) AS ords,
+      first_value(CASE WHEN status = 'oor' THEN tl END) OVER (PARTITION BY lane_id ORDER BY (status <> 'oor'), conn_pos) AS oor_tl,
+      first_value(CASE WHEN status = 'oor' THEN link_index END) OVER (PARTITION BY lane_id ORDER BY (status <> 'oor'), conn_pos) AS oor_link
+    FROM status)
+  GROUP BY lane_id, ords, oor_tl, oor_link
+), vehicles AS (
+  SELECT junction_pos, junction_id, inc_pos, lane_id, length_m, x, y, o_orderkey
+  FROM inc JOIN signals USING (junction_pos) JOIN lanes USING (lane_id) WHERE allow <> 'pedestrian'
+), reasons AS (
+  SELECT vehicles.*, from_edge, dirs, dir_ords, oor_tl, oor_link,
+    CASE WHEN n_ok IS NULL THEN 'no_outgoing_connection' WHEN n_ok > 0 THEN 'grouped'
+      WHEN oor_tl IS NOT NULL THEN 'link_index_out_of_range' ELSE 'no_resolvable_program' END AS reason
+  FROM vehicles LEFT JOIN keys USING (lane_id)
+), gates AS (
+  SELECT junction_pos, junction_id, from_edge, dir_ords, from_edge || '_' || dirs AS zone_id, lane_id AS lane, length_m, x, y, o_orderkey,
+    CAST(row_number() OVER (PARTITION BY junction_pos, from_edge, dir_ords ORDER BY inc_pos) - 1 AS INTEGER) AS gate_pos
+  FROM reasons WHERE reason = 'grouped'
+), drawn AS (
+  SELECT lane_id, length_m, o_orderkey % 1000 AS x0, (o_orderkey * 7) % 1000 AS y0,
+    CASE WHEN o_orderkey % 7 = 0 THEN 0.0 ELSE floor(length_m) / 2 END AS along,
+    CASE WHEN o_orderkey % 5 = 0 THEN floor(length_m) / 4 ELSE length_m - CASE WHEN o_orderkey % 7 = 0 THEN 0.0 ELSE floor(length_m) / 2 END END AS up
+  FROM lanes
+)
+"""
+
+
+def _at(distance: str) -> dict[str, str]:
+    """SQL of the point and tangent of the drawn lanes, which run along x and then along y."""
+    d = f"greatest({distance}, 0)"
+    first, second = f"{d} <= along", f"{d} - along <= up"
+    return {
+        "x": f"CASE WHEN along = 0 THEN x0 WHEN {first} THEN x0 + {d} ELSE x0 + along END",
+        "y": f"CASE WHEN along = 0 OR {first} THEN y0 WHEN up = 0 THEN y0 WHEN {second} THEN y0 + ({d} - along) ELSE y0 + up END",
+        "tx": f"CASE WHEN along > 0 AND {d} > along AND up > 0 AND {second} THEN 0.0 ELSE 1.0 END",
+        "ty": f"CASE WHEN along > 0 AND {d} > along AND up > 0 AND {second} THEN 1.0 ELSE 0.0 END",
+    }
+
+
+def _points_sql(distance: str) -> str:
+    p = _at(distance)
+    rounded = ", ".join(f"round({p[c]}, 6) AS {c}" for c in p)
+    return f"""{_FRAMES}
+SELECT lane_id, station, {rounded}
+FROM (SELECT *, unnest([-1.0::DOUBLE, floor(length_m / 4), floor(length_m) / 2, length_m]) AS station FROM drawn)"""
+
+
+_ENTRY = f"CASE WHEN {CAP_M} < length_m THEN length_m - {CAP_M} ELSE 0.0 END"
+_IN, _OUT = _at(f"({_ENTRY})"), _at("length_m")
+
+
+def _corner(side: dict[str, str], sign: str) -> tuple[str, str]:
+    return f"({side['x']}) {'-' if sign == '+' else '+'} ({side['ty']}) * 1.6", f"({side['y']}) {sign} ({side['tx']}) * 1.6"
+
+
+_CORNERS = [_corner(_IN, "+"), _corner(_OUT, "+"), _corner(_OUT, "-"), _corner(_IN, "-"), _corner(_IN, "+")]
+_RINGS = f"""{_FRAMES}, rings AS (
+  SELECT junction_pos, zone_id, gate_pos, CAST(unnest(range(0, 5)) AS INTEGER) AS corner,
+    unnest([{", ".join(x for x, _ in _CORNERS)}]) AS x, unnest([{", ".join(y for _, y in _CORNERS)}]) AS y
+  FROM gates JOIN (SELECT lane_id, x0, y0, along, up FROM drawn) ON lane_id = lane
+)
+"""
+
+# Fixed values of the projection's series on WGS84, for the SQL that checks it:
+# another form than the Spark expressions have, by footpoint latitude.
+_LONLAT = """
+, unit AS (
+  SELECT *, 6378137.0::DOUBLE AS a, 0.0066943799901413165::DOUBLE AS e2, (x + 430000.0 - 500000.0) / 0.9996 AS east, (y + 4582000.0) / 0.9996 AS north FROM rings
+), mu AS (
+  SELECT *, north / (a * (1 - e2 / 4 - 3 * e2 * e2 / 64 - 5 * e2 * e2 * e2 / 256 - 175 * e2 * e2 * e2 * e2 / 16384)) AS m, (1 - sqrt(1 - e2)) / (1 + sqrt(1 - e2)) AS e1 FROM unit
+), foot AS (
+  SELECT *, m + (3 * e1 / 2 - 27 * e1 ** 3 / 32) * sin(2 * m) + (21 * e1 ** 2 / 16 - 55 * e1 ** 4 / 32) * sin(4 * m)
+    + (151 * e1 ** 3 / 96) * sin(6 * m) + (1097 * e1 ** 4 / 512) * sin(8 * m) AS f FROM mu
+), parts AS (
+  SELECT *, e2 / (1 - e2) AS ep, tan(f) ** 2 AS t, e2 / (1 - e2) * cos(f) ** 2 AS c, a / sqrt(1 - e2 * sin(f) ** 2) AS n,
+    a * (1 - e2) / (1 - e2 * sin(f) ** 2) ** 1.5 AS r, east / (a / sqrt(1 - e2 * sin(f) ** 2)) AS d FROM foot
+)
+SELECT junction_pos, zone_id, gate_pos, corner,
+  round(3 + degrees((d - (1 + 2 * t + c) * d ** 3 / 6 + (5 - 2 * c + 28 * t - 3 * c * c + 8 * ep + 24 * t * t) * d ** 5 / 120) / cos(f)), 6) AS lon,
+  round(degrees(f - n * tan(f) / r * (d * d / 2 - (5 + 3 * t + 10 * c - 4 * c * c - 9 * ep) * d ** 4 / 24
+    + (61 + 90 * t + 298 * c + 45 * t * t - 252 * ep - 3 * c * c) * d ** 6 / 720)), 6) AS lat
+FROM parts"""
+
+_MESSAGE = """'lane "' || lane_id || '" at junction "' || junction_id || '" skipped: ' || CASE reason
+    WHEN 'no_outgoing_connection' THEN 'no outgoing connection in the network at all'
+    WHEN 'no_resolvable_program' THEN 'none of its connections are signal-controlled (no `tl` naming a program this file defines)'
+    ELSE 'connection''s linkIndex ' || oor_link || ' is out of range for tlLogic "' || oor_tl || '"''s phases' END"""
+
+
+def _number(x: str) -> str:
+    return f"regexp_replace(CAST(CAST({x} AS DECIMAL(38,17)) AS VARCHAR), '\\.?0+$', '')"
+
+
+_GATES = "SELECT junction_pos, zone_id, gate_pos, lane, {entry} AS entry_pos, length_m AS exit_pos, true AS friendly FROM gates"
+
+_SQL: dict[str, str] = {
+    "zones_flagship": f"""SELECT junction_pos, junction_id, zone_id, 'detector_output/' || zone_id || '.xml' AS file, CAST(count(*) AS INTEGER) AS n_lanes,
+  string_agg(lane, ' ' ORDER BY gate_pos) AS lanes, string_agg({_number("length_m")}, ' ' ORDER BY gate_pos) AS exit_positions, any_value(x) AS icon_x, any_value(y) AS icon_y
+FROM gates GROUP BY junction_pos, junction_id, from_edge, dir_ords, zone_id""",
+    "lanes_unnest": "SELECT edge_id, lane_id, lane_index, length_m, allow FROM lanes",
+    "incoming_lanes": "SELECT junction_pos, inc_pos, lane_id FROM inc",
+    "signal_junctions": "SELECT junction_id, kind FROM signals",
+    "vehicle_lanes": "SELECT junction_id, inc_pos, lane_id, length_m FROM vehicles",
+    "programs_first_wins": "SELECT tl, n_phases, min_len FROM progs",
+    "connections_resolved": "SELECT lane_id, conn_pos, from_edge, dir_ord FROM conns",
+    "connection_status": "SELECT lane_id, conn_pos, status FROM status",
+    "link_index_in_range": "SELECT lane_id, conn_pos, (status = 'ok') AS in_range FROM status WHERE tl IN (SELECT tl FROM progs) AND link_index IS NOT NULL",
+    "lane_direction_sets": "SELECT lane_id, n_ok, dirs FROM keys",
+    "lane_first_out_of_range": "SELECT lane_id, oor_tl AS program, oor_link AS link_index FROM keys WHERE oor_tl IS NOT NULL",
+    "lane_reasons": "SELECT junction_id, inc_pos, lane_id, reason FROM reasons",
+    "diagnostics_messages": f"SELECT junction_pos, inc_pos, {_MESSAGE} AS message FROM reasons WHERE reason <> 'grouped'",
+    "unconnected_lanes": "SELECT junction_id, lane_id FROM vehicles ANTI JOIN conns USING (lane_id)",
+    "zone_groups": "SELECT junction_pos, from_edge, dir_ords, CAST(count(*) AS INTEGER) AS n_lanes FROM gates GROUP BY ALL",
+    "zone_ids": "SELECT zone_id, count(*) AS n FROM (SELECT DISTINCT junction_pos, from_edge, dir_ords, zone_id FROM gates) GROUP BY zone_id",
+    "zone_gates": _GATES.format(entry="0.0::DOUBLE"),
+    "zone_gates_capped": _GATES.format(entry=_ENTRY),
+    "zone_stop_lines": f"""SELECT junction_pos, zone_id, CAST(count(*) AS INTEGER) AS n_rings, round(sum({_OUT["x"]}) / count(*), 6) AS x, round(sum({_OUT["y"]}) / count(*), 6) AS y
+FROM gates JOIN (SELECT lane_id, x0, y0, along, up FROM drawn) ON lane_id = lane GROUP BY junction_pos, from_edge, dir_ords, zone_id""",
+    "phase_reversal_invariance": "SELECT 'zones' AS side, count(*) AS n FROM (SELECT DISTINCT junction_pos, from_edge, dir_ords FROM gates)",
+}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: f"{_FRAMES}\n{sql}" for name, sql in _SQL.items()} | {
+        "lane_point_at": _points_sql("station"),
+        "lane_point_from_end": _points_sql("(length_m - station)"),
+        "lane_rings": f"{_RINGS}\nSELECT junction_pos, zone_id, gate_pos, corner, round(x, 6) AS x, round(y, 6) AS y FROM rings",
+        "zone_rings_lonlat": _RINGS + _LONLAT,
+        "lanes_last_wins": """SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem
+QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey DESC, l_suppkey DESC, l_extendedprice DESC, l_quantity DESC) = 1""",
+    }
