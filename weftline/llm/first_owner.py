@@ -1,49 +1,59 @@
-"""Keyed exchange that finds, for every occurrence of a key, whether an earlier owner has it too.
+"""Keyed exchange that tells, for every occurrence of a key, whether others have it too.
 
 Each chunk of text makes (key, owner, place) entries by the hundred thousand.
 Entries travel packed, one row per chunk and bucket of keys, not as a row each.
-A chunk settles among its own owners first: of one key it sends only the
-entries of its earliest owner, so a key that a third of all documents hold
-reaches its bucket once per chunk and not once per document.  The later owners
-of a chunk have an earlier one at hand and lose without asking.
+A chunk settles what it can among its own entries first.  Under the rule
+`earlier` an entry is marked if an entry of a smaller owner has its key: of one
+key a chunk sends only the entries of its smallest owner, as the others are
+marked already.  Under the rule `other` it is marked if any other owner has the
+key: a chunk with two owners marks both and sends one entry as a witness.  So a
+key that a third of all documents hold reaches its bucket once per chunk and not
+once per document.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from weftline.llm.common import cut, id_planes, planes, runs, un_id_planes, unplanes
 
-REQUEST = "bucket int, settled boolean, main binary, extra binary, owners binary, tags binary, counts binary, places binary"
-ANSWER = "part int, owners binary, tags binary, counts binary, places binary"
-_REQUEST = pa.schema([("bucket", pa.int32()), ("settled", pa.bool_()), *((c, pa.binary()) for c in ("main", "extra", "owners", "tags", "counts", "places"))])
-_ANSWER = pa.schema([("part", pa.int32()), *((c, pa.binary()) for c in ("owners", "tags", "counts", "places"))])
+REQUEST = "kind int, bucket int, settled boolean, main binary, extra binary, holders binary, owners binary, tags binary, counts binary, places binary"
+ANSWER = "kind int, part int, owners binary, tags binary, counts binary, places binary"
+_ENTRIES = [(c, pa.binary()) for c in ("owners", "tags", "counts", "places")]
+_REQUEST = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("settled", pa.bool_()), ("main", pa.binary()), ("extra", pa.binary()), ("holders", pa.binary()), *_ENTRIES])
+_ANSWER = pa.schema([("kind", pa.int32()), ("part", pa.int32()), *_ENTRIES])
 
 
 def _groups(main: np.ndarray, extra: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order in which equal keys stand together, and where each key starts in it."""
+    """An order in which equal keys stand together, otherwise as before, and where each key starts in it."""
     order = np.argsort(main, kind="stable")
-    starts = runs(main[order])
-    if len(order):
-        same = main[order][1:] == main[order][:-1]
-        if (same & (extra[order][1:] != extra[order][:-1])).any():
-            order = np.lexsort((extra, main))
-            m, x = main[order], extra[order]
-            starts = np.flatnonzero(np.concatenate(([True], (m[1:] != m[:-1]) | (x[1:] != x[:-1]))))
+    m, x = main[order], extra[order]
+    starts = runs(m)
+    if len(order) and ((m[1:] == m[:-1]) & (x[1:] != x[:-1])).any():
+        order = np.lexsort((extra, main))
+        m, x = main[order], extra[order]
+        starts = np.flatnonzero(np.concatenate(([True], (m[1:] != m[:-1]) | (x[1:] != x[:-1]))))
     return order, starts
 
 
-def _losers(main: np.ndarray, extra: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """Whether a smaller owner has the entry's key."""
-    lost = np.zeros(len(main), bool)
-    if len(main):
-        order, starts = _groups(main, extra)
-        held = owner[order]
-        least = np.minimum.reduceat(held, starts)
-        lost[order] = held > np.repeat(least, np.diff(np.append(starts, len(order))))
-    return lost
+def _marked(main: np.ndarray, extra: np.ndarray, holder: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray]:
+    """Which entries are marked by the rule, and one entry of each key."""
+    marked = np.zeros(len(main), bool)
+    if not len(main):
+        return marked, np.empty(0, np.int64)
+    order, starts = _groups(main, extra)
+    held = holder[order]
+    sizes = np.diff(np.append(starts, len(order)))
+    least = np.minimum.reduceat(held, starts)
+    if rule == "other":
+        marked[order] = np.repeat(np.maximum.reduceat(held, starts) != least, sizes)
+    else:
+        marked[order] = held > np.repeat(least, sizes)
+    return marked, order[starts]
 
 
 def _packed(doc: np.ndarray, place: np.ndarray, owners: np.ndarray, tags: np.ndarray) -> tuple[bytes, bytes, bytes, bytes]:
@@ -52,82 +62,98 @@ def _packed(doc: np.ndarray, place: np.ndarray, owners: np.ndarray, tags: np.nda
     step = np.diff(place, prepend=0)
     step[starts] = place[starts]
     present = doc[starts]
-    return id_planes(owners[present]), tags[present].astype(np.int32).tobytes(), planes(np.diff(np.append(starts, len(doc)))), planes(step)
+    return id_planes(owners[present]), tags[present].astype(np.int32).tobytes(), planes(np.diff(np.append(starts, len(doc)))), zlib.compress(planes(step), 1)
 
 
-def _places(counts: np.ndarray, steps: np.ndarray) -> np.ndarray:
+def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """owners, tags and counts of the documents, and the places of their entries."""
+    counts = unplanes(row["counts"]).astype(np.int64)
+    steps = unplanes(zlib.decompress(row["places"]))
     total = np.cumsum(steps, dtype=np.int64)
     first = np.cumsum(counts) - counts
-    before = total[first] - steps[first]
-    return total - np.repeat(before, counts)
+    return un_id_planes(row["owners"]), np.frombuffer(row["tags"], np.int32), counts, total - np.repeat(total[first] - steps[first], counts)
+
 
+def _batches(rows, schema: pa.Schema, size: int = 64):
+    for i in range(0, len(rows), size):
+        yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows[i : i + size], strict=True), schema, strict=True)], schema=schema)
 
-def requests(n_buckets: int, main: np.ndarray, extra: np.ndarray, doc: np.ndarray, place: np.ndarray, owners: np.ndarray, tags: np.ndarray):
+
+def requests(n_buckets: int, main: np.ndarray, extra: np.ndarray, doc: np.ndarray, place: np.ndarray, owners: np.ndarray, tags: np.ndarray, *, kind: int = 0, holder: np.ndarray | None = None, rule: str = "earlier", within: bool = False, settled: tuple[np.ndarray, np.ndarray] | None = None):
     """Arrow batches with the packed entries of one chunk; entries come in document and place order.
 
-    main, extra: 64 and 16 bits of the key.  doc: number of the document in the chunk; owners, tags: by that number."""
-    lost = _losers(main, extra, owners[doc])
-    rows: list[list] = [[] for _ in _REQUEST]
-
-    def add(*values):
-        for column, value in zip(rows, values, strict=True):
-            column.append(value)
-
-    if lost.any():
-        at = np.flatnonzero(lost)
-        add(int(main[at[0]] % np.uint64(n_buckets)), True, b"", b"", *_packed(doc[at], place[at], owners, tags))
-    at = np.flatnonzero(~lost)
-    bucket = ((main[at] >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.uint16 if n_buckets < 1 << 16 else np.uint32)
-    at = at[np.argsort(bucket, kind="stable")]
-    bucket = np.sort(bucket, kind="stable")
+    main, extra: 64 and 16 bits of the key.  doc: number of the document in the
+    chunk; owners, tags: by that number.  holder: what owns the entry, if it isn't
+    its document's owner.  within: a key's later places in one document are marked
+    too.  settled: documents and places marked beforehand."""
+    held = owners[doc] if holder is None else holder
+    marked, witness = _marked(main, extra, held, rule)
+    ask = ~marked
+    if rule == "other":
+        ask[witness] = True
+    elif within and len(main):
+        order, starts = _groups(main, extra)
+        again = np.zeros(len(order), bool)
+        again[1:] = doc[order][1:] == doc[order][:-1]
+        again[starts] = False
+        marked[order] |= again
+        ask = ~marked
+    rows: list[tuple] = []
+    own, at = (doc[marked], place[marked]) if settled is None else (np.concatenate((doc[marked], settled[0])), np.concatenate((place[marked], settled[1])))
+    if len(own):
+        order = np.lexsort((at, own)) if settled is not None else slice(None)
+        own, at = own[order], at[order]
+        rows.append((kind, int(own[0] + at[0]) % n_buckets, True, b"", b"", None, *_packed(own, at, owners, tags)))
+    asked = np.flatnonzero(ask)
+    bucket = ((main[asked] >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.uint16 if n_buckets < 1 << 16 else np.uint32)
+    order = np.argsort(bucket, kind="stable")
+    asked, bucket = asked[order], bucket[order]
     starts = runs(bucket)
-    for s, e in zip(starts, np.append(starts, len(at))[1:], strict=True):
-        own = at[s:e]
-        add(int(bucket[s]), False, main[own].tobytes(), extra[own].astype(np.uint16).tobytes(), *_packed(doc[own], place[own], owners, tags))
-        if len(rows[0]) >= 64:
-            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(rows, _REQUEST, strict=True)], schema=_REQUEST)
-            rows = [[] for _ in _REQUEST]
-    if rows[0]:
-        yield pa.record_batch([pa.array(c, f.type) for c, f in zip(rows, _REQUEST, strict=True)], schema=_REQUEST)
+    for s, e in zip(starts, np.append(starts, len(asked))[1:], strict=True):
+        x = asked[s:e]
+        rows.append((kind, int(bucket[s]), False, main[x].tobytes(), extra[x].astype(np.uint16).tobytes(), None if holder is None else holder[x].astype(np.int64).tobytes(), *_packed(doc[x], place[x], owners, tags)))
+    yield from _batches(rows, _REQUEST)
 
 
-def _answer(n_parts: int):
+def _answer(n_parts: int, rules: tuple[str, ...]):
     def answer(table: pa.Table) -> pa.Table:
-        owners, tags, counts, places, mains, extras, settled = [], [], [], [], [], [], []
+        owners, tags, counts, places, mains, extras, holders, settled = [], [], [], [], [], [], [], []
+        kind = table.column("kind")[0].as_py()
         for row in table.to_pylist():
-            counts.append(unplanes(row["counts"]).astype(np.int64))
-            places.append(_places(counts[-1], unplanes(row["places"])))
-            owners.append(un_id_planes(row["owners"]))
-            tags.append(np.frombuffer(row["tags"], np.int32))
-            settled.append(np.full(len(places[-1]), row["settled"]))
-            mains.append(np.frombuffer(row["main"], np.uint64))
-            extras.append(np.frombuffer(row["extra"], np.uint16))
-        counts, owners, tags, lost, place = (np.concatenate(x) for x in (counts, owners, tags, settled, places))
+            own, tag, count, place = _unpacked(row)
+            for column, value in ((owners, own), (tags, tag), (counts, count), (places, place)):
+                column.append(value)
+            settled.append(np.full(len(place), row["settled"]))
+            if not row["settled"]:
+                mains.append(np.frombuffer(row["main"], np.uint64))
+                extras.append(np.frombuffer(row["extra"], np.uint16))
+                holders.append(np.repeat(own, count) if row["holders"] is None else np.frombuffer(row["holders"], np.int64))
+        owners, tags, counts, place, marked = (np.concatenate(x) for x in (owners, tags, counts, places, settled))
         entry = np.repeat(np.arange(len(owners)), counts)
-        asked = np.flatnonzero(~lost)
-        lost[asked] = _losers(np.concatenate(mains), np.concatenate(extras), owners[entry[asked]])
-        entry, place = entry[lost], place[lost]
+        if mains:
+            marked[~marked] = _marked(np.concatenate(mains), np.concatenate(extras), np.concatenate(holders), rules[kind])[0]
+        entry, place = entry[marked], place[marked]
         part = tags[entry] % n_parts
         order = np.argsort(part, kind="stable")
         entry, place, part = entry[order], place[order], part[order]
         starts = runs(part)
-        rows = [(int(part[s]), *_packed(entry[s:e], place[s:e], owners, tags)) for s, e in zip(starts, np.append(starts, len(part))[1:], strict=True)]
-        return pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_ANSWER)], schema=_ANSWER)
+        rows = [(kind, int(part[s]), *_packed(entry[s:e], place[s:e], owners, tags)) for s, e in zip(starts, np.append(starts, len(part))[1:], strict=True)]
+        return pa.Table.from_batches(_batches(rows, _ANSWER, 4096), schema=_ANSWER)
 
     return answer
 
 
-def losing_places(asked: DataFrame, n_parts: int) -> DataFrame:
-    """The lost entries, packed by part (tag modulo n_parts) of their documents; read with places_by_row. Cut from its lineage."""
-    return cut(asked.groupBy("bucket").applyInArrow(_answer(n_parts), ANSWER))
+def marked_places(asked: DataFrame, n_parts: int, rules: tuple[str, ...] = ("earlier",)) -> DataFrame:
+    """The marked entries, packed by part (tag modulo n_parts) of their documents; read with places_by_row. rules: by kind of request. Cut from its lineage."""
+    return cut(asked.groupBy("kind", "bucket").applyInArrow(_answer(n_parts, rules), ANSWER))
 
 
-def places_by_row(answers: pa.Table) -> dict[tuple[int, int], list[np.ndarray]]:
-    """(owner, tag) to the places its documents lost, for the answers of one part; null ids are NO_ID."""
+def places_by_row(answers: pa.Table, kind: int = 0) -> dict[tuple[int, int], list[np.ndarray]]:
+    """(owner, tag) to the places that its documents have marked, for the answers of one part; null ids are NO_ID."""
     found: dict[tuple[int, int], list[np.ndarray]] = {}
     for row in answers.to_pylist():
-        counts = unplanes(row["counts"]).astype(np.int64)
-        places = np.split(_places(counts, unplanes(row["places"])), np.cumsum(counts)[:-1])
-        for owner, tag, own in zip(un_id_planes(row["owners"]).tolist(), np.frombuffer(row["tags"], np.int32).tolist(), places, strict=True):
-            found.setdefault((owner, tag), []).append(own)
+        if row["kind"] == kind:
+            owners, tags, counts, places = _unpacked(row)
+            for owner, tag, own in zip(owners.tolist(), tags.tolist(), np.split(places, np.cumsum(counts)[:-1]), strict=True):
+                found.setdefault((owner, tag), []).append(own)
     return found

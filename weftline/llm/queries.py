@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import cotraining, fingerprints, language_id, minhash_dedup, mixing, packing, quality_rules, substring_dedup, token_counts
+from weftline.llm import cotraining, fingerprints, language_id, minhash_dedup, mixing, packing, quality_rules, substring_dedup, suffix_dedup, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(_table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_report(_table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture_report(_table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality_classifier": op3_quality_classifier,
         "op8_language_id": op8_language_id,
         "op4_quality_rules": op4_quality_rules,
+        "op6_suffix_dedup": op6_suffix_dedup,
         "op7_mixing": op7_mixing,
         "op5_token_counts": op5_token_counts,
         "op10_packing": op10_packing,

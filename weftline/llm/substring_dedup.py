@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import NO_ID, bucket_count, chunks, keyed, text_bytes, window_hashes, word_hashes
-from weftline.llm.first_owner import REQUEST, losing_places, places_by_row, requests
+from weftline.llm.first_owner import REQUEST, marked_places, places_by_row, requests
 
 WINDOW_WORDS = 13
 _SECOND_BASE = 0xD6E8FEB86659FD93
@@ -40,7 +40,7 @@ def removal_spans(docs: DataFrame, width: int = WINDOW_WORDS, id_col: str = "doc
     """doc_id, tag, n_words, spans (array of struct start, stop: words start..stop-1 go), cleaned (kept words joined by one space), carried (struct of the columns in `carry`, as they are)."""
     rows = keyed(docs, id_col, text_col, carry)
     n_buckets = bucket_count(docs, text_bytes(docs, text_col))
-    lost = losing_places(rows.drop("carried").mapInArrow(_ask(width, n_buckets), REQUEST), n_buckets)
+    lost = marked_places(rows.drop("carried").mapInArrow(_ask(width, n_buckets), REQUEST), n_buckets)
     parts = rows.select("*", F.pmod("tag", F.lit(n_buckets)).alias("part"))
     schema = f"doc_id long, tag int, n_words long, spans array<struct<start:int,stop:int>>, cleaned string, carried {rows.schema['carried'].dataType.simpleString()}"
     return parts.groupBy("part").cogroup(lost.groupBy("part")).applyInArrow(_cleaner(width), schema)
