@@ -7,11 +7,12 @@ import sys
 from dataclasses import dataclass
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from weftline.operators.zones import generate
+from weftline.schemas import NetworkFrames
 from weftline.sinks import write_detectors, write_geojson
-from weftline.sources.network import read_network
+from weftline.sources.network import frames_of, scan_network
 
 NET_SUFFIX, OUT_SUFFIX = ".net.xml", ".waiting-zones.add.xml"
 
@@ -43,9 +44,18 @@ def parse_args(argv: list[str] | None = None) -> Config:
 
 def run(config: Config, spark: SparkSession) -> None:
     """GeoJSON comes first: if it fails, no detector file appears."""
-    net = read_network(spark, str(config.input))
+    scan = scan_network(spark, str(config.input)).persist()
+    net = frames_of(scan)
     zones, diagnostics = generate(net, config.max_zone_length)
     zones = zones.persist()
+    try:
+        _write(config, net, zones, diagnostics)
+    finally:
+        zones.unpersist()
+        scan.unpersist()
+
+
+def _write(config: Config, net: NetworkFrames, zones: DataFrame, diagnostics: DataFrame) -> None:
     for row in diagnostics.orderBy("junction_pos", "inc_pos").select("message").toLocalIterator():
         warn(row["message"])
     if config.geojson_output is not None:

@@ -29,10 +29,14 @@ def direction_ordinal(code: Column) -> Column:
     return F.when(known < 0, F.raise_error(F.concat(F.lit("unknown turn code: "), code)).cast("int")).otherwise(known.cast("int"))
 
 
+def scan_network(spark: SparkSession, path: str) -> DataFrame:
+    """One row per file, so that places in it are known; what is unnested is dealt out again by Spark's joins."""
+    return spark.read.format("xml").option("rowTag", "net").option("mode", "FAILFAST").schema(NET).load(path)
+
+
 def read_network(spark: SparkSession, path: str) -> NetworkFrames:
-    """Tables of one network file. A file is one row, so that places in it are known; what is unnested is dealt out again by Spark's joins."""
-    net = spark.read.format("xml").option("rowTag", "net").option("mode", "FAILFAST").schema(NET).load(path).persist()
-    return frames_of(net)
+    """Tables of one network file. Callers that use several of them may persist the scan (scan_network, frames_of)."""
+    return frames_of(scan_network(spark, path))
 
 
 def frames_of(net: DataFrame) -> NetworkFrames:
