@@ -6,8 +6,9 @@ two permutations make all coordinates.  Bands of ROWS coordinates put documents
 into buckets; BANDS of them find a pair of similarity 0.8 but for 2 in 100,000.
 
 Documents with one shingle set are one node.  Nodes of a bucket are not paired
-with each other.  In a few turns each node is compared, on whole shingle sets,
-with one leader of its buckets, and linked nodes merge.  What then is left in
+with each other.  First each node is compared, on whole shingle sets, with one
+leader: the node of its buckets that meets most others, such as the text that
+others are copies of.  Linked nodes merge.  What then is left in
 buckets of several components goes through an exact join: two sets of the wanted
 similarity share one of their first shingles, rare ones first, at places that
 leave room for enough others.  Only pairs across components that pass this are
@@ -36,8 +37,6 @@ from weftline.llm.components import connected
 SHINGLE_WORDS = 5
 THRESHOLD_PERCENT = 80
 BANDS, ROWS = 36, 6
-#: Turns in which each node is compared with one leader, before the exact join of the rest.
-STAR_TURNS = 2
 #: Nodes without a doc_id are numbered from here on.
 _NAMELESS = 1 << 62
 _SIGMA, _PI = np.uint64(0x2545F4914F6CDD1D), (np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35))
@@ -179,17 +178,23 @@ def _active(members: DataFrame) -> DataFrame:
     return members.join(buckets.select("bucket"), "bucket")
 
 
+def _after(tested: DataFrame, labels: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Labels, and members of the buckets that still have several components, once the found links have merged components."""
+    roots = connected(_links(tested, labels))
+    return cut(_joined(labels, roots), free=False), cut(_active(_joined(members, roots)), free=False)
+
+
 def _near_in_size(percent: int):
     return 100 * F.least("size", "leader_size") >= percent * F.greatest("size", "leader_size")
 
 
-def _star_pairs(members: DataFrame, tested: DataFrame | None, turn: int, percent: int) -> DataFrame:
-    """Each node with the one leader of another component that it shares most buckets with; a bucket has one leader, another one each turn."""
-    stars = members.groupBy("bucket").agg(F.min_by(F.struct("node", "size", "comp"), F.xxhash64("node", F.lit(turn))).alias("l"))
-    pairs = members.join(stars, "bucket").where("comp <> l.comp").select("node", "size", F.col("l.node").alias("leader"), F.col("l.size").alias("leader_size"))
+def _star_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """Each node with the one leader that it shares most buckets with; a bucket's leader is its node that meets most others over all buckets."""
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("others"))
+    meets = members.join(sizes, "bucket").groupBy("node").agg(F.sum("others").alias("meets"))
+    stars = members.join(meets, "node").groupBy("bucket").agg(F.max_by(F.struct("node", "size"), F.struct("meets", "node")).alias("l"))
+    pairs = members.join(stars, "bucket").where("node <> l.node").select("node", "size", F.col("l.node").alias("leader"), F.col("l.size").alias("leader_size"))
     pairs = pairs.where(_near_in_size(percent)).groupBy("node", "leader").count()
-    if tested is not None:
-        pairs = _untested(pairs, tested)
     return pairs.groupBy("node").agg(F.max_by("leader", F.struct("count", "leader")).alias("leader"))
 
 
@@ -243,19 +248,11 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int =
     held = wanted.join(whole, ["of", "of_tag"]).groupBy("of", "of_tag").agg(F.first("node").alias("node"), F.first("text").alias("text"))
     sets = cut(held.select("node", "text").mapInArrow(_sets(width), "node long, set binary"))
 
-    labels, tested = cut(members.select("node", "comp").distinct(), free=False), None
-    for turn in range(STAR_TURNS + 1):
-        if turn < STAR_TURNS:
-            pairs = _star_pairs(members, tested, turn, percent)
-        else:
-            pairs = _prefix_pairs(members, sets, tested, percent)
-        result = _tested(pairs, sets, percent)
-        roots = connected(_links(result, labels))
-        labels = cut(_joined(labels, roots), free=False)
-        members = cut(_active(_joined(members, roots)), free=False)
-        tested = result if tested is None else cut(tested.union(result), free=False)
-        if members.isEmpty():
-            break
+    labels = cut(members.select("node", "comp").distinct(), free=False)
+    tested = _tested(_star_pairs(members, percent), sets, percent)
+    labels, members = _after(tested, labels, members)
+    tested = _tested(_prefix_pairs(members, sets, tested, percent), sets, percent)
+    labels, _ = _after(tested, labels, members)
     firsts = classes.select("set_key", "node", F.col("tag").alias("first_tag"))
     out = signed.join(firsts, "set_key", "left").join(labels, "node", "left")
     component = F.coalesce("comp", "node", "doc_id")
