@@ -94,5 +94,73 @@ FROM words LEFT JOIN spans USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
 
+_SQL4 = r"""
+WITH words AS (
+  SELECT doc_id, coalesce(text, '') AS text, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents
+), windows AS (
+  SELECT doc_id, p, ws[p:p+2] AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS p FROM words)
+), repeated AS (
+  SELECT doc_id, count(DISTINCT i) AS n FROM (
+    SELECT doc_id, unnest(range(p, p + 3)) AS i FROM windows JOIN (SELECT doc_id, k FROM windows GROUP BY doc_id, k HAVING count(*) > 1) USING (doc_id, k)
+  ) GROUP BY doc_id
+), lines AS (
+  SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM words)
+  WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id
+), base AS (
+  SELECT doc_id, text, ws, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(coalesce(lines.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(repeated.n, 0) AS BIGINT) AS n_repeat_words
+  FROM words LEFT JOIN lines USING (doc_id) LEFT JOIN repeated USING (doc_id)
+), rests AS (
+  SELECT *, regexp_replace(text, '[\p{Ll}\p{Lt}\p{Lm}\p{Lo}]+', '', 'g') AS r1 FROM base
+), rests2 AS (
+  SELECT *, regexp_replace(r1, '[\x20\x09-\x0D]+', '', 'g') AS r2 FROM rests
+), rests3 AS (
+  SELECT *, regexp_replace(r2, '\p{Lu}+', '', 'g') AS r3 FROM rests2
+), rests4 AS (
+  SELECT *, regexp_replace(r3, '[.,;:!?''"()\-]+', '', 'g') AS r4 FROM rests3
+), shares AS (
+  SELECT *, greatest(length(text), 1) AS n, length(regexp_replace(r4, '\p{N}+', '', 'g')) AS r5 FROM rests4
+), classes AS (
+  SELECT doc_id, unnest([(length(text) - length(r1)) / n, (length(r2) - length(r3)) / n, (length(r4) - r5) / n, (length(r1) - length(r2)) / n, (length(r3) - length(r4)) / n, r5 / n]) AS p,
+    unnest(range(1, 7)) AS i FROM shares
+), class_refs AS (
+  SELECT lang, unnest(q) AS q, unnest(range(1, 7)) AS i FROM (VALUES %(classes)s) t(lang, q)
+), class_distance AS (
+  SELECT doc_id, min(d) AS d FROM (
+    SELECT doc_id, lang, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2, 0)) AS d
+    FROM classes JOIN class_refs USING (i) GROUP BY doc_id, lang) GROUP BY doc_id
+), word_refs AS (
+  SELECT * FROM (VALUES %(words)s) t(lang, word, q)
+), found AS (
+  SELECT doc_id, w AS word, count(*) AS c FROM (SELECT doc_id, unnest(list_transform(ws, lambda x: lower(x))) AS w FROM words) WHERE w IN (SELECT word FROM word_refs) GROUP BY ALL
+), word_shares AS (
+  SELECT b.doc_id, r.lang, coalesce(c, 0) / b.n_words AS p, r.q FROM base b CROSS JOIN word_refs r LEFT JOIN found USING (doc_id, word) WHERE b.n_words > 0
+), with_rest AS (
+  SELECT * FROM word_shares UNION ALL SELECT doc_id, lang, 1 - sum(p), 1 - sum(q) FROM word_shares GROUP BY doc_id, lang
+), word_distance AS (
+  SELECT doc_id, min(d) AS d FROM (
+    SELECT doc_id, lang, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2, 0)) AS d
+    FROM with_rest GROUP BY doc_id, lang) GROUP BY doc_id
+), judged AS (
+  SELECT base.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    (length(text) < %(guard_chars)s OR c.d <= %(class_max)s) AND (n_words < %(guard_words)s OR w.d <= %(word_max)s) AS near
+  FROM base LEFT JOIN class_distance c USING (doc_id) LEFT JOIN word_distance w USING (doc_id)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND near) AS kept FROM judged
+"""
+
+
+def _sql4() -> str:
+    q = quality_rules
+    classes = ", ".join(f"('{lang}', {shares})" for lang, shares in q.CLASS_SHARES.items())
+    words = ", ".join(f"('{lang}', '{w}', {p})" for lang, shares in q.WORD_SHARES.items() for w, p in shares.items())
+    values = {"classes": classes, "words": words, "guard_chars": q.CLASS_GUARD_CHARS, "guard_words": q.WORD_GUARD_WORDS, "class_max": q.MAX_CLASS_DISTANCE, "word_max": q.MAX_WORD_DISTANCE}
+    out = _SQL4
+    for name, value in values.items():
+        out = out.replace(f"%({name})s", str(value))
+    return out
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_substring_dedup": _SQL9}
+    return {"op4_quality_rules": _sql4(), "op9_substring_dedup": _SQL9}
