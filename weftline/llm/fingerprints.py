@@ -26,7 +26,7 @@ GRAM = 8
 STEPS = (4, 4, 3)
 WINDOW = 48
 
-_HIGH, _LOW = F.lit(-(1 << 32)), (1 << 31) - 1
+_HIGH, _LOW = -(1 << 32), (1 << 31) - 1
 
 
 def let(value: Column, body) -> Column:
@@ -38,7 +38,7 @@ def chosen(text: Column) -> Column:
     """The chosen grams of a non-null text, by position: 64-bit numbers of hash (high half) and position counted down (low half)."""
     grams = F.regexp_extract_all(text, F.lit("(?s)(?=(.{%d}))" % GRAM), F.lit(1))
     grams = F.when(F.length(text) < GRAM, F.array(text)).otherwise(grams)
-    packed = F.transform(grams, lambda x, i: F.xxhash64(x).bitwiseAND(_HIGH).bitwiseOR(F.lit(_LOW) - i.cast("long")))
+    packed = F.transform(grams, lambda x, i: F.xxhash64(x).bitwiseAND(F.lit(_HIGH)).bitwiseOR(F.lit(_LOW) - i.cast("long")))
 
     def least(hashes, span, steps):
         """The least of each WINDOW hashes: the least of spans, of spans of spans, and so on."""
