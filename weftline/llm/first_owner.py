@@ -6,8 +6,8 @@ A chunk settles what it can among its own entries first.  Under the rule
 `earlier` an entry is marked if an entry of a smaller owner has its key: of one
 key a chunk sends only the entries of its smallest owner, as the others are
 marked already.  Under the rule `other` it is marked if any other owner has the
-key: a chunk with two owners marks both and sends one entry as a witness.  So a
-key that a third of all documents hold reaches its bucket once per chunk and not
+key: a chunk with several owners marks them all, and sends an entry of the
+smallest and one of the largest as witnesses.  So a key that a third of all documents hold reaches its bucket once per chunk and not
 once per document.
 """
 
@@ -41,7 +41,7 @@ def _groups(main: np.ndarray, extra: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _marked(main: np.ndarray, extra: np.ndarray, holder: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray]:
-    """Which entries are marked by the rule, and one entry of each key."""
+    """Which entries are marked by the rule, and an entry of the least and of the greatest holder of each key."""
     marked = np.zeros(len(main), bool)
     if not len(main):
         return marked, np.empty(0, np.int64)
@@ -49,11 +49,16 @@ def _marked(main: np.ndarray, extra: np.ndarray, holder: np.ndarray, rule: str)
     held = holder[order]
     sizes = np.diff(np.append(starts, len(order)))
     least = np.minimum.reduceat(held, starts)
-    if rule == "other":
-        marked[order] = np.repeat(np.maximum.reduceat(held, starts) != least, sizes)
-    else:
+    if rule != "other":
         marked[order] = held > np.repeat(least, sizes)
-    return marked, order[starts]
+        return marked, order[starts]
+    most = np.maximum.reduceat(held, starts)
+    marked[order] = np.repeat(most != least, sizes)
+    key, witness = np.repeat(np.arange(len(starts)), sizes), []
+    for end in (least, most):
+        at = np.flatnonzero(held == end[key])
+        witness.append(order[at[runs(key[at])]])
+    return marked, np.concatenate(witness)
 
 
 def _packed(doc: np.ndarray, place: np.ndarray, owners: np.ndarray, tags: np.ndarray) -> tuple[bytes, bytes, bytes, bytes]:
