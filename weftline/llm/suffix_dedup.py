@@ -12,10 +12,12 @@ array, and sorting by name in parts of the name space takes the place of sorting
 all suffixes together.  Only buckets that more than one string is in are refined:
 
 1. Of each string of LENGTH bytes the least gram by hash stands for it.  Strings
-   with the same least gram in a row form a stretch, whose text has a name too.
-   Grams in stretches of one text only, and stretches whose text stands earlier,
-   are settled here; that is the bulk of the text.
-2. What is left are stretches of several texts around one gram.  Their strings
+   in a row with the same least gram, and on the same side of HALF bytes before it,
+   form a stretch.  All have a core of bytes in common, whose name is the stretch's
+   bucket; the stretch's whole text has a name too.  Cores in stretches of one text
+   only, and stretches whose text stands earlier, are settled here; that is the
+   bulk of the text.
+2. What is left are stretches of several texts around one core.  Their strings
    get their names of LENGTH bytes, and those that stand earlier are found.
 
 Equal strings have equal least grams at equal places, so none is missed.
@@ -33,10 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import CHUNK_BYTES, NO_ID, chunks, keyed, mix, runs, shuffle_partitions, text_bytes
+from weftline.llm.common import NO_ID, chunks, keyed, mix, runs, shuffle_partitions, text_bytes
 from weftline.llm.first_owner import REQUEST, marked_places, places_by_row, requests
 
 LENGTH, GRAM = 100, 16
+#: Strings that begin fewer bytes before their gram, and others, are told apart.
+HALF = 42
+#: Text whose strings one Python step holds at a time, unless one document is longer.
+CHUNK_BYTES = 2 << 20
 #: Text whose entries one bucket, and whose documents one part, are sized for.
 BUCKET_BYTES = 8 << 20
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -73,19 +79,18 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 class Stretches:
-    """Runs of strings with one least gram in some texts.
+    """Runs of strings with one least gram, and one side of it, in some texts.
 
-    doc, gram: each stretch's document and its gram's place there; first, last: places
-    of its first and last string; key, text: names of the gram and of the whole stretch.
-    All places count from the document's start."""
+    doc, first, last: each stretch's document, and places there of its first and last
+    string; key, text: names of the core and of the whole stretch."""
 
     def __init__(self, texts: list[bytes], named: bool = True):
         self.sizes = np.array([len(t) for t in texts], np.int64)
         self.begins = np.cumsum(self.sizes) - self.sizes
         self.data = np.frombuffer(b"".join(texts), np.uint8)
         parts = [self._block(at, to, named) for at, to in self._blocks()]
-        columns = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.empty(0, np.int64)] * 4 + [np.empty(0, np.uint64)] * 4
-        self.doc, self.gram, self.first, self.last, self.key, self.key_extra, self.text, self.text_extra = columns
+        columns = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.empty(0, np.int64)] * 3 + [np.empty(0, np.uint64)] * 4
+        self.doc, self.first, self.last, self.key, self.key_extra, self.text, self.text_extra = columns
 
     def _blocks(self) -> list[tuple[int, int]]:
         """Pieces of the data: some whole texts, or _BLOCK bytes of a longer one; so a text is cut alike whatever texts are beside it."""
@@ -111,21 +116,26 @@ class Stretches:
         doc = np.searchsorted(self.begins, at + start, "right") - 1
         valid = np.flatnonzero(at + start + LENGTH <= (self.begins + self.sizes)[doc])
         if not len(valid):
-            return tuple([np.empty(0, np.int64)] * 4 + [np.empty(0, np.uint64)] * 4)
-        heads = runs(gram[valid])
+            return tuple([np.empty(0, np.int64)] * 3 + [np.empty(0, np.uint64)] * 4)
+        far = gram - start >= HALF
+        heads = runs(2 * gram[valid] + far[valid])
         first = valid[heads]
         last = valid[np.append(heads, len(valid))[1:] - 1]
-        own, gram = doc[first], gram[first]
+        own, gram, far = doc[first], gram[first], far[first]
         found = []
         if named:
             size = last - first + LENGTH
+            # the core: HALF bytes and a gram before the gram's end, or LENGTH - HALF bytes from the gram on
+            one, two = np.where(far, gram - HALF, gram), np.where(far, gram + GRAM - 32, gram + LENGTH - HALF - 32)
+            side = far.astype(np.uint64)
             for base, name in ((_BASES[0], main), (_BASES[1], names(data, _BASES[1]))):
-                found += [_joined(name[GRAM][gram]), _joined(name[GRAM][gram], name[64][first], name[64][first + (size - 64) // 2], name[64][last + LENGTH - 64], size.astype(np.uint64), (gram - first).astype(np.uint64))]
+                key = _joined(name[32][one], name[32][two], side)
+                found += [key, _joined(key, name[64][first], name[64][first + (size - 64) // 2], name[64][last + LENGTH - 64], size.astype(np.uint64), (gram - first).astype(np.uint64))]
         else:
             found = [np.empty(0, np.uint64)] * 4
         key, text, key_extra, text_extra = found
         back = at - self.begins[own]
-        return own, gram + back, first + back, last + back, key, key_extra, text, text_extra
+        return own, first + back, last + back, key, key_extra, text, text_extra
 
     def strings(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Document and place of every string of these stretches."""
@@ -157,10 +167,10 @@ STANDS_EARLIER, SEVERAL_TEXTS = 0, 1
 
 def _ask_stretches(n_buckets: int):
     def ask(batches):
-        for texts, ids, tags in chunks(batches):
+        for texts, ids, tags in chunks(batches, limit=CHUNK_BYTES):
             s = Stretches(texts)
-            yield from requests(n_buckets, s.text, _high(s.text_extra), s.doc, s.gram, ids, tags, kind=STANDS_EARLIER, within=True)
-            yield from requests(n_buckets, s.key, _high(s.key_extra), s.doc, s.gram, ids, tags, kind=SEVERAL_TEXTS, rule="other", holder=s.text.view(np.int64))
+            yield from requests(n_buckets, s.text, _high(s.text_extra), s.doc, s.first, ids, tags, kind=STANDS_EARLIER, within=True)
+            yield from requests(n_buckets, s.key, _high(s.key_extra), s.doc, s.first, ids, tags, kind=SEVERAL_TEXTS, rule="other", holder=s.text.view(np.int64))
 
     return ask
 
@@ -170,7 +180,7 @@ def _slices(docs: pa.Table):
     docs = docs.combine_chunks()
     for batch in docs.to_batches():
         at = 0
-        for texts, ids, tags in chunks([batch]):
+        for texts, ids, tags in chunks([batch], limit=CHUNK_BYTES):
             yield texts, ids, tags, batch.slice(at, len(texts))
             at += len(texts)
 
@@ -190,14 +200,9 @@ def _ask_strings(n_buckets: int):
         out = []
         for texts, ids, tags, _ in _slices(docs):
             s = Stretches(texts, named=False)
-            at = s.begins[s.doc] + s.gram
+            at = s.begins[s.doc] + s.first
             lost = _flags(earlier, ids, tags, s)[at]
-            # a gram cut in two by a block's end is two stretches at one place: both are looked at string by string
-            twice = np.zeros(len(at), bool)
-            twice[1:] = at[1:] == at[:-1]
-            twice[:-1] |= twice[1:]
-            lost &= ~twice
-            refine = (_flags(several, ids, tags, s)[at] | twice) & ~lost
+            refine = _flags(several, ids, tags, s)[at] & ~lost
             doc, place = s.strings(refine)
             main, extra = s.string_names(doc, place)
             out += requests(n_buckets, main, _high(extra), doc, place, ids, tags, within=True, settled=s.strings(lost))
