@@ -163,6 +163,7 @@ def _high(x: np.ndarray) -> np.ndarray:
 
 
 STANDS_EARLIER, SEVERAL_TEXTS = 0, 1
+STRINGS, FIRSTS, LASTS = 0, 1, 2
 
 
 def _ask_stretches(n_buckets: int):
@@ -205,7 +206,9 @@ def _ask_strings(n_buckets: int):
             refine = _flags(several, ids, tags, s)[at] & ~lost
             doc, place = s.strings(refine)
             main, extra = s.string_names(doc, place)
-            out += requests(n_buckets, main, _high(extra), doc, place, ids, tags, within=True, settled=s.strings(lost))
+            out += requests(n_buckets, main, _high(extra), doc, place, ids, tags, within=True)
+            for kind, ends in ((FIRSTS, s.first), (LASTS, s.last)):  # lost stretches go as their two ends
+                out += requests(n_buckets, *(x[:0] for x in (main, extra, doc, place)), ids, tags, kind=kind, settled=(s.doc[lost], ends[lost]))
         schema = pa.schema([(f.name, f.type) for f in out[0].schema]) if out else None
         return pa.Table.from_batches(out, schema=schema) if out else pa.table({"kind": pa.array([], pa.int32()), "bucket": pa.array([], pa.int32()), "settled": pa.array([], pa.bool_()), **{c: pa.array([], pa.binary()) for c in ("main", "extra", "holders", "owners", "tags", "counts", "places")}})
 
@@ -215,22 +218,25 @@ def _ask_strings(n_buckets: int):
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
 
-def spans_of(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Maximal runs covered by strings at these places."""
-    starts = np.unique(starts)
+def spans_of(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal runs covered by these intervals; intervals that touch are one run."""
     if not len(starts):
-        return starts, starts
-    first = np.flatnonzero(np.concatenate(([True], np.diff(starts) > LENGTH)))
-    return starts[first], starts[np.append(first[1:] - 1, len(starts) - 1)] + LENGTH
+        return starts, stops
+    order = np.argsort(starts, kind="stable")
+    starts, reach = starts[order], np.maximum.accumulate(stops[order])
+    first = np.flatnonzero(np.concatenate(([True], starts[1:] > reach[:-1])))
+    return starts[first], reach[np.append(first[1:] - 1, len(starts) - 1)]
 
 
 def _clean(docs: pa.Table, answers: pa.Table) -> pa.Table:
-    found, columns = places_by_row(answers), {"n_bytes": [], "spans": [], "kept": []}
+    strings, firsts, lasts = (places_by_row(answers, kind) for kind in (STRINGS, FIRSTS, LASTS))
+    columns: dict[str, list] = {"n_bytes": [], "spans": [], "kept": []}
     texts = docs.column("text").cast(pa.binary())
     for i, (doc_id, tag) in enumerate(zip(docs.column("doc_id").to_pylist(), docs.column("tag").to_pylist(), strict=True)):
         raw = texts[i].as_py() or b""
-        places = found.get((NO_ID if doc_id is None else doc_id, tag))
-        starts, stops = spans_of(np.concatenate(places) if places else np.empty(0, np.int64))
+        of = lambda found, key=(NO_ID if doc_id is None else doc_id, tag): np.sort(np.concatenate([np.empty(0, np.int64), *found.get(key, ())]))
+        single, last = of(strings), of(lasts)
+        starts, stops = spans_of(np.concatenate((single, of(firsts))), np.concatenate((single, last)) + LENGTH)
         columns["n_bytes"].append(len(raw))
         columns["spans"].append([{"start": s, "stop": e} for s, e in zip(starts.tolist(), stops.tolist(), strict=True)])
         columns["kept"].append(b"".join(raw[s:e] for s, e in zip([0, *stops.tolist()], [*starts.tolist(), len(raw)], strict=True)))
@@ -244,7 +250,7 @@ def byte_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     n = max(shuffle_partitions(docs.sparkSession), -(-text_bytes(docs, text_col) // BUCKET_BYTES))
     first = marked_places(rows.mapInArrow(_ask_stretches(n), REQUEST), n, ("earlier", "other"))
     parts = rows.select("*", F.pmod("tag", F.lit(n)).alias("part")).groupBy("part")
-    lost = marked_places(parts.cogroup(first.groupBy("part")).applyInArrow(_ask_strings(n), REQUEST), n)
+    lost = marked_places(parts.cogroup(first.groupBy("part")).applyInArrow(_ask_strings(n), REQUEST), n, ("earlier",) * 3)
     return parts.cogroup(lost.groupBy("part")).applyInArrow(_clean, "doc_id long, tag int, n_bytes long, spans array<struct<start:bigint,stop:bigint>>, kept binary")
 
 
