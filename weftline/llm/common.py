@@ -7,13 +7,11 @@ every respect the operators look at; rows that repeat only ``doc_id`` stay apart
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a run of bytes other than 0x20 and 0x09-0x0D.
@@ -21,35 +19,45 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Text that one Python step holds at a time, unless one document is longer.
 CHUNK_BYTES = 4 << 20
 #: Text whose keys one bucket of a keyed exchange is sized for.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 32 << 20
 #: Where a missing doc_id stands in the order of documents: after all others.
 NO_ID = np.iinfo(np.int64).max
 
-_BLOCK = 4 << 20
+_BLOCK = 1 << 17
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15
+_SALTS = (0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared folder; a folder of our own only where none is set."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftline-checkpoints-"))
+    """Use the folder that the cluster shares; one of our own only where none is set and all of Spark runs in this process."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is not None:
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="weftline-checkpoints-")
+    context.setCheckpointDir(folder)
 
 
-def cut(df: DataFrame, free: bool = True) -> DataFrame:
-    """Materialise in the shared checkpoint folder and cut the lineage; free: remove the shuffles behind it now, not some time later."""
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise in the shared checkpoint folder and cut the lineage; Spark removes the shuffle files behind it as soon as it is written."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    kept = df.checkpoint(eager=True)
-    del df
-    for _ in range(3 if free else 0):  # Spark removes the files of a shuffle once the driver has collected the plan that made it
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
-    return kept
+    before = spark.conf.get(_CLEAN_UP)
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # a new plan, so that it takes the setting
+    finally:
+        spark.conf.set(_CLEAN_UP, before)
 
 
 def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
@@ -57,36 +65,40 @@ def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
 
 
-def bucket_count(docs: DataFrame, total: int) -> int:
+def bucket_count(docs: DataFrame, total: int, size: int = BUCKET_BYTES) -> int:
     """Buckets of a keyed exchange: they grow with the input, so that a bucket doesn't."""
-    return max(shuffle_partitions(docs.sparkSession), -(-total // BUCKET_BYTES))
+    return max(shuffle_partitions(docs.sparkSession), -(-total // size))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] | None = None) -> DataFrame:
-    """doc_id, tag, text and nothing else, whatever other columns there are; those of `carry` in a struct carried."""
-    key, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
-    more = [] if carry is None else [F.struct(*(F.col(c) for c in carry), F.lit(0).alias("_")).alias("carried")]
-    return docs.select(key.alias("doc_id"), F.hash(key, text).alias("tag"), text.alias("text"), *more)
+def tag_of(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """The tag of a row: a hash of its id as long and its text as string, whatever types they come in."""
+    return F.hash(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+
 
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, tag, text, the columns of `carry`, and nothing else, whatever other columns there are."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), tag_of(id_col, text_col).alias("tag"), F.col(text_col).cast("string").alias("text"), *(F.col(c) for c in carry))
 
-def chunks(batches, columns: tuple[str, ...] = ("doc_id", "tag"), limit: int = CHUNK_BYTES):
-    """(texts as list of bytes, then each column as array) for pieces of the batches of at most `limit` bytes of text, or one row.
+
+def chunks(batches, columns: tuple[str, ...] = ("doc_id", "tag"), limit: int = CHUNK_BYTES, rows: int = 1 << 20):
+    """(texts as list of bytes, then each column as array) for pieces of the batches of at most `rows` rows and `limit` bytes of text, or one row.
 
     Null texts come as b""; null ids as NO_ID."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        text = batch.column("text").cast(pa.large_binary()).fill_null(b"")
-        sizes = np.diff(np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1])
-        ends = np.cumsum(sizes)
+        text = batch.column("text").cast(pa.binary())
+        if text.null_count:
+            text = text.fill_null(b"")
+        ends = np.cumsum(np.diff(np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1].astype(np.int64)))
         at = 0
         while at < batch.num_rows:
             base = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, base + limit, "right")))
+            to = min(max(at + 1, int(np.searchsorted(ends, base + limit, "right"))), at + rows)
             part = batch.slice(at, to - at)
             yield [text.slice(at, to - at).to_pylist(), *(part.column(c).fill_null(NO_ID if c == "doc_id" else 0).to_numpy(zero_copy_only=False) for c in columns)]
             at = to
@@ -102,50 +114,51 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def powers(n: int, base: int = _BASE) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    out = np.ones(max(n, 1), np.uint64)
-    done = 1
-    while done < n:
-        step = min(done, n - done)
-        out[done : done + step] = out[:step] * np.uint64(pow(base, done, 1 << 64))
-        done += step
-    return out[:n]
-
-
-_POWERS = powers(4096)
-
-
-def word_hashes(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of every word of every text, and the number of words of each text.
+def word_hashes(texts: list[bytes], lower: bool = False, ways: int = 1) -> tuple[list[np.ndarray], np.ndarray]:
+    """64-bit hashes of every word of every text, in as many independent ways, and the number of words of each text.
 
+    A word is taken by blocks of eight bytes; each block is mixed with its number,
+    and what comes of the blocks is added up and mixed with the word's length.  So
+    words of up to eight bytes never share a hash, and longer ones by chance only.
     lower: A-Z count as a-z."""
-    flat = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    flat = np.frombuffer(b" ".join([*texts, b" " * 8]), np.uint8)
+    if lower:
+        flat = _LOWER[flat]
     space = _SPACE[flat]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     starts, ends = (edge[0::2], edge[1::2]) if space[0] else (np.concatenate(([0], edge[1::2])), edge[0::2])
-    starts = starts[: len(ends)]
     bounds = np.cumsum([len(t) + 1 for t in texts])
     counts = np.diff(np.searchsorted(starts, bounds), prepend=0)
-    out = np.empty(len(starts), np.uint64)
+    eight = np.ndarray((len(flat) - 7,), "<u8", buffer=flat, strides=(1,))
+    out = [np.empty(len(starts), np.uint64) for _ in range(ways)]
     at = 0
     while at < len(starts):
-        to = max(at + 1, int(np.searchsorted(ends, starts[at] + _BLOCK, "right")))
-        s, e = starts[at:to], ends[at:to]
-        size = e - s
-        part = flat[s[0] : e[-1]]
-        code = (_LOWER[part] if lower else part).astype(np.uint64) + np.uint64(1)
-        offset = np.arange(s[0], e[-1], dtype=np.int64)
-        offset -= np.repeat(s, np.diff(np.append(s, e[-1])))
-        longest = int(offset.max()) + 1
-        table = _POWERS if longest <= len(_POWERS) else powers(longest)
-        code *= table[offset]
-        code[space[s[0] : e[-1]]] = 0
-        out[at:to] = mix(np.add.reduceat(code, s - s[0]) + size.astype(np.uint64) * np.uint64(_BASE))
+        to = max(at + 1, min(at + _BLOCK, int(np.searchsorted(ends, starts[at] + 8 * _BLOCK, "right"))))
+        s, size = starts[at:to], ends[at:to] - starts[at:to]
+        n_blocks = (size + 7) >> 3
+        long = np.flatnonzero(n_blocks > 1)
+        more = n_blocks[long] - 1
+        word = np.repeat(long, more)
+        number = np.arange(1, len(word) + 1) - np.repeat(np.cumsum(more) - more, more)
+        first, rest = _block_values(eight, s, size), _block_values(eight, s[word] + 8 * number, size[word] - 8 * number)
+        for way, hashes in enumerate(out):
+            salt = np.uint64(_SALTS[way])
+            total = mix(first ^ salt)
+            if len(word):
+                total[long] += np.add.reduceat(mix(rest ^ mix(number.astype(np.uint64) * np.uint64(_BASE) + salt)), np.cumsum(more) - more)
+            hashes[at:to] = mix(total ^ size.astype(np.uint64) * np.uint64(_BASE))
         at = to
     return out, counts
 
 
+def _block_values(eight: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The blocks at these places as numbers, of which only the first `left` bytes count."""
+    value = eight[at]
+    short = left < 8
+    value[short] &= (np.uint64(1) << (left[short].astype(np.uint64) << np.uint64(3))) - np.uint64(1)
+    return value
+
+
 def window_hashes(words: np.ndarray, counts: np.ndarray, width: int, base: int = _BASE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rabin-Karp hash of each `width` consecutive words of one text, the text's number, and the window's first word within it."""
     n = len(words)

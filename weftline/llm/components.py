@@ -17,7 +17,7 @@ def connected(edges: DataFrame) -> DataFrame:
 
     edges: a, b (long).  Alternates hooking of larger and of smaller neighbours to
     the least one until nothing changes; a logarithmic number of turns."""
-    edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), free=False)
+    edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before, now = None, _print_of(edges)
     while now != before:
         both = edges.union(edges.select("b", "a")).toDF("u", "v")
@@ -25,6 +25,6 @@ def connected(edges: DataFrame) -> DataFrame:
         hooked = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         lowest = hooked.groupBy("a").agg(F.min("b").alias("m"))
         moved = hooked.join(lowest, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = cut(moved.union(lowest.toDF("a", "b")).distinct(), free=False)
+        edges = cut(moved.union(lowest.toDF("a", "b")).distinct())
         before, now = now, _print_of(edges)
     return edges.toDF("node", "root")

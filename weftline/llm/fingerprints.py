@@ -84,11 +84,11 @@ def successors(docs: DataFrame) -> tuple[DataFrame, bool]:
 
     docs: of, tag, n_chars.  Returns of, tag, n_chars, place, next_of, next_tag."""
     order = [F.when(F.col("of") == NO_ID, None).otherwise(F.col("of")).desc_nulls_last(), F.col("tag")]
-    rows = cut(ranked(docs, *order, name="place"), free=False)
+    rows = cut(ranked(docs, *order, name="place"))
     n = rows.count()
     repeated = rows.groupBy("of", "tag").count().where("count > 1").limit(1).count() > 0
     after = rows.select(F.col("of").alias("next_of"), F.col("tag").alias("next_tag"), F.pmod(F.col("place") - 1, F.lit(max(n, 1))).alias("place"))
-    return cut(rows.join(after, "place"), free=False), repeated
+    return cut(rows.join(after, "place")), repeated
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

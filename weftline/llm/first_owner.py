@@ -7,25 +7,41 @@ A chunk settles what it can among its own entries first.  Under the rule
 key a chunk sends only the entries of its smallest owner, as the others are
 marked already.  Under the rule `other` it is marked if any other owner has the
 key: a chunk with several owners marks them all, and sends an entry of the
-smallest and one of the largest as witnesses.  So a key that a third of all documents hold reaches its bucket once per chunk and not
-once per document.
+smallest and one of the largest as witnesses.  So a key that a third of all
+documents hold reaches its bucket once per chunk and not once per document.
+
+Buckets grow in number with the input, and chunks do too.  A chunk deals its
+entries to at most FAN_OUT coarse buckets, whatever their number; where there are
+more buckets than that, rows of one coarse bucket are gathered AGAIN_ENTRIES at a
+time, sorted, and dealt to the buckets within it.  So rows hold many entries at
+any size, and their number grows with the input and not with its square.  A
+bucket is sorted in slices of its keys, of which one is held at a time.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from weftline.llm.common import NO_ID, cut, id_planes, planes, runs, shuffle_partitions, un_id_planes, unplanes
 
-from weftline.llm.common import cut, id_planes, planes, runs, un_id_planes, unplanes
+#: Buckets that a chunk deals to.
+FAN_OUT = 1024
+#: Entries of a coarse bucket that are dealt again together.
+AGAIN_ENTRIES = 1 << 20
+#: Entries that a bucket sorts at a time, about.
+SLICE_ENTRIES = 1 << 19
 
 REQUEST = "kind int, bucket int, settled boolean, main binary, extra binary, holders binary, owners binary, tags binary, counts binary, places binary"
-ANSWER = "kind int, part int, owners binary, tags binary, counts binary, places binary"
+_ANSWER = "kind int, part int, owners binary, tags binary, counts binary, places binary"
 _ENTRIES = [(c, pa.binary()) for c in ("owners", "tags", "counts", "places")]
-_REQUEST = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("settled", pa.bool_()), ("main", pa.binary()), ("extra", pa.binary()), ("holders", pa.binary()), *_ENTRIES])
-_ANSWER = pa.schema([("kind", pa.int32()), ("part", pa.int32()), *_ENTRIES])
+_REQUEST_SCHEMA = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("settled", pa.bool_()), ("main", pa.binary()), ("extra", pa.binary()), ("holders", pa.binary()), *_ENTRIES])
+_ANSWER_SCHEMA = pa.schema([("kind", pa.int32()), ("part", pa.int32()), *_ENTRIES])
 
 
 def _groups(main: np.ndarray, extra: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -84,6 +100,32 @@ def _batches(rows, schema: pa.Schema, size: int = 64):
         yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows[i : i + size], strict=True), schema, strict=True)], schema=schema)
 
 
+def _rows(table: pa.Table | pa.RecordBatch) -> Iterator[dict]:
+    """The rows, binaries as views of the table's memory."""
+    for batch in table.to_batches() if isinstance(table, pa.Table) else [table]:
+        columns = [batch.column(i) for i in range(batch.num_columns)]
+        for i in range(batch.num_rows):
+            values = (c[i] for c in columns)
+            yield {f.name: v.as_buffer() if pa.types.is_binary(f.type) and v.is_valid else v.as_py() for f, v in zip(batch.schema, values, strict=True)}
+
+
+def bucket_of(main: np.ndarray, n_buckets: int) -> np.ndarray:
+    """A key's bucket: as many ranges of the upper half of the key."""
+    return ((main >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.uint16 if n_buckets < 1 << 16 else np.uint32)
+
+
+def _dealt(bucket: np.ndarray, kind: int, entries: np.ndarray | slice, main: np.ndarray, extra: np.ndarray, holder: np.ndarray | None, doc: np.ndarray, place: np.ndarray, owners: np.ndarray, tags: np.ndarray) -> list[tuple]:
+    """A row for each bucket of these entries."""
+    order = np.argsort(bucket, kind="stable")
+    bucket, entries = bucket[order], np.arange(len(main))[entries][order]
+    starts = runs(bucket)
+    rows = []
+    for s, e in zip(starts, np.append(starts, len(entries))[1:], strict=True):
+        x = entries[s:e]
+        rows.append((kind, int(bucket[s]), False, main[x].tobytes(), extra[x].astype(np.uint16).tobytes(), None if holder is None else holder[x].astype(np.int64).tobytes(), *_packed(doc[x], place[x], owners, tags)))
+    return rows
+
+
 def requests(n_buckets: int, main: np.ndarray, extra: np.ndarray, doc: np.ndarray, place: np.ndarray, owners: np.ndarray, tags: np.ndarray, *, kind: int = 0, holder: np.ndarray | None = None, rule: str = "earlier", within: bool = False, settled: tuple[np.ndarray, np.ndarray] | None = None):
     """Arrow batches with the packed entries of one chunk; entries come in document and place order.
 
@@ -91,6 +133,7 @@ def requests(n_buckets: int, main: np.ndarray, extra: np.ndarray, doc: np.ndarra
     chunk; owners, tags: by that number.  holder: what owns the entry, if it isn't
     its document's owner.  within: a key's later places in one document are marked
     too.  settled: documents and places marked beforehand."""
+    coarse = min(n_buckets, FAN_OUT)
     held = owners[doc] if holder is None else holder
     marked, witness = _marked(main, extra, held, rule)
     ask = ~marked
@@ -108,57 +151,117 @@ def requests(n_buckets: int, main: np.ndarray, extra: np.ndarray, doc: np.ndarra
     if len(own):
         order = np.lexsort((at, own)) if settled is not None else slice(None)
         own, at = own[order], at[order]
-        rows.append((kind, int(own[0] + at[0]) % n_buckets, True, b"", b"", None, *_packed(own, at, owners, tags)))
+        rows.append((kind, int(own[0] + at[0]) % coarse, True, b"", b"", None, *_packed(own, at, owners, tags)))
     asked = np.flatnonzero(ask)
-    bucket = ((main[asked] >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.uint16 if n_buckets < 1 << 16 else np.uint32)
-    order = np.argsort(bucket, kind="stable")
-    asked, bucket = asked[order], bucket[order]
-    starts = runs(bucket)
-    for s, e in zip(starts, np.append(starts, len(asked))[1:], strict=True):
-        x = asked[s:e]
-        rows.append((kind, int(bucket[s]), False, main[x].tobytes(), extra[x].astype(np.uint16).tobytes(), None if holder is None else holder[x].astype(np.int64).tobytes(), *_packed(doc[x], place[x], owners, tags)))
-    yield from _batches(rows, _REQUEST)
+    rows += _dealt(bucket_of(main[asked], coarse), kind, asked, main, extra, holder, doc, place, owners, tags)
+    yield from _batches(rows, _REQUEST_SCHEMA)
+
+
+def _entries(rows: list[dict]) -> tuple:
+    """Entries of several rows: main, extra, holder (or None), document number, place; owners and tags by that number."""
+    owners, tags, counts, places = (np.concatenate(c) for c in zip(*map(_unpacked, rows), strict=True))
+    main = np.concatenate([np.frombuffer(r["main"], np.uint64) for r in rows])
+    extra = np.concatenate([np.frombuffer(r["extra"], np.uint16) for r in rows])
+    holder = None if rows[0]["holders"] is None else np.concatenate([np.frombuffer(r["holders"], np.int64) for r in rows])
+    return main, extra, holder, np.repeat(np.arange(len(owners), dtype=np.int32), counts), places, owners, tags
+
+
+def _deal_again(n_buckets: int):
+    """Rows of coarse buckets, one bucket after another, to rows of the buckets within them."""
+
+    def flush(rows: list[dict], kind: int) -> list[tuple]:
+        main, extra, holder, doc, place, owners, tags = _entries(rows)
+        return _dealt(bucket_of(main, n_buckets), kind, slice(None), main, extra, holder, doc, place, owners, tags)
+
+    def deal(batches):
+        held, size, of = [], 0, None
+        for batch in batches:
+            for row in _rows(batch):
+                if row["settled"]:
+                    yield from _batches([(row["kind"], row["bucket"] * n_buckets // FAN_OUT, True, *(None if row[c] is None else bytes(row[c]) for c in _REQUEST_SCHEMA.names[3:]))], _REQUEST_SCHEMA)
+                    continue
+                if held and (size >= AGAIN_ENTRIES or of != (row["kind"], row["bucket"])):
+                    yield from _batches(flush(held, of[0]), _REQUEST_SCHEMA)
+                    held, size = [], 0
+                of = (row["kind"], row["bucket"])
+                held.append({k: bytes(v) if isinstance(v, pa.Buffer) else v for k, v in row.items()})
+                size += len(row["main"]) // 8
+        if held:
+            yield from _batches(flush(held, of[0]), _REQUEST_SCHEMA)
+
+    return deal
 
 
 def _answer(n_parts: int, rules: tuple[str, ...]):
     def answer(table: pa.Table) -> pa.Table:
-        owners, tags, counts, places, mains, extras, holders, settled = [], [], [], [], [], [], [], []
         kind = table.column("kind")[0].as_py()
-        for row in table.to_pylist():
-            own, tag, count, place = _unpacked(row)
-            for column, value in ((owners, own), (tags, tag), (counts, count), (places, place)):
-                column.append(value)
-            settled.append(np.full(len(place), row["settled"]))
-            if not row["settled"]:
-                mains.append(np.frombuffer(row["main"], np.uint64))
-                extras.append(np.frombuffer(row["extra"], np.uint16))
-                holders.append(np.repeat(own, count) if row["holders"] is None else np.frombuffer(row["holders"], np.int64))
-        owners, tags, counts, place, marked = (np.concatenate(x) for x in (owners, tags, counts, places, settled))
-        entry = np.repeat(np.arange(len(owners)), counts)
-        if mains:
-            marked[~marked] = _marked(np.concatenate(mains), np.concatenate(extras), np.concatenate(holders), rules[kind])[0]
-        entry, place = entry[marked], place[marked]
-        part = tags[entry] % n_parts
-        order = np.argsort(part, kind="stable")
-        entry, place, part = entry[order], place[order], part[order]
-        starts = runs(part)
-        rows = [(kind, int(part[s]), *_packed(entry[s:e], place[s:e], owners, tags)) for s, e in zip(starts, np.append(starts, len(part))[1:], strict=True)]
-        return pa.Table.from_batches(_batches(rows, _ANSWER, 4096), schema=_ANSWER)
+        settled, asked = [], []
+        for row in _rows(table):
+            (settled if row["settled"] else asked).append(row)
+        out = []
+        if settled:
+            owners, tags, counts, places = (np.concatenate(c) for c in zip(*map(_unpacked, settled), strict=True))
+            out.append((np.repeat(np.arange(len(owners)), counts), places, owners, tags))
+        if asked:
+            main, extra, holder, doc, place, owners, tags = _entries(asked)
+            marked = np.zeros(len(main), bool)
+            n_slices = -(-len(main) // SLICE_ENTRIES)
+            slice_of = mixed_slice(main, n_slices)
+            for i in range(n_slices):
+                x = np.flatnonzero(slice_of == i) if n_slices > 1 else slice(None)
+                marked[x] = _marked(main[x], extra[x], owners[doc[x]] if holder is None else holder[x], rules[kind])[0]
+            out.append((doc[marked], place[marked], owners, tags))
+        rows = []
+        for doc, place, owners, tags in out:
+            part = tags[doc] % n_parts
+            order = np.argsort(part, kind="stable")
+            doc, place, part = doc[order], place[order], part[order]
+            starts = runs(part)
+            rows += [(kind, int(part[s]), *_packed(doc[s:e], place[s:e], owners, tags)) for s, e in zip(starts, np.append(starts, len(part))[1:], strict=True)]
+        return pa.Table.from_batches(_batches(rows, _ANSWER_SCHEMA, 4096), schema=_ANSWER_SCHEMA)
 
     return answer
 
 
-def marked_places(asked: DataFrame, n_parts: int, rules: tuple[str, ...] = ("earlier",)) -> DataFrame:
-    """The marked entries, packed by part (tag modulo n_parts) of their documents; read with places_by_row. rules: by kind of request. Cut from its lineage."""
-    return cut(asked.groupBy("kind", "bucket").applyInArrow(_answer(n_parts, rules), ANSWER))
+def mixed_slice(main: np.ndarray, n: int) -> np.ndarray:
+    """A slice of the keys, by bits that don't name the bucket."""
+    return ((main & np.uint64(0xFFFFFFFF)) * np.uint64(n) >> np.uint64(32)).astype(np.uint16)
+
 
+def marked_places(asked: DataFrame, n_buckets: int, rules: tuple[str, ...] = ("earlier",)) -> DataFrame:
+    """owner, tag and, by kind of request, at0, at1, ... (binary, read with places_of): the marked places of each document that has any. Cut from its lineage.
 
-def places_by_row(answers: pa.Table, kind: int = 0) -> dict[tuple[int, int], list[np.ndarray]]:
-    """(owner, tag) to the places that its documents have marked, for the answers of one part; null ids are NO_ID."""
-    found: dict[tuple[int, int], list[np.ndarray]] = {}
-    for row in answers.to_pylist():
-        if row["kind"] == kind:
+    A missing doc_id is the owner NO_ID.  rules: by kind of request."""
+    n_tasks = max(shuffle_partitions(asked.sparkSession), min(n_buckets, 1 << 16))
+    if n_buckets > FAN_OUT:
+        # a coarse bucket is split over as many tasks as it has buckets, so that no task gathers one
+        spread = F.pmod(F.xxhash64("main"), F.lit(-(-n_buckets // FAN_OUT)))
+        asked = asked.repartition(n_tasks, "bucket", spread).sortWithinPartitions("kind", "bucket").mapInArrow(_deal_again(n_buckets), REQUEST)
+    answers = cut(asked.repartition(n_tasks, "bucket").groupBy("kind", "bucket").applyInArrow(_answer(n_buckets, rules), _ANSWER))
+    schema = ", ".join(["owner long", "tag int", *(f"at{k} binary" for k in range(len(rules)))])
+    return answers.groupBy("part").applyInArrow(_by_document(len(rules)), schema)
+
+
+def _by_document(n_kinds: int):
+    def collect(answers: pa.Table) -> pa.Table:
+        found: dict[tuple[int, int], list[list[np.ndarray]]] = {}
+        for row in _rows(answers):
             owners, tags, counts, places = _unpacked(row)
-            for owner, tag, own in zip(owners.tolist(), tags.tolist(), np.split(places, np.cumsum(counts)[:-1]), strict=True):
-                found.setdefault((owner, tag), []).append(own)
-    return found
+            for owner, tag, own in zip(owners.tolist(), tags.tolist(), np.split(places.astype(np.uint32), np.cumsum(counts)[:-1]), strict=True):
+                found.setdefault((owner, tag), [[] for _ in range(n_kinds)])[row["kind"]].append(own)
+        columns = [[None if not kinds[k] else zlib.compress(planes(np.diff(np.unique(np.concatenate(kinds[k])), prepend=0)), 1) for kinds in found.values()] for k in range(n_kinds)]
+        owner, tag = ([key[i] for key in found] for i in (0, 1))
+        return pa.table({"owner": pa.array(owner, pa.int64()), "tag": pa.array(tag, pa.int32()), **{f"at{k}": pa.array(c, pa.binary()) for k, c in enumerate(columns)}})
+
+    return collect
+
+
+def places_of(data: bytes | None) -> np.ndarray:
+    """The places of one document, ascending."""
+    return np.empty(0, np.int64) if data is None else np.cumsum(unplanes(zlib.decompress(data)), dtype=np.int64)
+
+
+def with_places(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """rows (doc_id, tag, text, more) with the marked places of each; both sides are sorted and met in the JVM, and a row is held, not its part."""
+    keys = rows.withColumn("owner", F.coalesce("doc_id", F.lit(int(NO_ID))))
+    return keys.join(found, ["owner", "tag"], "left").drop("owner")

@@ -44,7 +44,7 @@ _SIGMA, _PI = np.uint64(0x2545F4914F6CDD1D), (np.uint32(0x85EBCA6B), np.uint32(0
 
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
     """The distinct shingles of each text as sorted 64-bit hashes."""
-    words, counts = word_hashes(texts, lower=True)
+    (words,), counts = word_hashes(texts, lower=True)
     hashes, doc, _ = window_hashes(words, counts, width)
     ends = np.cumsum(np.bincount(doc, minlength=len(texts))) if len(doc) else np.zeros(len(texts), np.int64)
     firsts = np.cumsum(counts) - counts
@@ -112,27 +112,21 @@ def _sign(width: int, bands: int, rows: int):
     return sign
 
 
-_SET_BYTES = 6
-
-
 def _sets(width: int):
-    """node, set: the node's shingle set as sorted 48-bit numbers."""
+    """node, set: the node's shingle set as sorted 64-bit numbers."""
 
     def sets(batches):
         for batch in batches:
             at = 0
             for texts, _ in chunks([batch], ("node",)):
-                found = [np.unique(s >> np.uint64(64 - 8 * _SET_BYTES)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_SET_BYTES].tobytes() for s in shingle_sets(texts, width)]
-                yield pa.record_batch([batch.column("node").slice(at, len(texts)), pa.array(found, pa.binary())], names=["node", "set"])
+                yield pa.record_batch([batch.column("node").slice(at, len(texts)), pa.array([s.astype("<u8").tobytes() for s in shingle_sets(texts, width)], pa.binary())], names=["node", "set"])
                 at += len(texts)
 
     return sets
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    wide = np.zeros((len(data) // _SET_BYTES, 8), np.uint8)
-    wide[:, :_SET_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, _SET_BYTES)
-    return wide.view("<u8").ravel()
+    return np.frombuffer(data, "<u8")
 
 
 def _verify(percent: int):
@@ -181,7 +175,7 @@ def _active(members: DataFrame) -> DataFrame:
 def _after(tested: DataFrame, labels: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Labels, and members of the buckets that still have several components, once the found links have merged components."""
     roots = connected(_links(tested, labels))
-    return cut(_joined(labels, roots), free=False), cut(_active(_joined(members, roots)), free=False)
+    return cut(_joined(labels, roots)), cut(_active(_joined(members, roots)))
 
 
 def _near_in_size(percent: int):
@@ -248,7 +242,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int =
     held = wanted.join(whole, ["of", "of_tag"]).groupBy("of", "of_tag").agg(F.first("node").alias("node"), F.first("text").alias("text"))
     sets = cut(held.select("node", "text").mapInArrow(_sets(width), "node long, set binary"))
 
-    labels = cut(members.select("node", "comp").distinct(), free=False)
+    labels = cut(members.select("node", "comp").distinct())
     tested = _tested(_star_pairs(members, percent), sets, percent)
     labels, members = _after(tested, labels, members)
     tested = _tested(_prefix_pairs(members, sets, tested, percent), sets, percent)

@@ -35,16 +35,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import NO_ID, chunks, keyed, mix, runs, shuffle_partitions, text_bytes
-from weftline.llm.first_owner import REQUEST, marked_places, places_by_row, requests
+from weftline.llm.common import bucket_count, chunks, keyed, mix, runs, text_bytes
+from weftline.llm.first_owner import REQUEST, marked_places, places_of, requests, with_places
 
 LENGTH, GRAM = 100, 16
 #: Strings that begin fewer bytes before their gram, and others, are told apart.
 HALF = 42
 #: Text whose strings one Python step holds at a time, unless one document is longer.
 CHUNK_BYTES = 2 << 20
-#: Text whose entries one bucket, and whose documents one part, are sized for.
-BUCKET_BYTES = 8 << 20
+#: Text whose entries one bucket is sized for.
+BUCKET_BYTES = 16 << 20
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _BLOCK = 1 << 19
 _PLACE_BITS = 24
@@ -176,41 +176,36 @@ def _ask_stretches(n_buckets: int):
     return ask
 
 
-def _slices(docs: pa.Table):
-    """Rows of a part in pieces of at most CHUNK_BYTES of text, or one row: (texts, owners, tags, the piece)."""
-    docs = docs.combine_chunks()
-    for batch in docs.to_batches():
+def _pieces(batches, n: int):
+    """Rows in pieces of at most CHUNK_BYTES of text, or one row: (texts, owners, tags, marked places of each kind, a list of them for each text)."""
+    for batch in batches:
         at = 0
         for texts, ids, tags in chunks([batch], limit=CHUNK_BYTES):
-            yield texts, ids, tags, batch.slice(at, len(texts))
+            part = batch.slice(at, len(texts))
             at += len(texts)
+            yield texts, ids, tags, [[places_of(x.as_py()) for x in part.column(f"at{k}")] for k in range(n)]
 
 
-def _flags(found: dict, ids: np.ndarray, tags: np.ndarray, s: Stretches) -> np.ndarray:
+def _flags(found: list[np.ndarray], s: Stretches) -> np.ndarray:
     """Which bytes' places are marked, over the pieces' data."""
     flags = np.zeros(len(s.data) + 1, bool)
-    for begin, key in zip(s.begins.tolist(), zip(ids.tolist(), tags.tolist(), strict=True), strict=True):
-        for places in found.get(key, ()):
-            flags[begin + places] = True
+    for begin, places in zip(s.begins.tolist(), found, strict=True):
+        flags[begin + places] = True
     return flags
 
 
 def _ask_strings(n_buckets: int):
-    def ask(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        earlier, several = places_by_row(answers, STANDS_EARLIER), places_by_row(answers, SEVERAL_TEXTS)
-        out = []
-        for texts, ids, tags, _ in _slices(docs):
+    def ask(batches):
+        for texts, ids, tags, (earlier, several) in _pieces(batches, 2):
             s = Stretches(texts, named=False)
             at = s.begins[s.doc] + s.first
-            lost = _flags(earlier, ids, tags, s)[at]
-            refine = _flags(several, ids, tags, s)[at] & ~lost
+            lost = _flags(earlier, s)[at]
+            refine = _flags(several, s)[at] & ~lost
             doc, place = s.strings(refine)
             main, extra = s.string_names(doc, place)
-            out += requests(n_buckets, main, _high(extra), doc, place, ids, tags, within=True)
+            yield from requests(n_buckets, main, _high(extra), doc, place, ids, tags, within=True)
             for kind, ends in ((FIRSTS, s.first), (LASTS, s.last)):  # lost stretches go as their two ends
-                out += requests(n_buckets, *(x[:0] for x in (main, extra, doc, place)), ids, tags, kind=kind, settled=(s.doc[lost], ends[lost]))
-        schema = pa.schema([(f.name, f.type) for f in out[0].schema]) if out else None
-        return pa.Table.from_batches(out, schema=schema) if out else pa.table({"kind": pa.array([], pa.int32()), "bucket": pa.array([], pa.int32()), "settled": pa.array([], pa.bool_()), **{c: pa.array([], pa.binary()) for c in ("main", "extra", "holders", "owners", "tags", "counts", "places")}})
+                yield from requests(n_buckets, *(x[:0] for x in (main, extra, doc, place)), ids, tags, kind=kind, settled=(s.doc[lost], ends[lost]))
 
     return ask
 
@@ -228,30 +223,29 @@ def spans_of(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndar
     return starts[first], reach[np.append(first[1:] - 1, len(starts) - 1)]
 
 
-def _clean(docs: pa.Table, answers: pa.Table) -> pa.Table:
-    strings, firsts, lasts = (places_by_row(answers, kind) for kind in (STRINGS, FIRSTS, LASTS))
-    columns: dict[str, list] = {"n_bytes": [], "spans": [], "kept": []}
-    texts = docs.column("text").cast(pa.binary())
-    for i, (doc_id, tag) in enumerate(zip(docs.column("doc_id").to_pylist(), docs.column("tag").to_pylist(), strict=True)):
-        raw = texts[i].as_py() or b""
-        of = lambda found, key=(NO_ID if doc_id is None else doc_id, tag): np.sort(np.concatenate([np.empty(0, np.int64), *found.get(key, ())]))
-        single, last = of(strings), of(lasts)
-        starts, stops = spans_of(np.concatenate((single, of(firsts))), np.concatenate((single, last)) + LENGTH)
-        columns["n_bytes"].append(len(raw))
-        columns["spans"].append([{"start": s, "stop": e} for s, e in zip(starts.tolist(), stops.tolist(), strict=True)])
-        columns["kept"].append(b"".join(raw[s:e] for s, e in zip([0, *stops.tolist()], [*starts.tolist(), len(raw)], strict=True)))
-    types = (pa.int64(), _SPANS, pa.binary())
-    return pa.table({"doc_id": docs.column("doc_id"), "tag": docs.column("tag"), **{c: pa.array(v, t) for (c, v), t in zip(columns.items(), types, strict=True)}})
+def _clean(batches):
+    for batch in batches:
+        for low in range(0, batch.num_rows, 512):
+            part = batch.slice(low, 512)
+            columns: dict[str, list] = {"n_bytes": [], "spans": [], "kept": []}
+            for text, *found in zip(part.column("text").cast(pa.binary()), *(part.column(f"at{k}") for k in range(3)), strict=True):
+                raw = text.as_py() or b""
+                single, first, last = (places_of(x.as_py()) for x in found)
+                starts, stops = spans_of(np.concatenate((single, first)), np.concatenate((single, last)) + LENGTH)
+                columns["n_bytes"].append(len(raw))
+                columns["spans"].append([{"start": s, "stop": e} for s, e in zip(starts.tolist(), stops.tolist(), strict=True)])
+                columns["kept"].append(b"".join(raw[s:e] for s, e in zip([0, *stops.tolist()], [*starts.tolist(), len(raw)], strict=True)))
+            types = (pa.int64(), _SPANS, pa.binary())
+            yield pa.record_batch([part.column("doc_id"), part.column("tag"), *(pa.array(v, t) for v, t in zip(columns.values(), types, strict=True))], names=["doc_id", "tag", *columns])
 
 
 def byte_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, tag, n_bytes, spans (array of struct start, stop: bytes start..stop-1 go), kept (the remaining bytes)."""
     rows = keyed(docs, id_col, text_col)
-    n = max(shuffle_partitions(docs.sparkSession), -(-text_bytes(docs, text_col) // BUCKET_BYTES))
+    n = bucket_count(docs, text_bytes(docs, text_col), BUCKET_BYTES)
     first = marked_places(rows.mapInArrow(_ask_stretches(n), REQUEST), n, ("earlier", "other"))
-    parts = rows.select("*", F.pmod("tag", F.lit(n)).alias("part")).groupBy("part")
-    lost = marked_places(parts.cogroup(first.groupBy("part")).applyInArrow(_ask_strings(n), REQUEST), n, ("earlier",) * 3)
-    return parts.cogroup(lost.groupBy("part")).applyInArrow(_clean, "doc_id long, tag int, n_bytes long, spans array<struct<start:bigint,stop:bigint>>, kept binary")
+    lost = marked_places(with_places(rows, first).mapInArrow(_ask_strings(n), REQUEST), n, ("earlier",) * 3)
+    return with_places(rows, lost).mapInArrow(_clean, "doc_id long, tag int, n_bytes long, spans array<struct<start:bigint,stop:bigint>>, kept binary")
 
 
 def suffix_report(docs: DataFrame) -> DataFrame:
