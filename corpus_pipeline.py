@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import ensure_checkpoint_dir
+from weftline.llm.common import NO_ID, ensure_checkpoint_dir, tag_of
 from weftline.llm.minhash_dedup import near_duplicates
 from weftline.llm.mixing import mixture
 from weftline.llm.packing import packed
@@ -16,45 +16,68 @@ from weftline.llm.quality_rules import judgement
 from weftline.llm.substring_dedup import removal_spans
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+_KEY = ["owner", "tag"]
 
 
-def _with_tag(docs: DataFrame) -> DataFrame:
-    return docs.select(*COLUMNS, F.hash("doc_id", "text").alias("tag"))
+def _owned(frame: DataFrame) -> DataFrame:
+    """frame with its doc_id as a long that is never null."""
+    return frame.withColumn("owner", F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID))))
 
 
 def _matched(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
-    """Rows of docs, once each, with what was found for their doc_id and tag."""
-    rows = _with_tag(docs).dropDuplicates(["doc_id", "tag"])
-    found = found.withColumnRenamed("doc_id", "found_id").withColumnRenamed("tag", "found_tag")
-    return rows.join(found, (F.col("tag") == F.col("found_tag")) & F.col("doc_id").eqNullSafe(F.col("found_id")), how)
+    """Rows of docs, once each, with what was found for their doc_id and tag; one exchange of the texts serves both."""
+    rows = _owned(docs.select(*COLUMNS, tag_of().alias("tag"))).dropDuplicates(_KEY)
+    return rows.join(_owned(found).drop("doc_id"), _KEY, how)
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep, with all their rows as they are.
+
+    A null, empty or blank text has no words and goes; null ids and metadata stay
+    null; repeated rows are judged each; columns beyond those of documents are
+    left out; an empty table gives an empty one."""
     return docs.select(*COLUMNS).where(judgement(F.col("text")).kept)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity of 0.8 or more)."""
-    stay = near_duplicates(docs).where("stays").select("doc_id", "tag")
+    """One document of each group of near copies (five-word shingles, similarity of 0.8 or more): the one of the smallest doc_id.
+
+    Texts without words are no copies and stay; rows of one doc_id are one
+    document, so that rows that repeat in id and text leave one; of different
+    texts under one id or without an id each is compared by its text, ids come
+    before none; columns beyond those of documents are left out; an empty table
+    gives an empty one."""
+    stay = near_duplicates(docs).where("stays").select("doc_id", "tag").distinct()
     return _matched(docs, stay, "left_semi").select(*COLUMNS)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the passages that an earlier one has; a text that lost some has its words joined by one space."""
-    found = removal_spans(docs, carry=("text", "lang", "source"))
-    text = F.when(F.size("spans") > 0, F.col("cleaned")).otherwise(F.col("carried.text"))
-    return found.select("doc_id", text.alias("text"), "carried.lang", "carried.source").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    """All documents, without the passages that an earlier one has; a text that lost some has its words joined by one space.
+
+    A text that loses nothing stays as it is, null included, and n_chars is
+    measured again; a text may become empty; rows of one doc_id take nothing from
+    each other; rows without an id come last; repeated rows stay, each;
+    columns beyond those of documents are left out; an empty table gives an empty one."""
+    found = removal_spans(docs, carry=("lang", "source"), as_it_was=True)
+    return found.withColumnRenamed("cleaned", "text").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; one taken several times is as many rows."""
-    copies = mixture(docs).groupBy("doc_id", "tag").agg(F.sum("copies").cast("int").alias("copies")).where("copies > 0")
-    return _matched(docs, copies, "inner").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
+    """Documents as often as the mix takes them; one taken several times is as many rows.
+
+    Texts without words weigh nothing and are not taken more often than their
+    source's share in whole copies; a null source is a source of its own; repeated
+    rows are drawn each; ties go by a hash; columns beyond those of documents are
+    left out; an empty table gives an empty one."""
+    taken = _owned(mixture(docs)).groupBy(*_KEY).agg(F.sum("copies").cast("int").alias("copies"), F.first("doc_id").alias("doc_id")).where("copies > 0")
+    return _matched(docs, taken, "inner").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their places in sequences."""
+    """Pieces of documents with their places in sequences.
+
+    A null or empty text is the end id alone; null ids stay null; repeated rows are
+    packed each; other columns are left out; an empty table gives an empty one."""
     return packed(docs)
 
 
@@ -70,8 +93,16 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ORACLE_SQL = None
 
 
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents, each one's rows written as Parquet in the shared folder and read again."""
+    """The stages applied to documents, each one's rows written as Parquet in the shared folder and read again.
+
+    A stage's Parquet goes once the next one's is written; that before the last
+    stage stays, as the result may still read it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
@@ -80,6 +111,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k + 1 < len(STAGES):
             docs.write.parquet(f"{folder}/{k}")
             docs = spark.read.parquet(f"{folder}/{k}")
+            if k:
+                _remove(spark, f"{folder}/{k - 1}")
     return docs
 
 
