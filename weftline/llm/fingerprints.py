@@ -1,10 +1,12 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
-Every GRAM consecutive code points are hashed; of every WINDOW consecutive
-hashes the least is chosen, the rightmost one on ties, and its position kept.
+Every GRAM consecutive code points get a polynomial hash modulo PRIME, rolled up by
+doubling: from one code point's value to that of two in a row, four, and eight.
+Of every WINDOW consecutive hashes the least is chosen, the rightmost one on ties,
+and its position kept.
 Two texts that share GRAM + WINDOW - 1 code points in a row share a fingerprint.
 A text with fewer hashes than a window is one window; a text shorter than a gram
-is one gram.  Likeness of two fingerprints is the Jaccard similarity of their
+is one gram (missing code points count as 0).  Likeness of two fingerprints is the Jaccard similarity of their
 hashes, 1 for equal ones.
 
 Defined cases: a null text counts as empty and has the empty fingerprint; null
@@ -21,12 +23,15 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import NO_ID, cut, ranked
 
+#: A power of two.
 GRAM = 8
 #: The window is the product of these steps.
 STEPS = (4, 4, 3)
 WINDOW = 48
+PRIME = (1 << 31) - 1
+BASE = 1_000_003
 
-_HIGH, _LOW = -(1 << 32), (1 << 31) - 1
+_PLACES = 1 << 31
 
 
 def let(value: Column, body) -> Column:
@@ -34,11 +39,19 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def _rolled(values: Column, span: int = 1) -> Column:
+    """Hashes of GRAM code points from those of `span`, each with its position counted down in the low half."""
+    factor = F.lit(pow(BASE, span, PRIME))
+    wider = lambda x, i: (x * factor + F.coalesce(F.get(values, i + span), F.lit(0).cast("long"))) % F.lit(PRIME)
+    if 2 * span < GRAM:
+        return let(F.transform(values, wider), lambda v: _rolled(v, 2 * span))
+    return F.transform(values, lambda x, i: wider(x, i) * F.lit(_PLACES) + (F.lit(_PLACES - 1) - i))
+
+
 def chosen(text: Column) -> Column:
-    """The chosen grams of a non-null text, by position: 64-bit numbers of hash (high half) and position counted down (low half)."""
-    grams = F.regexp_extract_all(text, F.lit("(?s)(?=(.{%d}))" % GRAM), F.lit(1))
-    grams = F.when(F.length(text) < GRAM, F.array(text)).otherwise(grams)
-    packed = F.transform(grams, lambda x, i: F.xxhash64(x).bitwiseAND(F.lit(_HIGH)).bitwiseOR(F.lit(_LOW) - i.cast("long")))
+    """The chosen grams of a non-null text, by position: 62-bit numbers of hash (high half) and position counted down (low half)."""
+    points = F.transform(F.split(text, ""), lambda x: F.ascii(x).cast("long"))
+    packed = let(let(points, lambda p: _rolled(p)), lambda p: F.slice(p, 1, F.greatest(F.size(p) - (GRAM - 1), F.lit(1))))
 
     def least(hashes, span, steps):
         """The least of each WINDOW hashes: the least of spans, of spans of spans, and so on."""
@@ -57,11 +70,11 @@ def chosen(text: Column) -> Column:
 
 
 def hash_of(x: Column) -> Column:
-    return F.shiftright(x, 32).cast("int")
+    return F.shiftright(x, 31).cast("int")
 
 
 def position_of(x: Column) -> Column:
-    return F.lit(_LOW) - x.bitwiseAND(F.lit(_LOW))
+    return F.lit(_PLACES - 1) - x.bitwiseAND(F.lit(_PLACES - 1))
 
 
 def winnowed(text: Column) -> Column:
