@@ -1,20 +1,25 @@
 """Quality classifier by co-training of a text view and a metadata view.
 
 The text view is hashed byte n-grams of the whole text; the metadata view is
-source, language and length.  Both start from labelled rows.  In each round
-each view labels the texts of a pool that it is surest of, for the other view
-to learn from.  In the end each view's margin is calibrated on labelled rows
-that neither has learnt from, the calibrated views are combined, and all
+source, language and length.  Both start from labelled rows.  In each round every
+document outside the fit is seen by both views; those that one view is sure of
+teach the other.  What they teach travels as sums: number, feature sums and sums
+of squares of each class, added up in a tree of tasks.  From the sums comes each
+view's prior, the difference of the classes' means over their common variance
+(a diagonal discriminant), and around it the view is fitted to the labelled rows.
+Each view is calibrated on labelled rows that it has not learnt from; the
+calibrated views, taken as independent given the class, are combined, and all
 documents are scored.
 
-Training takes at most LABELLED_ROWS labelled documents and a pool of at most
-POOL_ROWS others, first by a hash of doc_id; scoring reads whole texts of all rows.
+Labelled rows for the fit are bounded, as they come to the driver: about
+`labelled_rows` of them, by a hash of doc_id.  Everything else covers all
+documents.
 
 Defined cases: a null text counts as empty, null metadata as a value of their
-own; labels that are null, or of ids that no document has, are ignored, and of
-repeated labels of an id the least counts; without labels of both kinds every
-score is 0.5; repeated rows are scored each; other columns are ignored; an empty
-table gives an empty result.
+own; labels that are null, or of ids that no document has, are ignored, of
+repeated labels of an id the least counts, and of rows with one labelled id one
+teaches; without labels of both kinds every score is 0.5; repeated rows are
+scored each; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,19 +28,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import chunks
-from weftline.llm.language_id import dense
-from weftline.llm.linear import DIMENSIONS, fit_logistic, margins, ngram_counts, scaled, sigmoid
+from weftline.llm.common import chunks, tag_of
+from weftline.llm.linear import DIMENSIONS, ROWS, dense, fit_logistic, margins, ngram_counts, scaled, sigmoid, sparse
 
-LABELLED_ROWS, POOL_ROWS = 4000, 2000
-ROUNDS, SHARE_PER_ROUND, SURE = 4, 0.1, 0.9
+LABELLED_ROWS = 4000
+ROUNDS, SURE = 2, 0.9
 #: Every so many labelled rows are kept back for the calibration.
 CALIBRATION = 4
 META = 512
 KEEP_FROM = 0.5
+#: Groups in which sums are added up, level by level.
+TREE = (8192, 128, 1)
+#: Weight of the prior from all documents: its margins' spread.
+PRIOR_SPREAD = 2.0
 
 
 def _hash(text: str, salt: int) -> int:
@@ -54,95 +63,154 @@ def meta_features(source: list, lang: list, n_chars: list) -> np.ndarray:
     return x
 
 
+def class_sums(x: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """For each class (0, 1): number of rows, sums and sums of squares of the features."""
+    return np.stack([np.concatenate(([own.sum()], own @ x, own @ (x * x))) for own in ((label == k).astype(np.float64) for k in (0, 1))])
+
+
+def prior_of(sums: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Weights (last: intercept) of the diagonal discriminant between the classes that were summed up, scaled by the margins of x."""
+    d = (sums.shape[1] - 1) // 2
+    n = np.maximum(sums[:, :1], 1)
+    mean, square = sums[:, 1 : 1 + d] / n, sums[:, 1 + d :] / n
+    spread = (np.maximum(square - mean * mean, 0) * sums[:, :1]).sum(0) / max(sums[:, 0].sum(), 1)
+    w = (mean[1] - mean[0]) / (spread + 1e-5)
+    m = x @ w
+    w *= PRIOR_SPREAD / max(m.std(), 1e-9)
+    return np.append(w, -w @ mean.mean(0))[:, None]
+
+
 @dataclass(frozen=True)
-class QualityModel:
-    text: np.ndarray
-    meta: np.ndarray
-    combine: np.ndarray
+class View:
+    """Weights of one view, and the line that turns its margin into a calibrated log-odds."""
 
-    def scores(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        a, b = margins(text, self.text)[:, 0], margins(meta, self.meta)[:, 0]
-        both = margins(np.stack([a, b], 1), self.combine)[:, 0]
-        return sigmoid(a), sigmoid(b), sigmoid(both)
+    weights: np.ndarray
+    line: np.ndarray
 
+    def log_odds(self, x: np.ndarray) -> np.ndarray:
+        return margins(margins(x, self.weights), self.line)[:, 0]
 
-def co_train(text: np.ndarray, meta: np.ndarray, label: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray) -> QualityModel | None:
-    """label: 0 or 1 of the first rows; the pool's rows have none. None without both labels to learn from and to calibrate on."""
-    back = np.arange(len(label)) % CALIBRATION == 0
-    if min((np.bincount(label[m].astype(int), minlength=2).min() for m in (back, ~back)), default=0) == 0:
-        return None
-    views = [(text, pool_text, {"rate": 8.0}), (meta, pool_meta, {"rate": 2.0, "decay": 1e-3})]
-    given: list[dict[int, int]] = [{}, {}]  # the pool rows that each view learns from, with the other's labels
-
-    def fitted(k: int) -> np.ndarray:
-        x, pool, how = views[k]
-        rows = np.array(list(given[k]), int)
-        y = np.concatenate([label[~back], np.array(list(given[k].values()), float)])
-        weight = 0.5 / np.bincount(y.astype(int), minlength=2)[y.astype(int)]
-        return fit_logistic(np.concatenate([x[~back], pool[rows]]), y, weight, **how)
-
-    models = [fitted(0), fitted(1)]
-    for _ in range(ROUNDS if len(pool_text) else 0):
-        for k in (0, 1):
-            p = sigmoid(margins(views[k][1], models[k])[:, 0])
-            sure = np.maximum(p, 1 - p)
-            sure[list(given[1 - k])] = 0
-            best = np.argsort(-sure, kind="stable")[: max(1, int(SHARE_PER_ROUND * len(p)))]
-            given[1 - k].update({int(i): int(p[i] > 0.5) for i in best if sure[i] >= SURE})
-        models = [fitted(0), fitted(1)]
-    held = np.stack([margins(text[back], models[0])[:, 0], margins(meta[back], models[1])[:, 0]], 1)
-    return QualityModel(models[0], models[1], fit_logistic(held, label[back], rate=1.0, turns=400))
 
+def fitted(x: np.ndarray, label: np.ndarray, back: np.ndarray, sums: np.ndarray, **how) -> View:
+    """A view fitted to labelled rows around the prior of the sums, calibrated on the rows kept back."""
+    y = label[~back]
+    weights = fit_logistic(x[~back], y, 0.5 / np.bincount(y.astype(int), minlength=2)[y.astype(int)], prior=prior_of(sums, x[~back]), **how)
+    held = margins(x[back], weights)
+    size = max(float(held.std()), 1e-9)
+    line = fit_logistic(held / size, label[back], rate=1.0, turns=400)
+    return View(weights, np.stack([line[0] / size, line[1]]))
 
-def _sparse(batches):
+
+@dataclass(frozen=True)
+class QualityModel:
+    text: View
+    meta: View
+    log_prior: float
+
+    def scores(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Calibrated probabilities of the text view, of the metadata view, and of both together."""
+        a, b = self.text.log_odds(text), self.meta.log_odds(meta)
+        return sigmoid(a), sigmoid(b), sigmoid(a + b - self.log_prior)
+
+
+def _views(batches, model_of):
+    """For pieces of the batches: the piece, and what model_of makes of its two views."""
     for batch in batches:
         at = 0
-        for (texts,) in chunks([batch], ()):
-            counts = ngram_counts(texts)
-            slots = [np.flatnonzero(c).astype("<u2") for c in counts]
+        for (texts,) in chunks([batch], (), rows=ROWS):
             part = batch.slice(at, len(texts))
             at += len(texts)
-            values = [c[s].astype("<f4").tobytes() for c, s in zip(counts, slots, strict=True)]
-            yield pa.record_batch([*(part.column(c) for c in ("doc_id", "source", "lang", "n_chars", "label")), pa.array([s.tobytes() for s in slots], pa.binary()), pa.array(values, pa.binary())], names=["doc_id", "source", "lang", "n_chars", "label", "slots", "counts"])
+            yield part, model_of(ngram_counts(texts), part)
+
+
+def _meta(part: pa.RecordBatch) -> np.ndarray:
+    return meta_features(*(part.column(c).to_pylist() for c in ("source", "lang", "n_chars")))
 
 
-def _first(ids: DataFrame, n: int) -> DataFrame:
-    return F.broadcast(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n))
+_SAMPLE = "doc_id long, tag int, source string, lang string, n_chars long, label int, slots binary, counts binary"
 
 
-def train(rows: DataFrame, labels: DataFrame) -> QualityModel | None:
-    """rows: doc_id, text, source, lang, n_chars; labels: doc_id, label. A bounded number of rows comes to the driver, as features."""
+def _sparse(batches):
+    names = [c.split()[0] for c in _SAMPLE.split(", ")]
+    for part, (slots, values) in _views(batches, lambda counts, part: sparse(counts)):
+        yield pa.record_batch([*(part.column(c) for c in names[:6]), pa.array(slots, pa.binary()), pa.array(values, pa.binary())], names=names)
+
+
+def _taught(model: QualityModel, sure: float):
+    """Sums of what the sure documents of each view teach the other: one row per task."""
+
+    def taught(batches):
+        sums = {"text": np.zeros((2, 1 + 2 * DIMENSIONS)), "meta": np.zeros((2, 1 + 2 * META))}
+
+        def add(counts, part):
+            views = {"text": scaled(counts), "meta": _meta(part)}
+            p = dict(zip(views, model.scores(*views.values()), strict=False))
+            for one, other in (("text", "meta"), ("meta", "text")):
+                sums[other] += class_sums(views[other], np.where(p[one] >= sure, 1, np.where(p[one] <= 1 - sure, 0, -1)))
+
+        for _ in _views(batches, add):
+            pass
+        yield pa.record_batch([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([sums["text"].tobytes()]), pa.array([sums["meta"].tobytes()])], names=["place", "text", "meta"])
+
+    return taught
+
+
+def _added(table: pa.Table) -> pa.Table:
+    total = [sum(np.frombuffer(x.as_buffer()) for x in table.column(c)) for c in ("text", "meta")]
+    return pa.table({"place": table.column("place").slice(0, 1), "text": pa.array([total[0].tobytes()]), "meta": pa.array([total[1].tobytes()])})
+
+
+def _lessons(rows: DataFrame, model: QualityModel, sure: float) -> tuple[np.ndarray, np.ndarray]:
+    """Sums for the text view and for the metadata view over all rows, added up in a tree."""
+    sums = rows.mapInArrow(_taught(model, sure), "place long, text binary, meta binary")
+    for groups in TREE:
+        sums = sums.withColumn("place", F.col("place") % groups).groupBy("place").applyInArrow(_added, sums.schema)
+    found = sums.collect()  # one row
+    return tuple(np.frombuffer(found[0][c]).reshape(2, -1) if found else 0.0 for c in ("text", "meta"))
+
+
+def train(rows: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS, rounds: int = ROUNDS, sure: float = SURE) -> QualityModel | None:
+    """rows: doc_id, tag, text, source, lang, n_chars; labels: doc_id, label. None without both labels to learn from and to calibrate on."""
     known = labels.where("doc_id IS NOT NULL AND label IN (0, 1)").groupBy("doc_id").agg(F.min("label").alias("label"))
-    there = rows.select("doc_id").where("doc_id IS NOT NULL").distinct()
-    labelled = _first(known.join(there, "doc_id"), LABELLED_ROWS)
-    pool = _first(there.join(known, "doc_id", "left_anti"), POOL_ROWS).withColumn("label", F.lit(None).cast("int"))
-    chosen = rows.join(F.broadcast(labelled.unionByName(pool)), "doc_id")
-    found = chosen.mapInArrow(_sparse, "doc_id long, source string, lang string, n_chars long, label int, slots binary, counts binary")
-    got = found.orderBy(F.xxhash64("doc_id"), "doc_id", "slots").limit(2 * (LABELLED_ROWS + POOL_ROWS)).collect()
-    sets = [[r for r in got if r["label"] is not None], [r for r in got if r["label"] is None]]
-    (text, meta), (pool_text, pool_meta) = ((scaled(dense(s, DIMENSIONS)), meta_features(*([r[c] for r in s] for c in ("source", "lang", "n_chars")))) for s in sets)
-    return co_train(text, meta, np.array([r["label"] for r in sets[0]], float), pool_text, pool_meta)
+    there = known.join(rows.select("doc_id"), "doc_id", "left_semi")
+    n = there.count()
+    if not n:
+        return None
+    share = min(1.0, labelled_rows / n)
+    drawn = F.broadcast(there.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))))  # about labelled_rows ids
+    found = rows.join(drawn, "doc_id").mapInArrow(_sparse, _SAMPLE)
+    each = found.groupBy("doc_id").agg(F.min_by(F.struct("source", "lang", "n_chars", "label", "slots", "counts"), "tag").alias("r"))
+    got = [r["r"] for r in sorted(each.collect(), key=lambda r: r["doc_id"])]
+    label = np.array([r["label"] for r in got], float)
+    back = np.arange(len(label)) % CALIBRATION == 0
+    if min((np.bincount(label[m].astype(int), minlength=2).min() for m in (back, ~back)), default=0) == 0:
+        return None
+    text, meta = scaled(dense(got)), meta_features(*([r[c] for r in got] for c in ("source", "lang", "n_chars")))
+    log_prior = float(np.log(label.mean() / (1 - label.mean())))
+    own = [class_sums(x[~back], label[~back]) for x in (text, meta)]
+    free = rows.join(drawn.select("doc_id"), "doc_id", "left_anti")
+    model, lessons = None, (0.0, 0.0)
+    for turn in range(rounds + 1):
+        if turn:
+            lessons = _lessons(free, model, sure)
+        model = QualityModel(fitted(text, label, back, own[0] + lessons[0]), fitted(meta, label, back, own[1] + lessons[1], rate=2.0, decay=1e-3), log_prior)
+    return model
 
 
 def _score(model: QualityModel | None):
+    def views_of(counts, part):
+        return [np.full(len(counts), 0.5)] * 3 if model is None else model.scores(scaled(counts), _meta(part))
+
     def score(batches):
-        for batch in batches:
-            at = 0
-            for (texts,) in chunks([batch], ()):
-                part = batch.slice(at, len(texts))
-                at += len(texts)
-                if model is None:
-                    views = [np.full(len(texts), 0.5)] * 3
-                else:
-                    views = model.scores(scaled(ngram_counts(texts)), meta_features(*(part.column(c).to_pylist() for c in ("source", "lang", "n_chars"))))
-                yield pa.record_batch([part.column("doc_id"), *(pa.array(v.astype(float)) for v in views), pa.array(views[2] >= KEEP_FROM)], names=["doc_id", "text_score", "meta_score", "quality_score", "kept"])
+        for part, views in _views(batches, views_of):
+            yield pa.record_batch([part.column("doc_id"), *(pa.array(v.astype(float)) for v in views), pa.array(views[2] >= KEEP_FROM)], names=["doc_id", "text_score", "meta_score", "quality_score", "kept"])
 
     return score
 
 
-def classify(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", labelled_rows: int = LABELLED_ROWS) -> DataFrame:
     """doc_id, text_score, meta_score, quality_score, kept of every row."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.col(source_col).cast("string").alias("source"), F.col(lang_col).cast("string").alias("lang"), F.length(text).cast("long").alias("n_chars"))
-    model = train(rows, labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), tag_of(id_col, text_col).alias("tag"), text.alias("text"), F.col(source_col).cast("string").alias("source"), F.col(lang_col).cast("string").alias("lang"), F.length(text).cast("long").alias("n_chars"))
+    model = train(rows, labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")), labelled_rows)
     return rows.mapInArrow(_score(model), "doc_id long, text_score double, meta_score double, quality_score double, kept boolean")

@@ -6,8 +6,10 @@ import numpy as np
 
 #: Number of hashed features.
 DIMENSIONS = 4096
+#: Rows whose features one Python step holds at a time.
+ROWS = 256
 #: Bytes whose n-grams are counted at once.
-_BLOCK = 1 << 20
+_BLOCK = 1 << 18
 _GAP = b"   "
 
 
@@ -53,15 +55,18 @@ def scaled(counts: np.ndarray) -> np.ndarray:
     return x / np.maximum(norm, 1e-9)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, turns: int = 200, rate: float = 8.0, decay: float = 1e-4) -> np.ndarray:
-    """Weights (last row: intercepts) of one logistic regression per column of y (0 or 1); full gradients with momentum, so that reruns agree."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, turns: int = 200, rate: float = 8.0, decay: float = 1e-4, prior: np.ndarray | None = None) -> np.ndarray:
+    """Weights (last row: intercepts) of one logistic regression per column of y (0 or 1); full gradients with momentum, so that reruns agree.
+
+    prior: weights to start from and to decay to; zero if not given."""
     x = np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float32)
     y = y.reshape(len(x), -1).astype(np.float32)
     weight = np.full(len(x), 1 / max(len(x), 1), np.float32) if weight is None else (weight / weight.sum()).astype(np.float32)
-    w, speed = np.zeros((x.shape[1], y.shape[1]), np.float32), 0.0
+    start = np.zeros((x.shape[1], y.shape[1]), np.float32) if prior is None else prior.astype(np.float32)
+    w, speed = start, 0.0
     for _ in range(turns):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        speed = 0.9 * speed - rate * 0.1 * (x.T @ ((p - y) * weight[:, None]) + decay * w)
+        speed = 0.9 * speed - rate * 0.1 * (x.T @ ((p - y) * weight[:, None]) + decay * (w - start))
         w = w + speed
     return w
 
@@ -70,5 +75,19 @@ def margins(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return x @ w[:-1] + w[-1]
 
 
+def sparse(counts: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """The places and values of each row that aren't 0."""
+    slots = [np.flatnonzero(c).astype("<u2") for c in counts]
+    return [s.tobytes() for s in slots], [c[s].astype("<f4").tobytes() for c, s in zip(counts, slots, strict=True)]
+
+
+def dense(rows: list, dimensions: int = DIMENSIONS) -> np.ndarray:
+    """Rows with slots and counts, as made by sparse, back as an array."""
+    x = np.zeros((len(rows), dimensions), np.float32)
+    for i, r in enumerate(rows):
+        x[i, np.frombuffer(r["slots"], "<u2")] = np.frombuffer(r["counts"], "<f4")
+    return x
+
+
 def sigmoid(m: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(m, -30, 30)))
