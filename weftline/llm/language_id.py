@@ -2,17 +2,19 @@
 
 Every language has a codeword; each bit is predicted by one binary classifier on
 hashed letter n-grams.  The language whose codeword costs least is chosen, a
-bit's loss weighing by how well its classifier does in training; a small lead
-over the next language flags the answer as ambiguous.
+bit's loss weighing by how well its classifier does on labelled texts kept back
+from its training; a small lead over the next language flags the answer as
+ambiguous.
 
-Training takes at most PER_LANGUAGE labelled texts of each language (and
-TRAINING_ROWS in all), first by a hash of doc_id; prediction reads whole texts
-of all rows.
+Training takes about `per_language` labelled texts of each language, drawn by a
+hash of the row, or its share of `training_rows` where there are many languages,
+and never less than LEAST: bounded by the number of languages, all of which are
+learnt.  Prediction reads whole texts of all rows.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0, as
 is every text if nothing is labelled; rows without doc_id or lang don't train;
 repeated rows are predicted each; other columns are ignored; an empty table
-gives an empty result.
+gives an empty result.  Rows that repeat in id, text and language teach once.
 """
 
 from __future__ import annotations
@@ -21,13 +23,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import chunks
-from weftline.llm.linear import fit_logistic, letters_only, margins, ngram_counts, scaled
+from weftline.llm.linear import ROWS, dense, fit_logistic, letters_only, margins, ngram_counts, scaled, sparse
 
-PER_LANGUAGE, TRAINING_ROWS = 400, 8000
+PER_LANGUAGE, TRAINING_ROWS, LEAST = 400, 8000, 20
+#: Every so many drawn texts are kept back to measure the bits' classifiers.
+KEPT_BACK = 5
 FOLDS = 5
 #: Languages up to which a codeword has a bit for every way to split them.
 EXHAUSTIVE = 6
@@ -75,39 +79,32 @@ def _features(batches):
     table = letters_only()
     for batch in batches:
         at = 0
-        for (texts,) in chunks([batch], ()):
-            counts = ngram_counts(texts, table)
-            slots = [np.flatnonzero(c).astype("<u2") for c in counts]
+        for (texts,) in chunks([batch], (), rows=ROWS):
+            slots, values = sparse(ngram_counts(texts, table))
             part = batch.slice(at, len(texts))
             at += len(texts)
-            values = [c[s].astype("<f4").tobytes() for c, s in zip(counts, slots, strict=True)]
-            yield pa.record_batch([part.column("lang"), pa.array([s.tobytes() for s in slots], pa.binary()), pa.array(values, pa.binary())], names=["lang", "slots", "counts"])
+            yield pa.record_batch([part.column("lang"), part.column("draw"), pa.array(slots, pa.binary()), pa.array(values, pa.binary())], names=["lang", "draw", "slots", "counts"])
 
 
-def dense(rows: list, dimensions: int) -> np.ndarray:
-    x = np.zeros((len(rows), dimensions), np.float32)
-    for i, r in enumerate(rows):
-        x[i, np.frombuffer(r["slots"], "<u2")] = np.frombuffer(r["counts"], "<f4")
-    return x
-
-
-def train(labelled: DataFrame) -> LanguageModel:
-    """labelled: doc_id, text, lang, without nulls. A bounded number of rows comes to the driver, as features."""
-    from weftline.llm.linear import DIMENSIONS
-
-    languages = [r["lang"] for r in labelled.select("lang").distinct().orderBy("lang").limit(TRAINING_ROWS // 10).collect()]
+def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, training_rows: int = TRAINING_ROWS) -> LanguageModel:
+    """labelled: doc_id, text, lang, without nulls. A bounded number of rows of each language comes to the driver, as features."""
+    sizes = labelled.groupBy("lang").count().collect()  # a row for each language
+    languages = sorted(r["lang"] for r in sizes)
     if not languages:
         return LanguageModel([], np.zeros((0, 1)), np.zeros((1, 1)), np.ones(1))
-    each = max(10, min(PER_LANGUAGE, TRAINING_ROWS // len(languages)))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = labelled.select("doc_id", "lang").where(F.col("lang").isin(languages)).withColumn("n", F.row_number().over(order)).where(F.col("n") <= each).select("doc_id")
-    sample = labelled.join(F.broadcast(chosen.distinct()), "doc_id", "left_semi").select("text", "lang")
-    rows = sample.mapInArrow(_features, "lang string, slots binary, counts binary").orderBy("lang", F.xxhash64("slots", "counts")).limit(2 * TRAINING_ROWS).collect()
+    each = max(LEAST, min(per_language, training_rows // len(languages)))
+    share = labelled.sparkSession.createDataFrame([(r["lang"], int(min(1.0, each / r["count"]) * (1 << 30))) for r in sizes], "lang string, share long")
+    drawn = labelled.withColumn("draw", F.xxhash64("doc_id", "text")).join(F.broadcast(share), "lang").where(F.pmod("draw", F.lit(1 << 30)) < F.col("share"))
+    found = drawn.groupBy("lang", "draw").agg(F.first("text").alias("text")).mapInArrow(_features, "lang string, draw long, slots binary, counts binary")
+    rows = sorted(found.collect(), key=lambda r: (r["lang"], r["draw"]))
     code, number = codewords(len(languages)), {v: i for i, v in enumerate(languages)}
-    x, y = scaled(dense(rows, DIMENSIONS)), np.array([number[r["lang"]] for r in rows])
+    x, y = scaled(dense(rows)), np.array([number[r["lang"]] for r in rows])
     weight = 1 / np.bincount(y, minlength=len(languages))[y]
-    weights = fit_logistic(x, code[y], weight)
-    right = (((margins(x, weights) > 0) == code[y]) * weight[:, None]).sum(0) / weight.sum()
+    back = np.arange(len(y)) % KEPT_BACK == KEPT_BACK - 1
+    weights = fit_logistic(x[~back], code[y[~back]], weight[~back])
+    if not back.any():
+        return LanguageModel(languages, code, weights, np.ones(code.shape[1]))
+    right = (((margins(x[back], weights) > 0) == code[y[back]]) * weight[back, None]).sum(0) / weight[back].sum()
     return LanguageModel(languages, code, weights, np.clip(2 * right - 1, 0.05, 1))
 
 
@@ -118,7 +115,7 @@ def _predict(model: LanguageModel):
     def predict(batches):
         for batch in batches:
             at = 0
-            for (texts,) in chunks([batch], ()):
+            for (texts,) in chunks([batch], (), rows=ROWS):
                 known = np.array([bool(model.languages) and any(map(str.isalpha, t.decode())) for t in texts])
                 best, score, lead = (np.zeros(len(texts), int), np.zeros(len(texts)), np.zeros(len(texts)))
                 if known.any():
@@ -133,11 +130,11 @@ def _predict(model: LanguageModel):
     return predict
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, training_rows: int = TRAINING_ROWS) -> DataFrame:
     """doc_id, held_out, lang_pred, score, ambiguous of every row; rows whose crc32(doc_id) is a multiple of FOLDS don't train."""
     key = F.col(id_col).cast("long")
     fold = F.crc32(key.cast("string").cast("binary")) % FOLDS
     rows = docs.select(key.alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.coalesce(fold == 0, F.lit(False)).alias("held_out"))
     labelled = rows.where("NOT held_out AND doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang")
-    model = train(labelled)
+    model = train(labelled, per_language, training_rows)
     return rows.select("doc_id", "text", "held_out").mapInArrow(_predict(model), "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean")
