@@ -15,18 +15,15 @@ an empty result.
 
 from __future__ import annotations
 
-import functools
 import zlib
 
 import numpy as np
-import public_tokenizers
 import pyarrow as pa
-import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import cut, keyed
-from weftline.llm.pieces import _LAST_BYTE, default_path, vocabulary
+from weftline.llm.pieces import default_path, vocabulary
 
 CAPACITY = 2048
 END_ID = 1
@@ -40,32 +37,9 @@ _PIECES_SCHEMA = pa.schema([("doc_id", pa.int64()), ("tag", pa.int32()), *((c, p
 _PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-@functools.lru_cache(2)
-def _fast(path: str, ranks: str) -> tiktoken.Encoding:
-    """The same vocabulary as ranks, in a quicker library."""
-    import base64
-
-    with open(ranks, "rb") as f:
-        merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    special = {t.content: i for i, t in vocabulary(path).tokenizer.get_added_tokens_decoder().items() if t.special}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens=special)
-
-
-#: Texts with a longer word or blank go to the library of the vocabulary file itself.
-_LONG_RUN = 4096
-
-
-def token_ids(raw: bytes, path: str, ranks: str | None) -> np.ndarray:
-    """The ids that the tokenizer file gives for a text; ranks: the same vocabulary for the quicker library, used where both are known to agree."""
-    if not raw:
-        return np.empty(0, np.uint32)
-    if ranks is not None:
-        flat = np.frombuffer(raw, np.uint8)
-        if flat.max() <= _LAST_BYTE:
-            edges = np.flatnonzero(np.diff((flat <= 32).view(np.int8)))
-            if np.diff(edges, prepend=-1, append=len(flat) - 1).max() <= _LONG_RUN:
-                return _fast(path, ranks).encode_to_numpy(raw.decode(), allowed_special="all", disallowed_special=())
-    return np.array(vocabulary(path).ids([raw.decode()])[0], np.uint32)
+def token_ids(raw: bytes, path: str) -> np.ndarray:
+    """The ids that the tokenizer file gives for a text."""
+    return vocabulary(path).text_ids(raw.decode(), raw) if raw else np.empty(0, "<u4")
 
 
 def piece_bounds(n: int, capacity: int = CAPACITY, step: int = CUT) -> list[int]:
@@ -75,12 +49,12 @@ def piece_bounds(n: int, capacity: int = CAPACITY, step: int = CUT) -> list[int]
     return sorted({*range(0, full, capacity), full, rest, n} - ({n} if n == 0 else set()) | {n})
 
 
-def _cut(path: str, ranks: str | None, capacity: int, step: int, end_id: int):
+def _cut(path: str, capacity: int, step: int, end_id: int):
     def pieces(batches):
         for batch in batches:
             rows = []
             for doc_id, tag, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).fill_null(b"").to_pylist(), strict=True):
-                ids = np.append(token_ids(raw, path, ranks), np.uint32(end_id)).astype("<u4")
+                ids = np.append(token_ids(raw, path), np.uint32(end_id)).astype("<u4")
                 bounds = piece_bounds(len(ids), capacity, step)
                 data = memoryview(ids).cast("B")
                 rows += [(doc_id, tag, s, e - s, zlib.crc32(data[4 * s : 4 * e]), len(ids)) for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
@@ -121,13 +95,12 @@ def _pack(capacity: int, n_shards: int):
     return pack
 
 
-def packed(docs: DataFrame, path: str | None = None, ranks: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def packed(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    path: a vocabulary file of the tokenizers library; ranks: the same vocabulary as ranks, if there is such a file."""
-    if path is None:
-        path, ranks = default_path(), public_tokenizers.path("byte_bpe_50k.tiktoken")
-    pieces = cut(keyed(docs, id_col, text_col).mapInArrow(_cut(path, ranks, capacity, CUT, end_id), _PIECES))
+    path: a vocabulary file of the tokenizers library, byte-level BPE."""
+    path = path or default_path()
+    pieces = cut(keyed(docs, id_col, text_col).mapInArrow(_cut(path, capacity, CUT, end_id), _PIECES))
     total = pieces.agg(F.sum("length")).first()[0] or 0
     n_shards = max(1, total // SHARD_TOKENS)
     shard = F.pmod(F.xxhash64("doc_id", "tag", "start"), F.lit(n_shards)).alias("shard")

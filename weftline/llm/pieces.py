@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import functools
+import os
 import re
+from array import array
 
 import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
+#: A task has a core; the library's own threads would only get in each other's way.
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
 VOCABULARY = "byte_bpe_50k.json"
 
 # The splitting pattern of byte-level BPE, with its character
@@ -18,6 +23,9 @@ _SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_
 #: The largest byte of a UTF-8 text whose code points are all below U+0240.
 _LAST_BYTE = 0xC8
 
+#: Pre-tokens whose ids a process keeps.
+KNOWN_PIECES = 400_000
+
 
 class Vocabulary:
     """A tokenizer file, read once per process."""
@@ -25,6 +33,7 @@ class Vocabulary:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.special]
+        self.known: dict[str, bytes] = {}
         self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
 
     def pre_tokens(self, text: str, raw: bytes) -> tuple[list[str], int]:
@@ -41,6 +50,28 @@ class Vocabulary:
             return _SPLIT.findall(text)
         return [text[s:e] for _, (s, e) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
 
+    def text_ids(self, text: str, raw: bytes) -> np.ndarray:
+        """The ids of a text, as the library gives them: pre-tokens are looked up, those not met before tokenised together."""
+        parts = [("", text)] if self.special is None or not self.special.search(text) else self._around_special(text)
+        out = []
+        for special, part in parts:
+            pieces = self._split(part, raw if part is text else part.encode())
+            new = [p for p in dict.fromkeys(pieces) if p not in self.known]
+            if new:
+                if len(self.known) > KNOWN_PIECES:
+                    self.known.clear()
+                    new = list(dict.fromkeys(pieces))
+                self.known.update((p, array("I", ids).tobytes()) for p, ids in zip(new, self.ids(new), strict=True))
+            if special:
+                out.append(np.array([self.tokenizer.token_to_id(special)], "<u4").tobytes())
+            out += map(self.known.__getitem__, pieces)
+        return np.frombuffer(b"".join(out), "<u4")
+
+    def _around_special(self, text: str) -> list[tuple[str, str]]:
+        """The special strings of a text, each with what follows it."""
+        found = [m.group() for m in self.special.finditer(text)]
+        return list(zip(["", *found], self.special.split(text), strict=True))
+
     def ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
