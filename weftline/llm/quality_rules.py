@@ -1,47 +1,46 @@
 """Quality rules: histograms of a document against language references by Jensen-Shannon distance.
 
-Two histograms are compared with the references of each language, and the
-nearest language counts: shares of character classes, and shares of the words
-that the language uses most (everything else is one bin).  A distance decides
+A reference of each language is built from all labelled documents: the shares of
+character classes, and the shares of the TOP_WORDS words that the language uses
+most (everything else is one bin).  A document's two histograms are compared with
+the references of every language, and the nearest counts.  A distance decides
 only from a least length on, as short texts scatter.  Before that, base rules
 refuse texts of too few words or of mostly repeated word triples.
 
-All of it is row-local: no shuffle, no Python.
+The verdict is row-local: no shuffle, no Python.  The references are two
+aggregates over the corpus; what comes to the driver is a row for each language
+and its TOP_WORDS words.
 
 Defined cases: a null text counts as empty, and an empty or blank text fails the
-base rules (no words); a null doc_id stays null; repeated rows are judged each;
-other columns are ignored; an empty table gives an empty result.
+base rules (no words); rows without language or text are in no reference; without
+any reference the base rules decide alone; of words that are as frequent the
+first in byte order is taken; a null doc_id stays null; repeated rows are judged
+each; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import itertools
+from dataclasses import dataclass
+
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.common import WORD
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
+#: Words of a language's reference.
+TOP_WORDS = 200
 #: Largest distances (0 to 1) that are accepted, and lengths from which they count.
 MAX_CLASS_DISTANCE, CLASS_GUARD_CHARS = 0.20, 200
-MAX_WORD_DISTANCE, WORD_GUARD_WORDS = 0.25, 100
-
-# Usual shares of lower-case letters, capitals, digits, white
-# space, punctuation and anything else in running text.
-CLASS_SHARES = {
-    "de": [0.785, 0.035, 0.003, 0.148, 0.028, 0.001],
-    "en": [0.780, 0.025, 0.003, 0.165, 0.026, 0.001],
-    "es": [0.785, 0.022, 0.003, 0.163, 0.026, 0.001],
-    "fr": [0.780, 0.024, 0.003, 0.162, 0.030, 0.001],
-}
-# Usual shares of a language's most frequent words among all words.
-WORD_SHARES = {
-    "de": {"der": 0.055, "die": 0.033, "und": 0.024, "in": 0.018, "den": 0.015, "von": 0.013, "zu": 0.010, "das": 0.010, "mit": 0.008, "sich": 0.008},
-    "en": {"the": 0.058, "of": 0.034, "and": 0.024, "to": 0.019, "a": 0.015, "in": 0.013, "is": 0.011, "that": 0.010, "it": 0.009, "for": 0.008},
-    "es": {"de": 0.057, "la": 0.034, "que": 0.024, "el": 0.018, "en": 0.015, "y": 0.012, "los": 0.010, "se": 0.009, "las": 0.009, "del": 0.009},
-    "fr": {"de": 0.058, "la": 0.034, "le": 0.024, "et": 0.019, "les": 0.015, "des": 0.012, "en": 0.012, "un": 0.010, "du": 0.009, "une": 0.007},
-}
+MAX_WORD_DISTANCE, WORD_GUARD_WORDS = 0.55, 100
+#: Slots of the table that finds a reference word by its hash.
+_SLOTS = 1 << 13
+
 _LOWER, _UPPER, _DIGIT, _BLANK, _POINT = r"[\p{L}&&[^\p{Lu}]]+", r"\p{Lu}+", r"\p{N}+", r"[\x20\x09-\x0D]+", r"[.,;:!?'\"()\-]+"
+CLASSES = 6
 
 
 def let(value: Column, body) -> Column:
@@ -49,27 +48,26 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def _js(p: Column, reference: list[float]) -> Column:
-    """Jensen-Shannon distance, to base 2, of an array of shares from constant ones."""
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, b: a + b)
+
 
-    def term(x, y):
-        m = (x + y) / 2
-        return F.when(x > 0, x * F.log2(x / m)).otherwise(0.0) + F.when(y > 0, y * F.log2(y / m)).otherwise(0.0)
+def _diverged(x: Column, y: Column) -> Column:
+    """What two shares add to twice the Jensen-Shannon divergence, to base 2."""
+    m = (x + y) / 2
+    return F.when(x > 0, x * F.log2(x / m)).otherwise(0.0) + F.when(y > 0, y * F.log2(y / m)).otherwise(0.0)
 
-    terms = F.zip_with(p, F.array(*map(F.lit, reference)), term)
-    return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda a, b: a + b) / 2, F.lit(0.0)))
+
+def _distance(twice: Column) -> Column:
+    return F.sqrt(F.greatest(twice / 2, F.lit(0.0)))
 
 
 def _removed(text: Column, pattern: str) -> Column:
     return F.regexp_replace(text, pattern, "")
 
 
-def class_distance(text: Column) -> Column:
-    """Distance of a text's character classes from the nearest language; 0 for an empty text."""
-
-    def shares(rests):
-        n = F.greatest(F.get(rests, 0), F.lit(1))
-        return F.concat(*(F.array((F.get(rests, i) - F.get(rests, i + 1)) / n) for i in range(5)), F.array(F.get(rests, 5) / n))
+def class_counts(text: Column) -> Column:
+    """Characters of a text by class: lower-case letters, blanks, capitals, points, digits, anything else."""
 
     def strip(rest, patterns, lengths):
         lengths = [*lengths, F.length(rest)]
@@ -77,29 +75,88 @@ def class_distance(text: Column) -> Column:
             return F.array(*lengths)
         return let(_removed(rest, patterns[0]), lambda left: strip(left, patterns[1:], lengths))
 
-    counts = strip(text, [_LOWER, _BLANK, _UPPER, _POINT, _DIGIT], [])
-    order = lambda q: [q[0], q[3], q[1], q[4], q[2], q[5]]
-    nearest = let(let(counts, shares), lambda p: F.array_min(F.array(*(_js(p, order(q)) for q in CLASS_SHARES.values()))))
+    rests = strip(text, [_LOWER, _BLANK, _UPPER, _POINT, _DIGIT], [])
+    return let(rests, lambda r: F.transform(r, lambda x, i: x - F.coalesce(F.get(r, i + 1), F.lit(0))))
+
+
+@dataclass(frozen=True)
+class References:
+    """By language: shares of the character classes, and shares of its most frequent words."""
+
+    classes: dict[str, list[float]]
+    words: dict[str, dict[str, float]]
+
+
+def references(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", top: int = TOP_WORDS) -> References:
+    """The references of all languages that documents are labelled with."""
+    rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
+    counted = rows.select("lang", class_counts(F.col("text")).alias("c"), F.regexp_count("text", F.lit(WORD)).alias("n"))
+    sums = counted.groupBy("lang").agg(F.sum("n").alias("n_words"), *(F.sum(F.get("c", i)).alias(f"c{i}") for i in range(CLASSES))).collect()
+    words = rows.select("lang", F.explode(F.split(F.lower("text"), _BLANK)).alias("word")).where("word <> ''").groupBy("lang", "word").count()
+    order = Window.partitionBy("lang").orderBy(F.desc("count"), "word")
+    frequent = words.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).collect()
+    n_words = {r["lang"]: r["n_words"] for r in sums}
+    chars = {r["lang"]: [r[f"c{i}"] for i in range(CLASSES)] for r in sums}
+    found: dict[str, dict[str, float]] = {lang: {} for lang in sorted(n_words) if n_words[lang]}
+    for r in sorted(frequent, key=lambda r: (r["lang"], r["rank"])):
+        found[r["lang"]][r["word"]] = r["count"] / n_words[r["lang"]]
+    return References({lang: [c / sum(chars[lang]) for c in chars[lang]] for lang in found}, found)
+
+
+def class_distance(text: Column, refs: References) -> Column:
+    """Distance of a text's character classes from the nearest language; 0 for an empty text, or without references."""
+    if not refs.classes:
+        return F.lit(0.0)
+    shares = let(class_counts(text), lambda c: F.transform(c, lambda x: x / F.greatest(F.length(text), F.lit(1))))
+    one = lambda p, q: _total(F.zip_with(p, F.array(*map(F.lit, q)), _diverged))
+    nearest = let(shares, lambda p: F.array_min(F.array(*(_distance(one(p, q)) for q in refs.classes.values()))))
     return F.when(F.length(text) > 0, nearest).otherwise(0.0)
 
 
-def word_distance(words: Column) -> Column:
-    """Distance of a text's frequent words from the nearest language; words: array of lower-case words; 1 without words."""
-    known = sorted({w for q in WORD_SHARES.values() for w in q})
+def _constant(values, kind: str) -> Column:
+    """A list of numbers or words as a literal array, folded once."""
+    return F.split(F.lit(" ".join(map(str, values))), " ").cast(f"array<{kind}>")
+
+
+def word_distance(words: Column, refs: References) -> Column:
+    """Distance of a text's words from the frequent ones of the nearest language; words: array of lower-case words; 1 without words.
+
+    Reference words are numbered; a word's number is found by its hash, and words
+    that share a slot stand next to each other.  Only words that the text has are
+    gone through: one that it lacks adds its share."""
+    if not refs.words:
+        return F.lit(0.0)
+    known = sorted({w for q in refs.words.values() for w in q})
+    slots: dict[int, list[str]] = {}
+    for w in known:
+        slots.setdefault(xxhash.xxh64_intdigest(w.encode(), seed=42) % _SLOTS, []).append(w)  # as xxhash64 has it
+    known = [w for own in slots.values() for w in own]
+    begins = dict(zip(slots, itertools.accumulate(map(len, slots.values()), initial=0), strict=False))
+    listed, first = _constant(known, "string"), _constant([begins.get(s, -1) for s in range(_SLOTS)], "int")
+    shares = {lang: _constant([q.get(w, 0.0) for w in known], "double") for lang, q in refs.words.items()}
+    deepest = max(map(len, slots.values()))
+
+    def number(w):
+        at = lambda s: F.coalesce(*(F.when(F.get(listed, s + k) == w, s + k) for k in range(deepest)))
+        return let(F.get(first, F.pmod(F.xxhash64(w), F.lit(_SLOTS)).cast("int")), lambda s: F.when(s >= 0, at(s)))
+
+    def ends(numbers):
+        return F.filter(F.transform(numbers, lambda x, i: F.when(x != F.coalesce(F.get(numbers, i + 1), F.lit(-1)), i + 1)), lambda i: i.isNotNull())
 
-    def nearest(joined, n):
-        count = lambda w: (F.length(joined) - F.length(F.replace(joined, F.lit(f" {w} "), F.lit("")))) / (len(w) + 2) / n
+    def nearest(runs, n):
+        """runs: struct number, share of each reference word that the text has."""
 
-        def one(q):
-            shares = F.array(*(count(w) for w in q))
-            with_rest = let(shares, lambda p: F.concat(p, F.array(1 - F.aggregate(p, F.lit(0.0), lambda a, b: a + b))))
-            return _js(with_rest, [*q.values(), 1 - sum(q.values())])
+        def one(lang, q):
+            of = lambda x: F.get(shares[lang], x.number)
+            own = F.filter(runs, lambda x: of(x) > 0)
+            rest = lambda r: _diverged(F.greatest(1 - _total(F.transform(r, lambda x: x.share)), F.lit(0.0)), F.lit(max(1 - sum(q.values()), 0.0)))
+            return _distance(let(own, lambda r: _total(F.transform(r, lambda x: _diverged(x.share, of(x)) - of(x))) + F.lit(sum(q.values())) + rest(r)))
 
-        return F.array_min(F.array(*map(one, WORD_SHARES.values())))
+        return F.array_min(F.array(*(one(lang, q) for lang, q in refs.words.items())))
 
-    frequent = F.filter(words, lambda w: w.isin(known))
-    joined = F.concat(F.lit(" "), F.array_join(frequent, "  "), F.lit(" "))
-    return F.when(F.size(words) > 0, let(joined, lambda x: nearest(x, F.size(words)))).otherwise(1.0)
+    numbers = F.array_sort(F.filter(F.transform(words, number), lambda x: x.isNotNull()))
+    counted = let(numbers, lambda s: let(ends(s), lambda e: F.transform(e, lambda x, i: F.struct(F.get(s, x - 1).alias("number"), ((x - F.coalesce(F.get(e, i - 1), F.lit(0))) / F.size(words)).alias("share")))))
+    return F.when(F.size(words) > 0, let(counted, lambda r: nearest(r, F.size(words)))).otherwise(1.0)
 
 
 def repeated_words(words: Column) -> Column:
@@ -133,12 +190,13 @@ def duplicate_lines(text: Column) -> Column:
     return let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
 
 
-def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_distance, word_distance, kept."""
-    return docs.select(F.col(id_col).alias("doc_id"), judgement(F.col(text_col)).alias("j")).select("doc_id", "j.*")
+def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", refs: References | None = None) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_distance, word_distance, kept; refs: of these documents, if not given."""
+    refs = references(docs, lang_col, text_col) if refs is None else refs
+    return docs.select(F.col(id_col).alias("doc_id"), judgement(F.col(text_col), refs).alias("j")).select("doc_id", "j.*")
 
 
-def judgement(text_col: Column) -> Column:
+def judgement(text_col: Column, refs: References) -> Column:
     """The verdict on one text with all that it rests on, as a struct."""
     text = F.coalesce(text_col.cast("string"), F.lit(""))
     n_symbols = F.length(text) - F.length(_removed(text, r"[#*$%&|<>]+"))
@@ -151,8 +209,8 @@ def judgement(text_col: Column) -> Column:
             duplicate_lines(text).alias("n_dup_lines"),
             repeated_words(words).alias("n_repeat_words"),
             F.length(text).alias("n_chars"),
-            class_distance(text).alias("class_distance"),
-            let(F.transform(words, F.lower), word_distance).alias("word_distance"),
+            class_distance(text, refs).alias("class_distance"),
+            let(F.transform(words, F.lower), lambda w: word_distance(w, refs)).alias("word_distance"),
         )
 
     def judged(m):

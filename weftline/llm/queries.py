@@ -119,25 +119,29 @@ WITH words AS (
   SELECT *, regexp_replace(r2, '\p{Lu}+', '', 'g') AS r3 FROM rests2
 ), rests4 AS (
   SELECT *, regexp_replace(r3, '[.,;:!?''"()\-]+', '', 'g') AS r4 FROM rests3
-), shares AS (
-  SELECT *, greatest(length(text), 1) AS n, length(regexp_replace(r4, '\p{N}+', '', 'g')) AS r5 FROM rests4
-), classes AS (
-  SELECT doc_id, unnest([(length(text) - length(r1)) / n, (length(r2) - length(r3)) / n, (length(r4) - r5) / n, (length(r1) - length(r2)) / n, (length(r3) - length(r4)) / n, r5 / n]) AS p,
-    unnest(range(1, 7)) AS i FROM shares
+), rests5 AS (
+  SELECT *, length(regexp_replace(r4, '\p{N}+', '', 'g')) AS r5 FROM rests4
+), counted AS (
+  SELECT doc_id, length(text) AS n, unnest([length(text) - length(r1), length(r1) - length(r2), length(r2) - length(r3), length(r3) - length(r4), length(r4) - r5, r5]) AS c,
+    unnest(range(1, 7)) AS i FROM rests5
+), class_sums AS (
+  SELECT lang, i, sum(c) AS c FROM counted JOIN documents USING (doc_id) WHERE lang IS NOT NULL AND documents.text IS NOT NULL GROUP BY lang, i
 ), class_refs AS (
-  SELECT lang, unnest(q) AS q, unnest(range(1, 7)) AS i FROM (VALUES %(classes)s) t(lang, q)
+  SELECT lang, i, c / sum(c) OVER (PARTITION BY lang) AS q FROM class_sums
 ), class_distance AS (
   SELECT doc_id, min(d) AS d FROM (
-    SELECT doc_id, lang, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2, 0)) AS d
-    FROM classes JOIN class_refs USING (i) GROUP BY doc_id, lang) GROUP BY doc_id
+    SELECT doc_id, lang, sqrt(greatest(sum(CASE WHEN c > 0 THEN c / n * log2(c / n / ((c / n + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((c / greatest(n, 1) + q) / 2)) ELSE 0 END) / 2, 0)) AS d
+    FROM counted JOIN class_refs USING (i) GROUP BY doc_id, lang) GROUP BY doc_id
+), lower_words AS (
+  SELECT doc_id, lang, w, count(*) AS c FROM (SELECT words.doc_id, lang, lower(unnest(ws)) AS w FROM words JOIN documents USING (doc_id)) GROUP BY ALL
+), lang_words AS (
+  SELECT lang, w, sum(c) AS c, sum(sum(c)) OVER (PARTITION BY lang) AS n FROM lower_words WHERE lang IS NOT NULL GROUP BY lang, w
 ), word_refs AS (
-  SELECT * FROM (VALUES %(words)s) t(lang, word, q)
-), found AS (
-  SELECT doc_id, w AS word, count(*) AS c FROM (SELECT doc_id, unnest(list_transform(ws, lambda x: lower(x))) AS w FROM words) WHERE w IN (SELECT word FROM word_refs) GROUP BY ALL
+  SELECT lang, w, c / n AS q FROM lang_words QUALIFY row_number() OVER (PARTITION BY lang ORDER BY c DESC, w) <= %(top)s
 ), word_shares AS (
-  SELECT b.doc_id, r.lang, coalesce(c, 0) / b.n_words AS p, r.q FROM base b CROSS JOIN word_refs r LEFT JOIN found USING (doc_id, word) WHERE b.n_words > 0
+  SELECT b.doc_id, r.lang, coalesce(f.c, 0) / b.n_words AS p, r.q FROM base b CROSS JOIN word_refs r LEFT JOIN lower_words f ON f.doc_id = b.doc_id AND f.w = r.w WHERE b.n_words > 0
 ), with_rest AS (
-  SELECT * FROM word_shares UNION ALL SELECT doc_id, lang, 1 - sum(p), 1 - sum(q) FROM word_shares GROUP BY doc_id, lang
+  SELECT * FROM word_shares UNION ALL SELECT doc_id, lang, greatest(1 - sum(p), 0), greatest(1 - sum(q), 0) FROM word_shares GROUP BY doc_id, lang
 ), word_distance AS (
   SELECT doc_id, min(d) AS d FROM (
     SELECT doc_id, lang, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2, 0)) AS d
@@ -153,9 +157,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 def _sql4() -> str:
     q = quality_rules
-    classes = ", ".join(f"('{lang}', {shares})" for lang, shares in q.CLASS_SHARES.items())
-    words = ", ".join(f"('{lang}', '{w}', {p})" for lang, shares in q.WORD_SHARES.items() for w, p in shares.items())
-    values = {"classes": classes, "words": words, "guard_chars": q.CLASS_GUARD_CHARS, "guard_words": q.WORD_GUARD_WORDS, "class_max": q.MAX_CLASS_DISTANCE, "word_max": q.MAX_WORD_DISTANCE}
+    values = {"top": q.TOP_WORDS, "guard_chars": q.CLASS_GUARD_CHARS, "guard_words": q.WORD_GUARD_WORDS, "class_max": q.MAX_CLASS_DISTANCE, "word_max": q.MAX_WORD_DISTANCE}
     out = _SQL4
     for name, value in values.items():
         out = out.replace(f"%({name})s", str(value))
