@@ -12,7 +12,7 @@ from weftline.llm.common import NO_ID, ensure_checkpoint_dir, tag_of
 from weftline.llm.minhash_dedup import near_duplicates
 from weftline.llm.mixing import mixture
 from weftline.llm.packing import packed
-from weftline.llm.quality_rules import judgement
+from weftline.llm.quality_rules import judgement, references
 from weftline.llm.substring_dedup import removal_spans
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -31,12 +31,12 @@ def _matched(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep, with all their rows as they are.
+    """Documents that the quality rules keep, with all their rows as they are; the language references are those of these documents.
 
     A null, empty or blank text has no words and goes; null ids and metadata stay
     null; repeated rows are judged each; columns beyond those of documents are
     left out; an empty table gives an empty one."""
-    return docs.select(*COLUMNS).where(judgement(F.col("text")).kept)
+    return docs.select(*COLUMNS).where(judgement(F.col("text"), references(docs)).kept)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
