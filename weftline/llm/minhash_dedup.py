@@ -203,11 +203,16 @@ def _shingles(batches):
 def _prefix_pairs(members: DataFrame, sets: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
     """All pairs across components that can be similar enough, by an exact join on first shingles.
 
-    Shingles are ordered by how many of these nodes have them.  If sets of a and b
-    members are similar enough, they have at least percent / (100 + percent) *
-    (a + b) in common, and the first common one stands among the first
-    a - percent * a + 1 of either, with enough places left after it in both.
-    Shingles of a single node come first, match nothing, and are only counted."""
+    Shingles are ordered by how many of these nodes have them.  Sets of a and b
+    members that are similar enough have at least percent / (100 + percent) *
+    (a + b) in common.  Their first common shingle has room for that many from its
+    place on in both sets, so the place of each bounds the other's size; for the
+    smaller set this leaves about the first ninth of its shingles, for the larger
+    one the first fifth.  Shingles of a single node come first, match nothing, and
+    are only counted.
+
+    Rows of one shingle that belong to one component are not paired: those of the
+    component that most of its rows belong to meet the other rows only."""
     nodes = members.select("node", "comp").distinct()
     rows = sets.join(nodes.select("node"), "node", "left_semi").mapInArrow(_shingles, "node long, size long, shingle long")
     shared = rows.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
@@ -216,12 +221,21 @@ def _prefix_pairs(members: DataFrame, sets: DataFrame, tested: DataFrame, percen
     alone = F.col("size") - F.size("shingles")
     length = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1 - alone
     first = per_node.where(length > 0).select("node", "size", alone.alias("alone"), F.posexplode(F.slice("shingles", 1, length.cast("int"))).alias("at", "s"))
-    first = cut(first.join(nodes, "node").select("node", "size", "comp", F.col("s.shingle").alias("shingle"), (F.col("alone") + F.col("at")).alias("place")))
-    other = first.select("shingle", *(F.col(c).alias(f"leader_{c}") for c in ("node", "size", "comp", "place")))
-    room = F.least(F.col("size") - F.col("place"), F.col("leader_size") - F.col("leader_place"))
-    fits = (100 + percent) * room >= percent * (F.col("size") + F.col("leader_size"))
-    both = first.join(other, "shingle").where((F.col("node") > F.col("leader_node")) & (F.col("comp") != F.col("leader_comp")) & _near_in_size(percent) & fits)
-    return _untested(both.select("node", F.col("leader_node").alias("leader")).distinct(), tested)
+    room = F.col("size") - F.col("alone") - F.col("at")
+    most = F.floor((100 + percent) * room / percent) - F.col("size")  # the largest size that a partner can have
+    first = first.select("node", "size", F.col("s.shingle").alias("shingle"), most.alias("most")).where(100 * F.col("most") >= percent * F.col("size"))
+    first = cut(first.join(nodes, "node"))
+    counted = first.groupBy("shingle", "comp").count()
+    main = counted.groupBy("shingle").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
+    placed = cut(first.join(main.select("shingle", "main"), "shingle").withColumn("is_main", F.col("comp") == F.col("main")).drop("main"))
+    large = placed.select("shingle", *(F.col(c).alias(f"large_{c}") for c in ("node", "size", "comp", "most", "is_main")))
+    small = placed.where("most >= size")
+    fits = (F.col("large_size") <= F.col("most")) & (F.col("size") <= F.col("large_most")) & (100 * F.col("size") >= percent * F.col("large_size"))
+    order = (F.col("large_size") > F.col("size")) | ((F.col("large_size") == F.col("size")) & (F.col("large_node") != F.col("node")))
+    found = [large.join(small.where("NOT is_main"), "shingle"), large.where("NOT large_is_main").join(small.where("is_main"), "shingle")]
+    both = found[0].unionByName(found[1]).where(fits & order & (F.col("comp") != F.col("large_comp")))
+    pairs = both.select(F.greatest("node", "large_node").alias("node"), F.least("node", "large_node").alias("leader"))
+    return _untested(pairs.distinct(), tested)
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int = THRESHOLD_PERCENT, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
