@@ -11,9 +11,9 @@ smallest and one of the largest as witnesses.  So a key that a third of all
 documents hold reaches its bucket once per chunk and not once per document.
 
 Buckets grow in number with the input, and chunks do too.  A chunk deals its
-entries to at most FAN_OUT coarse buckets, whatever their number; where there are
-more buckets than that, rows of one coarse bucket are gathered AGAIN_ENTRIES at a
-time, sorted, and dealt to the buckets within it.  So rows hold many entries at
+entries to at most `fan_out` coarse buckets, whatever their number; where there are
+more buckets than that, rows of one coarse bucket are gathered by the million
+entries, sorted, and dealt to the buckets within it.  So rows hold many entries at
 any size, and their number grows with the input and not with its square.  A
 bucket is sorted in slices of its keys, of which one is held at a time.
 """
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +31,20 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import NO_ID, cut, id_planes, planes, runs, shuffle_partitions, un_id_planes, unplanes
 
-#: Buckets that a chunk deals to.
-FAN_OUT = 1024
-#: Entries of a coarse bucket that are dealt again together.
-AGAIN_ENTRIES = 1 << 20
-#: Entries that a bucket sorts at a time, about.
-SLICE_ENTRIES = 1 << 19
+
+@dataclass(frozen=True)
+class Buckets:
+    """How keys are dealt: n, number of buckets; fan_out, buckets that a chunk deals to; again_entries, entries of a coarse bucket that are dealt again together; slice_entries, entries that a bucket sorts at a time, about."""
+
+    n: int
+    fan_out: int = 1024
+    again_entries: int = 1 << 20
+    slice_entries: int = 1 << 19
+
+    @property
+    def coarse(self) -> int:
+        return min(self.n, self.fan_out)
+
 
 REQUEST = "kind int, bucket int, settled boolean, main binary, extra binary, holders binary, owners binary, tags binary, counts binary, places binary"
 _ANSWER = "kind int, part int, owners binary, tags binary, counts binary, places binary"
@@ -77,6 +86,24 @@ def _marked(main: np.ndarray, extra: np.ndarray, holder: np.ndarray, rule: str)
     return marked, np.concatenate(witness)
 
 
+def _again(main: np.ndarray, extra: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which entries have a key that their document has had before; entries in document and place order."""
+    marked = np.zeros(len(main), bool)
+    if len(main):
+        order, starts = _groups(main, extra)
+        again = np.zeros(len(order), bool)
+        again[1:] = doc[order][1:] == doc[order][:-1]
+        again[starts] = False
+        marked[order] = again
+    return marked
+
+
+def marked_in_chunk(key: np.ndarray, doc: np.ndarray, owners: np.ndarray) -> np.ndarray:
+    """Entries marked by a smaller owner's entry, or by an earlier one of the document, within the chunk; entries in document and place order."""
+    none = np.zeros(len(key), np.uint8)
+    return _marked(key, none, owners[doc], "earlier")[0] | _again(key, none, doc)
+
+
 def _packed(doc: np.ndarray, place: np.ndarray, owners: np.ndarray, tags: np.ndarray) -> tuple[bytes, bytes, bytes, bytes]:
     """Entries in document order: their documents, how many each has, and steps from place to place."""
     starts = runs(doc)
@@ -126,34 +153,29 @@ def _dealt(bucket: np.ndarray, kind: int, entries: np.ndarray | slice, main: np.
     return rows
 
 
-def requests(n_buckets: int, main: np.ndarray, extra: np.ndarray, doc: np.ndarray, place: np.ndarray, owners: np.ndarray, tags: np.ndarray, *, kind: int = 0, holder: np.ndarray | None = None, rule: str = "earlier", within: bool = False, settled: tuple[np.ndarray, np.ndarray] | None = None):
+def requests(buckets: Buckets, main: np.ndarray, extra: np.ndarray, doc: np.ndarray, place: np.ndarray, owners: np.ndarray, tags: np.ndarray, *, kind: int = 0, holder: np.ndarray | None = None, rule: str = "earlier", within: bool = False, settled: tuple[np.ndarray, np.ndarray] | None = None):
     """Arrow batches with the packed entries of one chunk; entries come in document and place order.
 
     main, extra: 64 and 16 bits of the key.  doc: number of the document in the
     chunk; owners, tags: by that number.  holder: what owns the entry, if it isn't
     its document's owner.  within: a key's later places in one document are marked
     too.  settled: documents and places marked beforehand."""
-    coarse = min(n_buckets, FAN_OUT)
     held = owners[doc] if holder is None else holder
     marked, witness = _marked(main, extra, held, rule)
     ask = ~marked
     if rule == "other":
         ask[witness] = True
-    elif within and len(main):
-        order, starts = _groups(main, extra)
-        again = np.zeros(len(order), bool)
-        again[1:] = doc[order][1:] == doc[order][:-1]
-        again[starts] = False
-        marked[order] |= again
+    elif within:
+        marked |= _again(main, extra, doc)
         ask = ~marked
     rows: list[tuple] = []
     own, at = (doc[marked], place[marked]) if settled is None else (np.concatenate((doc[marked], settled[0])), np.concatenate((place[marked], settled[1])))
     if len(own):
         order = np.lexsort((at, own)) if settled is not None else slice(None)
         own, at = own[order], at[order]
-        rows.append((kind, int(own[0] + at[0]) % coarse, True, b"", b"", None, *_packed(own, at, owners, tags)))
+        rows.append((kind, int(own[0] + at[0]) % buckets.coarse, True, b"", b"", None, *_packed(own, at, owners, tags)))
     asked = np.flatnonzero(ask)
-    rows += _dealt(bucket_of(main[asked], coarse), kind, asked, main, extra, holder, doc, place, owners, tags)
+    rows += _dealt(bucket_of(main[asked], buckets.coarse), kind, asked, main, extra, holder, doc, place, owners, tags)
     yield from _batches(rows, _REQUEST_SCHEMA)
 
 
@@ -166,21 +188,21 @@ def _entries(rows: list[dict]) -> tuple:
     return main, extra, holder, np.repeat(np.arange(len(owners), dtype=np.int32), counts), places, owners, tags
 
 
-def _deal_again(n_buckets: int):
+def _deal_again(buckets: Buckets):
     """Rows of coarse buckets, one bucket after another, to rows of the buckets within them."""
 
     def flush(rows: list[dict], kind: int) -> list[tuple]:
         main, extra, holder, doc, place, owners, tags = _entries(rows)
-        return _dealt(bucket_of(main, n_buckets), kind, slice(None), main, extra, holder, doc, place, owners, tags)
+        return _dealt(bucket_of(main, buckets.n), kind, slice(None), main, extra, holder, doc, place, owners, tags)
 
     def deal(batches):
         held, size, of = [], 0, None
         for batch in batches:
             for row in _rows(batch):
                 if row["settled"]:
-                    yield from _batches([(row["kind"], row["bucket"] * n_buckets // FAN_OUT, True, *(None if row[c] is None else bytes(row[c]) for c in _REQUEST_SCHEMA.names[3:]))], _REQUEST_SCHEMA)
+                    yield from _batches([(row["kind"], row["bucket"] * buckets.n // buckets.coarse, True, *(None if row[c] is None else bytes(row[c]) for c in _REQUEST_SCHEMA.names[3:]))], _REQUEST_SCHEMA)
                     continue
-                if held and (size >= AGAIN_ENTRIES or of != (row["kind"], row["bucket"])):
+                if held and (size >= buckets.again_entries or of != (row["kind"], row["bucket"])):
                     yield from _batches(flush(held, of[0]), _REQUEST_SCHEMA)
                     held, size = [], 0
                 of = (row["kind"], row["bucket"])
@@ -192,7 +214,7 @@ def _deal_again(n_buckets: int):
     return deal
 
 
-def _answer(n_parts: int, rules: tuple[str, ...]):
+def _answer(buckets: Buckets, rules: tuple[str, ...]):
     def answer(table: pa.Table) -> pa.Table:
         kind = table.column("kind")[0].as_py()
         settled, asked = [], []
@@ -205,7 +227,7 @@ def _answer(n_parts: int, rules: tuple[str, ...]):
         if asked:
             main, extra, holder, doc, place, owners, tags = _entries(asked)
             marked = np.zeros(len(main), bool)
-            n_slices = -(-len(main) // SLICE_ENTRIES)
+            n_slices = -(-len(main) // buckets.slice_entries)
             slice_of = mixed_slice(main, n_slices)
             for i in range(n_slices):
                 x = np.flatnonzero(slice_of == i) if n_slices > 1 else slice(None)
@@ -213,7 +235,7 @@ def _answer(n_parts: int, rules: tuple[str, ...]):
             out.append((doc[marked], place[marked], owners, tags))
         rows = []
         for doc, place, owners, tags in out:
-            part = tags[doc] % n_parts
+            part = tags[doc] % buckets.n
             order = np.argsort(part, kind="stable")
             doc, place, part = doc[order], place[order], part[order]
             starts = runs(part)
@@ -228,16 +250,16 @@ def mixed_slice(main: np.ndarray, n: int) -> np.ndarray:
     return ((main & np.uint64(0xFFFFFFFF)) * np.uint64(n) >> np.uint64(32)).astype(np.uint16)
 
 
-def marked_places(asked: DataFrame, n_buckets: int, rules: tuple[str, ...] = ("earlier",)) -> DataFrame:
+def marked_places(asked: DataFrame, buckets: Buckets, rules: tuple[str, ...] = ("earlier",)) -> DataFrame:
     """owner, tag and, by kind of request, at0, at1, ... (binary, read with places_of): the marked places of each document that has any. Cut from its lineage.
 
     A missing doc_id is the owner NO_ID.  rules: by kind of request."""
-    n_tasks = max(shuffle_partitions(asked.sparkSession), min(n_buckets, 1 << 16))
-    if n_buckets > FAN_OUT:
+    n_tasks = max(shuffle_partitions(asked.sparkSession), min(buckets.n, 1 << 16))
+    if buckets.n > buckets.coarse:
         # a coarse bucket is split over as many tasks as it has buckets, so that no task gathers one
-        spread = F.pmod(F.xxhash64("main"), F.lit(-(-n_buckets // FAN_OUT)))
-        asked = asked.repartition(n_tasks, "bucket", spread).sortWithinPartitions("kind", "bucket").mapInArrow(_deal_again(n_buckets), REQUEST)
-    answers = cut(asked.repartition(n_tasks, "bucket").groupBy("kind", "bucket").applyInArrow(_answer(n_buckets, rules), _ANSWER))
+        spread = F.pmod(F.xxhash64("main"), F.lit(-(-buckets.n // buckets.coarse)))
+        asked = asked.repartition(n_tasks, "bucket", spread).sortWithinPartitions("kind", "bucket").mapInArrow(_deal_again(buckets), REQUEST)
+    answers = cut(asked.repartition(n_tasks, "bucket").groupBy("kind", "bucket").applyInArrow(_answer(buckets, rules), _ANSWER))
     schema = ", ".join(["owner long", "tag int", *(f"at{k} binary" for k in range(len(rules)))])
     return answers.groupBy("part").applyInArrow(_by_document(len(rules)), schema)
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import bucket_count, chunks, keyed, text_bytes, window_hashes, word_hashes
-from weftline.llm.first_owner import REQUEST, marked_places, places_of, requests, with_places
+from weftline.llm.first_owner import REQUEST, Buckets, marked_places, places_of, requests, with_places
 
 WINDOW_WORDS = 13
 #: Text whose windows one Python step holds at a time, unless one document is longer.
@@ -28,13 +28,13 @@ CHUNK_BYTES = 2 << 20
 _SECOND_BASE = 0xD6E8FEB86659FD93
 
 
-def _ask(width: int, n_buckets: int):
+def _ask(width: int, buckets: Buckets):
     def ask(batches):
         for texts, ids, tags in chunks(batches, limit=CHUNK_BYTES):
             (first, second), counts = word_hashes(texts, ways=2)
             main, doc, place = window_hashes(first, counts, width)
             extra = (window_hashes(second, counts, width, _SECOND_BASE)[0] >> np.uint64(48)).astype(np.uint16)
-            yield from requests(n_buckets, main, extra, doc, place, ids, tags)
+            yield from requests(buckets, main, extra, doc, place, ids, tags)
 
     return ask
 
@@ -44,8 +44,8 @@ def removal_spans(docs: DataFrame, width: int = WINDOW_WORDS, id_col: str = "doc
 
     as_it_was: the cleaned text of a document that loses nothing is its text, white space (or null) and all."""
     rows = keyed(docs, id_col, text_col, carry)
-    n_buckets = bucket_count(docs, text_bytes(docs, text_col))
-    lost = marked_places(rows.drop(*carry).mapInArrow(_ask(width, n_buckets), REQUEST), n_buckets)
+    buckets = Buckets(bucket_count(docs, text_bytes(docs, text_col)))
+    lost = marked_places(rows.drop(*carry).mapInArrow(_ask(width, buckets), REQUEST), buckets)
     more = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in carry)
     schema = f"doc_id long, tag int, n_words long, spans array<struct<start:int,stop:int>>, cleaned string{more}"
     return with_places(rows, lost).mapInArrow(_cleaner(width, carry, as_it_was), schema)

@@ -3,22 +3,20 @@
 A byte goes if a string of LENGTH bytes that covers it also starts earlier: in a
 document of smaller id, or before in the same one.
 
-Strings are told apart as in bucket-pointer refinement of suffixes.  A place's
-first bucket is its GRAM bytes.  The bucket of twice the length is named by the
-place's own bucket and that of the place one length on: 16, 32, 64, and LENGTH
-bytes from two of 64; each round reuses the names of the one before.  Names come
-from the content (80 bits), so all tasks give the same one without a common
-array, and sorting by name in parts of the name space takes the place of sorting
-all suffixes together.  Only buckets that more than one string is in are refined:
-
-1. Of each string of LENGTH bytes the least gram by hash stands for it.  Strings
-   in a row with the same least gram, and on the same side of HALF bytes before it,
-   form a stretch.  All have a core of bytes in common, whose name is the stretch's
-   bucket; the stretch's whole text has a name too.  Cores in stretches of one text
-   only, and stretches whose text stands earlier, are settled here; that is the
-   bulk of the text.
-2. What is left are stretches of several texts around one core.  Their strings
-   get their names of LENGTH bytes, and those that stand earlier are found.
+Ordering all suffixes of the corpus together would move each of them several
+times.  Only suffixes whose first bucket holds more than one text are refined:
+
+1. Of each string of LENGTH bytes the least gram of GRAM bytes, by hash, stands
+   for it.  Strings in a row with the same least gram, and on the same side of HALF
+   bytes before it, form a stretch.  All have a core of bytes in common: the
+   stretch's bucket, named by its content (80 bits), as is the stretch's whole
+   text.  Cores in stretches of one text only, and stretches whose text stands
+   earlier, are settled here; that is the bulk of the text.
+2. What is left are stretches of several texts around one core.  Their suffixes
+   are refined chunk by chunk (bucket_pointers): buckets of their first bytes are
+   sorted on the pointers of later offsets, 8, 16, 32 and 36 bytes on, until strings
+   of LENGTH bytes are told apart exactly.  One string of each bucket then goes,
+   named by its content, to meet those of other chunks.
 
 Equal strings have equal least grams at equal places, so none is missed.
 
@@ -35,8 +33,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.bucket_pointers import bucket_pointers
 from weftline.llm.common import bucket_count, chunks, keyed, mix, runs, text_bytes
-from weftline.llm.first_owner import REQUEST, marked_places, places_of, requests, with_places
+from weftline.llm.first_owner import REQUEST, Buckets, marked_in_chunk, marked_places, places_of, requests, with_places
 
 LENGTH, GRAM = 100, 16
 #: Strings that begin fewer bytes before their gram, and others, are told apart.
@@ -47,6 +46,8 @@ CHUNK_BYTES = 2 << 20
 BUCKET_BYTES = 16 << 20
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _BLOCK = 1 << 19
+#: Bytes of stretches that are refined together.
+_REFINED = 1 << 19
 _PLACE_BITS = 24
 
 
@@ -137,11 +138,16 @@ class Stretches:
         back = at - self.begins[own]
         return own, first + back, last + back, key, key_extra, text, text_extra
 
-    def strings(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Document and place of every string of these stretches."""
-        size = (self.last - self.first)[which] + 1
-        step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        return np.repeat(self.doc[which], size), np.repeat(self.first[which], size) + step
+    def refined(self, which: np.ndarray):
+        """The strings of these stretches, some stretches at a time: document, place, and bucket after refinement."""
+        begin, size = self.begins[self.doc] + self.first, self.last - self.first + LENGTH
+        piece = np.cumsum(size[which]) // _REFINED
+        for s in np.split(which, runs(piece)[1:]) if len(which) else []:
+            ends = np.cumsum(size[s])
+            inside = np.arange(ends[-1]) - np.repeat(ends - size[s], size[s])
+            pointer = bucket_pointers(self.data[np.repeat(begin[s], size[s]) + inside], np.repeat(ends, size[s]), LENGTH)
+            starts = inside <= np.repeat(size[s] - LENGTH, size[s])
+            yield np.repeat(self.doc[s], size[s])[starts], (np.repeat(self.first[s], size[s]) + inside)[starts], pointer[starts]
 
     def string_names(self, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Names of the strings of LENGTH bytes at these places, in two parts."""
@@ -166,12 +172,12 @@ STANDS_EARLIER, SEVERAL_TEXTS = 0, 1
 STRINGS, FIRSTS, LASTS = 0, 1, 2
 
 
-def _ask_stretches(n_buckets: int):
+def _ask_stretches(buckets: Buckets):
     def ask(batches):
         for texts, ids, tags in chunks(batches, limit=CHUNK_BYTES):
             s = Stretches(texts)
-            yield from requests(n_buckets, s.text, _high(s.text_extra), s.doc, s.first, ids, tags, kind=STANDS_EARLIER, within=True)
-            yield from requests(n_buckets, s.key, _high(s.key_extra), s.doc, s.first, ids, tags, kind=SEVERAL_TEXTS, rule="other", holder=s.text.view(np.int64))
+            yield from requests(buckets, s.text, _high(s.text_extra), s.doc, s.first, ids, tags, kind=STANDS_EARLIER, within=True)
+            yield from requests(buckets, s.key, _high(s.key_extra), s.doc, s.first, ids, tags, kind=SEVERAL_TEXTS, rule="other", holder=s.text.view(np.int64))
 
     return ask
 
@@ -194,18 +200,23 @@ def _flags(found: list[np.ndarray], s: Stretches) -> np.ndarray:
     return flags
 
 
-def _ask_strings(n_buckets: int):
+def _ask_strings(buckets: Buckets):
     def ask(batches):
         for texts, ids, tags, (earlier, several) in _pieces(batches, 2):
             s = Stretches(texts, named=False)
             at = s.begins[s.doc] + s.first
             lost = _flags(earlier, s)[at]
             refine = _flags(several, s)[at] & ~lost
-            doc, place = s.strings(refine)
+            ask, marked = [], []
+            for doc, place, bucket in s.refined(np.flatnonzero(refine)):
+                gone = marked_in_chunk(bucket, doc, ids)
+                ask.append((doc[~gone], place[~gone]))
+                marked.append((doc[gone], place[gone]))
+            (doc, place), settled = ([np.concatenate([np.empty(0, np.int64), *c]) for c in zip(*x, strict=True)] or [np.empty(0, np.int64)] * 2 for x in (ask, marked))
             main, extra = s.string_names(doc, place)
-            yield from requests(n_buckets, main, _high(extra), doc, place, ids, tags, within=True)
+            yield from requests(buckets, main, _high(extra), doc, place, ids, tags, within=True, settled=settled)
             for kind, ends in ((FIRSTS, s.first), (LASTS, s.last)):  # lost stretches go as their two ends
-                yield from requests(n_buckets, *(x[:0] for x in (main, extra, doc, place)), ids, tags, kind=kind, settled=(s.doc[lost], ends[lost]))
+                yield from requests(buckets, *(x[:0] for x in (main, extra, doc, place)), ids, tags, kind=kind, settled=(s.doc[lost], ends[lost]))
 
     return ask
 
@@ -242,9 +253,9 @@ def _clean(batches):
 def byte_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, tag, n_bytes, spans (array of struct start, stop: bytes start..stop-1 go), kept (the remaining bytes)."""
     rows = keyed(docs, id_col, text_col)
-    n = bucket_count(docs, text_bytes(docs, text_col), BUCKET_BYTES)
-    first = marked_places(rows.mapInArrow(_ask_stretches(n), REQUEST), n, ("earlier", "other"))
-    lost = marked_places(with_places(rows, first).mapInArrow(_ask_strings(n), REQUEST), n, ("earlier",) * 3)
+    buckets = Buckets(bucket_count(docs, text_bytes(docs, text_col), BUCKET_BYTES))
+    first = marked_places(rows.mapInArrow(_ask_stretches(buckets), REQUEST), buckets, ("earlier", "other"))
+    lost = marked_places(with_places(rows, first).mapInArrow(_ask_strings(buckets), REQUEST), buckets, ("earlier",) * 3)
     return with_places(rows, lost).mapInArrow(_clean, "doc_id long, tag int, n_bytes long, spans array<struct<start:bigint,stop:bigint>>, kept binary")
 
 
