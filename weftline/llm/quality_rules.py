@@ -122,8 +122,8 @@ def word_distance(words: Column, refs: References) -> Column:
     """Distance of a text's words from the frequent ones of the nearest language; words: array of lower-case words; 1 without words.
 
     Reference words are numbered; a word's number is found by its hash, and words
-    that share a slot stand next to each other.  Only words that the text has are
-    gone through: one that it lacks adds its share."""
+    that share a slot stand next to each other.  Only reference words that the text
+    has are gone through, once each: one that it lacks adds its share."""
     if not refs.words:
         return F.lit(0.0)
     known = sorted({w for q in refs.words.values() for w in q})
@@ -138,10 +138,10 @@ def word_distance(words: Column, refs: References) -> Column:
 
     def number(w):
         at = lambda s: F.coalesce(*(F.when(F.get(listed, s + k) == w, s + k) for k in range(deepest)))
-        return let(F.get(first, F.pmod(F.xxhash64(w), F.lit(_SLOTS)).cast("int")), lambda s: F.when(s >= 0, at(s)))
+        return let(F.get(first, F.pmod(F.xxhash64(w), F.lit(_SLOTS)).cast("int")), at)
 
-    def ends(numbers):
-        return F.filter(F.transform(numbers, lambda x, i: F.when(x != F.coalesce(F.get(numbers, i + 1), F.lit(-1)), i + 1)), lambda i: i.isNotNull())
+    def ends(ordered):
+        return F.filter(F.transform(ordered, lambda x, i: F.when(x != F.coalesce(F.get(ordered, i + 1), F.lit("")), i + 1)), lambda i: i.isNotNull())
 
     def nearest(runs, n):
         """runs: struct number, share of each reference word that the text has."""
@@ -154,8 +154,8 @@ def word_distance(words: Column, refs: References) -> Column:
 
         return F.array_min(F.array(*(one(lang, q) for lang, q in refs.words.items())))
 
-    numbers = F.array_sort(F.filter(F.transform(words, number), lambda x: x.isNotNull()))
-    counted = let(numbers, lambda s: let(ends(s), lambda e: F.transform(e, lambda x, i: F.struct(F.get(s, x - 1).alias("number"), ((x - F.coalesce(F.get(e, i - 1), F.lit(0))) / F.size(words)).alias("share")))))
+    frequent = F.sort_array(F.filter(words, lambda w: w.isin(known)))
+    counted = let(frequent, lambda s: let(ends(s), lambda e: F.transform(e, lambda x, i: F.struct(number(F.get(s, x - 1)).alias("number"), ((x - F.coalesce(F.get(e, i - 1), F.lit(0))) / F.size(words)).alias("share")))))
     return F.when(F.size(words) > 0, let(counted, lambda r: nearest(r, F.size(words)))).otherwise(1.0)
 
 
