@@ -2,6 +2,7 @@
 
 import random
 import re
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.llm import cotraining, language_id, mixing, quality_rules
-from weftline.llm.linear import ngram_counts
+from weftline.llm.linear import ngram_counts, scaled
 
 COMMON = {"en": "the of and to a in is that it for", "de": "der die und in den von zu das mit sich", "fr": "de la le et les des en un du une", "es": "de la que el en y los se las del"}
 SYLLABLES = {"en": "th er ing ed ou st", "de": "sch en ung keit ü ge", "fr": "eau ou ç é ment oi", "es": "ción ar ñ ado os í"}
@@ -32,10 +33,11 @@ def base_rules(text):
 
 def test_quality_rules(spark):
     rng = random.Random(4)
-    docs = [prose(rng, rng.choice(list(COMMON)), rng.choice([10, 60, 300])) for _ in range(40)]
+    langs = [rng.choice(list(COMMON)) for _ in range(40)]
+    docs = [prose(rng, lang, rng.choice([10, 60, 300])) for lang in langs]
     docs += [None, "", "a a a a", "a b c a b c a b c", "one\n\n two \none\n", "x " * 200, " ".join(w + "***" for w in docs[0].split()) * 9]
     docs += [d.upper().replace(" ", "!! ") for d in docs[:10]] + [" | ".join(d.split()) for d in docs[10:20]] + [docs[20] + "\n" + docs[20]]
-    found = {r["doc_id"]: r for r in quality_rules.quality(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()}
+    found = {r["doc_id"]: r for r in quality_rules.quality(spark.createDataFrame([(i, t, langs[i] if i < 40 else None) for i, t in enumerate(docs)], "doc_id long, text string, lang string")).collect()}
     for i, text in enumerate(docs):
         r = found[i]
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == base_rules(text), text
@@ -46,19 +48,46 @@ def test_quality_rules(spark):
     assert spoilt and not any(r["kept"] for r in spoilt)
 
 
-def test_distance_is_jensen_shannon(spark):
-    text = "The cat, and 3 dogs! #" * 30
-    counts = [len(re.findall(p, text)) for p in ("[a-z]", "[A-Z]", "[0-9]", r"\s", "[,!]", "#")]
-    p = np.array(counts) / sum(counts)
-
-    def js(q):
-        m = (p + q) / 2
-        kl = lambda a: sum(x * np.log2(x / y) for x, y in zip(a, m, strict=True) if x > 0)
-        return np.sqrt((kl(p) + kl(q)) / 2)
-
-    expected = min(js(np.array(q)) for q in quality_rules.CLASS_SHARES.values())
-    found = spark.createDataFrame([(text,)], "t string").select(quality_rules.class_distance(F.col("t")).alias("d")).first()["d"]
-    assert found == pytest.approx(expected, abs=1e-9)
+def js_distance(p, q):
+    p, q = np.array(p), np.array(q)
+    m = (p + q) / 2
+    kl = lambda a: sum(x * np.log2(x / y) for x, y in zip(a, m, strict=True) if x > 0)
+    return np.sqrt(max((kl(p) + kl(q)) / 2, 0))
+
+
+def class_shares(text):
+    counts = [0] * 6
+    for c in text:
+        kind = unicodedata.category(c)
+        counts[2 if kind == "Lu" else 0 if kind[0] == "L" else 1 if c in " \t\n\v\f\r" else 3 if c in ".,;:!?'\"()-" else 4 if kind[0] == "N" else 5] += 1
+    return [c / max(len(text), 1) for c in counts]
+
+
+def test_references_and_distances(spark):
+    """References counted and distances taken in plain Python, whatever the text holds."""
+    rng = random.Random(14)
+    docs = [(i, prose(rng, lang, 150), lang) for i, lang in enumerate(rng.choices(list(COMMON), k=60))]
+    df = spark.createDataFrame([*docs, (90, None, "en"), (91, "not in a reference", None), (92, "", "empty")], "doc_id long, text string, lang string")
+    refs = quality_rules.references(df, top=12)
+    for lang in COMMON:
+        own = Counter(w.lower() for _, t, g in docs if g == lang for w in t.split())
+        top = sorted(own.items(), key=lambda x: (-x[1], x[0].encode()))[:12]
+        assert list(refs.words[lang]) == [w for w, _ in top]
+        assert list(refs.words[lang].values()) == pytest.approx([c / own.total() for _, c in top])
+        assert refs.classes[lang] == pytest.approx(class_shares("".join(t for _, t, g in docs if g == lang)))
+    assert set(refs.words) == set(COMMON)
+    texts = [t for _, t, _ in docs[:20]] + ["the cat, and 3 dogs! #" * 30, "der der der la", "$$$ $$$", "xyz"]
+    found = spark.createDataFrame([(t,) for t in texts], "t string").select("t", quality_rules.class_distance(F.col("t"), refs).alias("c"), quality_rules.word_distance(F.regexp_extract_all(F.lower("t"), F.lit(r"\S+"), F.lit(0)), refs).alias("w")).collect()
+    for r in found:
+        words = Counter(r["t"].lower().split())
+        near = []
+        for q in refs.words.values():
+            p = [words[w] / words.total() for w in q]
+            near.append(js_distance([*p, max(1 - sum(p), 0)], [*q.values(), 1 - sum(q.values())]))
+        assert r["w"] == pytest.approx(min(near), abs=1e-9), r["t"]
+        assert r["c"] == pytest.approx(min(js_distance(class_shares(r["t"]), q) for q in refs.classes.values()), abs=1e-9), r["t"]
+    nothing = quality_rules.references(df.where("doc_id = 91"))
+    assert nothing.words == {} and quality_rules.quality(df.where("doc_id < 60"), refs=nothing).where("kept").count() == 60
 
 
 def water_level(sizes):
@@ -143,11 +172,47 @@ def test_quality_classifier(spark):
     assert (held["kept"] == (held["doc_id"] < 300)).mean() > 0.97 and held["quality_score"].between(0, 1).all()
 
 
-def test_views_teach_each_other():
+def test_views_teach_each_other(spark):
+    """What the sure rows of one view teach the other, added up over all rows, against one sum in plain Python; and a view that learns from it."""
+    rng = random.Random(10)
+    docs = [(i, 0, prose(rng, "en", 30) if i % 2 else "$$ " * 40, "good" if i % 2 else "bad", "en", 100) for i in range(300)]
+    rows = spark.createDataFrame(docs, "doc_id long, tag int, text string, source string, lang string, n_chars long")
+    text = scaled(ngram_counts([t.encode() for _, _, t, *_ in docs]))
+    meta = cotraining.meta_features([d[3] for d in docs], [d[4] for d in docs], [d[5] for d in docs])
+    label = np.arange(300) % 2.0
+    back = np.arange(300) % 4 == 0
+    first = [cotraining.fitted(x[:60], label[:60], np.arange(60) % 5 == 0, cotraining.class_sums(x[:60], label[:60])) for x in (text, meta)]
+    model = cotraining.QualityModel(*first, 0.0)
+    lessons = cotraining._lessons(rows.repartition(5), model, 0.7)
+    p = model.scores(text, meta)
+    for one, x, other in ((1, text, 0), (0, meta, 1)):
+        sure = np.where(p[one] >= 0.7, 1, np.where(p[one] <= 0.3, 0, -1))
+        assert (sure >= 0).sum() > 200
+        assert np.allclose(lessons[other], cotraining.class_sums(x, sure), rtol=1e-5, atol=1e-4)
+    taught = cotraining.fitted(text, label, back, lessons[0])
+    assert ((taught.log_odds(text) > 0) == label).mean() > 0.99
+
+
+def test_views_are_calibrated():
+    """A view's probabilities are right on average where its margins are too bold."""
     rng = np.random.default_rng(3)
-    y = rng.integers(0, 2, 400).astype(float)
-    view = lambda noise: (np.stack([y, 1 - y], 1) + noise * rng.normal(size=(400, 2))).astype(np.float32)
-    a, b = view(0.3), view(0.3)
-    model = cotraining.co_train(a[:40], b[:40], y[:40], a[40:300], b[40:300])
-    assert ((model.scores(a[300:], b[300:])[2] > 0.5) == y[300:]).mean() > 0.93
-    assert cotraining.co_train(a[:8], b[:8], np.ones(8), a[40:], b[40:]) is None
+    y = (rng.random(4000) < 0.8).astype(float)
+    x = np.stack([y + rng.normal(size=4000), rng.normal(size=4000)], 1).astype(np.float32)
+    view = cotraining.fitted(x[:3000], y[:3000], np.arange(3000) % 4 == 0, cotraining.class_sums(x[:3000], y[:3000]))
+    p = 1 / (1 + np.exp(-view.log_odds(x[3000:])))
+    assert abs(p.mean() - y[3000:].mean()) < 0.03
+    sure = p > 0.9
+    assert sure.any() and abs(p[sure].mean() - y[3000:][sure].mean()) < 0.04
+
+
+def test_every_language_is_learnt(spark):
+    """A thousand languages of two texts each, and rows that repeat in everything."""
+    letters = "bcdfghjklmnpqrstvwxz"
+    words = {f"l{k:03d}": letters[k % 20] + "aeiouy"[k // 20 % 6] + letters[k // 120] + "u" for k in range(1000)}
+    docs = [(i, " ".join([w] * 20), g) for i, (g, w) in enumerate(x for x in words.items() for _ in range(3))] + [(5, "bau " * 20, "l000")] * 50
+    model = language_id.train(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+    assert model.languages == sorted(words) and len({tuple(c) for c in model.code}) == 1000
+    best = model.predict(scaled(ngram_counts([(w + " ").encode() * 20 for w in words.values()])))[0]
+    assert (best == np.arange(1000)).mean() > 0.5
+    few = language_id.train(spark.createDataFrame([(i, f"text {i}", "en") for i in range(500)], "doc_id long, text string, lang string"), per_language=30)
+    assert few.languages == ["en"]

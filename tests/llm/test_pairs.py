@@ -1,5 +1,6 @@
 """Near duplicates, fingerprints and repeated substrings against plain Python."""
 
+import functools
 import hashlib
 import random
 import re
@@ -8,7 +9,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.llm import fingerprints, minhash_dedup, substring_dedup, suffix_dedup
+from weftline.llm import fingerprints, first_owner, minhash_dedup, substring_dedup, suffix_dedup
+from weftline.llm.bucket_pointers import bucket_pointers
+from weftline.llm.common import word_hashes
 from weftline.llm.components import connected
 
 
@@ -125,30 +128,118 @@ def test_repeated_bytes(spark, corpus):
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in found} == expected
 
 
+def winnow(text):
+    """Hash and position of the chosen grams, gram by gram and window by window."""
+    points = [ord(c) for c in text]
+    hashes = []
+    for k in range(max(len(points) - 7, 1) if points else 0):
+        h = 0
+        for j in range(8):
+            h = (h * 1_000_003 + (points[k + j] if k + j < len(points) else 0)) % (2**31 - 1)
+        hashes.append(h)
+    out = []
+    for k in range(max(len(hashes) - 47, 1) if hashes else 0):
+        window = hashes[k : k + 48]
+        at = k + max(j for j, v in enumerate(window) if v == min(window))
+        if not out or out[-1][1] != at:
+            out.append((hashes[at], at))
+    return out
+
+
+def alike(a, b):
+    a, b = set(a), set(b)
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+EMOJI = "\U0001f6a6 signal \U0001f600\U0001f601 é 日本 " * 9
+
+
 def test_winnowing_by_hand(spark, corpus):
-    docs = spark.createDataFrame([(i, t) for i, t in corpus[:40]] + [(900, "short"), (901, ""), (902, "a" * 200), (903, "\U0001f6a6" * 30 + "tail of the text")], "doc_id long, text string")
-    grams = F.regexp_extract_all("text", F.lit("(?s)(?=(.{8}))"), F.lit(1))
-    rows = docs.select("text", fingerprints.winnowed(F.col("text")).alias("found"), F.transform(grams, lambda g: F.shiftright(F.xxhash64(g), 32)).alias("hashes")).collect()
+    texts = [*(t for _, t in corpus[:40]), "short", "", "a" * 200, "\U0001f6a6" * 30 + "tail of the text", EMOJI, EMOJI[::-1], "\U0001f6a6", "x" * 55]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", fingerprints.winnowed(F.col("text")).alias("found")).collect()
     for r in rows:
-        h, expected = r["hashes"], []
-        for k in range(max(len(h) - 47, 1) if h else 0):
-            window = h[k : k + 48]
-            at = k + max(j for j, v in enumerate(window) if v == min(window))
-            if not expected or expected[-1][1] != at:
-                expected.append((h[at], at))
-        assert not h or [(x["hash"], x["pos"]) for x in r["found"]] == expected
-        assert len(r["found"]) == (0 if not r["text"] else len(expected) or 1)
+        assert [(x["hash"], x["pos"]) for x in r["found"]] == winnow(r["text"]), r["text"]
+        assert all(x["pos"] < max(len(r["text"]), 1) for x in r["found"])
 
 
 def test_edited_texts(spark, corpus):
-    docs = [*corpus, (950, "tiny"), (951, ""), (952, None), (953, "x" * 55), (954, "y" * 90)]
+    docs = [*corpus, (950, "tiny"), (951, ""), (952, None), (953, "x" * 55), (954, "y" * 90), (955, EMOJI), (956, "a" + EMOJI), (957, EMOJI * 3), (958, EMOJI * 3), (959, "")]
     ordered = sorted(docs, reverse=True)
-    edited = {}
+    found = {r["doc_id"]: r for r in fingerprints.fingerprint_report(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert len(found) == len(docs)
     for k, (i, t) in enumerate(ordered):
         text, after = t or "", ordered[(k + 1) % len(ordered)][1] or ""
-        edited[i] = text[: len(text) - len(text) // 3] + after[: len(text) // 3]
-    found = {r["doc_id"]: r for r in fingerprints.fingerprint_report(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert {i: r["edited_sha256"] for i, r in found.items()} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in edited.items()}
-    anew = spark.createDataFrame(list(edited.items()), "doc_id long, text string").select("doc_id", fingerprints.as_string(F.transform(fingerprints.chosen(F.col("text")), fingerprints.hash_of)).alias("f"))
-    assert {r["doc_id"]: r["f"] for r in anew.collect()} == {i: r["edited_fingerprint"] for i, r in found.items()}
-    assert all(0 <= r[c] <= 1 for r in found.values() for c in ("near_edited", "near_next"))
+        edited = text[: len(text) - len(text) // 3] + after[: len(text) // 3]
+        own, new, following = ([h for h, _ in winnow(x)] for x in (text, edited, after))
+        r = found[i]
+        assert (r["n_chars"], r["edited_sha256"]) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
+        assert r["fingerprint"] == " ".join(f"{h:X}" for h in own) and r["edited_fingerprint"] == " ".join(f"{h:X}" for h in new), i
+        assert (r["near_edited"], r["near_next"]) == (pytest.approx(alike(own, new)), pytest.approx(alike(own, following)))
+
+
+def turned(n, flip):
+    """n bytes of two letters in an order that polynomials modulo a power of two don't tell from its opposite."""
+    return "".join("ab"[(bin(i).count("1") + flip) % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_long_words_are_told_apart(spark, n):
+    word, other = turned(n, 0), turned(n, 1)
+    docs = [(k, " ".join([f"w{j}" for j in range(6)] + [w] + [f"v{j}" for j in range(6)])) for k, w in enumerate([word, other])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert [r["n_removed"] for r in substring_dedup.substring_report(df).collect()] == [0, 0]
+    assert {r["component_id"] for r in minhash_dedup.near_duplicate_report(df, 4).collect()} == {0, 1}
+    assert sum(r["n_removed"] for r in substring_dedup.substring_report(spark.createDataFrame([docs[0], (5, docs[0][1])], "doc_id long, text string")).collect()) == 13
+
+
+def test_word_hashes_go_by_content():
+    rng = random.Random(11)
+    made = ["".join(rng.choice("abcé日") for _ in range(rng.randrange(1, 30))).encode() for _ in range(3000)]
+    texts = [b"\t".join(made[i : i + 60]) + b"\n" * (i % 3) for i in range(0, 3000, 60)] + [b"", b" ", b"\x0bA a"]
+    hashes, counts = word_hashes(texts, ways=2)
+    flat = [w for t in texts for w in t.split()]
+    assert counts.tolist() == [len(t.split()) for t in texts]
+    for h in hashes:
+        assert len(set(zip(flat, h.tolist(), strict=True))) == len(set(flat)) == len(set(h.tolist()))
+    lower, _ = word_hashes([b"ABC abc \xc3\x89 \xc3\xa9"], lower=True)
+    assert lower[0][0] == lower[0][1] and lower[0][2] != lower[0][3]
+
+
+@pytest.mark.parametrize("depth", [3, 8, 13, 40, 100])
+def test_bucket_pointers(depth):
+    rng = random.Random(depth)
+    texts = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(150))) for _ in range(8)]
+    texts += [texts[0] * 3, texts[1] + texts[0]]
+    data, ends = b"".join(texts), np.repeat(np.cumsum([len(t) for t in texts]), [len(t) for t in texts])
+    pointer = bucket_pointers(np.frombuffer(data, np.uint8), ends, depth)
+    found = {}
+    for i in range(len(data)):
+        if i + depth > ends[i]:
+            assert pointer[i] == -1
+        else:
+            found.setdefault(data[i : i + depth], set()).add(int(pointer[i]))
+    assert all(len(p) == 1 for p in found.values())
+    ordered = [p for k in sorted(found) for p in found[k]]
+    assert ordered == sorted(set(ordered))
+
+
+@pytest.mark.parametrize("fan_out", [1, 3])
+def test_exchange_in_two_levels(spark, corpus, fan_out, monkeypatch):
+    """More buckets than a chunk deals to, a few entries at a time: the same results."""
+    docs = spark.createDataFrame([(i, t) for i, t in corpus], "doc_id long, text string").repartition(3)
+    expected = sorted(map(tuple, substring_dedup.substring_report(docs).collect())), sorted(map(tuple, suffix_dedup.suffix_report(docs).collect()))
+    for module in (substring_dedup, suffix_dedup):
+        monkeypatch.setattr(module, "bucket_count", lambda *_: 7)
+        monkeypatch.setattr(module, "Buckets", functools.partial(first_owner.Buckets, fan_out=fan_out, again_entries=300, slice_entries=100))
+    assert (sorted(map(tuple, substring_dedup.substring_report(docs).collect())), sorted(map(tuple, suffix_dedup.suffix_report(docs).collect()))) == expected
+
+
+def test_hot_shingles_are_not_paired_within_a_component(spark):
+    """Many sets with one common part: pairs are made across components only."""
+    common = list(range(1000, 1090))
+    sets = {i: np.array(sorted([*common, *range(i * 20, i * 20 + 10)]), "<u8") for i in range(40)}
+    rows = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in sets.items()], "node long, set binary")
+    members = spark.createDataFrame([(1, i, 100, 0 if i else 77) for i in sets], "bucket long, node long, size long, comp long")
+    none = spark.createDataFrame([], "node long, leader long, linked boolean")
+    pairs = {(r["leader"], r["node"]) for r in minhash_dedup._prefix_pairs(members, rows, none, 80).collect()}
+    assert pairs == {(0, i) for i in sets if i}

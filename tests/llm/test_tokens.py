@@ -50,7 +50,7 @@ def test_pre_tokens_and_ids(text):
     pieces, special = vocab.pre_tokens(text, raw)
     expected = vocab.ids([text])[0]
     assert sum(map(len, vocab.ids(pieces))) + special == len(expected) if pieces else special == len(expected)
-    assert packing.token_ids(raw, path, public_tokenizers.path("byte_bpe_50k.tiktoken")).tolist() == expected
+    assert packing.token_ids(raw, path).tolist() == expected
 
 
 def test_packing(spark, docs, library):
