@@ -40,18 +40,19 @@ def let(value: Column, body) -> Column:
 
 
 def _rolled(values: Column, span: int = 1) -> Column:
-    """Hashes of GRAM code points from those of `span`, each with its position counted down in the low half."""
+    """Hashes of GRAM code points from those of `span`, each with its position counted down in the low half; the last GRAM - 1 values only fill grams up."""
     factor = F.lit(pow(BASE, span, PRIME))
-    wider = lambda x, i: (x * factor + F.coalesce(F.get(values, i + span), F.lit(0).cast("long"))) % F.lit(PRIME)
     if 2 * span < GRAM:
-        return let(F.transform(values, wider), lambda v: _rolled(v, 2 * span))
-    return F.transform(values, lambda x, i: wider(x, i) * F.lit(_PLACES) + (F.lit(_PLACES - 1) - i))
+        wider = F.zip_with(values, F.slice(values, span + 1, F.greatest(F.size(values) - span, F.lit(0))), lambda x, y: (x * factor + y) % F.lit(PRIME))
+        return let(wider, lambda v: _rolled(v, 2 * span))
+    grams = F.slice(values, 1, F.greatest(F.size(values) - 2 * (GRAM - 1), F.lit(1)))
+    return F.transform(grams, lambda x, i: (x * factor + F.get(values, i + span)) % F.lit(PRIME) * F.lit(_PLACES) + (F.lit(_PLACES - 1) - i))
 
 
 def chosen(text: Column) -> Column:
     """The chosen grams of a non-null text, by position: 62-bit numbers of hash (high half) and position counted down (low half)."""
     points = F.transform(F.split(text, ""), lambda x: F.ascii(x).cast("long"))
-    packed = let(let(points, lambda p: _rolled(p)), lambda p: F.slice(p, 1, F.greatest(F.size(p) - (GRAM - 1), F.lit(1))))
+    packed = let(F.concat(points, F.array_repeat(F.lit(0).cast("long"), GRAM - 1)), lambda p: _rolled(p))
 
     def least(hashes, span, steps):
         """The least of each WINDOW hashes: the least of spans, of spans of spans, and so on."""
@@ -62,7 +63,7 @@ def chosen(text: Column) -> Column:
 
     def windows(p):
         n = F.size(p) - WINDOW + 1
-        every = let(least(p, 1, STEPS), lambda m: F.filter(F.slice(m, 1, F.greatest(n, F.lit(1))), lambda x, i: F.coalesce(x != F.get(m, i - 1), F.lit(True))))
+        every = let(least(p, 1, STEPS), lambda m: F.array_distinct(F.slice(m, 1, F.greatest(n, F.lit(1)))))  # a gram is the least of windows in a row
         return F.when(n > 1, every).otherwise(F.array(F.array_min(p)))
 
     none = F.array().cast("array<bigint>")
