@@ -20,11 +20,13 @@ VOCABULARY = "byte_bpe_50k.json"
 # classes spelled out for code points below U+0240.
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ȿ", "0-9²³¹¼½¾", "\\t-\\r \x85\xa0"
 _SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+_WORD = re.compile(f" [{_L}]+")
+_JOINED = 256
 #: The largest byte of a UTF-8 text whose code points are all below U+0240.
 _LAST_BYTE = 0xC8
 
 #: Pre-tokens whose ids a process keeps.
-KNOWN_PIECES = 400_000
+KNOWN_PIECES = 800_000
 
 
 class Vocabulary:
@@ -34,6 +36,10 @@ class Vocabulary:
         self.tokenizer = Tokenizer.from_file(path)
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.special]
         self.known: dict[str, bytes] = {}
+        blank = self.tokenizer.pre_tokenizer.pre_tokenize_str(" a")[0][0][0]  # as the vocabulary spells it
+        vocab = self.tokenizer.get_vocab()
+        self.leads = np.zeros(max(vocab.values()) + 1, bool)
+        self.leads[[i for token, i in vocab.items() if token[0] == blank]] = True
         self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
 
     def pre_tokens(self, text: str, raw: bytes) -> tuple[list[str], int]:
@@ -61,12 +67,23 @@ class Vocabulary:
                 if len(self.known) > KNOWN_PIECES:
                     self.known.clear()
                     new = list(dict.fromkeys(pieces))
-                self.known.update((p, array("I", ids).tobytes()) for p, ids in zip(new, self.ids(new), strict=True))
+                self._learn(new)
             if special:
                 out.append(np.array([self.tokenizer.token_to_id(special)], "<u4").tobytes())
             out += map(self.known.__getitem__, pieces)
         return np.frombuffer(b"".join(out), "<u4")
 
+    def _learn(self, pieces: list[str]) -> None:
+        """Tokenise pre-tokens: blank-led words in a row, as they split again where they were joined, others each by itself."""
+        words, others = [p for p in pieces if _WORD.fullmatch(p)], [p for p in pieces if not _WORD.fullmatch(p)]
+        self.known.update((p, array("I", ids).tobytes()) for p, ids in zip(others, self.ids(others), strict=True))
+        rows = [words[i : i + _JOINED] for i in range(0, len(words), _JOINED)]
+        for row, ids in zip(rows, self.ids(["".join(r) for r in rows]), strict=True):
+            flat = np.array(ids, "<u4")
+            cuts = (4 * np.append(np.flatnonzero(self.leads[flat]), len(flat))).tolist()  # only a word's first token has the blank
+            data = flat.tobytes()
+            self.known.update((p, data[s:e]) for p, s, e in zip(row, cuts[:-1], cuts[1:], strict=True))
+
     def _around_special(self, text: str) -> list[tuple[str, str]]:
         """The special strings of a text, each with what follows it."""
         found = [m.group() for m in self.special.finditer(text)]
