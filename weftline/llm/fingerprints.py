@@ -21,13 +21,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import NO_ID, cut, ranked
+from weftline.llm.common import NO_ID, cut, ranked, tag_of
 
 #: A power of two.
 GRAM = 8
 #: The window is the product of these steps.
 STEPS = (4, 4, 3)
 WINDOW = 48
+#: Code points of a window: grams and windows that start so far before a place don't reach it.
+LEAD = GRAM + WINDOW - 1
 PRIME = (1 << 31) - 1
 BASE = 1_000_003
 
@@ -110,37 +112,56 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     doc_id, n_chars, edited, hashes, edited_hashes, next_hashes (arrays of int).
 
-    A text's fingerprint is made once.  The edited one takes from it what was chosen
-    up to the last window before the edit, and is made anew from there on."""
+    A text's fingerprint is made once.  All windows around a gram that starts LEAD or
+    more code points before the end of what is kept are the text's own; all those
+    around a gram from the WINDOW-th on, and as far from the end of what is put on,
+    are the next document's.  So both are taken from there, and only what stands
+    around the seam and at the end is made anew."""
     key, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
     whole = F.coalesce(text, F.lit(""))
-    rows = docs.select(F.coalesce(key, F.lit(int(NO_ID))).alias("of"), F.hash(key, text).alias("tag"), whole.alias("text"))
+    rows = docs.select(F.coalesce(key, F.lit(int(NO_ID))).alias("of"), tag_of(id_col, text_col).alias("tag"), whole.alias("text"))
     steps, repeated = successors(rows.select("of", "tag", F.length("text").alias("n_chars")))
 
-    kept = F.length("text") - F.floor(F.length("text") / 3)
-    last = kept - GRAM - WINDOW + 1  # the last window that the edit leaves alone
-    made = rows.select("of", "tag", "text", last.alias("last"), chosen(F.col("text")).alias("chosen"))
-    made = made.select("of", "tag", "text", F.transform("chosen", hash_of).alias("hashes"), F.size(F.filter("chosen", lambda x: position_of(x) <= F.col("last"))).alias("n_kept"))
+    made = rows.select("of", "tag", "text", chosen(F.col("text")).alias("chosen"))
+    made = made.select("of", "tag", "text", F.transform("chosen", hash_of).alias("hashes"), F.transform("chosen", lambda x: position_of(x).cast("int")).alias("places"))
     if repeated:
         made = made.dropDuplicates(["of", "tag"])
 
     ask = steps.select(F.col("next_of").alias("of"), F.col("next_tag").alias("tag"), F.col("of").alias("to_of"), F.col("tag").alias("to_tag"), "place", F.floor(F.col("n_chars") / 3).cast("int").alias("take"))
-    # n_kept goes along so that both uses of `made` read the same columns, and so the same exchange
-    given = made.join(ask, ["of", "tag"]).select(F.col("to_of").alias("of"), F.col("to_tag").alias("tag"), "place", F.expr("substring(text, 1, take)").alias("head"), F.col("hashes").alias("next_hashes"), F.col("n_kept").alias("next_kept"))
+    head = F.expr("substring(text, 1, take)")
+    met = made.join(ask, ["of", "tag"]).select(F.col("to_of").alias("of"), F.col("to_tag").alias("tag"), "place", head.alias("head"), F.col("hashes").alias("next_hashes"), "places")
+    put = F.length("head")
+    inside = _between(F.col("next_hashes"), F.col("places"), F.lit(WINDOW - 1), put - LEAD)
+    given = met.select("of", "tag", "place", "head", "next_hashes", inside.alias("inside"))
     both = made.join(given, ["of", "tag"])
 
     kept = (F.length("text") - F.floor(F.length("text") / 3)).cast("int")
-    both = both.select("of", "text", "hashes", "n_kept", F.when(F.col("next_kept") >= 0, F.col("next_hashes")).alias("next_hashes"), F.length("text").cast("long").alias("n_chars"), kept.alias("kept"), F.concat(F.substring("text", F.lit(1), kept), "head").alias("edited"))
-    last = F.col("kept") - GRAM - WINDOW + 1
-    start = F.greatest(last - WINDOW + 2, F.lit(0))
-    tail = F.expr("substring(edited, start + 1, length(edited))")
-    both = both.withColumns({"last": last, "start": start}).withColumn("tail", chosen(tail))
-    anew = F.filter("tail", lambda x: position_of(x) + F.col("start") > F.col("last"))
-    edited_hashes = F.concat(F.slice("hashes", 1, F.col("n_kept")), F.transform(anew, hash_of))
+    own = _between(F.col("hashes"), F.col("places"), F.lit(0), kept - LEAD)
+    both = both.select("of", "hashes", "next_hashes", "inside", own.alias("own"), F.length("text").cast("long").alias("n_chars"), kept.alias("kept"), put.alias("put"), F.concat(F.substring("text", F.lit(1), kept), "head").alias("edited"))
+    # the first and last gram that are made anew at the seam, and the first one at the end; in one stretch, if what is put on is short
+    seam, end = F.col("kept") - LEAD + 1, F.col("kept") + F.greatest(F.col("put") - LEAD + 1, F.lit(WINDOW - 1))
+    seam_stop = F.when(F.col("put") - LEAD >= WINDOW - 1, F.col("kept") + (WINDOW - 2)).otherwise(F.col("kept") + F.col("put"))
+    anew = _made_anew(F.col("edited"), seam, seam_stop)
+    last = F.when(F.col("put") - LEAD >= WINDOW - 1, _made_anew(F.col("edited"), end, F.length("edited"))).otherwise(F.array().cast("array<int>"))
+    edited_hashes = F.concat("own", anew, "inside", last)
     doc_id = F.when(F.col("of") != NO_ID, F.col("of"))
     return both.select(doc_id.alias("doc_id"), "n_chars", "edited", "hashes", edited_hashes.alias("edited_hashes"), "next_hashes")
 
 
+def _between(hashes: Column, places: Column, low: Column, high: Column) -> Column:
+    """The hashes of a fingerprint whose positions are from low to high, both included."""
+    before = F.size(F.filter(places, lambda p: p < low))
+    upto = F.size(F.filter(places, lambda p: p <= high))
+    return F.when(upto > before, F.slice(hashes, before + 1, F.greatest(upto - before, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+
+
+def _made_anew(text: Column, low: Column, high: Column) -> Column:
+    """Hashes chosen from the grams at low to high, from as much of the text as their windows cover."""
+    start = F.greatest(low - (WINDOW - 1), F.lit(0)).cast("int")
+    found = chosen(F.substring(text, start + 1, (high - start + LEAD + 1).cast("int")))
+    return F.transform(F.filter(found, lambda x: (position_of(x) + start >= low) & (position_of(x) + start <= high)), hash_of)
+
+
 def fingerprint_report(docs: DataFrame) -> DataFrame:
     found = edited_fingerprints(docs)
     return found.select(

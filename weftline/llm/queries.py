@@ -68,6 +68,102 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_SQL2 = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS text, coalesce(lead(text) OVER (ORDER BY doc_id DESC), CASE WHEN row_number() OVER (ORDER BY doc_id DESC) = count(*) OVER () THEN first_value(text) OVER (ORDER BY doc_id DESC) END, '') AS following
+  FROM documents
+), texts AS (
+  SELECT doc_id, 'own' AS kind, text, CAST(length(text) AS BIGINT) AS n FROM docs
+  UNION ALL SELECT doc_id, 'edited', left(text, length(text) - length(text) // 3) || left(following, length(text) // 3), NULL FROM docs
+), points AS (
+  SELECT doc_id, kind, CAST(unicode(unnest(ps)) AS BIGINT) AS c, unnest(range(len(ps))) AS pos, len(ps) AS n FROM (SELECT doc_id, kind, regexp_extract_all(text, '(?s).') AS ps FROM texts)
+), rolled AS (
+  SELECT doc_id, kind, pos, greatest(n - 7, 1) AS n, %(hash)s AS h FROM points WINDOW w AS (PARTITION BY doc_id, kind ORDER BY pos)
+), windows AS (
+  SELECT doc_id, kind, pos, n, min(h * 2147483648 + 2147483647 - pos) OVER (PARTITION BY doc_id, kind ORDER BY pos ROWS BETWEEN CURRENT ROW AND 47 FOLLOWING) AS least FROM rolled WHERE pos < n
+), chosen AS (
+  SELECT DISTINCT doc_id, kind, least // 2147483648 AS h, 2147483647 - least % 2147483648 AS pos FROM windows WHERE pos <= greatest(n - 48, 0)
+), prints AS (
+  SELECT doc_id, kind, string_agg(printf('%X', h), ' ' ORDER BY pos) AS print, list_distinct(list(h)) AS hashes FROM chosen GROUP BY doc_id, kind
+), all_docs AS (
+  SELECT t.doc_id, t.n AS n_chars, sha256(e.text) AS edited_sha256, coalesce(p.print, '') AS fingerprint, coalesce(q.print, '') AS edited_fingerprint,
+    coalesce(p.hashes, []) AS a, coalesce(q.hashes, []) AS b
+  FROM texts t JOIN texts e ON e.doc_id = t.doc_id AND e.kind = 'edited'
+  LEFT JOIN prints p ON p.doc_id = t.doc_id AND p.kind = 'own' LEFT JOIN prints q ON q.doc_id = t.doc_id AND q.kind = 'edited' WHERE t.kind = 'own'
+), beside AS (
+  SELECT *, coalesce(lead(a) OVER (ORDER BY doc_id DESC), first_value(a) OVER (ORDER BY doc_id DESC)) AS c FROM all_docs
+)
+SELECT doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
+  CASE WHEN len(a) + len(b) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) END AS near_edited,
+  CASE WHEN len(a) + len(c) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(a, c)) / (len(a) + len(c) - len(list_intersect(a, c))) END AS near_next
+FROM beside
+"""
+
+
+def _sql2() -> str:
+    rolled = "c"
+    for k in range(1, fingerprints.GRAM):
+        rolled = f"(({rolled}) * {fingerprints.BASE} + coalesce(lead(c, {k}) OVER w, 0)) % {fingerprints.PRIME}"
+    return _SQL2.replace("%(hash)s", rolled)
+
+
+_SQL1 = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS ws FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[p:p+3], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 2))) AS p FROM words WHERE len(ws) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), classes AS (
+  SELECT min(doc_id) AS node, n, sig FROM (SELECT doc_id, count(*) AS n, md5(string_agg(s, chr(10) ORDER BY s)) AS sig FROM shingles GROUP BY doc_id) GROUP BY n, sig
+), held AS (
+  SELECT node, n, s FROM classes JOIN shingles ON doc_id = node
+), common AS (
+  SELECT x.node AS a, y.node AS b, x.n AS na, y.n AS nb, count(*) AS meet FROM held x JOIN held y ON x.s = y.s AND x.node < y.node AND 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n) GROUP BY ALL
+), links AS (
+  SELECT a, b FROM common WHERE 100 * meet >= 80 * (na + nb - meet)
+), edges AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reached AS (
+  SELECT node AS a, node AS b FROM classes UNION SELECT r.a, e.b FROM reached r JOIN edges e ON e.a = r.b
+), roots AS (
+  SELECT a AS node, min(b) AS root FROM reached GROUP BY a
+), of_doc AS (
+  SELECT g.doc_id, c.node FROM (SELECT doc_id, count(*) AS n, md5(string_agg(s, chr(10) ORDER BY s)) AS sig FROM shingles GROUP BY doc_id) g JOIN classes c USING (n, sig)
+)
+SELECT w.doc_id, coalesce(sizes.n, 0) AS n_shingles, coalesce(root, w.doc_id) AS component_id, coalesce(root, w.doc_id) = w.doc_id AS kept
+FROM words w LEFT JOIN sizes USING (doc_id) LEFT JOIN of_doc USING (doc_id) LEFT JOIN roots USING (node)
+"""
+
+
+_SQL6 = r"""
+WITH raw AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), sized AS (
+  SELECT doc_id, h, CAST(length(h) // 2 AS BIGINT) AS n FROM raw
+), strings AS (
+  SELECT doc_id, p, md5_number(substring(h, 2 * p + 1, 200)) AS k FROM (SELECT doc_id, h, unnest(range(n - 99)) AS p FROM sized WHERE n >= 100)
+), firsts AS (
+  SELECT k, min(doc_id * 4294967296 + p) AS least FROM strings GROUP BY k
+), lost AS (
+  SELECT doc_id, p FROM strings JOIN firsts USING (k) WHERE least < doc_id * 4294967296 + p
+), heads AS (
+  SELECT doc_id, p, coalesce(p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) > 100, true) AS head FROM lost
+), runs AS (
+  SELECT doc_id, min(p) AS b, max(p) + 100 AS e FROM (SELECT doc_id, p, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY p) AS r FROM heads) GROUP BY doc_id, r
+), gaps AS (
+  SELECT doc_id, e AS b, coalesce(lead(b) OVER (PARTITION BY doc_id ORDER BY b), n) AS e FROM runs JOIN sized USING (doc_id)
+  UNION ALL SELECT doc_id, 0, coalesce(min(b), any_value(n)) FROM sized LEFT JOIN runs USING (doc_id) GROUP BY doc_id
+), kept AS (
+  SELECT doc_id, string_agg(substring(h, 2 * b + 1, 2 * (e - b)), '' ORDER BY b) AS h FROM gaps JOIN sized USING (doc_id) GROUP BY doc_id
+), removed AS (
+  SELECT doc_id, CAST(sum(e - b) AS BIGINT) AS n_removed, count(*) AS n_spans FROM runs GROUP BY doc_id
+)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(kept.h)) AS kept_sha256
+FROM sized LEFT JOIN removed USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 _SQL9 = r"""
 WITH words AS (
   SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents
@@ -165,4 +261,4 @@ def _sql4() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": _sql4(), "op9_substring_dedup": _SQL9}
+    return {"op1_minhash_dedup": _SQL1, "op2_fingerprints": _sql2(), "op4_quality_rules": _sql4(), "op6_suffix_dedup": _SQL6, "op9_substring_dedup": _SQL9}
