@@ -21,6 +21,7 @@ each; other columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import itertools
+import math
 from dataclasses import dataclass
 
 import xxhash
@@ -52,13 +53,21 @@ def _total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, b: a + b)
 
 
-def _diverged(x: Column, y: Column) -> Column:
-    """What two shares add to twice the Jensen-Shannon divergence, to base 2."""
-    m = (x + y) / 2
-    return F.when(x > 0, x * F.log2(x / m)).otherwise(0.0) + F.when(y > 0, y * F.log2(y / m)).otherwise(0.0)
+def _entropy(x: Column) -> Column:
+    return F.when(x > 0, x * F.log2(x)).otherwise(0.0)
+
+
+def _shared(x: Column, y: Column) -> Column:
+    """Of two shares, what their mean takes off the sum of their entropies."""
+    return F.when(x + y > 0, (x + y) * F.log2((x + y) / 2)).otherwise(0.0)
+
+
+def _plain(x: float) -> float:
+    return x * math.log2(x) if x > 0 else 0.0
 
 
 def _distance(twice: Column) -> Column:
+    """From twice the Jensen-Shannon divergence, to base 2: the sum over all bins of the two entropies less what is shared."""
     return F.sqrt(F.greatest(twice / 2, F.lit(0.0)))
 
 
@@ -107,9 +116,9 @@ def class_distance(text: Column, refs: References) -> Column:
     """Distance of a text's character classes from the nearest language; 0 for an empty text, or without references."""
     if not refs.classes:
         return F.lit(0.0)
-    shares = let(class_counts(text), lambda c: F.transform(c, lambda x: x / F.greatest(F.length(text), F.lit(1))))
-    one = lambda p, q: _total(F.zip_with(p, F.array(*map(F.lit, q)), _diverged))
-    nearest = let(shares, lambda p: F.array_min(F.array(*(_distance(one(p, q)) for q in refs.classes.values()))))
+    shares = let(class_counts(text), lambda c: let(F.greatest(_total(c), F.lit(1.0)), lambda n: F.transform(c, lambda x: x / n)))
+    one = lambda p, own, q: own + F.lit(sum(map(_plain, q))) - _total(F.zip_with(p, _constant(q, "double"), _shared))
+    nearest = let(shares, lambda p: let(_total(F.transform(p, _entropy)), lambda own: F.array_min(F.array(*(_distance(one(p, own, q)) for q in refs.classes.values())))))
     return F.when(F.length(text) > 0, nearest).otherwise(0.0)
 
 
@@ -143,20 +152,27 @@ def word_distance(words: Column, refs: References) -> Column:
     def ends(ordered):
         return F.filter(F.transform(ordered, lambda x, i: F.when(x != F.coalesce(F.get(ordered, i + 1), F.lit("")), i + 1)), lambda i: i.isNotNull())
 
-    def nearest(runs, n):
-        """runs: struct number, share of each reference word that the text has."""
+    def nearest(runs):
+        """runs: struct number, share, entropy of each reference word that the text has."""
 
         def one(lang, q):
-            of = lambda x: F.get(shares[lang], x.number)
-            own = F.filter(runs, lambda x: of(x) > 0)
-            rest = lambda r: _diverged(F.greatest(1 - _total(F.transform(r, lambda x: x.share)), F.lit(0.0)), F.lit(max(1 - sum(q.values()), 0.0)))
-            return _distance(let(own, lambda r: _total(F.transform(r, lambda x: _diverged(x.share, of(x)) - of(x))) + F.lit(sum(q.values())) + rest(r)))
+            share, alone = shares[lang], _constant([_plain(q.get(w, 0.0)) - q.get(w, 0.0) for w in known], "double")
+            of = lambda x: F.get(share, x.number)
+            added = F.aggregate(runs, F.lit(sum(q.values())), lambda a, x: a + F.when(of(x) > 0, x.entropy + F.get(alone, x.number) - (x.share + of(x)) * F.log2((x.share + of(x)) / 2)).otherwise(0.0))
+            rest = 1 - F.aggregate(runs, F.lit(0.0), lambda a, x: a + F.when(of(x) > 0, x.share).otherwise(0.0))
+            other = max(1 - sum(q.values()), 0.0)
+            return _distance(added + let(F.greatest(rest, F.lit(0.0)), lambda r: _entropy(r) + F.lit(_plain(other)) - _shared(r, F.lit(other))))
 
         return F.array_min(F.array(*(one(lang, q) for lang, q in refs.words.items())))
 
+    def run(s, e, n):
+        """The run that ends with each of the places e in the sorted words s."""
+        part = F.transform(e, lambda x, i: F.struct(F.get(s, x - 1).alias("word"), ((x - F.coalesce(F.get(e, i - 1), F.lit(0))) / n).alias("share")))
+        return F.transform(part, lambda x: F.struct(number(x.word).alias("number"), x.share.alias("share"), _entropy(x.share).alias("entropy")))
+
     frequent = F.sort_array(F.filter(words, lambda w: w.isin(known)))
-    counted = let(frequent, lambda s: let(ends(s), lambda e: F.transform(e, lambda x, i: F.struct(number(F.get(s, x - 1)).alias("number"), ((x - F.coalesce(F.get(e, i - 1), F.lit(0))) / F.size(words)).alias("share")))))
-    return F.when(F.size(words) > 0, let(counted, lambda r: nearest(r, F.size(words)))).otherwise(1.0)
+    counted = let(frequent, lambda s: let(ends(s), lambda e: run(s, e, F.size(words))))
+    return F.when(F.size(words) > 0, let(counted, lambda r: nearest(r))).otherwise(1.0)
 
 
 def repeated_words(words: Column) -> Column:
@@ -181,7 +197,8 @@ def repeated_words(words: Column) -> Column:
         return let(maybe, lambda m: F.when(F.size(m) > 0, exactly(hashes, m)).otherwise(F.lit(0).cast("long")))
 
     hashes = F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
-    return F.when(F.size(words) >= 4, let(hashes, of)).otherwise(F.lit(0).cast("long"))
+    some = lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), of(h)).otherwise(F.lit(0).cast("long"))
+    return F.when(F.size(words) >= 4, let(hashes, some)).otherwise(F.lit(0).cast("long"))
 
 
 def duplicate_lines(text: Column) -> Column:
@@ -199,7 +216,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 def judgement(text_col: Column, refs: References) -> Column:
     """The verdict on one text with all that it rests on, as a struct."""
     text = F.coalesce(text_col.cast("string"), F.lit(""))
-    n_symbols = F.length(text) - F.length(_removed(text, r"[#*$%&|<>]+"))
+    n_symbols = F.regexp_count(text, F.lit(r"[#*$%&|<>]"))
 
     def measured(words):
         return F.struct(
