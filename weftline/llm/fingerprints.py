@@ -150,16 +150,16 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def _between(hashes: Column, places: Column, low: Column, high: Column) -> Column:
     """The hashes of a fingerprint whose positions are from low to high, both included."""
-    before = F.size(F.filter(places, lambda p: p < low))
-    upto = F.size(F.filter(places, lambda p: p <= high))
-    return F.when(upto > before, F.slice(hashes, before + 1, F.greatest(upto - before, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+    bounds = F.struct(low.cast("int").alias("low"), high.cast("int").alias("high"))
+    ends = let(bounds, lambda b: F.struct(F.size(F.filter(places, lambda p: p < b.low)).alias("before"), F.size(F.filter(places, lambda p: p <= b.high)).alias("upto")))
+    return let(ends, lambda e: F.slice(hashes, e.before + 1, F.greatest(e.upto - e.before, F.lit(0))))
 
 
 def _made_anew(text: Column, low: Column, high: Column) -> Column:
     """Hashes chosen from the grams at low to high, from as much of the text as their windows cover."""
-    start = F.greatest(low - (WINDOW - 1), F.lit(0)).cast("int")
-    found = chosen(F.substring(text, start + 1, (high - start + LEAD + 1).cast("int")))
-    return F.transform(F.filter(found, lambda x: (position_of(x) + start >= low) & (position_of(x) + start <= high)), hash_of)
+    bounds = F.struct(low.cast("int").alias("low"), high.cast("int").alias("high"), F.greatest(low - (WINDOW - 1), F.lit(0)).cast("int").alias("start"))
+    part = let(bounds, lambda b: F.struct(F.substring(text, b.start + 1, b.high - b.start + LEAD + 1).alias("text"), (b.low - b.start).alias("low"), (b.high - b.start).alias("high")))
+    return let(part, lambda x: F.transform(F.filter(chosen(x.text), lambda g: (position_of(g) >= x.low) & (position_of(g) <= x.high)), hash_of))
 
 
 def fingerprint_report(docs: DataFrame) -> DataFrame:
