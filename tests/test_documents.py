@@ -1,90 +1,144 @@
+"""Detector files, map files and the command line, on one small town."""
+
 import json
+import subprocess
+import sys
 import xml.etree.ElementTree as ET
 from pathlib import Path
 
 import pytest
-from networks import connection, edge, junction, lane, net, program
+from networks import crossing, plan, street, town, turn
 from pyspark.sql import functions as F
 
-from weftline import cli
+from weftline import cli, sinks
+from weftline.functions.crs import ProjectionError, parse_proj
 from weftline.functions.text import plain_number
 from weftline.operators.features import UnknownLaneError, check_lanes, gate_pairs
 from weftline.operators.zones import generate
 from weftline.sources.network import read_network
 
-UTM = "+proj=utm +zone=31 +ellps=WGS84 +datum=WGS84 +units=m +no_defs"
+PARTS = [
+    street("ring", 90, 90, width=2.5, shapes=["100,50 190,50", "100,47 190,47"]),
+    street("side", 35.75, width=4, shapes=["200,10 200,45.75"]),
+    street("blind", 9),
+    plan("lights", "GGr", "rrG"),
+    crossing("north", "ring_0", "ring_1", "side_0", "blind_0", at=(201.25, -0.5)),
+    turn("ring_0", "s", "lights", 0),
+    turn("ring_1", "s", "lights", 1),
+    turn("side_0", "l", "lights", 2),
+]
+PLACE = {"offset": "-390000,-5810000", "projection": "+proj=utm +zone=33 +ellps=GRS80 +units=m +no_defs"}
+
+
+@pytest.fixture
+def files(tmp_path):
+    source = tmp_path / "town.net.xml"
+    source.write_text(town(*PARTS, **PLACE))
+    return source, tmp_path / "new" / "town.add.xml", tmp_path / "maps" / "town.json"
+
+
+def test_numbers_are_plain(spark):
+    pairs = {0.25: "0.25", -17.0: "-17", 0.0: "0", 2500.0: "2500", 3e9: "3000000000", 1e-4: "0.0001", 61.70000076293945: "61.70000076293945"}
+    rows = spark.createDataFrame([(v,) for v in pairs], "v double").select("v", plain_number(F.col("v")).alias("t")).collect()
+    assert {r["v"]: r["t"] for r in rows} == pairs
+
+
+def test_detector_file(spark, files):
+    source, out, _ = files
+    cli.run(cli.Config(source, out, 40.0), spark)
+    document = out.read_text()
+    zones = list(ET.fromstring(document))
+    assert [(z.tag, z.attrib) for z in zones] == [
+        ("e3Detector", {"id": "ring_straight", "file": "detector_output/ring_straight.xml", "pos": "201.25,-0.5"}),
+        ("e3Detector", {"id": "side_left", "file": "detector_output/side_left.xml", "pos": "201.25,-0.5"}),
+    ]
+    gates = lambda kind, *lanes: [(kind, {"lane": lane, "pos": pos, "friendlyPos": "true"}) for lane, pos in lanes]
+    assert [(g.tag, g.attrib) for g in zones[0]] == gates("detEntry", ("ring_0", "50"), ("ring_1", "50")) + gates("detExit", ("ring_0", "90"), ("ring_1", "90"))
+    assert [(g.tag, g.attrib) for g in zones[1]] == gates("detEntry", ("side_0", "0")) + gates("detExit", ("side_0", "35.75"))
+    assert document.startswith("<?xml") and document.index(" id=") < document.index(" file=") < document.index(" pos=")
+    assert [p.name for p in out.parent.iterdir()] == [out.name]  # nothing is left beside it
+
+
+def test_a_town_without_signals(spark, tmp_path, files):
+    source, out, geo = files
+    source.write_text(town(street("lane", 5), **PLACE))
+    cli.run(cli.Config(source, out, None, geo), spark)
+    assert ET.parse(out).getroot().tag == "additional" and not len(ET.parse(out).getroot())
+    assert json.loads(geo.read_text()) == {"type": "FeatureCollection", "features": []}
+
+
+def test_map_file(spark, files):
+    source, out, geo = files
+    cli.run(cli.Config(source, out, 40.0, geo), spark)
+    text = geo.read_text()
+    ring, side = json.loads(text)["features"]
+    assert text.count("\n") > 50 and [f["properties"]["waiting_zone_id"] for f in (ring, side)] == ["ring_straight", "side_left"]
+    shapes = ring["geometry"]["coordinates"]
+    assert ring["geometry"]["type"] == "MultiPolygon" and len(shapes) == 2 and all(len(polygon) == 1 for polygon in shapes)
+    # about 1 m is 1.47e-5 degrees of longitude and 0.9e-5 of latitude there; the ring's zone is 40 m along x and 2.5 m wide
+    for (corners,) in shapes:
+        assert len(corners) == 5 and corners[0] == corners[-1]
+        east, north = zip(*corners, strict=True)
+        assert max(east) - min(east) == pytest.approx(40 * 1.47e-5, rel=0.1) and max(north) - min(north) == pytest.approx(2.5 * 0.9e-5, rel=0.6)
+    (corners,) = side["geometry"]["coordinates"][0]
+    assert max(p[1] for p in corners) - min(p[1] for p in corners) == pytest.approx(35.75 * 0.9e-5, rel=0.1)
+    east, north = ring["properties"]["stop_line"]
+    assert min(p[0] for (c,) in shapes for p in c) < east < max(p[0] for (c,) in shapes for p in c) + 1e-6 and 52.4 < north < 52.5
+
+
+def test_failures_name_their_path_and_leave_nothing(spark, files):
+    source, out, geo = files
+    source.write_text(town(*PARTS))
+    with pytest.raises(ProjectionError, match="not georeferenced"):
+        cli.run(cli.Config(source, out, None, geo), spark)
+    assert not out.exists() and not geo.exists()
+    source.write_text(town(*PARTS, **PLACE))
+    taken = source.parent / "taken"
+    taken.write_text("a file, not a folder")
+    for config in (cli.Config(source, taken / "x.xml"), cli.Config(source, out, None, taken / "x.json")):
+        with pytest.raises(sinks.WriteError, match="failed to write '.*taken/x"):
+            cli.run(config, spark)
 
 
-def network(**more):
-    return net(edge("e0", lane("e0_0", 20, shape="0,0 0,20")), program("j0", "G"), junction(inc="e0_0", x=12.5, y=-3), connection("e0", 0, "j0", 0), **more)
+@pytest.mark.parametrize("text", ["", "+proj=geos", "+proj=utm +zone=61", "+proj=utm", "+proj=tmerc +lon_0=east", "+proj=utm +zone=33 +ellps=round", "+proj=utm +zone=33 +units=ft", "+proj=tmerc +lon_0=9 +ellps=bessel +towgs84=598,74,418"])
+def test_projections_that_are_not_understood(text):
+    with pytest.raises(ProjectionError, match="invalid or unsupported"):
+        parse_proj(text)
 
 
-def test_numbers(spark):
-    values = [12.5, -3.0, 0.0, 100.0, 1e7, 89.5999984741211]
-    rows = spark.createDataFrame([(v,) for v in values], "v double").select(plain_number(F.col("v")).alias("t")).collect()
-    assert [r["t"] for r in rows] == ["12.5", "-3", "0", "100", "10000000", "89.5999984741211"]
+def test_ways_to_write_a_meridian():
+    assert parse_proj("+proj=tmerc +lon_0=9w +towgs84=0,0,0") == parse_proj("+proj=tmerc +lon_0=-9")
+    assert parse_proj("+proj=tmerc +lon_0=10d30'E") == parse_proj("+proj=tmerc +lon_0=10.5")
+    assert parse_proj("+proj=tmerc +lat_0=1d0'36S") == parse_proj("+proj=tmerc +lat_0=-1.01")
 
 
-def test_detector_file(spark, tmp_path):
-    source, out = tmp_path / "a.net.xml", tmp_path / "a.waiting-zones.add.xml"
-    source.write_text(network())
-    cli.run(cli.Config(source, out, 10.0), spark)
-    text = out.read_text()
-    root = ET.fromstring(text)
-    zone = root[0]
-    assert root.tag == "additional" and zone.attrib == {"id": "e0_straight", "file": "detector_output/e0_straight.xml", "pos": "12.5,-3"}
-    assert [(g.tag, g.attrib) for g in zone] == [("detEntry", {"lane": "e0_0", "pos": "10", "friendlyPos": "true"}), ("detExit", {"lane": "e0_0", "pos": "20", "friendlyPos": "true"})]
-    assert text.index("id=") < text.index("file=") < text.index("pos=")
+def test_zones_of_lanes_that_went_away(spark, files):
+    frames = read_network(spark, str(files[0]))
+    zones = generate(frames)[0]
+    check_lanes(zones, frames)
+    with pytest.raises(UnknownLaneError, match='zone "side_left" references lane "side_0"'):
+        check_lanes(zones, frames.with_frames(lanes=frames.lanes.where("lane_id <> 'side_0'")))
+    assert gate_pairs(zones).count() == 3 and gate_pairs(zones.withColumn("exits", F.slice("exits", 1, 1))).count() == 2
 
 
-def test_no_zones_still_make_a_document(spark, tmp_path):
-    source, out = tmp_path / "a.net.xml", tmp_path / "o.xml"
-    source.write_text(net(junction(inc="")))
-    cli.run(cli.Config(source, out), spark)
-    assert len(ET.parse(out).getroot()) == 0
+@pytest.mark.parametrize(("source", "expected"), [("town.net.xml", "town"), ("town.xml", "town"), ("old.town.xml", "old.town"), ("town", "town"), (".net.xml", "")])
+def test_arguments(source, expected):
+    assert cli.default_output(Path("maps") / source) == Path("maps") / f"{expected}.waiting-zones.add.xml"
+    assert cli.parse_args([f"maps/{source}"]) == cli.Config(Path("maps") / source, Path(f"maps/{expected}.waiting-zones.add.xml"))
+    assert cli.parse_args([source, "-o", "x.xml", "--max-zone-length", "7.25", "--geojson", "g"]) == cli.Config(Path(source), Path("x.xml"), 7.25, Path("g"))
 
 
-def test_geojson(spark, tmp_path):
-    source, out, geo = tmp_path / "a.net.xml", tmp_path / "o.xml", tmp_path / "g.json"
-    source.write_text(network(offset="-430000,-4582000", projection=UTM))
+def test_what_is_said(spark, files, capsys):
+    source, out, geo = files
     cli.run(cli.Config(source, out, None, geo), spark)
-    collection = json.loads(geo.read_text())
-    (feature,) = collection["features"]
-    (polygon,) = feature["geometry"]["coordinates"]
-    (ring,) = polygon
-    assert collection["type"] == "FeatureCollection" and feature["geometry"]["type"] == "MultiPolygon" and feature["properties"]["waiting_zone_id"] == "e0_straight"
-    assert len(ring) == 5 and ring[0] == ring[-1] and all(1 <= lon < 3 and 40 <= lat < 42 for lon, lat in ring)
-    assert 1e-5 < abs(ring[0][0] - ring[3][0]) < 1e-3
-    assert feature["properties"]["stop_line"] == pytest.approx([2.1627645696, 41.3866637940], abs=1e-9)
-
-
-def test_network_without_a_place_fails_before_any_file(tmp_path, spark, capsys, monkeypatch):
-    source, out, geo = tmp_path / "a.net.xml", tmp_path / "o.xml", tmp_path / "g.json"
-    source.write_text(net(junction(inc="")))
-    with pytest.raises(ValueError, match="not georeferenced"):
-        cli.run(cli.Config(source, out, None, geo), spark)
-    assert not out.exists() and not geo.exists()
-
-
-def test_unknown_lane_in_a_zone(spark, tmp_path):
-    source = tmp_path / "a.net.xml"
-    source.write_text(network())
-    frames = read_network(spark, str(source))
-    zones = generate(frames)[0]
-    check_lanes(zones, frames)
-    with pytest.raises(UnknownLaneError, match='zone "e0_straight" references lane "e0_0"'):
-        check_lanes(zones, frames.with_frames(lanes=frames.lanes.limit(0)))
-    assert gate_pairs(zones.withColumn("exits", F.slice("exits", 1, 0))).count() == 0
-
-
-@pytest.mark.parametrize(("name", "expected"), [("a.net.xml", "a"), ("a.xml", "a"), ("a.b.xml", "a.b"), ("a", "a")])
-def test_default_output(name, expected):
-    assert cli.default_output(Path("/x") / name) == Path("/x") / f"{expected}.waiting-zones.add.xml"
-    assert cli.parse_args([name, "--max-zone-length", "12.5", "--geojson", "g"]) == cli.Config(Path(name), Path(f"{expected}.waiting-zones.add.xml"), 12.5, Path("g"))
+    said = capsys.readouterr()
+    assert said.err.splitlines() == ['warning: lane "blind_0" at junction "north" skipped: no outgoing connection in the network at all']
+    assert said.out.splitlines() == [f"GeoJSON written successfully: {str(geo)!r}", f"Processing completed successfully: {str(out)!r}"]
 
 
-def test_warnings_and_exit_code(spark, tmp_path, capsys):
-    source = tmp_path / "a.net.xml"
-    source.write_text(net(edge("e0", lane("e0_0")), junction(inc="e0_0")))
-    cli.run(cli.Config(source, tmp_path / "o.xml"), spark)
-    assert 'warning: lane "e0_0" at junction "j0" skipped: no outgoing connection' in capsys.readouterr().err
+def test_exit_code(spark, files, capsys):
+    source, out, _ = files
+    assert cli.main([str(source), "-o", str(out)]) == 0 and out.exists()
+    assert cli.main([str(source.parent / "missing.net.xml")]) == 1
+    assert "error:" in capsys.readouterr().err
+    assert subprocess.run([sys.executable, "-m", "weftline.cli"], capture_output=True, cwd=Path(__file__).parent.parent).returncode == 2

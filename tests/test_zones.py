@@ -1,129 +1,138 @@
+"""What zones a network has and which lanes are left out, case by case: streets and signals in, movements and reasons out."""
+
 import pytest
-from networks import connection, edge, junction, lane, net, program
+from networks import crossing, plan, street, town, turn
 from pyspark.sql import functions as F
 
 from weftline.operators.zones import generate
 from weftline.sources.network import read_network
 
+NONE, NO_SIGNAL, RANGE = "no_outgoing_connection", "no_resolvable_program", "link_index_out_of_range"
+
+#: name: parts of the network, zones as id and lanes, lanes left out with their reasons.
+CASES = {
+    "two lanes that go the same way share a zone": (
+        [street("mill", 31, 33.5), plan("p", "GGr", "rrG"), crossing("market", "mill_0", "mill_1"), turn("mill_0", "r", "p", 0), turn("mill_1", "r", "p", 2)],
+        [("mill_right", ["mill_0", "mill_1"])],
+        [],
+    ),
+    "lanes of one street that go other ways don't": (
+        [street("mill", 31, 33.5, 30), plan("p", "GGG"), crossing("market", "mill_0", "mill_1", "mill_2"), turn("mill_0", "r", "p", 0), turn("mill_1", "s", "p", 1), turn("mill_2", "s", "p", 2), turn("mill_2", "l", "p", 2)],
+        [("mill_straight", ["mill_1"]), ("mill_straight+left", ["mill_2"]), ("mill_right", ["mill_0"])],
+        [],
+    ),
+    "a signal that another crossing is named after": (
+        [street("quay", 80), plan("both_crossings", "yG"), crossing("harbour", "quay_0"), turn("quay_0", "t", "both_crossings", 1)],
+        [("quay_turn", ["quay_0"])],
+        [],
+    ),
+    "a crossing with signals of unknown plan": (
+        [street("quay", 80), crossing("harbour", "quay_0", kind="traffic_light_unregulated"), turn("quay_0", "s", "elsewhere", 0)],
+        [],
+        [("quay_0", NO_SIGNAL)],
+    ),
+    "turning right on red is a signal too": (
+        [street("quay", 80), plan("p", "G"), crossing("harbour", "quay_0", kind="traffic_light_right_on_red"), turn("quay_0", "R", "p", 0)],
+        [("quay_partial_right", ["quay_0"])],
+        [],
+    ),
+    "a level crossing isn't": ([street("quay", 80), plan("p", "G"), crossing("rails", "quay_0", kind="rail_signal"), turn("quay_0", "s", "p", 0)], [], []),
+    "nor is a crossing with right of way": ([street("quay", 80), plan("p", "G"), crossing("give", "quay_0", kind="priority"), turn("quay_0", "s", "p", 0)], [], []),
+    "lanes that lead nowhere, and lanes that aren't there": (
+        [street("dead", 12), plan("p", "G"), crossing("market", "gone_3", "dead_0")],
+        [],
+        [("gone_3", NONE), ("dead_0", NONE)],
+    ),
+    "footways are passed over, shared ways aren't": (
+        [street("walk", 3, allow="pedestrian"), street("shared", 44, allow="bicycle pedestrian"), plan("p", "GG"), crossing("market", "walk_0", "shared_0"), turn("walk_0", "s", "p", 0), turn("shared_0", "s", "p", 1)],
+        [("shared_straight", ["shared_0"])],
+        [],
+    ),
+    "links beyond the shortest phase": (
+        [street("hill", 60, 61), plan("p", "GGGG", "rr"), crossing("top", "hill_0", "hill_1"), turn("hill_0", "s", "p", 1), turn("hill_1", "s", "p", 2)],
+        [("hill_straight", ["hill_0"])],
+        [("hill_1", RANGE)],
+    ),
+    "a plan without phases takes any link but a negative one": (
+        [street("hill", 60, 61), plan("p"), crossing("top", "hill_0", "hill_1"), turn("hill_0", "s", "p", 40), turn("hill_1", "s", "p", -2)],
+        [("hill_straight", ["hill_0"])],
+        [("hill_1", RANGE)],
+    ),
+    "states are counted by characters": (
+        [street("hill", 60, 61), plan("p", "\U0001f7e2\U0001f534r"), crossing("top", "hill_0", "hill_1"), turn("hill_0", "s", "p", 2), turn("hill_1", "s", "p", 3)],
+        [("hill_straight", ["hill_0"])],
+        [("hill_1", RANGE)],
+    ),
+    "only controlled turns count, in their own order": (
+        [street("hill", 60), plan("p", "GGG"), crossing("top", "hill_0"), turn("hill_0", "L", "p", 0), turn("hill_0", "T", "p", 1), turn("hill_0", "r", "p", 2), turn("hill_0", "s", "p", 7), turn("hill_0", "l"), turn("hill_0", "L", "p", 1)],
+        [("hill_turn_left_hand+right+partial_left", ["hill_0"])],
+        [],
+    ),
+    "turns from lanes that no street has": ([street("hill", 60), plan("p", "G"), crossing("top", "hill_0"), turn("hill_5", "s", "p", 0), turn("dale_0", "s", "p", 0)], [], [("hill_0", NONE)]),
+    "ids that read alike are not one movement": (
+        [street("a", 20), street("a_partial", 22), plan("p", "GG"), crossing("one", "a_0", "a_partial_0"), crossing("two", "a_0"), turn("a_0", "L", "p", 0), turn("a_partial_0", "l", "p", 1)],
+        [("a_partial_left", ["a_0"]), ("a_partial_left", ["a_partial_0"]), ("a_partial_left", ["a_0"])],
+        [],
+    ),
+}
 
-@pytest.fixture
-def run(spark, tmp_path):
-    def run(*parts, cap=None, **location):
-        path = tmp_path / "a.net.xml"
-        path.write_text(net(*parts, **location), encoding="utf-8")
-        frames = read_network(spark, str(path))
-        zones, diagnostics = generate(frames, cap)
-        return frames, [r.asDict(recursive=True) for r in zones.orderBy("junction_pos", "from_edge", "dir_ords").collect()], [r.asDict() for r in diagnostics.orderBy("junction_pos", "inc_pos").collect()]
-
-    return run
-
-
-def ids(zones):
-    return [z["zone_id"] for z in zones]
-
-
-def test_one_edge_and_direction_make_one_zone(run):
-    _, zones, left_out = run(edge("e0", lane("e0_0"), lane("e0_1", index=1)), program("j0", "GG", "rr"), junction(inc="e0_0 e0_1"), connection("e0", 0, "j0", 0), connection("e0", 1, "j0", 1))
-    assert ids(zones) == ["e0_straight"] and [g["lane"] for g in zones[0]["entries"]] == ["e0_0", "e0_1"] and not left_out
-
-
-@pytest.mark.parametrize("states", [("GG", "rr"), ("Gr", "rG"), ("rG", "Gr")])
-def test_edges_stay_apart_whatever_the_phases_say(run, states):
-    _, zones, _ = run(edge("e0", lane("e0_0")), edge("e1", lane("e1_0", 40)), program("j0", *states), junction(inc="e0_0 e1_0"), connection("e0", 0, "j0", 0), connection("e1", 0, "j0", 1))
-    assert ids(zones) == ["e0_straight", "e1_straight"]
-
-
-def test_no_program_no_zone(run):
-    _, zones, left_out = run(edge("e0", lane("e0_0")), junction(inc="e0_0", kind="traffic_light_unregulated"), connection("e0", 0, "j0", 0))
-    assert not zones and [d["reason"] for d in left_out] == ["no_resolvable_program"]
-
-
-def test_program_is_named_by_the_connection(run):
-    _, zones, _ = run(edge("e0", lane("e0_0")), program("joinedS_j0_j1", "G"), junction(inc="e0_0"), connection("e0", 0, "joinedS_j0_j1", 0))
-    assert ids(zones) == ["e0_straight"]
-
-
-def test_unconnected_and_unknown_lanes_are_reported(run):
-    _, zones, left_out = run(edge("e0", lane("e0_0")), program("j0", "G"), junction(inc="e0_0 nowhere_0"))
-    assert not zones and [d["reason"] for d in left_out] == ["no_outgoing_connection"] * 2
-    assert left_out[0]["message"] == 'lane "e0_0" at junction "j0" skipped: no outgoing connection in the network at all'
-
-
-def test_pedestrian_lanes_are_silent_and_shared_ones_count(run):
-    _, zones, left_out = run(
-        edge("e0", lane("e0_0")), edge(":j0_w0", lane(":j0_w0_0", 2, allow="pedestrian"), function="walkingarea"), edge("e1", lane("e1_0", allow="pedestrian bicycle")), program("j0", "GG"),
-        junction(inc="e0_0 :j0_w0_0 e1_0"), connection("e0", 0, "j0", 0), connection("e1", 0, "j0", 1),
-    )
-    assert ids(zones) == ["e0_straight", "e1_straight"] and not left_out
-
-
-@pytest.mark.parametrize(("cap", "entry"), [(None, 0.0), (20.0, 80.0), (1000.0, 0.0), (0.0, 100.0), (100.0, 0.0), (-5.0, 105.0), (float("nan"), 0.0)])
-def test_cap(run, cap, entry):
-    _, zones, _ = run(edge("e0", lane("e0_0", 100)), program("j0", "G"), junction(inc="e0_0"), connection("e0", 0, "j0", 0), cap=cap)
-    assert zones[0]["entries"][0]["pos"] == entry and zones[0]["exits"][0]["pos"] == 100.0
-
-
-def test_zones_share_their_junctions_position(run):
-    _, zones, _ = run(edge("e0", lane("e0_0")), edge("e1", lane("e1_0", 40, index=1)), program("j0", "GG", "Gr"), junction(inc="e0_0 e1_0", x=42, y=7), connection("e0", 0, "j0", 0), connection("e1", 1, "j0", 1))
-    assert [z["icon"] for z in zones] == [{"x": 42.0, "y": 7.0, "z": 0.0}] * 2
-
-
-def test_out_of_range_is_reported_with_the_first_in_file_order(run):
-    _, zones, left_out = run(edge("e0", lane("e0_0")), program("j0", "G"), junction(inc="e0_0"), connection("e0", 0, "nothing", 0), connection("e0", 0, "j0", 5), connection("e0", 0, "j0", 7))
-    assert not zones and (left_out[0]["program"], left_out[0]["link_index"]) == ("j0", 5)
-    assert left_out[0]["message"].endswith('connection\'s linkIndex 5 is out of range for tlLogic "j0"\'s phases')
 
+@pytest.fixture
+def read(spark, tmp_path):
+    def read(*parts):
+        path = tmp_path / "town.net.xml"
+        path.write_text(town(*parts), encoding="utf-8")
+        return read_network(spark, str(path))
 
-def test_first_program_and_last_lane_of_an_id_win(run):
-    _, zones, _ = run(edge("e0", lane("e0_0", 10)), edge("e0", lane("e0_0", 30)), program("j0", "GG"), program("j0", "G"), junction(inc="e0_0"), connection("e0", 0, "j0", 1))
-    assert zones[0]["exits"][0]["pos"] == 30.0
+    return read
 
 
-def test_phases_of_none_and_negative_links(run):
-    _, zones, left_out = run(edge("e0", lane("e0_0")), edge("e1", lane("e1_0")), program("j0"), junction(inc="e0_0 e1_0"), connection("e0", 0, "j0", 3), connection("e1", 0, "j0", -1))
-    assert ids(zones) == ["e0_straight"] and [d["link_index"] for d in left_out] == [-1]
+def found(frames, cap=None):
+    zones, left_out = generate(frames, cap)
+    order = zones.orderBy("junction_pos", "from_edge", "dir_ords").collect()
+    return [r.asDict(recursive=True) for r in order], [r.asDict() for r in left_out.orderBy("junction_pos", "inc_pos").collect()]
 
 
-def test_states_are_measured_in_code_points(run):
-    _, zones, left_out = run(edge("e0", lane("e0_0")), program("j0", "G\U0001f6a6"), junction(inc="e0_0"), connection("e0", 0, "j0", 1))
-    assert ids(zones) == ["e0_straight"]
-    _, zones, left_out = run(edge("e0", lane("e0_0")), program("j0", "G\U0001f6a6"), junction(inc="e0_0"), connection("e0", 0, "j0", 2))
-    assert not zones and left_out
+@pytest.mark.parametrize("case", CASES)
+def test_case(read, case):
+    parts, zones, left_out = CASES[case]
+    got, out = found(read(*parts))
+    assert [(z["zone_id"], [g["lane"] for g in z["entries"]]) for z in got] == zones
+    assert [(d["lane_id"], d["reason"]) for d in out] == left_out
 
 
-def test_only_good_connections_give_directions_in_listing_order(run):
-    _, zones, left_out = run(
-        edge("e0", lane("e0_0")), program("j0", "GG"), junction(inc="e0_0"),
-        connection("e0", 0, "j0", 0, dir_="r"), connection("e0", 0, "j0", 1, dir_="l"), connection("e0", 0, "j0", 9, dir_="s"), connection("e0", 0, None, None, dir_="t"),
-    )
-    assert ids(zones) == ["e0_left+right"] and not left_out
+def test_where_a_zone_begins_and_ends(read):
+    frames = read(street("long", 237.25), street("short", 18.5), plan("p", "GG"), crossing("end", "long_0", "short_0", at=(-8.5, 1200)), turn("long_0", "s", "p", 0), turn("short_0", "l", "p", 1))
+    for cap, begins in ((None, (0.0, 0.0)), (50.0, (187.25, 0.0)), (18.5, (218.75, 0.0)), (18.25, (219.0, 0.25)), (0.0, (237.25, 18.5)), (-1.5, (238.75, 20.0)), (float("nan"), (0.0, 0.0)), (1e6, (0.0, 0.0))):
+        zones, _ = found(frames, cap)
+        assert tuple(z["entries"][0]["pos"] for z in zones) == begins, cap
+        assert [z["exits"][0]["pos"] for z in zones] == [237.25, 18.5]
+        assert all(z["icon"] == {"x": -8.5, "y": 1200.0, "z": 0.0} for z in zones)
 
 
-def test_one_movement_under_two_junctions_and_ids_that_read_alike(run):
-    parts = [edge("x", lane("x_0")), edge("x_partial", lane("x_partial_0")), program("j0", "GG"), junction("j0", "x_0 x_partial_0"), junction("j1", "x_0")]
-    _, zones, _ = run(*parts, connection("x", 0, "j0", 0, dir_="L"), connection("x_partial", 0, "j0", 1, dir_="l"))
-    assert ids(zones) == ["x_partial_left"] * 3 and len({(z["junction_pos"], z["from_edge"]) for z in zones}) == 3
+def test_reports_name_the_first_bad_link_in_the_file(read):
+    _, out = found(read(street("hill", 60), plan("p", "Gr"), plan("q", "G"), crossing("top", "hill_0"), turn("hill_0", "s", "unknown", 0), turn("hill_0", "s", "q", 3), turn("hill_0", "r", "p", 9)))
+    assert [(d["program"], d["link_index"], d["message"]) for d in out] == [("q", 3, 'lane "hill_0" at junction "top" skipped: connection\'s linkIndex 3 is out of range for tlLogic "q"\'s phases')]
+    _, out = found(read(street("hill", 60), crossing("top", "hill_0"), turn("hill_0")))
+    assert [(d["program"], d["link_index"]) for d in out] == [(None, None)] and "signal-controlled" in out[0]["message"]
 
 
-@pytest.mark.parametrize("kind", ["rail_signal", "priority"])
-def test_other_junctions_have_no_zones(run, kind):
-    _, zones, left_out = run(edge("e0", lane("e0_0")), program("j0", "G"), junction(inc="e0_0", kind=kind), connection("e0", 0, "j0", 0))
-    assert not zones and not left_out
+def test_repeated_names(read):
+    """Of plans the first counts, of lanes the last."""
+    zones, out = found(read(street("hill", 60), street("hill", 72), plan("p", "G", "rr"), plan("p", "GGG"), crossing("top", "hill_0"), turn("hill_0", "s", "p", 0), turn("hill_0", "l", "p", 1)))
+    assert [(z["zone_id"], z["exits"][0]["pos"]) for z in zones] == [("hill_straight", 72.0)] and not out
 
 
-def test_reversed_phases_change_nothing(run):
-    frames, zones, _ = run(edge("e0", lane("e0_0")), program("j0", "Gr", "rG", "rrr"), junction(inc="e0_0"), connection("e0", 0, "j0", 1))
-    again = generate(frames.with_frames(programs=frames.programs.withColumn("phases", F.reverse("phases"))))[0].collect()
-    assert ids(zones) == [r["zone_id"] for r in again] == ["e0_straight"]
+def test_the_order_of_phases_changes_nothing(read):
+    frames = read(street("hill", 60, 61), plan("p", "GrG", "rG", "yyyy"), crossing("top", "hill_0", "hill_1"), turn("hill_0", "s", "p", 1), turn("hill_1", "l", "p", 2))
+    turned = frames.with_frames(programs=frames.programs.withColumn("phases", F.reverse("phases")))
+    assert found(frames) == found(turned)
 
 
-def test_unknown_turn_code_is_an_error(run):
+def test_unknown_turns_and_broken_files_are_errors(read, spark, tmp_path):
     with pytest.raises(Exception, match="unknown turn code"):
-        run(edge("e0", lane("e0_0")), program("j0", "G"), junction(inc="e0_0"), connection("e0", 0, "j0", 0, dir_="?"))
-
-
-def test_malformed_file_is_an_error(spark, tmp_path):
-    path = tmp_path / "bad.net.xml"
-    path.write_text('<net><edge id="e0"><lane id="l" length="long"/></edge></net>')
+        found(read(street("hill", 60), plan("p", "G"), crossing("top", "hill_0"), turn("hill_0", "x", "p", 0)))
+    broken = tmp_path / "broken.net.xml"
+    broken.write_text('<net><edge id="hill"><lane id="hill_0" length="sixty"/></edge></net>')
     with pytest.raises(Exception):
-        read_network(spark, str(path)).lanes.collect()
+        read_network(spark, str(broken)).lanes.collect()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -28,8 +29,21 @@ class TransverseMercator:
     y0: float
 
 
+_ANGLE = re.compile(r"([-+]?[\d.]+)(?:d(?:([\d.]+)')?(?:([\d.]+)\"?)?)?([nsewNSEW]?)")
+
+
+def _degrees(text: str) -> float:
+    """An angle in degrees: a number, or degrees, minutes and seconds, with or without a letter of the side."""
+    found = _ANGLE.fullmatch(text)
+    if found is None:
+        raise ValueError(text)
+    whole, minutes, seconds, side = found.groups()
+    size = abs(float(whole)) + float(minutes or 0) / 60 + float(seconds or 0) / 3600
+    return -size if whole.startswith("-") != (side in ("s", "S", "w", "W")) else size
+
+
 def parse_proj(text: str | None) -> TransverseMercator:
-    """+proj=utm (zone, +south) and +proj=tmerc on WGS84 or GRS80; anything else is an error that names the string."""
+    """+proj=utm (zone, +south) and +proj=tmerc on WGS84 or GRS80, without a shift of datum; anything else is an error that names the string."""
     if text is None:
         raise ProjectionError("network is not georeferenced (no projection in its location): GeoJSON needs real-world coordinates")
     pairs = dict(p.lstrip("+").partition("=")[::2] for p in text.split() if p.startswith("+"))
@@ -37,6 +51,8 @@ def parse_proj(text: str | None) -> TransverseMercator:
         ellipsoid = ELLIPSOIDS[pairs.get("ellps") or pairs.get("datum") or "WGS84"]
         if pairs.get("units", "m") != "m":
             raise KeyError("units")
+        if any(float(x) for x in pairs.get("towgs84", "0").split(",")):
+            raise KeyError("towgs84")
         if pairs["proj"] == "utm":
             zone = int(pairs["zone"])
             if not 1 <= zone <= 60:
@@ -44,7 +60,7 @@ def parse_proj(text: str | None) -> TransverseMercator:
             return TransverseMercator(*ellipsoid, math.radians(6 * zone - 183), 0.0, 0.9996, 500000.0, 10000000.0 if "south" in pairs else 0.0)
         if pairs["proj"] == "tmerc":
             number = lambda key, default: float(pairs.get(key, default))
-            return TransverseMercator(*ellipsoid, math.radians(number("lon_0", 0)), math.radians(number("lat_0", 0)), float(pairs.get("k", pairs.get("k_0", 1))), number("x_0", 0), number("y_0", 0))
+            return TransverseMercator(*ellipsoid, math.radians(_degrees(pairs.get("lon_0", "0"))), math.radians(_degrees(pairs.get("lat_0", "0"))), float(pairs.get("k", pairs.get("k_0", 1))), number("x_0", 0), number("y_0", 0))
     except (KeyError, ValueError) as error:
         raise ProjectionError(f"invalid or unsupported projection: {text!r}") from error
     raise ProjectionError(f"invalid or unsupported projection: {text!r}")

@@ -49,15 +49,16 @@ def zone_shapes(zones: DataFrame, net: NetworkFrames) -> DataFrame:
     return grouped.select("junction_pos", "from_edge", "dir_ords", "zone_id", F.transform("gates", lambda g: g.ring).alias("rings"), centroid(F.transform("gates", lambda g: g.stop)).alias("stop_line"))
 
 
-def zone_features(zones: DataFrame, net: NetworkFrames) -> DataFrame:
-    """Per zone: polygons (arrays of [lon, lat]) and stop line. Fails at once on a network without a supported projection, or on an unknown lane."""
+def zone_features(zones: DataFrame, net: NetworkFrames, digits: int | None = None) -> DataFrame:
+    """Per zone: polygons (arrays of [lon, lat]) and stop line, rounded to so many digits if given. Fails at once on a network without a supported projection, or on an unknown lane."""
     place = net.location.first()
     projection = parse_proj(place["proj"] if place else None)
     check_lanes(zones, net)
 
     def position(p):
         there = to_lon_lat(projection, place["net_x"], place["net_y"], p.x, p.y)
-        return F.get(F.transform(F.array(there), lambda q: F.array(q.lon, q.lat)), 0)
+        kept = (lambda d: d) if digits is None else (lambda d: F.round(d, digits))
+        return F.get(F.transform(F.array(there), lambda q: F.array(kept(q.lon), kept(q.lat))), 0)
 
     polygons = F.transform("rings", lambda ring: F.array(F.transform(ring, position)))
     return zone_shapes(zones, net).select("junction_pos", "from_edge", "dir_ords", "zone_id", polygons.alias("polygons"), position(F.col("stop_line")).alias("stop_line"))

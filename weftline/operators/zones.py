@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.operators.resolve import is_pedestrian_only, lane_keys, unique_lanes
-from weftline.schemas import SIGNAL_KINDS, NetworkFrames
+from weftline.schemas import NO_OUTGOING_TEXT, NO_PROGRAM_TEXT, OUT_OF_RANGE_TEXT, SIGNAL_KINDS, SKIPPED_TEXT, NetworkFrames
 
 NO_OUTGOING, NO_PROGRAM, OUT_OF_RANGE = "no_outgoing_connection", "no_resolvable_program", "link_index_out_of_range"
 
@@ -35,12 +35,8 @@ def lane_reasons(net: NetworkFrames) -> DataFrame:
 
 
 def reason_text(reason: Column, program: Column, link: Column) -> Column:
-    out_of_range = F.format_string("connection's linkIndex %d is out of range for tlLogic \"%s\"'s phases", link, program)
-    return (
-        F.when(reason == NO_OUTGOING, "no outgoing connection in the network at all")
-        .when(reason == NO_PROGRAM, "none of its connections are signal-controlled (no `tl` naming a program this file defines)")
-        .when(reason == OUT_OF_RANGE, out_of_range)
-    )
+    out_of_range = F.format_string(OUT_OF_RANGE_TEXT, link, program)
+    return F.when(reason == NO_OUTGOING, NO_OUTGOING_TEXT).when(reason == NO_PROGRAM, NO_PROGRAM_TEXT).when(reason == OUT_OF_RANGE, out_of_range)
 
 
 def diagnostics_of(lanes: DataFrame) -> DataFrame:
@@ -50,7 +46,7 @@ def diagnostics_of(lanes: DataFrame) -> DataFrame:
         "junction_pos", "inc_pos", "junction_id", "lane_id", "reason", F.when(left_out, F.col("first_oor.tl")).alias("program"), F.when(left_out, F.col("first_oor.link_index")).alias("link_index")
     )
     text = reason_text(F.col("reason"), F.col("program"), F.col("link_index"))
-    return rows.withColumn("message", F.format_string('lane "%s" at junction "%s" skipped: %s', F.col("lane_id"), F.col("junction_id"), text))
+    return rows.withColumn("message", F.format_string(SKIPPED_TEXT, F.col("lane_id"), F.col("junction_id"), text))
 
 
 def entry_position(length: Column, cap: float | None) -> Column:

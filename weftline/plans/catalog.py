@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +14,7 @@ from weftline.functions.geometry import distance_from_start, point_and_tangent
 from weftline.functions.text import plain_number
 from weftline.operators import resolve, zones
 from weftline.operators.features import gate_pairs, lane_rectangles, zone_shapes
-from weftline.schemas import NetworkFrames
+from weftline.schemas import NO_OUTGOING_TEXT, NO_PROGRAM_TEXT, OUT_OF_RANGE_TEXT, SKIPPED_TEXT, NetworkFrames
 from weftline.sinks import detector_rows, feature_json, output_file
 from weftline.sources.starviews import repeated_lanes, star_network
 
@@ -118,7 +120,7 @@ _NETWORK_QUERIES: dict[str, Callable[[NetworkFrames], DataFrame]] = {
     "zone_rings_lonlat": _rings_lonlat,
     "phase_reversal_invariance": _phase_reversal,
     "zones_xml": lambda net: detector_rows(_zones(net)).select("_id", "_file", "_pos", F.to_json("detEntry").alias("entries"), F.to_json("detExit").alias("exits")),
-    "zones_geojson": lambda net: feature_json(_zones(net, CAP_M), net),
+    "zones_geojson": lambda net: feature_json(_zones(net, CAP_M), net, digits=6).withColumn("dir_ords", F.array_join(F.transform("dir_ords", lambda o: o.cast("string")), ",")),
 }
 
 
@@ -134,9 +136,9 @@ _FRAMES = """
 WITH lanes AS (
   SELECT o_custkey, o_orderkey, CAST(o_custkey AS VARCHAR) AS edge_id, CAST(o_orderkey AS VARCHAR) AS lane_id,
     CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INTEGER) AS lane_index,
-    floor(o_totalprice / 250) / 4.0 AS length_m,
+    floor(o_totalprice / 250) / 4.0 AS length_m, CASE o_orderkey % 3 WHEN 0 THEN 3.2::DOUBLE WHEN 1 THEN 2.75::DOUBLE ELSE 4.0::DOUBLE END AS width_m,
     CASE o_orderstatus WHEN 'P' THEN 'pedestrian' WHEN 'O' THEN 'passenger pedestrian' ELSE '' END AS allow
-  FROM orders
+  FROM orders QUALIFY o_orderkey % 13 <> 5
 ), junctions AS (
   SELECT n_nationkey AS junction_pos, CAST(n_nationkey AS VARCHAR) AS junction_id, n_nationkey * 100.0::DOUBLE AS x, n_nationkey * -50.0::DOUBLE AS y,
     CASE n_regionkey WHEN 0 THEN 'traffic_light' WHEN 1 THEN 'priority' WHEN 2 THEN 'traffic_light_unregulated'
@@ -145,7 +147,7 @@ WITH lanes AS (
 ), signals AS (
   SELECT * FROM junctions WHERE kind LIKE 'traffic_light%'
 ), inc AS (
-  SELECT c_nationkey AS junction_pos, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY o_orderkey) - 1 AS INTEGER) AS inc_pos,
+  SELECT c_nationkey AS junction_pos, CAST(o_orderkey AS BIGINT) AS inc_pos,
     CAST(o_orderkey AS VARCHAR) AS lane_id
   FROM orders JOIN customer ON o_custkey = c_custkey
 ), conns AS (
@@ -178,7 +180,7 @@ WITH lanes AS (
   GROUP BY lane_id, ords, oor_tl, oor_link
 ), vehicles AS (
   SELECT junction_pos, junction_id, inc_pos, lane_id, length_m, x, y, o_orderkey
-  FROM inc JOIN signals USING (junction_pos) JOIN lanes USING (lane_id) WHERE allow <> 'pedestrian'
+  FROM inc JOIN signals USING (junction_pos) LEFT JOIN lanes USING (lane_id) WHERE coalesce(allow, '') <> 'pedestrian'
 ), reasons AS (
   SELECT vehicles.*, from_edge, dirs, dir_ords, oor_tl, oor_link,
     CASE WHEN n_ok IS NULL THEN 'no_outgoing_connection' WHEN n_ok > 0 THEN 'grouped'
@@ -189,7 +191,7 @@ WITH lanes AS (
     CAST(row_number() OVER (PARTITION BY junction_pos, from_edge, dir_ords ORDER BY inc_pos) - 1 AS INTEGER) AS gate_pos
   FROM reasons WHERE reason = 'grouped'
 ), drawn AS (
-  SELECT lane_id, length_m, o_orderkey % 1000 AS x0, (o_orderkey * 7) % 1000 AS y0,
+  SELECT lane_id, length_m, width_m, o_orderkey % 1000 AS x0, (o_orderkey * 7) % 1000 AS y0,
     CASE WHEN o_orderkey % 7 = 0 THEN 0.0 ELSE floor(length_m) / 2 END AS along,
     CASE WHEN o_orderkey % 5 = 0 THEN floor(length_m) / 4 ELSE length_m - CASE WHEN o_orderkey % 7 = 0 THEN 0.0 ELSE floor(length_m) / 2 END END AS up
   FROM lanes
@@ -222,22 +224,22 @@ _IN, _OUT = _at(f"({_ENTRY})"), _at("length_m")
 
 
 def _corner(side: dict[str, str], sign: str) -> tuple[str, str]:
-    return f"({side['x']}) {'-' if sign == '+' else '+'} ({side['ty']}) * 1.6", f"({side['y']}) {sign} ({side['tx']}) * 1.6"
+    return f"({side['x']}) {'-' if sign == '+' else '+'} ({side['ty']}) * width_m / 2", f"({side['y']}) {sign} ({side['tx']}) * width_m / 2"
 
 
 _CORNERS = [_corner(_IN, "+"), _corner(_OUT, "+"), _corner(_OUT, "-"), _corner(_IN, "-"), _corner(_IN, "+")]
 _RINGS = f"""{_FRAMES}, rings AS (
-  SELECT junction_pos, zone_id, gate_pos, CAST(unnest(range(0, 5)) AS INTEGER) AS corner,
+  SELECT junction_pos, zone_id, gate_pos, from_edge, dir_ords, CAST(unnest(range(0, 5)) AS INTEGER) AS corner,
     unnest([{", ".join(x for x, _ in _CORNERS)}]) AS x, unnest([{", ".join(y for _, y in _CORNERS)}]) AS y
-  FROM gates JOIN (SELECT lane_id, x0, y0, along, up FROM drawn) ON lane_id = lane
+  FROM gates JOIN (SELECT lane_id, x0, y0, along, up, width_m FROM drawn) ON lane_id = lane
 )
 """
 
-# Fixed values of the projection's series on WGS84, for the SQL that checks it:
+# Fixed values of the projection's series on GRS80, for the SQL that checks it:
 # another form than the Spark expressions have, by footpoint latitude.
 _LONLAT = """
 , unit AS (
-  SELECT *, 6378137.0::DOUBLE AS a, 0.0066943799901413165::DOUBLE AS e2, (x + 430000.0 - 500000.0) / 0.9996 AS east, (y + 4582000.0) / 0.9996 AS north FROM rings
+  SELECT *, 6378137.0::DOUBLE AS a, 0.006694380022903416::DOUBLE AS e2, (x + 390000.0 - 500000.0) / 0.9996 AS east, (y + 5810000.0) / 0.9996 AS north FROM {points}
 ), mu AS (
   SELECT *, north / (a * (1 - e2 / 4 - 3 * e2 * e2 / 64 - 5 * e2 * e2 * e2 / 256 - 175 * e2 * e2 * e2 * e2 / 16384)) AS m, (1 - sqrt(1 - e2)) / (1 + sqrt(1 - e2)) AS e1 FROM unit
 ), foot AS (
@@ -246,23 +248,57 @@ _LONLAT = """
 ), parts AS (
   SELECT *, e2 / (1 - e2) AS ep, tan(f) ** 2 AS t, e2 / (1 - e2) * cos(f) ** 2 AS c, a / sqrt(1 - e2 * sin(f) ** 2) AS n,
     a * (1 - e2) / (1 - e2 * sin(f) ** 2) ** 1.5 AS r, east / (a / sqrt(1 - e2 * sin(f) ** 2)) AS d FROM foot
+), placed AS (
+  SELECT *, round(15 + degrees((d - (1 + 2 * t + c) * d ** 3 / 6 + (5 - 2 * c + 28 * t - 3 * c * c + 8 * ep + 24 * t * t) * d ** 5 / 120
+      - (61 + 662 * t + 1320 * t * t + 720 * t ** 3) * d ** 7 / 5040) / cos(f)), 6) AS lon,
+    round(degrees(f - n * tan(f) / r * (d * d / 2 - (5 + 3 * t + 10 * c - 4 * c * c - 9 * ep) * d ** 4 / 24
+      + (61 + 90 * t + 298 * c + 45 * t * t - 252 * ep - 3 * c * c) * d ** 6 / 720
+      - (1385 + 3633 * t + 4095 * t * t + 1575 * t ** 3) * d ** 8 / 40320)), 6) AS lat FROM parts
 )
-SELECT junction_pos, zone_id, gate_pos, corner,
-  round(3 + degrees((d - (1 + 2 * t + c) * d ** 3 / 6 + (5 - 2 * c + 28 * t - 3 * c * c + 8 * ep + 24 * t * t) * d ** 5 / 120) / cos(f)), 6) AS lon,
-  round(degrees(f - n * tan(f) / r * (d * d / 2 - (5 + 3 * t + 10 * c - 4 * c * c - 9 * ep) * d ** 4 / 24
-    + (61 + 90 * t + 298 * c + 45 * t * t - 252 * ep - 3 * c * c) * d ** 6 / 720)), 6) AS lat
-FROM parts"""
+"""
+
+_STOPS = f"""SELECT junction_pos, from_edge, dir_ords, zone_id, CAST(count(*) AS INTEGER) AS n_rings, sum({_OUT["x"]}) / count(*) AS x, sum({_OUT["y"]}) / count(*) AS y
+FROM gates JOIN (SELECT lane_id, x0, y0, along, up FROM drawn) ON lane_id = lane GROUP BY junction_pos, from_edge, dir_ords, zone_id"""
+
+_GEOJSON = f"""{_RINGS}, stops AS ({_STOPS}), points AS (
+  SELECT junction_pos, from_edge, dir_ords, zone_id, gate_pos, corner, x, y FROM rings
+  UNION ALL SELECT junction_pos, from_edge, dir_ords, zone_id, NULL, NULL, x, y FROM stops
+){_LONLAT.format(points="points")}, texts AS (
+  SELECT *, '[' || lon || ',' || lat || ']' AS point FROM placed
+), polygons AS (
+  SELECT junction_pos, from_edge, dir_ords, zone_id, gate_pos, '[[' || string_agg(point, ',' ORDER BY corner) || ']]' AS polygon FROM texts WHERE corner IS NOT NULL GROUP BY ALL
+), shapes AS (
+  SELECT junction_pos, from_edge, dir_ords, zone_id, string_agg(polygon, ',' ORDER BY gate_pos) AS shape FROM polygons GROUP BY ALL
+)
+SELECT s.junction_pos, s.from_edge, s.dir_ords, '{{"type":"Feature","geometry":{{"type":"MultiPolygon","coordinates":[' || shape || ']}},"properties":{{"stop_line":' || point || ',"waiting_zone_id":"' || s.zone_id || '"}}}}' AS feature
+FROM shapes s JOIN texts t ON t.corner IS NULL AND t.junction_pos = s.junction_pos AND t.from_edge = s.from_edge AND t.dir_ords = s.dir_ords"""
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _filled(text: str, *values: str) -> str:
+    """SQL of a message with its places filled in."""
+    parts = re.split("%[sd]", text)
+    return " || ".join(x for pair in itertools.zip_longest(map(_quoted, parts), values) for x in pair if x)
 
-_MESSAGE = """'lane "' || lane_id || '" at junction "' || junction_id || '" skipped: ' || CASE reason
-    WHEN 'no_outgoing_connection' THEN 'no outgoing connection in the network at all'
-    WHEN 'no_resolvable_program' THEN 'none of its connections are signal-controlled (no `tl` naming a program this file defines)'
-    ELSE 'connection''s linkIndex ' || oor_link || ' is out of range for tlLogic "' || oor_tl || '"''s phases' END"""
+
+_REASON = f"CASE reason WHEN 'no_outgoing_connection' THEN {_quoted(NO_OUTGOING_TEXT)} WHEN 'no_resolvable_program' THEN {_quoted(NO_PROGRAM_TEXT)} ELSE {_filled(OUT_OF_RANGE_TEXT, 'oor_link', 'oor_tl')} END"
+_MESSAGE = _filled(SKIPPED_TEXT, "lane_id", "junction_id", _REASON)
 
 
 def _number(x: str) -> str:
     return f"regexp_replace(CAST(CAST({x} AS DECIMAL(38,17)) AS VARCHAR), '\\.?0+$', '')"
 
 
+_NO_CAP = "0.0::DOUBLE"
+
+
+def _gates_json(position: str) -> str:
+    gate = f"""'{{"_lane":"' || lane || '","_pos":"' || {_number(position)} || '","_friendlyPos":"true"}}'"""
+    return f"'[' || string_agg({gate}, ',' ORDER BY gate_pos) || ']'"
+
+
 _GATES = "SELECT junction_pos, zone_id, gate_pos, lane, {entry} AS entry_pos, length_m AS exit_pos, true AS friendly FROM gates"
 
 _SQL: dict[str, str] = {
@@ -284,10 +320,11 @@ FROM gates GROUP BY junction_pos, junction_id, from_edge, dir_ords, zone_id""",
     "unconnected_lanes": "SELECT junction_id, lane_id FROM vehicles ANTI JOIN conns USING (lane_id)",
     "zone_groups": "SELECT junction_pos, from_edge, dir_ords, CAST(count(*) AS INTEGER) AS n_lanes FROM gates GROUP BY ALL",
     "zone_ids": "SELECT zone_id, count(*) AS n FROM (SELECT DISTINCT junction_pos, from_edge, dir_ords, zone_id FROM gates) GROUP BY zone_id",
-    "zone_gates": _GATES.format(entry="0.0::DOUBLE"),
+    "zone_gates": _GATES.format(entry=_NO_CAP),
     "zone_gates_capped": _GATES.format(entry=_ENTRY),
-    "zone_stop_lines": f"""SELECT junction_pos, zone_id, CAST(count(*) AS INTEGER) AS n_rings, round(sum({_OUT["x"]}) / count(*), 6) AS x, round(sum({_OUT["y"]}) / count(*), 6) AS y
-FROM gates JOIN (SELECT lane_id, x0, y0, along, up FROM drawn) ON lane_id = lane GROUP BY junction_pos, from_edge, dir_ords, zone_id""",
+    "zone_stop_lines": f"SELECT junction_pos, zone_id, n_rings, round(x, 6) AS x, round(y, 6) AS y FROM ({_STOPS})",
+    "zones_xml": f"""SELECT zone_id AS _id, 'detector_output/' || zone_id || '.xml' AS _file, {_number("any_value(x)")} || ',' || {_number("any_value(y)")} AS _pos, {_gates_json(_NO_CAP)} AS entries, {_gates_json("length_m")} AS exits
+FROM gates GROUP BY junction_pos, from_edge, dir_ords, zone_id""",
     "phase_reversal_invariance": "SELECT 'zones' AS side, count(*) AS n FROM (SELECT DISTINCT junction_pos, from_edge, dir_ords FROM gates)",
 }
 
@@ -297,7 +334,8 @@ def oracle_sql() -> dict[str, str]:
         "lane_point_at": _points_sql("station"),
         "lane_point_from_end": _points_sql("(length_m - station)"),
         "lane_rings": f"{_RINGS}\nSELECT junction_pos, zone_id, gate_pos, corner, round(x, 6) AS x, round(y, 6) AS y FROM rings",
-        "zone_rings_lonlat": _RINGS + _LONLAT,
+        "zone_rings_lonlat": f"{_RINGS}{_LONLAT.format(points='rings')} SELECT junction_pos, zone_id, gate_pos, corner, lon, lat FROM placed",
+        "zones_geojson": _GEOJSON,
         "lanes_last_wins": """SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem
 QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey DESC, l_suppkey DESC, l_extendedprice DESC, l_quantity DESC) = 1""",
     }

@@ -22,6 +22,13 @@ DIRECTION_LABELS = [label for _, label in DIRECTIONS]
 # Junction kinds whose vehicles wait for a road signal.
 SIGNAL_KINDS = ["traffic_light", "traffic_light_unregulated", "traffic_light_right_on_red"]
 
+# The texts in which lanes left out are reported. The places of the
+# first are lane, junction and reason; of the last, link index and program.
+SKIPPED_TEXT = 'lane "%s" at junction "%s" skipped: %s'
+NO_OUTGOING_TEXT = "no outgoing connection in the network at all"
+NO_PROGRAM_TEXT = "none of its connections are signal-controlled (no `tl` naming a program this file defines)"
+OUT_OF_RANGE_TEXT = "connection's linkIndex %d is out of range for tlLogic \"%s\"'s phases"
+
 PEDESTRIAN = "pedestrian"
 DEFAULT_LANE_WIDTH_M = 3.2
 

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import itertools
 import json
-import shutil
-import tempfile
-from collections.abc import Iterator
+import uuid
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.text import plain_number, plain_position
@@ -41,26 +41,52 @@ def detector_rows(zones: DataFrame) -> DataFrame:
     )
 
 
+class WriteError(OSError):
+    """A document that couldn't be written, with its path."""
+
+
+@contextlib.contextmanager
+def _staged(spark: SparkSession, beside: Path) -> Iterator[str]:
+    """A folder for Spark's writers: the cluster's shared one, or one beside the document where all of Spark runs on this machine."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    local = spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster")
+    if shared is None and not local:
+        raise WriteError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    folder = f"{shared}/documents-{uuid.uuid4().hex}" if shared else (beside / f".documents-{uuid.uuid4().hex}").absolute().as_uri()
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    try:
+        yield folder
+    finally:
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextlib.contextmanager
+def _writing(path: Path) -> Iterator[None]:
+    try:
+        yield
+    except OSError as error:
+        raise WriteError(f"failed to write {str(path)!r}: {error}") from error
+
+
 def write_detectors(zones: DataFrame, path: str | Path) -> None:
     """One additional file. A document needs an order and one writer; its size is that of a road network's signals."""
     path = Path(path)
-    path.parent.mkdir(parents=True, exist_ok=True)
-    with tempfile.TemporaryDirectory(dir=path.parent) as folder:
-        rows = detector_rows(zones).repartition(1).sortWithinPartitions(*ORDER).drop(*ORDER)
-        rows.write.format("xml").option("rootTag", "additional").option("rowTag", "e3Detector").option("declaration", 'version="1.0" encoding="UTF-8"').save(f"{folder}/out")
-        parts = sorted(Path(folder, "out").glob("part-*"))
-        if parts and parts[0].stat().st_size:
-            shutil.move(parts[0], path)
-        else:
-            path.write_text('<?xml version="1.0" encoding="UTF-8"?>\n<additional>\n</additional>\n')
-
-
-def feature_json(zones: DataFrame, net: NetworkFrames) -> DataFrame:
-    """One GeoJSON feature per row, as text, with the document's order."""
+    with _writing(path):
+        path.parent.mkdir(parents=True, exist_ok=True)
+        with _staged(zones.sparkSession, path.parent) as folder:
+            rows = detector_rows(zones).repartition(1).sortWithinPartitions(*ORDER).drop(*ORDER)
+            rows.write.format("xml").option("rootTag", "additional").option("rowTag", "e3Detector").option("declaration", 'version="1.0" encoding="UTF-8"').save(folder)
+            lines = zones.sparkSession.read.option("wholetext", True).option("pathGlobFilter", "part-*").text(folder).collect()  # the document, by Spark's readers
+            text = "".join(r["value"] for r in lines)
+        path.write_text(text or '<?xml version="1.0" encoding="UTF-8"?>\n<additional>\n</additional>\n', encoding="utf-8")
+
+
+def feature_json(zones: DataFrame, net: NetworkFrames, digits: int | None = None) -> DataFrame:
+    """One GeoJSON feature per row, as text, with the document's order; positions rounded to so many digits if given."""
     geometry = F.struct(F.lit("MultiPolygon").alias("type"), F.col("polygons").alias("coordinates"))
     properties = F.struct(F.col("stop_line"), F.col("zone_id").alias("waiting_zone_id"))
     feature = F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), properties.alias("properties"))
-    return zone_features(zones, net).select(*ORDER, F.to_json(feature).alias("feature"))
+    return zone_features(zones, net, digits).select(*ORDER, F.to_json(feature).alias("feature"))
 
 
 def _features(zones: DataFrame, net: NetworkFrames) -> Iterator[str]:
@@ -73,10 +99,15 @@ def write_geojson(zones: DataFrame, net: NetworkFrames, path: str | Path) -> Non
     features = _features(zones, net)
     first = next(features, None)  # errors come before the file is touched
     path = Path(path)
-    path.parent.mkdir(parents=True, exist_ok=True)
+    with _writing(path):
+        path.parent.mkdir(parents=True, exist_ok=True)
+        _write_features(itertools.chain([] if first is None else [first], features), path)
+
+
+def _write_features(features: Iterable[str], path: Path) -> None:
     with path.open("w", encoding="utf-8") as out:
         out.write('{\n  "type": "FeatureCollection",\n  "features": [')
-        for k, text in enumerate(itertools.chain([] if first is None else [first], features)):
+        for k, text in enumerate(features):
             out.write("," if k else "")
             out.write("\n" + "\n".join("    " + line for line in json.dumps(json.loads(text), indent=2, ensure_ascii=False).splitlines()))
         out.write("\n  ]\n}\n")

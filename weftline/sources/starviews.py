@@ -1,7 +1,8 @@
 """A road network laid over the driver's star-schema tables, so that every operator runs on them.
 
-customer: edges, leading into the junction of their nation.  orders: lanes.
-lineitem: connections.  supplier: signal programs.  nation: junctions.
+customer: edges, leading into the junction of their nation.  orders: lanes, some of
+which the junctions and connections name but no edge has.  lineitem: connections.
+supplier: signal programs.  nation: junctions.
 """
 
 from __future__ import annotations
@@ -12,8 +13,8 @@ from pyspark.sql import functions as F
 from weftline.schemas import DEFAULT_LANE_WIDTH_M, NetworkFrames
 
 KINDS = ["traffic_light", "priority", "traffic_light_unregulated", "traffic_light_right_on_red", "rail_signal"]
-#: UTM zone 31 north, with the offset of a Mediterranean city.
-PROJECTION, NET_X, NET_Y = "+proj=utm +zone=31 +ellps=WGS84 +datum=WGS84 +units=m +no_defs", -430000.0, -4582000.0
+#: UTM zone 33 north on GRS80, with the offset of a city on the Spree.
+PROJECTION, NET_X, NET_Y = "+proj=utm +zone=33 +ellps=GRS80 +units=m +no_defs", -390000.0, -5810000.0
 
 
 def star_network(spark: SparkSession, sf_dir: str) -> NetworkFrames:
@@ -35,14 +36,14 @@ def star_network(spark: SparkSession, sf_dir: str) -> NetworkFrames:
     key = F.col("o_orderkey")
     return NetworkFrames(
         location=spark.range(1).select(F.lit(NET_X).alias("net_x"), F.lit(NET_Y).alias("net_y"), F.lit(PROJECTION).alias("proj")),
-        lanes=lanes.select(
+        lanes=lanes.where("o_orderkey % 13 <> 5").select(
             F.col("o_custkey").alias("edge_pos"),
             F.col("lane_index").alias("lane_pos"),
             text("o_custkey").alias("edge_id"),
             text("o_orderkey").alias("lane_id"),
             "lane_index",
             length_of(F.col("o_totalprice")).alias("length_m"),
-            F.lit(DEFAULT_LANE_WIDTH_M).alias("width_m"),
+            F.when(key % 3 == 0, DEFAULT_LANE_WIDTH_M).when(key % 3 == 1, 2.75).otherwise(4.0).alias("width_m"),
             F.when(F.col("o_orderstatus") == "P", F.array(F.lit("pedestrian"))).when(F.col("o_orderstatus") == "O", F.array(F.lit("passenger"), F.lit("pedestrian"))).otherwise(F.array().cast("array<string>")).alias("allow"),
             shape_of(key, length_of(F.col("o_totalprice"))).alias("shape"),
         ),
@@ -54,7 +55,7 @@ def star_network(spark: SparkSession, sf_dir: str) -> NetworkFrames:
             (F.col("n_nationkey") * -50.0).alias("y"),
             F.lit(0.0).alias("z"),
         ),
-        inc_lanes=incoming.select(F.col("c_nationkey").alias("junction_pos"), (F.row_number().over(Window.partitionBy("c_nationkey").orderBy("o_orderkey")) - 1).alias("inc_pos"), text("o_orderkey").alias("lane_id")),
+        inc_lanes=incoming.select(F.col("c_nationkey").alias("junction_pos"), key.alias("inc_pos"), text("o_orderkey").alias("lane_id")),
         connections=connections.select(
             "conn_pos",
             text("o_custkey").alias("from_edge"),
