@@ -93,3 +93,54 @@ def test_defined_results(awkward):
     assert bytes_[7]["n_removed"] == len(LONG) and bytes_[8]["n_removed"] == 299_999 and bytes_[8]["n_spans"] == 1
     words = {r["doc_id"]: r for r in substring_dedup.substring_report(awkward).where("doc_id IN (6, 7)").collect()}
     assert words[6]["n_removed"] == 0 and words[7]["n_removed"] == 150_000
+    prints = {(r["doc_id"], r["n_chars"]): r for r in fingerprints.fingerprint_report(awkward).collect()}
+    assert prints[(3, 0)]["fingerprint"] == "" and prints[(None, 0)]["fingerprint"] == "" and len(prints[(5, 3)]["fingerprint"].split()) == 1
+    assert prints[(6, len(LONG))]["fingerprint"] == prints[(7, len(LONG))]["fingerprint"] and prints[(7, len(LONG))]["near_next"] == 1.0
+    scores = cotraining.classify(awkward, awkward.select("doc_id", F.lit(1).alias("quality"))).collect()
+    assert all((r["text_score"], r["meta_score"], r["quality_score"], r["kept"]) == (0.5, 0.5, 0.5, True) for r in scores)  # labels of one kind only
+    rules = {(r["doc_id"], r["n_words"]): r for r in quality_rules.quality_report(awkward).collect()}
+    assert all(rules[k]["base_failed"] and not rules[k]["kept"] for k in ((None, 0), (3, 0), (4, 0), (5, 1), (8, 1)))
+    assert not rules[(6, 150_000)]["base_failed"]
+    mixed = mixing.mixture_report(awkward).collect()
+    assert all(r["taken"] == 0 for r in mixed if r["doc_id"] in (3, 4)) and all(r["taken"] <= 3 * r["size"] for r in mixed)
+    nameless = [r["source_size"] for r in mixed if r["doc_id"] == 1 and r["size"] == 6]
+    assert nameless == [6]  # the only words without a source; the empty ones beside it weigh nothing
+    pieces = [r for r in packing.packed(awkward).collect() if r["doc_id"] in (3, None)]
+    assert sorted(r["doc_tokens"] for r in pieces if r["doc_id"] == 3) == [1] and min(r["doc_tokens"] for r in pieces) == 1
+
+
+def test_ties(spark):
+    """Equal texts under two ids, equal sizes and equal scores fall out alike however rows are dealt."""
+    rows = [(i, f"{PROSE} {i // 2}", "en", "ab"[i % 2], 1) for i in range(20)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for name in ("op1", "op7", "op8", "op9", "op10"):
+        one, other = (sorted(map(tuple, OPERATORS[name](d).collect())) for d in (df.repartition(1), df.repartition(6, "text")))
+        assert one == other, name
+    near = {r["doc_id"]: r["component_id"] for r in OPERATORS["op1"](df).collect()}
+    assert all(near[2 * k] == near[2 * k + 1] for k in range(10))
+
+
+def test_hot_rows(spark):
+    """A third of all rows alike in everything, without id or text or with both."""
+    rows = [(None, None, None, None, None)] * 60 + [(5, PROSE, "en", "a", 1)] * 60 + [(i, f"{PROSE} {i}", "en", "b", 1) for i in range(10, 70)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    for name in OPERATORS:
+        found = Counter(r["doc_id"] for r in OPERATORS[name](df).collect())
+        assert found[None] == found[5] == 60 or name == "op10" and found[None] == 60 and found[5] % 60 == 0, name
+
+
+def test_shared_folder_is_asked_for(spark, monkeypatch):
+    from weftline.llm import common
+
+    class Context:
+        master = "yarn"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default: default)})()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.ensure_checkpoint_dir(Session())

@@ -1,8 +1,7 @@
-"""The registered queries over the driver's tables: SQL where there is some, brute force elsewhere; the pipeline's decisions."""
+"""The registered queries over the driver's tables, against SQL where there is some."""
 
 from pathlib import Path
 
-import corpus_pipeline
 import duckdb
 import pytest
 
@@ -26,23 +25,3 @@ def test_query_against_sql(spark, name):
 
 def test_every_operator_is_registered():
     assert {n.split("_")[0] for n in queries.queries()} == {f"op{i}" for i in range(1, 11)}
-
-
-def test_pipeline(spark, tmp_path):
-    """Each stage on what the one before wrote: refused documents go, one copy stays, repeated windows go, the mix repeats, all ids are packed."""
-    docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    kept = []
-    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        docs = stage(spark, docs, DATA)
-        docs.write.parquet(str(tmp_path / str(k)))
-        docs = spark.read.parquet(str(tmp_path / str(k)))
-        kept.append(docs.toPandas())
-    good, single, clean, mixed, packed = kept
-    source = spark.read.parquet(f"{DATA}/documents.parquet").toPandas()
-    assert 0 < len(good) < len(source) and set(good["text"]) <= set(source["text"])
-    assert 0 < len(single) < len(good) and single["doc_id"].is_unique and not single["text"].duplicated().any()
-    assert set(clean["doc_id"]) == set(single["doc_id"]) and (clean["n_chars"] == clean["text"].str.len()).all()
-    assert clean["n_chars"].sum() < single["n_chars"].sum()
-    assert set(mixed["doc_id"]) <= set(clean["doc_id"]) and mixed["doc_id"].value_counts().max() <= 3
-    firsts = packed[packed["start"] == 0]
-    assert len(firsts) == len(mixed) and packed["length"].sum() == firsts["doc_tokens"].sum()
