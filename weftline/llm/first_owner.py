@@ -46,6 +46,9 @@ class Buckets:
         return min(self.n, self.fan_out)
 
 
+#: Tasks of one exchange.
+MOST_TASKS = 1 << 16
+
 REQUEST = "kind int, bucket int, settled boolean, main binary, extra binary, holders binary, owners binary, tags binary, counts binary, places binary"
 _ANSWER = "kind int, part int, owners binary, tags binary, counts binary, places binary"
 _ENTRIES = [(c, pa.binary()) for c in ("owners", "tags", "counts", "places")]
@@ -254,12 +257,14 @@ def marked_places(asked: DataFrame, buckets: Buckets, rules: tuple[str, ...] = (
     """owner, tag and, by kind of request, at0, at1, ... (binary, read with places_of): the marked places of each document that has any. Cut from its lineage.
 
     A missing doc_id is the owner NO_ID.  rules: by kind of request."""
-    n_tasks = max(shuffle_partitions(asked.sparkSession), min(buckets.n, 1 << 16))
+    n_tasks = max(shuffle_partitions(asked.sparkSession), min(buckets.n, MOST_TASKS))
     if buckets.n > buckets.coarse:
         # a coarse bucket is split over as many tasks as it has buckets, so that no task gathers one
         spread = F.pmod(F.xxhash64("main"), F.lit(-(-buckets.n // buckets.coarse)))
         asked = asked.repartition(n_tasks, "bucket", spread).sortWithinPartitions("kind", "bucket").mapInArrow(_deal_again(buckets), REQUEST)
-    answers = cut(asked.repartition(n_tasks, "bucket").groupBy("kind", "bucket").applyInArrow(_answer(buckets, rules), _ANSWER))
+    # a task for each bucket, as far as a job can have so many
+    asked = asked.repartitionById(buckets.n, "bucket") if buckets.n <= MOST_TASKS else asked.repartition(n_tasks, "bucket")
+    answers = cut(asked.groupBy("kind", "bucket").applyInArrow(_answer(buckets, rules), _ANSWER))
     schema = ", ".join(["owner long", "tag int", *(f"at{k} binary" for k in range(len(rules)))])
     return answers.groupBy("part").applyInArrow(_by_document(len(rules)), schema)
 
