@@ -28,6 +28,8 @@ from weftline.llm.pieces import default_path, vocabulary
 TOKEN_LIMIT = 1024
 #: Text of one chunk of documents, and pre-tokens whose numbers travel together.
 CHUNK_BYTES = 16 << 20
+#: Buckets of pre-tokens, at most: a chunk sends a row to each, and a task holds the distinct pre-tokens of one, which grow far more slowly than the text.
+MOST_BUCKETS = 4096
 
 _SPLIT = "chunk long, bucket int, doc_id long, n_bytes long, special long, a binary, b binary"
 _SPLIT_SCHEMA = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("special", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
@@ -85,17 +87,23 @@ def _split(path: str, n_buckets: int):
 
 
 def _count(path: str):
-    def count(table: pa.Table) -> pa.Table:
-        vocab, known, out = vocabulary(path), {}, []
-        for row in table.to_pylist():
-            n, data = int.from_bytes(row["b"][-4:], "little"), zlib.decompress(row["b"][:-4])
-            ends = 4 * n + np.cumsum(unplanes(data[: 4 * n]).astype(np.int64))
-            texts = [data[s:e].decode() for s, e in zip(np.concatenate(([4 * n], ends[:-1])), ends, strict=True)]
-            new = [t for t in texts if t not in known]
-            for i in range(0, len(new), 4096):
-                known.update(zip(new[i : i + 4096], map(len, vocab.ids(new[i : i + 4096])), strict=True))
-            out.append((row["chunk"], row["a"], zlib.compress(planes(np.fromiter(map(known.__getitem__, texts), np.int64, n)), 1)))
-        return pa.table({"chunk": pa.array([x[0] for x in out], pa.int64()), "a": pa.array([x[1] for x in out], pa.binary()), "b": pa.array([x[2] for x in out], pa.binary())})
+    """Rows of one bucket after another: each pre-token of a bucket is tokenised where it comes first; one row is held at a time, and the bucket's pre-tokens."""
+
+    def count(batches):
+        vocab, known, of = vocabulary(path), {}, None
+        for batch in batches:
+            for bucket, chunk, a, b in zip(*(batch.column(c) for c in ("bucket", "chunk", "a", "b")), strict=True):
+                if bucket.as_py() != of:
+                    known, of = {}, bucket.as_py()
+                packed = b.as_py()
+                n, data = int.from_bytes(packed[-4:], "little"), zlib.decompress(packed[:-4])
+                ends = 4 * n + np.cumsum(unplanes(data[: 4 * n]).astype(np.int64))
+                texts = [data[s:e].decode() for s, e in zip(np.concatenate(([4 * n], ends[:-1])), ends, strict=True)]
+                new = [t for t in texts if t not in known]
+                for i in range(0, len(new), 4096):
+                    known.update(zip(new[i : i + 4096], map(len, vocab.ids(new[i : i + 4096])), strict=True))
+                counts = zlib.compress(planes(np.fromiter(map(known.__getitem__, texts), np.int64, n)), 1)
+                yield pa.record_batch([pa.array([chunk.as_py()], pa.int64()), pa.array([a.as_py()], pa.binary()), pa.array([counts], pa.binary())], names=["chunk", "a", "b"])
 
     return count
 
@@ -116,10 +124,11 @@ def _sum(docs: pa.Table, counted: pa.Table) -> pa.Table:
 def token_counts(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens of every row."""
     path = path or default_path()
-    n_buckets = bucket_count(docs, text_bytes(docs, text_col))
+    n_buckets = min(bucket_count(docs, text_bytes(docs, text_col)), MOST_BUCKETS)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     split = cut(rows.mapInArrow(_split(path, n_buckets), _SPLIT))
-    counted = split.where("bucket IS NOT NULL").groupBy("bucket").applyInArrow(_count(path), "chunk long, a binary, b binary")
+    pieces = split.where("bucket IS NOT NULL").select("bucket", "chunk", "a", "b").repartitionById(n_buckets, "bucket").sortWithinPartitions("bucket")
+    counted = pieces.mapInArrow(_count(path), "chunk long, a binary, b binary")
     own = split.where("bucket IS NULL").select("chunk", "doc_id", "n_bytes", "special", "a", "b")
     return own.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(_sum, "doc_id long, n_bytes long, n_tokens long")
 
