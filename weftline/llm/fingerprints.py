@@ -26,7 +26,7 @@ from weftline.llm.common import NO_ID, cut, ranked, tag_of
 #: A power of two.
 GRAM = 8
 #: The window is the product of these steps.
-STEPS = (4, 4, 3)
+STEPS = (3, 4, 4)
 WINDOW = 48
 #: Code points of a window: grams and windows that start so far before a place don't reach it.
 LEAD = GRAM + WINDOW - 1
