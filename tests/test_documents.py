@@ -1,6 +1,7 @@
 """Detector files, map files and the command line, on one small town."""
 
 import json
+import math
 import subprocess
 import sys
 import xml.etree.ElementTree as ET
@@ -11,7 +12,7 @@ from networks import crossing, plan, street, town, turn
 from pyspark.sql import functions as F
 
 from weftline import cli, sinks
-from weftline.functions.crs import ProjectionError, parse_proj
+from weftline.functions.crs import ProjectionError, parse_proj, to_lon_lat
 from weftline.functions.text import plain_number
 from weftline.operators.features import UnknownLaneError, check_lanes, gate_pairs
 from weftline.operators.zones import generate
@@ -112,6 +113,27 @@ def test_ways_to_write_a_meridian():
     assert parse_proj("+proj=tmerc +lat_0=1d0'36S") == parse_proj("+proj=tmerc +lat_0=-1.01")
 
 
+def test_ways_to_name_an_ellipsoid():
+    assert parse_proj("+proj=utm +zone=33 +a=6378137 +rf=298.257223563") == parse_proj("+proj=utm +zone=33 +datum=WGS84") == parse_proj("+proj=utm +zone=33")
+    assert parse_proj("+proj=merc +a=6378137 +b=6378137") == parse_proj("+proj=merc +R=6378137") != parse_proj("+proj=merc")
+    assert parse_proj("+proj=tmerc +ellps=bessel").rf == pytest.approx(6377397.155 / (6377397.155 - 6356078.963), rel=1e-6)
+
+
+@pytest.mark.parametrize(("projection", "e2"), [("+proj=merc +lon_0=7", 0.0066943799901413165), ("+proj=merc +R=6378137 +lon_0=7 +k=0.9 +x_0=500 +y_0=-80", 0.0), ("+proj=merc +lat_ts=40 +lon_0=7", 0.0066943799901413165)])
+def test_mercator_comes_back(spark, projection, e2):
+    """Points put on the plane by the closed formula, and back by the expressions."""
+    p, points = parse_proj(projection), [(7.0, 0.0), (13.4, 52.5), (-70.2, -33.4), (179.0, 80.0)]
+
+    def plane(lon, lat):
+        s = math.sin(math.radians(lat))
+        isometric = math.atanh(s) - math.sqrt(e2) * math.atanh(math.sqrt(e2) * s)
+        return p.x0 + p.a * p.k0 * math.radians(lon - 7), p.y0 + p.a * p.k0 * isometric
+
+    rows = spark.createDataFrame([(*q, *plane(*q)) for q in points], "lon double, lat double, x double, y double")
+    found = rows.select("lon", "lat", to_lon_lat(p, 100.0, -50.0, F.col("x") + 100, F.col("y") - 50).alias("q")).collect()
+    assert all(r["q"]["lon"] == pytest.approx(r["lon"], abs=1e-9) and r["q"]["lat"] == pytest.approx(r["lat"], abs=1e-8) for r in found)
+
+
 def test_zones_of_lanes_that_went_away(spark, files):
     frames = read_network(spark, str(files[0]))
     zones = generate(frames)[0]

@@ -1,4 +1,4 @@
-"""Inverse transverse Mercator as column expressions, set up once on the driver from a PROJ.4 string."""
+"""Inverse transverse Mercator and Mercator as column expressions, set up once on the driver from a PROJ.4 string."""
 
 from __future__ import annotations
 
@@ -15,7 +15,16 @@ class ProjectionError(ValueError):
 
 
 # Semi-major axis and inverse flattening.
-ELLIPSOIDS = {"WGS84": (6378137.0, 298.257223563), "GRS80": (6378137.0, 298.257222101)}
+ELLIPSOIDS = {
+    "WGS84": (6378137.0, 298.257223563),
+    "GRS80": (6378137.0, 298.257222101),
+    "bessel": (6377397.155, 299.1528128),
+    "intl": (6378388.0, 297.0),
+    "krass": (6378245.0, 298.3),
+    "clrk66": (6378206.4, 294.9786982138982),
+    "airy": (6377563.396, 299.3249646),
+}
+DATUMS = {"WGS84": "WGS84"}
 
 
 @dataclass(frozen=True)
@@ -29,6 +38,16 @@ class TransverseMercator:
     y0: float
 
 
+@dataclass(frozen=True)
+class Mercator:
+    a: float
+    rf: float
+    lon0: float
+    k0: float
+    x0: float
+    y0: float
+
+
 _ANGLE = re.compile(r"([-+]?[\d.]+)(?:d(?:([\d.]+)')?(?:([\d.]+)\"?)?)?([nsewNSEW]?)")
 
 
@@ -42,33 +61,51 @@ def _degrees(text: str) -> float:
     return -size if whole.startswith("-") != (side in ("s", "S", "w", "W")) else size
 
 
-def parse_proj(text: str | None) -> TransverseMercator:
-    """+proj=utm (zone, +south) and +proj=tmerc on WGS84 or GRS80, without a shift of datum; anything else is an error that names the string."""
+def _ellipsoid(pairs: dict[str, str]) -> tuple[float, float]:
+    """Semi-major axis and inverse flattening (infinite for a sphere), by name or by its own figures."""
+    if "R" in pairs:
+        return float(pairs["R"]), math.inf
+    if "a" in pairs:
+        a = float(pairs["a"])
+        b = float(pairs["b"]) if "b" in pairs else a
+        return a, float(pairs["rf"]) if "rf" in pairs else math.inf if a == b else a / (a - b)
+    return ELLIPSOIDS[pairs["ellps"] if "ellps" in pairs else DATUMS[pairs.get("datum", "WGS84")]]
+
+
+def parse_proj(text: str | None) -> TransverseMercator | Mercator:
+    """+proj=utm (zone, +south), +proj=tmerc and +proj=merc, in metres and without a shift of datum; anything else is an error that names the string."""
     if text is None:
         raise ProjectionError("network is not georeferenced (no projection in its location): GeoJSON needs real-world coordinates")
     pairs = dict(p.lstrip("+").partition("=")[::2] for p in text.split() if p.startswith("+"))
     try:
-        ellipsoid = ELLIPSOIDS[pairs.get("ellps") or pairs.get("datum") or "WGS84"]
-        if pairs.get("units", "m") != "m":
-            raise KeyError("units")
-        if any(float(x) for x in pairs.get("towgs84", "0").split(",")):
-            raise KeyError("towgs84")
+        ellipsoid = _ellipsoid(pairs)
+        if pairs.get("units", "m") != "m" or any(float(x) for x in pairs.get("towgs84", "0").split(",")):
+            raise ValueError("units or shift of datum")
+        number = lambda key, default=0.0: float(pairs.get(key, default))
+        lon0, lat0 = (math.radians(_degrees(pairs.get(key, "0"))) for key in ("lon_0", "lat_0"))
+        scale = number("k", number("k_0", 1.0))
         if pairs["proj"] == "utm":
             zone = int(pairs["zone"])
             if not 1 <= zone <= 60:
                 raise ValueError("zone")
             return TransverseMercator(*ellipsoid, math.radians(6 * zone - 183), 0.0, 0.9996, 500000.0, 10000000.0 if "south" in pairs else 0.0)
         if pairs["proj"] == "tmerc":
-            number = lambda key, default: float(pairs.get(key, default))
-            return TransverseMercator(*ellipsoid, math.radians(_degrees(pairs.get("lon_0", "0"))), math.radians(_degrees(pairs.get("lat_0", "0"))), float(pairs.get("k", pairs.get("k_0", 1))), number("x_0", 0), number("y_0", 0))
+            return TransverseMercator(*ellipsoid, lon0, lat0, scale, number("x_0"), number("y_0"))
+        if pairs["proj"] == "merc":
+            e2, lat_ts = _flattening(ellipsoid[1]) * (2 - _flattening(ellipsoid[1])), math.radians(_degrees(pairs.get("lat_ts", "0")))
+            return Mercator(*ellipsoid, lon0, scale if "lat_ts" not in pairs else math.cos(lat_ts) / math.sqrt(1 - e2 * math.sin(lat_ts) ** 2), number("x_0"), number("y_0"))
     except (KeyError, ValueError) as error:
         raise ProjectionError(f"invalid or unsupported projection: {text!r}") from error
     raise ProjectionError(f"invalid or unsupported projection: {text!r}")
 
 
+def _flattening(rf: float) -> float:
+    return 0.0 if math.isinf(rf) else 1 / rf
+
+
 def _series(p: TransverseMercator) -> tuple[float, list[float], list[float], float]:
     """Krueger's series in the third flattening n: rectifying radius, inverse and forward coefficients, eccentricity."""
-    f = 1 / p.rf
+    f = _flattening(p.rf)
     n = f / (2 - f)
     radius = p.a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
     beta = [n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96 - n**4 / 360, n**2 / 48 + n**3 / 15 - 437 * n**4 / 1440, 17 * n**3 / 480 - 37 * n**4 / 840, 4397 * n**4 / 161280]
@@ -89,11 +126,19 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def to_lon_lat(p: TransverseMercator, net_x: float, net_y: float, x: Column, y: Column) -> Column:
+def _latitude(conformal: Column, rf: float) -> Column:
+    """Geodetic from conformal latitude, by the series in the third flattening."""
+    n = _flattening(rf) / (2 - _flattening(rf))
+    delta = [2 * n - 2 * n**2 / 3 - 2 * n**3 + 116 * n**4 / 45, 7 * n**2 / 3 - 8 * n**3 / 5 - 227 * n**4 / 45, 56 * n**3 / 15 - 136 * n**4 / 35, 4279 * n**4 / 630]
+    return _let(conformal, lambda c: c + sum((F.lit(d) * F.sin(2 * j * c) for j, d in enumerate(delta, 1)), F.lit(0.0)))
+
+
+def to_lon_lat(p: TransverseMercator | Mercator, net_x: float, net_y: float, x: Column, y: Column) -> Column:
     """struct lon, lat in degrees of a point in network coordinates."""
+    if isinstance(p, Mercator):
+        lon, isometric = F.lit(p.lon0) + (x - net_x - p.x0) / (p.k0 * p.a), (y - net_y - p.y0) / (p.k0 * p.a)
+        return F.struct(F.degrees(lon).alias("lon"), F.degrees(_latitude(F.atan(F.sinh(isometric)), p.rf)).alias("lat"))
     radius, beta, alpha, e = _series(p)
-    n = (1 / p.rf) / (2 - 1 / p.rf)
-    delta = [2 * n - 2 * n**2 / 3 - 2 * n**3 + 116 * n**4 / 45, 7 * n**2 / 3 - 8 * n**3 / 5 - 227 * n**4 / 45, 56 * n**3 / 15 - 136 * n**4 / 35, 4279 * n**4 / 630]
     plane = F.struct(((y - net_y - p.y0) / (p.k0 * radius) + _meridian_start(p, alpha, e)).alias("xi"), ((x - net_x - p.x0) / (p.k0 * radius)).alias("eta"))
 
     def sphere(q):
@@ -106,7 +151,6 @@ def to_lon_lat(p: TransverseMercator, net_x: float, net_y: float, x: Column, y:
     def geodetic(q):
         lon = F.lit(p.lon0) + F.atan2(F.sinh(q.eta), F.cos(q.xi))
         conformal = F.atan2(F.sin(q.xi), F.sqrt(F.pow(F.sinh(q.eta), 2) + F.pow(F.cos(q.xi), 2)))
-        lat = _let(conformal, lambda c: c + sum((F.lit(d) * F.sin(2 * j * c) for j, d in enumerate(delta, 1)), F.lit(0.0)))
-        return F.struct(F.degrees(lon).alias("lon"), F.degrees(lat).alias("lat"))
+        return F.struct(F.degrees(lon).alias("lon"), F.degrees(_latitude(conformal, p.rf)).alias("lat"))
 
     return _let(_let(plane, sphere), geodetic)
