@@ -37,6 +37,8 @@ from weftline.llm.components import connected
 SHINGLE_WORDS = 5
 THRESHOLD_PERCENT = 80
 BANDS, ROWS = 36, 6
+#: A bucket of more than this part of all members is hot, and its members are dealt to so many parts.
+HOT_SHARE, SALTS = 1000, 64
 #: Nodes without a doc_id are numbered from here on.
 _NAMELESS = 1 << 62
 _SIGMA, _PI = np.uint64(0x2545F4914F6CDD1D), (np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35))
@@ -166,28 +168,40 @@ def _links(tested: DataFrame, labels: DataFrame) -> DataFrame:
     return one.join(labels.toDF("leader", "b"), "leader").select("a", "b")
 
 
-def _active(members: DataFrame) -> DataFrame:
+def _with_bucket(members: DataFrame, buckets: DataFrame, hot: list[int]) -> DataFrame:
+    """members with the columns of their buckets (one row each); hot: names of the hot buckets.
+
+    A bucket of more than a HOT_SHARE-th of all members is hot, so that there are at
+    most HOT_SHARE.  The members of a hot bucket are dealt to SALTS parts, and its row
+    to each of them."""
+    is_hot = F.col("bucket").isin(hot) if hot else F.lit(False)
+    salted = members.withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64("node"), F.lit(SALTS))).otherwise(F.lit(0).cast("long")))
+    parts = F.when(is_hot, F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    return salted.join(buckets.withColumn("salt", F.explode(parts)), ["bucket", "salt"]).drop("salt")
+
+
+def _active(members: DataFrame, hot: list[int]) -> DataFrame:
     """Members of the buckets in which several components are left."""
     buckets = members.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-    return members.join(buckets.select("bucket"), "bucket")
+    return _with_bucket(members, buckets.select("bucket"), hot)
 
 
-def _after(tested: DataFrame, labels: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _after(tested: DataFrame, labels: DataFrame, members: DataFrame, hot: list[int]) -> tuple[DataFrame, DataFrame]:
     """Labels, and members of the buckets that still have several components, once the found links have merged components."""
     roots = connected(_links(tested, labels))
-    return cut(_joined(labels, roots)), cut(_active(_joined(members, roots)))
+    return cut(_joined(labels, roots)), cut(_active(_joined(members, roots), hot))
 
 
 def _near_in_size(percent: int):
     return 100 * F.least("size", "leader_size") >= percent * F.greatest("size", "leader_size")
 
 
-def _star_pairs(members: DataFrame, percent: int) -> DataFrame:
+def _star_pairs(members: DataFrame, percent: int, hot: list[int]) -> DataFrame:
     """Each node with the one leader that it shares most buckets with; a bucket's leader is its node that meets most others over all buckets."""
     sizes = members.groupBy("bucket").agg(F.count("*").alias("others"))
-    meets = members.join(sizes, "bucket").groupBy("node").agg(F.sum("others").alias("meets"))
+    meets = _with_bucket(members, sizes, hot).groupBy("node").agg(F.sum("others").alias("meets"))
     stars = members.join(meets, "node").groupBy("bucket").agg(F.max_by(F.struct("node", "size"), F.struct("meets", "node")).alias("l"))
-    pairs = members.join(stars, "bucket").where("node <> l.node").select("node", "size", F.col("l.node").alias("leader"), F.col("l.size").alias("leader_size"))
+    pairs = _with_bucket(members, stars, hot).where("node <> l.node").select("node", "size", F.col("l.node").alias("leader"), F.col("l.size").alias("leader_size"))
     pairs = pairs.where(_near_in_size(percent)).groupBy("node", "leader").count()
     return pairs.groupBy("node").agg(F.max_by("leader", F.struct("count", "leader")).alias("leader"))
 
@@ -248,8 +262,10 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int =
     classes = cut(classes.select("set_key", F.col("least.owner").alias("node"), F.col("least.doc_id").alias("doc_id"), F.col("least.tag").alias("tag"), "size", "bands"))
 
     placed = classes.select("node", "size", F.explode("bands").alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("bucket")
-    members = cut(placed.join(shared, "bucket").select("bucket", "node", "size", F.col("node").alias("comp")))
+    shared = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
+    shared = cut(shared.select("bucket", "n"))
+    hot = [r["bucket"] for r in shared.where(F.col("n") > bands * classes.count() // HOT_SHARE).collect()]  # HOT_SHARE rows at most
+    members = cut(_with_bucket(placed, shared.select("bucket"), hot).select("bucket", "node", "size", F.col("node").alias("comp")))
 
     wanted = classes.join(members.select("node").distinct(), "node", "left_semi").select("node", F.coalesce("doc_id", F.lit(int(NO_ID))).alias("of"), F.col("tag").alias("of_tag"))
     whole = texts.select(F.coalesce("doc_id", F.lit(int(NO_ID))).alias("of"), F.col("tag").alias("of_tag"), "text")
@@ -257,10 +273,10 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int =
     sets = cut(held.select("node", "text").mapInArrow(_sets(width), "node long, set binary"))
 
     labels = cut(members.select("node", "comp").distinct())
-    tested = _tested(_star_pairs(members, percent), sets, percent)
-    labels, members = _after(tested, labels, members)
+    tested = _tested(_star_pairs(members, percent, hot), sets, percent)
+    labels, members = _after(tested, labels, members, hot)
     tested = _tested(_prefix_pairs(members, sets, tested, percent), sets, percent)
-    labels, _ = _after(tested, labels, members)
+    labels, _ = _after(tested, labels, members, hot)
     firsts = classes.select("set_key", "node", F.col("tag").alias("first_tag"))
     out = signed.join(firsts, "set_key", "left").join(labels, "node", "left")
     component = F.coalesce("comp", "node", "doc_id")
