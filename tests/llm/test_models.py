@@ -154,6 +154,22 @@ def test_codewords(n):
     assert len({tuple(c) for c in code}) == n and all(0 < b.sum() < n for b in code.T)
 
 
+def test_decoding_is_by_weighted_loss():
+    """The chosen language, its score and its lead, bit by bit in plain Python."""
+    rng = np.random.default_rng(2)
+    code, trust = language_id.codewords(5), rng.uniform(0.1, 1, language_id.codewords(5).shape[1])
+    weights = rng.normal(size=(9, code.shape[1])).astype(np.float32)
+    x = rng.normal(size=(40, 8)).astype(np.float32)
+    best, score, lead = language_id.LanguageModel(list("abcde"), code, weights, trust).predict(x)
+    for row, b, s, d in zip(x, best, score, lead, strict=True):
+        loss = []
+        for word in code:
+            margin = [sum(float(v) * float(w) for v, w in zip(row, weights[:-1, k], strict=True)) + float(weights[-1, k]) for k in range(len(word))]
+            loss.append(sum(t * np.log(1 + np.exp(-m if bit else m)) for t, m, bit in zip(trust, margin, word, strict=True)))
+        share = sorted(np.exp(min(loss) - np.array(loss)) / np.exp(min(loss) - np.array(loss)).sum())
+        assert b == int(np.argmin(loss)) and s == pytest.approx(share[-1], abs=1e-4) and d == pytest.approx(share[-1] - share[-2], abs=1e-4)
+
+
 def test_features_of_a_text_are_its_own():
     texts = [b"first text", b"", b"second, longer text " * 5000, b"x"]
     assert all((ngram_counts(texts)[i] == ngram_counts([t])[0]).all() for i, t in enumerate(texts))

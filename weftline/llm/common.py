@@ -211,10 +211,12 @@ def ranked(df: DataFrame, *order, name: str = "rank") -> DataFrame:
     """df with each row's place (from 0) in the given order, without sorting all rows in one task.
 
     Rows are dealt by range and kept; a row's place is its place in its range plus
-    the sizes of the ranges before, of which there are as many as partitions."""
+    the sizes of the ranges before, of which there are as many as partitions.  Rows
+    that are alike in the order stand in any order, and may be in several ranges."""
     spark = df.sparkSession
-    dealt = cut(df.repartitionByRange(shuffle_partitions(spark), *order).select("*", F.spark_partition_id().alias("_part")))
+    salted = df.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(1021)))
+    dealt = cut(salted.repartitionByRange(shuffle_partitions(spark), *order, "_salt").select("*", F.spark_partition_id().alias("_part")))
     sizes = dealt.groupBy("_part").count()
     before = sizes.select(F.col("_part"), (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_before"))
-    within = dealt.withColumn("_within", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1)
-    return within.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_within")).drop("_part", "_within", "_before")
+    within = dealt.withColumn("_within", F.row_number().over(Window.partitionBy("_part").orderBy(*order, "_salt")) - 1)
+    return within.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_within")).drop("_part", "_within", "_before", "_salt")
