@@ -264,7 +264,8 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int =
     placed = classes.select("node", "size", F.explode("bands").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
     shared = cut(shared.select("bucket", "n"))
-    hot = [r["bucket"] for r in shared.where(F.col("n") > bands * classes.count() // HOT_SHARE).collect()]  # HOT_SHARE rows at most
+    n_members = shared.agg(F.sum("n")).first()[0] or 0
+    hot = [r["bucket"] for r in shared.where(F.col("n") > n_members // HOT_SHARE).collect()]  # HOT_SHARE rows at most
     members = cut(_with_bucket(placed, shared.select("bucket"), hot).select("bucket", "node", "size", F.col("node").alias("comp")))
 
     wanted = classes.join(members.select("node").distinct(), "node", "left_semi").select("node", F.coalesce("doc_id", F.lit(int(NO_ID))).alias("of"), F.col("tag").alias("of_tag"))
