@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import cotraining, fingerprints, language_id, minhash_dedup, mixing, packing, quality_rules, substring_dedup, suffix_dedup, token_counts
+from weftline.llm import cotraining, fingerprints, hard_negatives, language_id, line_dedup, minhash_dedup, mixing, packing, quality_rules, spelling, substring_dedup, suffix_dedup, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,18 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_report(_table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(_table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.negatives_report(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_dedup": op1_minhash_dedup,
@@ -65,6 +77,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_token_counts": op5_token_counts,
         "op10_packing": op10_packing,
         "op9_substring_dedup": op9_substring_dedup,
+        "op11_spelling_variants": op11_spelling_variants,
+        "op12_line_dedup": op12_line_dedup,
+        "op13_hard_negatives": op13_hard_negatives,
     }
 
 
@@ -260,5 +275,66 @@ def _sql4() -> str:
     return out
 
 
+_SQL11 = r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, _: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS crc
+), runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents
+), pairs AS (
+  SELECT doc_id, run, count(*) AS c, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS bytes FROM runs GROUP BY doc_id, run
+), hashed AS (
+  SELECT doc_id, run, c, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(bytes, '..'), lambda x: CAST('0x' || x AS BIGINT))),
+    lambda h, b: xor(h >> 8, crc[(xor(h, b) & 255) + 1]))) AS h FROM pairs, crc_table
+), words AS (
+  SELECT CASE WHEN h % 97 = 0 THEN left(run, CAST(h % length(run) AS BIGINT)) || substring(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, CAST(sum(c) AS BIGINT) AS n
+  FROM hashed GROUP BY 1 HAVING length(word) >= 5 AND sum(c) >= 3
+), keys AS (
+  SELECT DISTINCT word, n, unnest(list_prepend(word, list_transform(range(length(word)), lambda i: left(word, i) || substring(word, i + 2)))) AS k FROM words
+), near AS (
+  SELECT DISTINCT a.word, a.n, b.word AS other, b.n AS other_n FROM keys a JOIN keys b ON a.k = b.k AND a.word <> b.word
+  WHERE length(a.word) <> length(b.word) OR len(list_filter(range(1, length(a.word) + 1), lambda i: a.word[i] <> b.word[i])) = 1
+), best AS (
+  SELECT word, n, count(*) AS n_near, arg_min(other, (-other_n, other)) AS other, max(other_n) AS other_n FROM near GROUP BY word, n
+), forms AS (
+  SELECT words.word, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * words.n THEN other END AS form, CASE WHEN other_n >= 2 * words.n THEN other_n END AS form_n FROM words LEFT JOIN best USING (word)
+), led AS (
+  SELECT word, word AS root FROM forms UNION ALL SELECT led.word, form FROM led JOIN forms ON forms.word = led.root WHERE form IS NOT NULL
+), roots AS (
+  SELECT led.word, led.root FROM led JOIN forms ON forms.word = led.root WHERE form IS NULL
+)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN roots USING (word)
+"""
+
+
+_SQL12 = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS p FROM documents
+), keyed AS (
+  SELECT doc_id, p, line, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines
+), frequent AS (
+  SELECT k, true AS goes FROM keyed WHERE k <> '' GROUP BY k HAVING count(DISTINCT doc_id) >= 10
+)
+SELECT doc_id, count(*) AS n_lines, count(goes) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (WHERE goes IS NULL), '')) AS kept_sha256
+FROM keyed LEFT JOIN frequent USING (k) GROUP BY doc_id
+"""
+
+
+_SQL13 = r"""
+WITH rows AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * x::DOUBLE) AS BIGINT)) AS q FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scores AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id, r.label = a.label AS same, CAST(list_inner_product(list_transform(a.q, lambda x: x::DOUBLE), list_transform(r.q, lambda x: x::DOUBLE)) AS BIGINT) AS score
+  FROM rows a JOIN rows r ON a.vec_id % 100 = 0 AND r.vec_id <> a.vec_id
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scores WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+), ranked AS (
+  SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+  FROM positives JOIN scores USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+)
+SELECT * FROM ranked WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_dedup": _SQL1, "op2_fingerprints": _sql2(), "op4_quality_rules": _sql4(), "op6_suffix_dedup": _SQL6, "op9_substring_dedup": _SQL9}
+    return {"op1_minhash_dedup": _SQL1, "op2_fingerprints": _sql2(), "op4_quality_rules": _sql4(), "op6_suffix_dedup": _SQL6, "op9_substring_dedup": _SQL9, "op11_spelling_variants": _SQL11, "op12_line_dedup": _SQL12, "op13_hard_negatives": _SQL13}
