@@ -35,11 +35,10 @@ from weftline.llm.common import NO_ID, cut, ensure_checkpoint_dir, keyed, shuffl
 
 MIN_DOCS = 10
 #: Batches that a table is dealt to, and runs of a level that are merged into one.
-BATCHES, FAN_IN = 8, 4
+BATCHES, FAN_IN = 4, 2
 
 _BLANKS = " \t\n\x0b\x0c\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_HASH = ["h0", "h1"]
 
 
 def lower_ascii(text: Column) -> Column:
@@ -48,16 +47,13 @@ def lower_ascii(text: Column) -> Column:
 
 
 def line_keys(text: Column) -> Column:
-    """Per line of a text, a struct of two 64-bit hashes of its key, or null for a line without a key."""
+    """Per line of a text the 128-bit hash of its key, or null for a line without a key."""
 
-    def key(line):
-        bare = F.btrim(line, F.lit(_BLANKS))
-        return F.when(bare != "", lower_ascii(bare))
+    def hashed(line):
+        key = F.btrim(line, F.lit(_BLANKS))
+        return F.when(key != "", F.unhex(F.md5(lower_ascii(key))))
 
-    def hashed(k):
-        return F.when(k.isNotNull(), F.struct(F.xxhash64(k).alias("h0"), F.xxhash64(F.lit(1), k).alias("h1")))
-
-    return F.transform(F.transform(lines_of(text), key), hashed)
+    return F.transform(lines_of(text), hashed)
 
 
 def lines_of(text: Column) -> Column:
@@ -65,7 +61,7 @@ def lines_of(text: Column) -> Column:
 
 
 class LineRuns:
-    """How many documents have each key, in levels of sorted runs; a run is a table of h0, h1, n in buckets of h0, in the shared folder."""
+    """How many documents have each key, in levels of sorted runs; a run is a table of h, n in buckets of h and sorted within, in the shared folder. Buckets are dealt as exchanges deal their rows, so that a batch meets them without moving again."""
 
     def __init__(self, spark: SparkSession, min_docs: int = MIN_DOCS, fan_in: int = FAN_IN, buckets: int | None = None):
         ensure_checkpoint_dir(spark)
@@ -81,19 +77,18 @@ class LineRuns:
         return [self.spark.read.table(name) for level in self.levels for name in level]
 
     def add(self, keys: DataFrame) -> None:
-        """A batch: keys (array of struct h0, h1; null ones don't count) of each of its documents."""
-        own = keys.select(F.explode(F.array_distinct("keys")).alias("k")).where("k IS NOT NULL").groupBy(F.col("k.h0").alias("h0"), F.col("k.h1").alias("h1")).agg(F.count("*").alias("n"))
-        runs = self.runs()
-        for run in runs:
-            own = own.join(run.where(F.col("n") >= self.min_docs).select(*_HASH).hint("merge"), _HASH, "left_anti")
-        self._put(own if runs else own.repartition(self.buckets, "h0"), 0)
+        """A batch: keys (array of hashes; null ones don't count) of each of its documents."""
+        own = keys.select(F.explode(F.array_distinct("keys")).alias("h")).where("h IS NOT NULL").groupBy("h").agg(F.count("*").alias("n"))
+        for run in self.runs():
+            own = own.join(run.where(F.col("n") >= self.min_docs).select("h").hint("merge"), "h", "left_anti")
+        self._put(own, 0)
 
     def _put(self, run: DataFrame, level: int) -> None:
-        """run: dealt by h0, so that a bucket is one file."""
+        """run: dealt by h, so that a bucket is one file."""
         name = f"{self.name}_{self._made}"
         self._made += 1
         self._paths[name] = f"{self.folder}/{name}"
-        run.write.option("path", self._paths[name]).bucketBy(self.buckets, "h0").sortBy(*_HASH).saveAsTable(name)
+        run.write.option("path", self._paths[name]).bucketBy(self.buckets, "h").sortBy("h").saveAsTable(name)
         if level == len(self.levels):
             self.levels.append([])
         self.levels[level].append(name)
@@ -104,15 +99,15 @@ class LineRuns:
 
     def _merged(self, names: list[str]) -> DataFrame:
         """Runs added up, read by their paths: Spark takes a union of bucketed tables for one that is dealt by bucket, which it isn't."""
-        every = self.spark.read.schema("h0 long, h1 long, n long").parquet(*(self._paths[name] for name in names))
-        return every.repartition(self.buckets, "h0").groupBy(*_HASH).agg(F.sum("n").alias("n"))
+        every = self.spark.read.schema("h binary, n long").parquet(*(self._paths[name] for name in names))
+        return every.groupBy("h").agg(F.sum("n").alias("n"))
 
     def frequent(self) -> DataFrame:
-        """h0, h1 of the keys that enough documents have; cut from the runs."""
+        """h of the keys that enough documents have; cut from the runs."""
         names = [name for level in self.levels for name in level]
         if not names:
-            return self.spark.createDataFrame([], "h0 long, h1 long")
-        return cut(self._merged(names).where(F.col("n") >= self.min_docs).select(*_HASH))
+            return self.spark.createDataFrame([], "h binary")
+        return cut(self._merged(names).where(F.col("n") >= self.min_docs).select("h"))
 
     def _drop(self, names: list[str]) -> None:
         for name in names:
@@ -136,8 +131,8 @@ def cleaned_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATC
         hashed = spark.read.schema(hashed.schema).parquet(f"{runs.folder}/hashed")
         for b in range(batches):
             runs.add(hashed.where(F.col("batch") == b))
-        placed = hashed.select("owner", "tag", F.posexplode("keys").alias("at", "k")).where("k IS NOT NULL").select("owner", "tag", "at", "k.h0", "k.h1")
-        lost = placed.join(runs.frequent(), _HASH, "left_semi")
+        placed = hashed.select("owner", "tag", F.posexplode("keys").alias("at", "h")).where("h IS NOT NULL")
+        lost = placed.join(runs.frequent(), "h", "left_semi")
         lost = cut(lost.groupBy("owner", "tag").agg(F.collect_set("at").alias("lost")))
     finally:
         runs.close()
