@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from weftline import cli, sinks
 from weftline.functions.crs import ProjectionError, parse_proj, to_lon_lat
 from weftline.functions.text import plain_number
-from weftline.operators.features import UnknownLaneError, check_lanes, gate_pairs
+from weftline.operators.features import UnknownLaneError, gate_pairs, lane_rectangles
 from weftline.operators.zones import generate
 from weftline.sources.network import read_network
 
@@ -101,7 +101,7 @@ def test_failures_name_their_path_and_leave_nothing(spark, files):
             cli.run(config, spark)
 
 
-@pytest.mark.parametrize("text", ["", "+proj=geos", "+proj=utm +zone=61", "+proj=utm", "+proj=tmerc +lon_0=east", "+proj=utm +zone=33 +ellps=round", "+proj=utm +zone=33 +units=ft", "+proj=tmerc +lon_0=9 +ellps=bessel +towgs84=598,74,418"])
+@pytest.mark.parametrize("text", ["", "+proj=geos", "+proj=utm +zone=61", "+proj=utm", "+proj=tmerc +lon_0=east", "+proj=utm +zone=33 +ellps=round", "+proj=utm +zone=33 +units=ell", "+proj=tmerc +lon_0=9 +ellps=bessel +towgs84=598,74", "+proj=tmerc +nadgrids=conus", "+proj=lcc +lat_1=30 +lat_2=-30", "+proj=merc +axis=wsu"])
 def test_projections_that_are_not_understood(text):
     with pytest.raises(ProjectionError, match="invalid or unsupported"):
         parse_proj(text)
@@ -127,7 +127,7 @@ def test_mercator_comes_back(spark, projection, e2):
     def plane(lon, lat):
         s = math.sin(math.radians(lat))
         isometric = math.atanh(s) - math.sqrt(e2) * math.atanh(math.sqrt(e2) * s)
-        return p.x0 + p.a * p.k0 * math.radians(lon - 7), p.y0 + p.a * p.k0 * isometric
+        return p.x0 + p.a * p.constants[0] * math.radians(lon - 7), p.y0 + p.a * p.constants[0] * isometric
 
     rows = spark.createDataFrame([(*q, *plane(*q)) for q in points], "lon double, lat double, x double, y double")
     found = rows.select("lon", "lat", to_lon_lat(p, 100.0, -50.0, F.col("x") + 100, F.col("y") - 50).alias("q")).collect()
@@ -135,11 +135,16 @@ def test_mercator_comes_back(spark, projection, e2):
 
 
 def test_zones_of_lanes_that_went_away(spark, files):
-    frames = read_network(spark, str(files[0]))
+    """A lane that isn't there fails a query; a document is thrown away, and the error names zone and lane."""
+    source, out, geo = files
+    frames = read_network(spark, str(source))
     zones = generate(frames)[0]
-    check_lanes(zones, frames)
+    fewer = frames.with_frames(lanes=frames.lanes.where("lane_id <> 'side_0'"))
+    with pytest.raises(Exception, match='zone "side_left" references lane "side_0", which isn\'t in the network'):
+        lane_rectangles(zones, fewer).collect()
     with pytest.raises(UnknownLaneError, match='zone "side_left" references lane "side_0"'):
-        check_lanes(zones, frames.with_frames(lanes=frames.lanes.where("lane_id <> 'side_0'")))
+        sinks.write_geojson(zones, fewer, geo)
+    assert not geo.exists() and not geo.parent.exists()
     assert gate_pairs(zones).count() == 3 and gate_pairs(zones.withColumn("exits", F.slice("exits", 1, 1))).count() == 2
 
 

@@ -8,13 +8,16 @@ from dataclasses import dataclass
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from weftline.operators.zones import generate
+from weftline.operators.zones import diagnostics_of, lane_reasons, zones_of
 from weftline.schemas import NetworkFrames
-from weftline.sinks import write_detectors, write_geojson
+from weftline.sinks import staged, write_detectors, write_geojson
 from weftline.sources.network import frames_of, scan_network
 
+# Suffixes of the files that are read and written, and what is said when one is written.
 NET_SUFFIX, OUT_SUFFIX = ".net.xml", ".waiting-zones.add.xml"
+GEOJSON_WRITTEN, DETECTORS_WRITTEN = "GeoJSON written successfully: %s", "Processing completed successfully: %s"
 
 
 @dataclass(frozen=True)
@@ -43,15 +46,21 @@ def parse_args(argv: list[str] | None = None) -> Config:
 
 
 def run(config: Config, spark: SparkSession) -> None:
-    """GeoJSON comes first: if it fails, no detector file appears."""
+    """GeoJSON comes first: if it fails, no detector file appears.
+
+    What becomes of each lane is worked out once and staged, partitioned by whether the
+    lane is grouped; zones and diagnostics are read from there."""
     scan = scan_network(spark, str(config.input)).persist()
-    net = frames_of(scan)
-    zones, diagnostics = generate(net, config.max_zone_length)
-    zones = zones.persist()
     try:
-        _write(config, net, zones, diagnostics)
+        if scan.count() > 1:
+            raise ValueError(f"several networks at {str(config.input)!r}: a document is of one network")
+        net = frames_of(scan)
+        with staged(spark) as folder:
+            lanes = lane_reasons(net)
+            lanes.withColumn("grouped", F.col("reason").isNull()).write.partitionBy("grouped").parquet(f"{folder}/lanes")
+            lanes = spark.read.schema(lanes.schema.add("grouped", "boolean")).parquet(f"{folder}/lanes")
+            _write(config, net, zones_of(lanes.where("grouped"), config.max_zone_length), diagnostics_of(lanes.where("NOT grouped")))
     finally:
-        zones.unpersist()
         scan.unpersist()
 
 
@@ -60,9 +69,9 @@ def _write(config: Config, net: NetworkFrames, zones: DataFrame, diagnostics: Da
         warn(row["message"])
     if config.geojson_output is not None:
         write_geojson(zones, net, config.geojson_output)
-        print(f"GeoJSON written successfully: {str(config.geojson_output)!r}")
+        print(GEOJSON_WRITTEN % repr(str(config.geojson_output)))
     write_detectors(zones, config.output)
-    print(f"Processing completed successfully: {str(config.output)!r}")
+    print(DETECTORS_WRITTEN % repr(str(config.output)))
 
 
 def warn(message: str) -> None:

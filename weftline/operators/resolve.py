@@ -23,12 +23,12 @@ def first_wins(frame: DataFrame, keys: list[str], order: list[str]) -> DataFrame
 
 
 def unique_lanes(net: NetworkFrames) -> DataFrame:
-    return last_wins(net.lanes, ["lane_id"], ["edge_pos", "lane_pos"])
+    return last_wins(net.lanes, ["net", "lane_id"], ["edge_pos", "lane_pos"])
 
 
 def unique_programs(net: NetworkFrames) -> DataFrame:
-    """tl, phases, min_len: the shortest state's length in code points, null without phases."""
-    return first_wins(net.programs, ["tl"], ["program_pos"]).withColumn("min_len", F.array_min(F.transform("phases", lambda p: F.length(p.state))))
+    """net, tl, phases, min_len: the shortest state's length in code points, null without phases."""
+    return first_wins(net.programs, ["net", "tl"], ["program_pos"]).withColumn("min_len", F.array_min(F.transform("phases", lambda p: F.length(p.state))))
 
 
 def is_pedestrian_only(allow: Column) -> Column:
@@ -42,15 +42,15 @@ def in_range(link: Column, phases: Column) -> Column:
 
 def resolved_connections(net: NetworkFrames) -> DataFrame:
     """Connections with the lane they start from; those of no known lane drop out."""
-    by_index = last_wins(net.lanes.select("edge_id", "lane_index", "lane_id", "edge_pos", "lane_pos"), ["edge_id", "lane_index"], ["edge_pos", "lane_pos"])
-    by_index = by_index.select(F.col("edge_id").alias("from_edge"), F.col("lane_index").alias("from_lane"), "lane_id")
-    return net.connections.join(by_index, ["from_edge", "from_lane"])
+    by_index = last_wins(net.lanes.select("net", "edge_id", "lane_index", "lane_id", "edge_pos", "lane_pos"), ["net", "edge_id", "lane_index"], ["edge_pos", "lane_pos"])
+    by_index = by_index.select("net", F.col("edge_id").alias("from_edge"), F.col("lane_index").alias("from_lane"), "lane_id")
+    return net.connections.join(by_index, ["net", "from_edge", "from_lane"])
 
 
 def connection_status(net: NetworkFrames) -> DataFrame:
     """Connections with status none (no signal that the file defines), ok, or oor (link index out of range)."""
-    programs = unique_programs(net).select("tl", "min_len", F.lit(True).alias("known"))
-    joined = resolved_connections(net).join(programs, "tl", "left")
+    programs = unique_programs(net).select("net", "tl", "min_len", F.lit(True).alias("known"))
+    joined = resolved_connections(net).join(programs, ["net", "tl"], "left")
     link = F.col("link_index")
     fits = (link >= 0) & (F.col("min_len").isNull() | (link < F.col("min_len")))
     status = F.when(F.col("known").isNull() | link.isNull(), "none").when(fits, "ok").otherwise("oor")
@@ -58,13 +58,13 @@ def connection_status(net: NetworkFrames) -> DataFrame:
 
 
 def lane_keys(net: NetworkFrames) -> DataFrame:
-    """One row per lane that has a connection: lane_id, from_edge, dirs, n_ok, first_oor.
+    """One row per lane that has a connection: net, lane_id, from_edge, dirs, n_ok, first_oor.
 
     dirs: array of struct ord, label of the in-range connections, sorted, distinct.
     first_oor: struct tl, link_index of the first out-of-range one in file order."""
     ok, oor = F.col("status") == "ok", F.col("status") == "oor"
     label = F.get(F.array(*map(F.lit, DIRECTION_LABELS)), F.col("dir_ord"))
-    return connection_status(net).groupBy("lane_id").agg(
+    return connection_status(net).groupBy("net", "lane_id").agg(
         F.min_by(F.when(ok, F.col("from_edge")), F.when(ok, F.col("conn_pos"))).alias("from_edge"),
         F.array_sort(F.collect_set(F.when(ok, F.struct(F.col("dir_ord").alias("ord"), label.alias("label"))))).alias("dirs"),
         F.sum(F.when(ok, 1).otherwise(0)).alias("n_ok"),

@@ -17,9 +17,9 @@ def signal_junctions(net: NetworkFrames) -> DataFrame:
 
 def vehicle_lanes(net: NetworkFrames) -> DataFrame:
     """Incoming lanes of signal junctions that aren't for pedestrians only; a lane that no edge has stays, with null length."""
-    junctions = signal_junctions(net).select("junction_pos", "junction_id", F.struct("x", "y", "z").alias("icon"))
-    lanes = unique_lanes(net).select("lane_id", "length_m", is_pedestrian_only(F.col("allow")).alias("pedestrian"))
-    incoming = net.inc_lanes.join(junctions, "junction_pos").join(lanes, "lane_id", "left")
+    junctions = signal_junctions(net).select("net", "junction_pos", "junction_id", F.struct("x", "y", "z").alias("icon"))
+    lanes = unique_lanes(net).select("net", "lane_id", "length_m", is_pedestrian_only(F.col("allow")).alias("pedestrian"))
+    incoming = net.inc_lanes.join(junctions, ["net", "junction_pos"]).join(lanes, ["net", "lane_id"], "left")
     return incoming.where(~F.coalesce("pedestrian", F.lit(False))).drop("pedestrian")
 
 
@@ -30,7 +30,7 @@ def reason_of(n_ok: Column, first_oor: Column) -> Column:
 
 def lane_reasons(net: NetworkFrames) -> DataFrame:
     """Each vehicle lane with its movement or the reason why it has none."""
-    joined = vehicle_lanes(net).join(lane_keys(net), "lane_id", "left")
+    joined = vehicle_lanes(net).join(lane_keys(net), ["net", "lane_id"], "left")
     return joined.withColumn("reason", reason_of(F.col("n_ok"), F.col("first_oor")))
 
 
@@ -40,10 +40,10 @@ def reason_text(reason: Column, program: Column, link: Column) -> Column:
 
 
 def diagnostics_of(lanes: DataFrame) -> DataFrame:
-    """junction_pos, inc_pos, junction_id, lane_id, reason, program, link_index, message of the lanes left out."""
+    """net, junction_pos, inc_pos, junction_id, lane_id, reason, program, link_index, message of the lanes left out."""
     left_out = F.col("reason") == OUT_OF_RANGE
     rows = lanes.where(F.col("reason").isNotNull()).select(
-        "junction_pos", "inc_pos", "junction_id", "lane_id", "reason", F.when(left_out, F.col("first_oor.tl")).alias("program"), F.when(left_out, F.col("first_oor.link_index")).alias("link_index")
+        "net", "junction_pos", "inc_pos", "junction_id", "lane_id", "reason", F.when(left_out, F.col("first_oor.tl")).alias("program"), F.when(left_out, F.col("first_oor.link_index")).alias("link_index")
     )
     text = reason_text(F.col("reason"), F.col("program"), F.col("link_index"))
     return rows.withColumn("message", F.format_string(SKIPPED_TEXT, F.col("lane_id"), F.col("junction_id"), text))
@@ -65,11 +65,12 @@ def movement_id(edge: Column, dirs: Column) -> Column:
 
 
 def zones_of(lanes: DataFrame, cap: float | None = None) -> DataFrame:
-    """One row per junction and movement; grouped on the structured key, never on the id."""
+    """One row per network, junction and movement; grouped on the structured key, never on the id."""
     known = lanes.where(F.col("reason").isNull() & F.col("length_m").isNotNull())
     placed = F.array_sort(F.collect_list(F.struct("inc_pos", "lane_id", "length_m"))).alias("placed")
-    groups = known.groupBy("junction_pos", "junction_id", "icon", "from_edge", "dirs").agg(placed)
+    groups = known.groupBy("net", "junction_pos", "junction_id", "icon", "from_edge", "dirs").agg(placed)
     return groups.select(
+        "net",
         "junction_pos",
         "junction_id",
         "from_edge",
@@ -83,6 +84,6 @@ def zones_of(lanes: DataFrame, cap: float | None = None) -> DataFrame:
 
 
 def generate(net: NetworkFrames, max_zone_length: float | None = None) -> tuple[DataFrame, DataFrame]:
-    """Zones and diagnostics of a network."""
+    """Zones and diagnostics of the networks."""
     lanes = lane_reasons(net)
     return zones_of(lanes, max_zone_length), diagnostics_of(lanes)

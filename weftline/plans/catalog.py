@@ -13,7 +13,7 @@ from weftline.functions.crs import parse_proj, to_lon_lat
 from weftline.functions.geometry import distance_from_start, point_and_tangent
 from weftline.functions.text import plain_number
 from weftline.operators import resolve, zones
-from weftline.operators.features import gate_pairs, lane_rectangles, zone_shapes
+from weftline.operators.features import gate_pairs, in_lon_lat, lane_rectangles, zone_shapes
 from weftline.schemas import NO_OUTGOING_TEXT, NO_PROGRAM_TEXT, OUT_OF_RANGE_TEXT, SKIPPED_TEXT, NetworkFrames
 from weftline.sinks import detector_rows, feature_json, output_file
 from weftline.sources.starviews import repeated_lanes, star_network
@@ -64,10 +64,8 @@ def _rings(net: NetworkFrames) -> DataFrame:
 
 
 def _rings_lonlat(net: NetworkFrames) -> DataFrame:
-    place = net.location.first()
-    g = lane_rectangles(_zones(net, CAP_M), net).select("junction_pos", "zone_id", "gate_pos", F.posexplode("ring").alias("corner", "p"))
-    there = to_lon_lat(parse_proj(place["proj"]), place["net_x"], place["net_y"], F.col("p.x"), F.col("p.y"))
-    return g.select("junction_pos", "zone_id", "gate_pos", "corner", there.alias("q")).select("junction_pos", "zone_id", "gate_pos", "corner", F.round("q.lon", 6).alias("lon"), F.round("q.lat", 6).alias("lat"))
+    g, there = in_lon_lat(lane_rectangles(_zones(net, CAP_M), net).select("net", "junction_pos", "zone_id", "gate_pos", F.posexplode("ring").alias("corner", "p")), net)
+    return g.select("junction_pos", "zone_id", "gate_pos", "corner", there(F.col("p")).alias("q")).select("junction_pos", "zone_id", "gate_pos", "corner", F.round("q.lon", 6).alias("lon"), F.round("q.lat", 6).alias("lat"))
 
 
 def _stop_lines(net: NetworkFrames) -> DataFrame:
@@ -108,7 +106,7 @@ _NETWORK_QUERIES: dict[str, Callable[[NetworkFrames], DataFrame]] = {
     "lane_first_out_of_range": _first_oor,
     "lane_reasons": lambda net: zones.lane_reasons(net).select("junction_id", "inc_pos", "lane_id", F.coalesce("reason", F.lit("grouped")).alias("reason")),
     "diagnostics_messages": lambda net: zones.generate(net)[1].select("junction_pos", "inc_pos", "message"),
-    "unconnected_lanes": lambda net: zones.vehicle_lanes(net).join(resolve.lane_keys(net), "lane_id", "left_anti").select("junction_id", "lane_id"),
+    "unconnected_lanes": lambda net: zones.vehicle_lanes(net).join(resolve.lane_keys(net), ["net", "lane_id"], "left_anti").select("junction_id", "lane_id"),
     "zone_groups": lambda net: _zones(net).select("junction_pos", "from_edge", F.array_join(F.transform("dir_ords", lambda o: o.cast("string")), ",").alias("dir_ords"), F.size("entries").alias("n_lanes")),
     "zone_ids": lambda net: _zones(net).groupBy("zone_id").agg(F.count("*").alias("n")),
     "zone_gates": lambda net: _flat_gates(_zones(net)),
@@ -120,7 +118,7 @@ _NETWORK_QUERIES: dict[str, Callable[[NetworkFrames], DataFrame]] = {
     "zone_rings_lonlat": _rings_lonlat,
     "phase_reversal_invariance": _phase_reversal,
     "zones_xml": lambda net: detector_rows(_zones(net)).select("_id", "_file", "_pos", F.to_json("detEntry").alias("entries"), F.to_json("detExit").alias("exits")),
-    "zones_geojson": lambda net: feature_json(_zones(net, CAP_M), net, digits=6).withColumn("dir_ords", F.array_join(F.transform("dir_ords", lambda o: o.cast("string")), ",")),
+    "zones_geojson": lambda net: feature_json(_zones(net, CAP_M), net, digits=6).drop("net").withColumn("dir_ords", F.array_join(F.transform("dir_ords", lambda o: o.cast("string")), ",")),
 }
 
 

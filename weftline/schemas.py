@@ -48,9 +48,9 @@ connection array<struct<_from: string, _to: string, _fromLane: int, _toLane: int
 
 @dataclass(frozen=True)
 class NetworkFrames:
-    """A network as tables. Each *_pos column is the place in the file.
+    """Networks as tables. Every table has a column net, which names the network; ids are unique, and looked up, within one network only. Each *_pos column is the place in the file.
 
-    location: net_x, net_y, proj (null: not georeferenced); one row
+    location: net_x, net_y, proj (null: not georeferenced); one row for a network
     lanes: edge_pos, lane_pos, edge_id, lane_id, lane_index, length_m, width_m, allow, shape
     junctions: junction_pos, junction_id, kind, x, y, z
     inc_lanes: junction_pos, inc_pos, lane_id

@@ -1,4 +1,4 @@
-"""The network file as tables: one scan, unnested."""
+"""Network files as tables: one scan, unnested."""
 
 from __future__ import annotations
 
@@ -30,26 +30,28 @@ def direction_ordinal(code: Column) -> Column:
 
 
 def scan_network(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file, so that places in it are known; what is unnested is dealt out again by Spark's joins."""
-    return spark.read.format("xml").option("rowTag", "net").option("mode", "FAILFAST").schema(NET).load(path)
+    """One row per file, so that places in it are known; what is unnested is dealt out again by Spark's joins. A folder or pattern gives a row for each of its files, named by its path."""
+    rows = spark.read.format("xml").option("rowTag", "net").option("mode", "FAILFAST").schema(NET).load(path)
+    return rows.select("*", F.col("_metadata.file_path").alias("net"))
 
 
 def read_network(spark: SparkSession, path: str) -> NetworkFrames:
-    """Tables of one network file. Callers that use several of them may persist the scan (scan_network, frames_of)."""
+    """Tables of the network files at a path: one file, a folder, or a pattern. Callers that use several of them may persist the scan (scan_network, frames_of)."""
     return frames_of(scan_network(spark, path))
 
 
 def frames_of(net: DataFrame) -> NetworkFrames:
     offset = F.split(F.col("location._netOffset"), ",")
-    location = net.select(F.get(offset, 0).cast("double").alias("net_x"), F.get(offset, 1).cast("double").alias("net_y"), F.nullif(F.col("location._projParameter"), F.lit("!")).alias("proj"))
-    edges = net.select(F.posexplode("edge").alias("edge_pos", "e"))
-    lanes = edges.select("edge_pos", F.col("e._id").alias("edge_id"), F.posexplode("e.lane").alias("lane_pos", "l"))
-    junctions = net.select(F.posexplode("junction").alias("junction_pos", "j"))
-    connections = net.select(F.posexplode("connection").alias("conn_pos", "c"))
-    programs = net.select(F.posexplode("tlLogic").alias("program_pos", "t"))
+    location = net.select("net", F.get(offset, 0).cast("double").alias("net_x"), F.get(offset, 1).cast("double").alias("net_y"), F.nullif(F.col("location._projParameter"), F.lit("!")).alias("proj"))
+    edges = net.select("net", F.posexplode("edge").alias("edge_pos", "e"))
+    lanes = edges.select("net", "edge_pos", F.col("e._id").alias("edge_id"), F.posexplode("e.lane").alias("lane_pos", "l"))
+    junctions = net.select("net", F.posexplode("junction").alias("junction_pos", "j"))
+    connections = net.select("net", F.posexplode("connection").alias("conn_pos", "c"))
+    programs = net.select("net", F.posexplode("tlLogic").alias("program_pos", "t"))
     return NetworkFrames(
         location=location,
         lanes=lanes.select(
+            "net",
             "edge_pos",
             "lane_pos",
             "edge_id",
@@ -60,9 +62,10 @@ def frames_of(net: DataFrame) -> NetworkFrames:
             tokens(F.col("l._allow")).alias("allow"),
             shape_of(F.col("l._shape")).alias("shape"),
         ),
-        junctions=junctions.select("junction_pos", F.col("j._id").alias("junction_id"), F.col("j._type").alias("kind"), *(F.coalesce(f"j._{c}", F.lit(0.0)).alias(c) for c in "xyz")),
-        inc_lanes=junctions.select("junction_pos", F.posexplode(tokens(F.col("j._incLanes"))).alias("inc_pos", "lane_id")),
+        junctions=junctions.select("net", "junction_pos", F.col("j._id").alias("junction_id"), F.col("j._type").alias("kind"), *(F.coalesce(f"j._{c}", F.lit(0.0)).alias(c) for c in "xyz")),
+        inc_lanes=junctions.select("net", "junction_pos", F.posexplode(tokens(F.col("j._incLanes"))).alias("inc_pos", "lane_id")),
         connections=connections.select(
+            "net",
             "conn_pos",
             F.col("c._from").alias("from_edge"),
             F.col("c._fromLane").alias("from_lane"),
@@ -71,6 +74,7 @@ def frames_of(net: DataFrame) -> NetworkFrames:
             F.col("c._linkIndex").alias("link_index"),
         ),
         programs=programs.select(
+            "net",
             "program_pos",
             F.col("t._id").alias("tl"),
             F.transform(F.coalesce("t.phase", F.array().cast("array<struct<_duration:double,_state:string>>")), lambda p: F.struct(p["_duration"].alias("duration"), p["_state"].alias("state"))).alias("phases"),

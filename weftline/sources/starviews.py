@@ -7,6 +7,8 @@ supplier: signal programs.  nation: junctions.
 
 from __future__ import annotations
 
+from dataclasses import fields
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,9 +17,32 @@ from weftline.schemas import DEFAULT_LANE_WIDTH_M, NetworkFrames
 KINDS = ["traffic_light", "priority", "traffic_light_unregulated", "traffic_light_right_on_red", "rail_signal"]
 #: UTM zone 33 north on GRS80, with the offset of a city on the Spree.
 PROJECTION, NET_X, NET_Y = "+proj=utm +zone=33 +ellps=GRS80 +units=m +no_defs", -390000.0, -5810000.0
+#: The western one of two networks: a conformal cone over the middle of Europe.
+WEST_PROJECTION, WEST_X, WEST_Y, WEST_LONGER = "+proj=lcc +lat_1=35 +lat_2=65 +lat_0=52 +lon_0=10 +x_0=4000000 +y_0=2800000 +ellps=GRS80 +units=m", -3600000.0, -2500000.0, 25.0
 
 
 def star_network(spark: SparkSession, sf_dir: str) -> NetworkFrames:
+    """One network, named star."""
+    named = _star_tables(spark, sf_dir)
+    return NetworkFrames(**{f.name: getattr(named, f.name).withColumn("net", F.lit("star")) for f in fields(NetworkFrames)})
+
+
+def star_networks(spark: SparkSession, sf_dir: str) -> NetworkFrames:
+    """Two networks, east and west, with the same ids throughout. In the west lanes are WEST_LONGER metres longer, phases a state shorter and turns straight on missing, and the place is another one."""
+    star = _star_tables(spark, sf_dir)
+    longer = F.col("length_m") + WEST_LONGER
+    fewer = F.transform("phases", lambda p: F.struct(p.duration.alias("duration"), F.substring(p.state, F.lit(1), F.length(p.state) - 1).alias("state")))
+    west = star.with_frames(
+        location=spark.range(1).select(F.lit(WEST_X).alias("net_x"), F.lit(WEST_Y).alias("net_y"), F.lit(WEST_PROJECTION).alias("proj")),
+        lanes=star.lanes.withColumn("length_m", longer),
+        connections=star.connections.where("dir_ord <> 0"),
+        programs=star.programs.withColumn("phases", fewer),
+    )
+    both = lambda name: getattr(star, name).withColumn("net", F.lit("east")).unionByName(getattr(west, name).withColumn("net", F.lit("west")))
+    return NetworkFrames(**{f.name: both(f.name) for f in fields(NetworkFrames)})
+
+
+def _star_tables(spark: SparkSession, sf_dir: str) -> NetworkFrames:
     table = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     text = lambda c: F.col(c).cast("string")
     customers = table("customer").select("c_custkey", "c_nationkey")
