@@ -208,7 +208,13 @@ def _authalic_q(phi: float, e: float) -> float:
 
 def _from_conformal(rf: float) -> list[float]:
     n = _third(rf)
-    return [2 * n - 2 * n**2 / 3 - 2 * n**3 + 116 * n**4 / 45, 7 * n**2 / 3 - 8 * n**3 / 5 - 227 * n**4 / 45, 56 * n**3 / 15 - 136 * n**4 / 35, 4279 * n**4 / 630]
+    return [
+        2 * n - 2 * n**2 / 3 - 2 * n**3 + 116 * n**4 / 45 + 26 * n**5 / 45,
+        7 * n**2 / 3 - 8 * n**3 / 5 - 227 * n**4 / 45 + 2704 * n**5 / 315,
+        56 * n**3 / 15 - 136 * n**4 / 35 - 1262 * n**5 / 105,
+        4279 * n**4 / 630 - 332 * n**5 / 35,
+        4174 * n**5 / 315,
+    ]
 
 
 def _from_authalic(rf: float) -> list[float]:
@@ -254,7 +260,7 @@ def _tmerc(x: Column, y: Column, a: Column, c: Sequence[Column]) -> Column:
 
     def geodetic(q):
         conformal = F.atan2(F.sin(q.xi), F.hypot(F.sinh(q.eta), F.cos(q.xi)))
-        return _place(F.atan2(F.sinh(q.eta), F.cos(q.xi)), _series(conformal, c[6:10]))
+        return _place(F.atan2(F.sinh(q.eta), F.cos(q.xi)), _series(conformal, c[6:11]))
 
     return let(let(plane, sphere), geodetic)
 
@@ -269,7 +275,7 @@ def _setup_merc(w: _Words, a: float, rf: float):
 
 
 def _merc(x: Column, y: Column, a: Column, c: Sequence[Column]) -> Column:
-    return _place(x / (c[0] * a), _series(F.atan(F.sinh(y / (c[0] * a))), c[1:5]))
+    return _place(x / (c[0] * a), _series(F.atan(F.sinh(y / (c[0] * a))), c[1:6]))
 
 
 def _setup_lcc(w: _Words, a: float, rf: float):
@@ -297,7 +303,7 @@ def _cone(x: Column, y: Column, a: Column, n: Column, rho0: Column) -> Column:
 def _lcc(x: Column, y: Column, a: Column, c: Sequence[Column]) -> Column:
     def geodetic(q):
         conformal = F.lit(math.pi / 2) - 2 * F.atan(F.pow(q.rho / c[1], 1 / c[0]))
-        return _place(q.theta / c[0], _series(conformal, c[3:7]))
+        return _place(q.theta / c[0], _series(conformal, c[3:8]))
 
     return let(_cone(x, y, a, c[0], c[2]), geodetic)
 
@@ -372,7 +378,7 @@ def _setup_stere(w: _Words, a: float, rf: float):
 
 
 def _stere(x: Column, y: Column, a: Column, c: Sequence[Column]) -> Column:
-    return _around(x / a, y / a, lambda rho: 2 * F.atan(rho / c[2]), c[0], c[1], lambda sphere: _series(sphere, c[3:7]))
+    return _around(x / a, y / a, lambda rho: 2 * F.atan(rho / c[2]), c[0], c[1], lambda sphere: _series(sphere, c[3:8]))
 
 
 def _gauss_sphere(lat0: float, e2: float) -> tuple[float, float, float, float]:
@@ -395,7 +401,7 @@ def _from_gauss(sphere: Column, exponent: Column, constant: Column, terms: Seque
 
 
 def _sterea(x: Column, y: Column, a: Column, c: Sequence[Column]) -> Column:
-    place = _around(x / a, y / a, lambda rho: 2 * F.atan(rho / c[2]), c[0], c[1], lambda sphere: _from_gauss(sphere, c[3], c[4], c[5:9]))
+    place = _around(x / a, y / a, lambda rho: 2 * F.atan(rho / c[2]), c[0], c[1], lambda sphere: _from_gauss(sphere, c[3], c[4], c[5:10]))
     return let(place, lambda q: _place(q.lon / c[3], q.lat))
 
 
@@ -411,7 +417,7 @@ def _somerc(x: Column, y: Column, a: Column, c: Sequence[Column]) -> Column:
     def back(t):
         sphere = _arc_sine(c[1] * F.sin(t.b) + c[0] * F.cos(t.b) * F.cos(t.l))
         lon = F.atan2(F.cos(t.b) * F.sin(t.l), c[1] * F.cos(t.b) * F.cos(t.l) - c[0] * F.sin(t.b))
-        return _place(lon / c[3], _from_gauss(sphere, c[3], c[4], c[5:9]))
+        return _place(lon / c[3], _from_gauss(sphere, c[3], c[4], c[5:10]))
 
     return let(turned, back)
 
@@ -442,7 +448,7 @@ def _omerc(x: Column, y: Column, a: Column, c: Sequence[Column]) -> Column:
             north = (F.sin(q.u) * c[4] + F.sinh(q.v) * c[3]) / F.cosh(q.v)
             isometric = (F.atanh(north) - F.log(c[7])) / c[5]
             lon = -F.atan2(F.sinh(q.v) * c[4] - F.sin(q.u) * c[3], F.cos(q.u)) / c[5]
-            return _place(lon, _series(F.atan(F.sinh(isometric)), c[8:12]))
+            return _place(lon, _series(F.atan(F.sinh(isometric)), c[8:13]))
 
         return let(angles, place)
 
@@ -464,7 +470,7 @@ _SETUPS = {
 }
 INVERSES: dict[str, Callable[[Column, Column, Column, Sequence[Column]], Column]] = {"tmerc": _tmerc, "merc": _merc, "lcc": _lcc, "aea": _aea, "laea": _laea, "stere": _stere, "sterea": _sterea, "somerc": _somerc, "omerc": _omerc}
 #: The most numbers that a projection has.
-N_NUMBERS = _COMMON + 12
+N_NUMBERS = _COMMON + 13
 
 #: Turns of the way back from geocentric coordinates; each leaves a hundredth of the last one's error.
 _TURNS = 5

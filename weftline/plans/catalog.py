@@ -14,6 +14,7 @@ from weftline.functions.geometry import distance_from_start, point_and_tangent
 from weftline.functions.text import plain_number
 from weftline.operators import resolve, zones
 from weftline.operators.features import gate_pairs, in_lon_lat, lane_rectangles, zone_shapes
+from weftline.plans import projections
 from weftline.schemas import NO_OUTGOING_TEXT, NO_PROGRAM_TEXT, OUT_OF_RANGE_TEXT, SKIPPED_TEXT, NetworkFrames
 from weftline.sinks import detector_rows, feature_json, output_file
 from weftline.sources.starviews import repeated_lanes, star_network
@@ -127,7 +128,7 @@ def _lanes_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _on_network(build) for name, build in _NETWORK_QUERIES.items()} | {"lanes_last_wins": _lanes_last_wins}
+    return {name: _on_network(build) for name, build in _NETWORK_QUERIES.items()} | {"lanes_last_wins": _lanes_last_wins} | projections.queries()
 
 
 _FRAMES = """
@@ -328,7 +329,7 @@ FROM gates GROUP BY junction_pos, from_edge, dir_ords, zone_id""",
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: f"{_FRAMES}\n{sql}" for name, sql in _SQL.items()} | {
+    return projections.oracle_sql() | {name: f"{_FRAMES}\n{sql}" for name, sql in _SQL.items()} | {
         "lane_point_at": _points_sql("station"),
         "lane_point_from_end": _points_sql("(length_m - station)"),
         "lane_rings": f"{_RINGS}\nSELECT junction_pos, zone_id, gate_pos, corner, round(x, 6) AS x, round(y, 6) AS y FROM rings",
