@@ -6,7 +6,7 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.llm import cotraining, fingerprints, language_id, minhash_dedup, mixing, packing, quality_rules, substring_dedup, suffix_dedup, token_counts
+from weftline.llm import cotraining, fingerprints, language_id, line_dedup, minhash_dedup, mixing, packing, quality_rules, substring_dedup, suffix_dedup, token_counts
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = " ".join(f"w{i % 9973}x{i % 7919}" for i in range(150_000))
@@ -36,6 +36,7 @@ OPERATORS = {
     "op8": lambda df: language_id.identify(df),
     "op9": lambda df: substring_dedup.substring_report(df),
     "op10": lambda df: packing.packed(df),
+    "op12": lambda df: line_dedup.line_report(df),
 }
 
 
@@ -116,7 +117,7 @@ def test_ties(spark):
     """Equal texts under two ids, equal sizes and equal scores fall out alike however rows are dealt."""
     rows = [(i, f"{PROSE} {i // 2}", "en", "ab"[i % 2], 1) for i in range(20)]
     df = spark.createDataFrame(rows, SCHEMA)
-    for name in ("op1", "op7", "op8", "op9", "op10"):
+    for name in OPERATORS:
         one, other = (sorted(map(tuple, OPERATORS[name](d).collect())) for d in (df.repartition(1), df.repartition(6, "text")))
         assert one == other, name
     near = {r["doc_id"]: r["component_id"] for r in OPERATORS["op1"](df).collect()}

@@ -148,10 +148,13 @@ def test_language_id(spark):
     assert {r["doc_id"]: r["lang_pred"] for r in changed.collect()} == dict(zip(found["doc_id"], found["lang_pred"], strict=True))
 
 
-@pytest.mark.parametrize("n", [2, 3, 4, 6, 7, 30])
+@pytest.mark.parametrize("n", [2, 3, 4, 6, 7, 30, 201, 1500])
 def test_codewords(n):
     code = language_id.codewords(n)
     assert len({tuple(c) for c in code}) == n and all(0 < b.sum() < n for b in code.T)
+    if n > language_id.EXHAUSTIVE:
+        apart = language_id.least_distance(n, code.shape[1])
+        assert apart >= 6 and min(np.abs(code[i] - code[:i]).sum(1).min() for i in range(1, n)) >= apart
 
 
 def test_decoding_is_by_weighted_loss():

@@ -1,8 +1,9 @@
 """Plumbing shared by the corpus operators.
 
-Row identity: a document is addressed by ``doc_id`` together with ``tag``, a
-32-bit hash of the whole row's id and text.  Rows that repeat both are alike in
-every respect the operators look at; rows that repeat only ``doc_id`` stay apart.
+Row identity: a document is addressed by ``doc_id`` together with ``tag``, 128
+bits of hash of the whole row's id and text.  Rows that repeat both are alike in
+every respect the operators look at; rows that repeat only ``doc_id``, or have
+none, stay apart.
 """
 
 from __future__ import annotations
@@ -75,8 +76,22 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def tag_of(id_col: str = "doc_id", text_col: str = "text") -> Column:
-    """The tag of a row: a hash of its id as long and its text as string, whatever types they come in."""
-    return F.hash(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+    """The tag of a row: two 64-bit hashes, from different seeds, of its id as long and its text as string, whatever types they come in; as 16 bytes."""
+    row = (F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+    return F.unhex(F.concat(*(F.lpad(F.hex(h), 16, "0") for h in (F.xxhash64(*row), F.xxhash64(F.lit(1), *row)))))
+
+
+#: A tag in numpy.
+TAG = np.dtype("V16")
+
+
+def tags_of(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), TAG)
+
+
+def tag_numbers(tags: np.ndarray) -> np.ndarray:
+    """The first 64 bits of each tag."""
+    return np.ascontiguousarray(tags).view("<u8").reshape(-1, 2)[:, 0]
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -100,7 +115,7 @@ def chunks(batches, columns: tuple[str, ...] = ("doc_id", "tag"), limit: int = C
             base = ends[at - 1] if at else 0
             to = min(max(at + 1, int(np.searchsorted(ends, base + limit, "right"))), at + rows)
             part = batch.slice(at, to - at)
-            yield [text.slice(at, to - at).to_pylist(), *(part.column(c).fill_null(NO_ID if c == "doc_id" else 0).to_numpy(zero_copy_only=False) for c in columns)]
+            yield [text.slice(at, to - at).to_pylist(), *(tags_of(part.column(c)) if c == "tag" else part.column(c).fill_null(NO_ID if c == "doc_id" else 0).to_numpy(zero_copy_only=False) for c in columns)]
             at = to
 
 

@@ -127,7 +127,7 @@ def _meta(part: pa.RecordBatch) -> np.ndarray:
     return meta_features(*(part.column(c).to_pylist() for c in ("source", "lang", "n_chars")))
 
 
-_SAMPLE = "doc_id long, tag int, source string, lang string, n_chars long, label int, slots binary, counts binary"
+_SAMPLE = "doc_id long, tag binary, source string, lang string, n_chars long, label int, slots binary, counts binary"
 
 
 def _sparse(batches):

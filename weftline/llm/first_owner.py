@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import NO_ID, cut, id_planes, planes, runs, shuffle_partitions, un_id_planes, unplanes
+from weftline.llm.common import NO_ID, TAG, cut, id_planes, planes, runs, shuffle_partitions, tag_numbers, un_id_planes, unplanes
 
 
 @dataclass(frozen=True)
@@ -113,7 +113,7 @@ def _packed(doc: np.ndarray, place: np.ndarray, owners: np.ndarray, tags: np.nda
     step = np.diff(place, prepend=0)
     step[starts] = place[starts]
     present = doc[starts]
-    return id_planes(owners[present]), tags[present].astype(np.int32).tobytes(), planes(np.diff(np.append(starts, len(doc)))), zlib.compress(planes(step), 1)
+    return id_planes(owners[present]), tags[present].tobytes(), planes(np.diff(np.append(starts, len(doc)))), zlib.compress(planes(step), 1)
 
 
 def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -122,7 +122,7 @@ def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     steps = unplanes(zlib.decompress(row["places"]))
     total = np.cumsum(steps, dtype=np.int64)
     first = np.cumsum(counts) - counts
-    return un_id_planes(row["owners"]), np.frombuffer(row["tags"], np.int32), counts, total - np.repeat(total[first] - steps[first], counts)
+    return un_id_planes(row["owners"]), np.frombuffer(row["tags"], TAG), counts, total - np.repeat(total[first] - steps[first], counts)
 
 
 def _batches(rows, schema: pa.Schema, size: int = 64):
@@ -238,7 +238,7 @@ def _answer(buckets: Buckets, rules: tuple[str, ...]):
             out.append((doc[marked], place[marked], owners, tags))
         rows = []
         for doc, place, owners, tags in out:
-            part = tags[doc] % buckets.n
+            part = (tag_numbers(tags) % np.uint64(buckets.n)).astype(np.int64)[doc]
             order = np.argsort(part, kind="stable")
             doc, place, part = doc[order], place[order], part[order]
             starts = runs(part)
@@ -265,20 +265,20 @@ def marked_places(asked: DataFrame, buckets: Buckets, rules: tuple[str, ...] = (
     # a task for each bucket, as far as a job can have so many
     asked = asked.repartitionById(buckets.n, "bucket") if buckets.n <= MOST_TASKS else asked.repartition(n_tasks, "bucket")
     answers = cut(asked.groupBy("kind", "bucket").applyInArrow(_answer(buckets, rules), _ANSWER))
-    schema = ", ".join(["owner long", "tag int", *(f"at{k} binary" for k in range(len(rules)))])
+    schema = ", ".join(["owner long", "tag binary", *(f"at{k} binary" for k in range(len(rules)))])
     return answers.groupBy("part").applyInArrow(_by_document(len(rules)), schema)
 
 
 def _by_document(n_kinds: int):
     def collect(answers: pa.Table) -> pa.Table:
-        found: dict[tuple[int, int], list[list[np.ndarray]]] = {}
+        found: dict[tuple[int, bytes], list[list[np.ndarray]]] = {}
         for row in _rows(answers):
             owners, tags, counts, places = _unpacked(row)
             for owner, tag, own in zip(owners.tolist(), tags.tolist(), np.split(places.astype(np.uint32), np.cumsum(counts)[:-1]), strict=True):
                 found.setdefault((owner, tag), [[] for _ in range(n_kinds)])[row["kind"]].append(own)
         columns = [[None if not kinds[k] else zlib.compress(planes(np.diff(np.unique(np.concatenate(kinds[k])), prepend=0)), 1) for kinds in found.values()] for k in range(n_kinds)]
         owner, tag = ([key[i] for key in found] for i in (0, 1))
-        return pa.table({"owner": pa.array(owner, pa.int64()), "tag": pa.array(tag, pa.int32()), **{f"at{k}": pa.array(c, pa.binary()) for k, c in enumerate(columns)}})
+        return pa.table({"owner": pa.array(owner, pa.int64()), "tag": pa.array(tag, pa.binary()), **{f"at{k}": pa.array(c, pa.binary()) for k, c in enumerate(columns)}})
 
     return collect
 

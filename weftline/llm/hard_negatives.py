@@ -16,8 +16,8 @@ block sends its first k at most, as the others can't be among the first k,
 so ties between thousands of rows don't travel.
 
 Defined cases: rows with a null id, label or vector, or with a null or non-finite
-component take no part, nor do those whose squares add up to 2^62 or more, as
-their scores might not fit; of rows of one id the least by label and vector
+component take no part, nor do those whose squares add up to 2^56 or more, as
+shares of their scores might not fit; of rows of one id the least by label and vector
 counts; shorter vectors count as ending in zeros; equal scores go by the smaller
 id; other columns are ignored; an empty table gives an empty result.
 """
@@ -46,7 +46,7 @@ DIGIT, ENOUGH = 64, 4
 ROW_BLOCK_BYTES, ANCHOR_BLOCK_BYTES = 4 << 20, 1 << 19
 #: Scores that a task holds at a time.
 _STRIP = 1 << 21
-_LARGEST = float(1 << 62)
+_LARGEST = float(1 << 56)
 
 _PACKED = "block int, ids binary, labels binary, matrix binary"
 _PACKED_SCHEMA = pa.schema([("block", pa.int32()), ("ids", pa.binary()), ("labels", pa.binary()), ("matrix", pa.binary())])

@@ -20,6 +20,7 @@ gives an empty result.  Rows that repeat in id, text and language teach once.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -39,20 +40,33 @@ AMBIGUOUS_LEAD = 0.2
 UNDETERMINED = "und"
 
 
+def least_distance(n: int, width: int) -> int:
+    """The most bits in which n words of this width can be made to differ by drawing: of all words, those nearer to any of n are half at most."""
+    ball, d = 1, 0
+    while 2 * n * ball <= 1 << width:
+        d += 1
+        ball += comb(width, d)
+    return max(d, 1)
+
+
 def codewords(n: int) -> np.ndarray:
-    """n rows of bits, no column constant: all splits for few languages, else the best spread of some random codes."""
+    """n rows of bits, no two equal and no column constant: all splits for few languages, else words drawn one after another, each at least_distance or more from all before."""
     if n < 2:
         return np.ones((n, 1))
     if n <= EXHAUSTIVE:
         splits = np.arange(1, 1 << (n - 1))
         return ((splits[None, :] >> np.arange(n)[:, None]) & 1).astype(np.float64)
-    rng, best, width = np.random.default_rng(7), None, 4 * int(np.ceil(np.log2(n))) + 8
-    for _ in range(50):
-        code = rng.integers(0, 2, (n, width)).astype(np.float64)
-        spread = min(np.abs(code[i] - code[j]).sum() for i in range(n) for j in range(i)) if n <= 200 else 0
-        if 0 < code.sum(0).min() and code.sum(0).max() < n and (best is None or spread > best[0]):
-            best = spread, code
-    return best[1]
+    rng, width = np.random.default_rng(7), 4 * int(np.ceil(np.log2(n))) + 8
+    apart, lanes = least_distance(n, width), -(-width // 64)
+    while True:
+        words, bits, at = np.zeros((n, lanes), np.uint64), np.zeros((n, width), np.uint8), 0
+        while at < n:
+            drawn = rng.integers(0, 2, width, np.uint8)
+            word = np.packbits(np.pad(drawn, (0, 64 * lanes - width))).view(np.uint64)
+            if np.bitwise_count(words[:at] ^ word).sum(1).min(initial=width) >= apart:
+                words[at], bits[at], at = word, drawn, at + 1
+        if 0 < bits.sum(0, dtype=np.int64).min() and bits.sum(0, dtype=np.int64).max() < n:
+            return bits.astype(np.float64)
 
 
 @dataclass(frozen=True)

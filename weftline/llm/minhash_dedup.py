@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import NO_ID, chunks, cut, keyed, mix, window_hashes, word_hashes
+from weftline.llm.common import NO_ID, chunks, cut, keyed, mix, ranked, window_hashes, word_hashes
 from weftline.llm.components import connected
 
 SHINGLE_WORDS = 5
@@ -89,8 +89,8 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-_SIGNED = "doc_id long, tag int, n_shingles long, set_key binary, bands array<long>"
-_SIGNED_SCHEMA = pa.schema([("doc_id", pa.int64()), ("tag", pa.int32()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64()))])
+_SIGNED = "doc_id long, tag binary, n_shingles long, set_key binary, bands array<long>"
+_SIGNED_SCHEMA = pa.schema([("doc_id", pa.int64()), ("tag", pa.binary()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
 
 def _sign(width: int, bands: int, rows: int):
@@ -252,14 +252,23 @@ def _prefix_pairs(members: DataFrame, sets: DataFrame, tested: DataFrame, percen
     return _untested(pairs.distinct(), tested)
 
 
+def _numbered(classes: DataFrame) -> DataFrame:
+    """classes with numbers of their own for those without a doc_id, in the order of their sets."""
+    nameless = classes.where("doc_id IS NULL")
+    if not nameless.limit(1).count():
+        return classes
+    numbered = ranked(nameless, F.col("set_key"), name="place").withColumn("node", F.lit(_NAMELESS) + F.col("place")).drop("place")
+    return cut(classes.where("doc_id IS NOT NULL").unionByName(numbered))
+
+
 def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int = THRESHOLD_PERCENT, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, tag, n_shingles, component_id, stays of every row; stays: true for one row of each component (and its repetitions)."""
     texts = keyed(docs, id_col, text_col)
     signed = cut(texts.mapInArrow(_sign(width, bands, rows), _SIGNED))
-    nameless = F.lit(_NAMELESS) + F.xxhash64("set_key").bitwiseAND(F.lit(_NAMELESS - 1))
-    named = signed.where("set_key IS NOT NULL").withColumn("owner", F.coalesce("doc_id", nameless))
+    owner = F.coalesce("doc_id", F.lit(int(NO_ID)))
+    named = signed.where("set_key IS NOT NULL").withColumn("owner", owner)
     classes = named.groupBy("set_key").agg(F.min(F.struct("owner", "doc_id", "tag")).alias("least"), F.max("n_shingles").alias("size"), F.first("bands").alias("bands"))
-    classes = cut(classes.select("set_key", F.col("least.owner").alias("node"), F.col("least.doc_id").alias("doc_id"), F.col("least.tag").alias("tag"), "size", "bands"))
+    classes = _numbered(cut(classes.select("set_key", F.col("least.owner").alias("node"), F.col("least.doc_id").alias("doc_id"), F.col("least.tag").alias("tag"), "size", "bands")))
 
     placed = classes.select("node", "size", F.explode("bands").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")

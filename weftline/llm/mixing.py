@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import WORD, cut, ranked
+from weftline.llm.common import WORD, cut, ranked, tag_of
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_COPIES = 3
@@ -94,7 +94,7 @@ def mixture(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies: i
     """doc_id, tag, source, size, source_size, target, copies of every row."""
     key, text, source = F.col(id_col).cast("long"), F.col(text_col).cast("string"), F.col(source_col).cast("string")
     size = F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
-    sizes = cut(docs.select(key.alias("doc_id"), F.hash(key, text).alias("tag"), F.xxhash64(key, F.hash(key, text)).alias("draw_key"), source.alias("source"), size.alias("size")))
+    sizes = cut(docs.select(key.alias("doc_id"), tag_of(id_col, text_col).alias("tag"), F.xxhash64(tag_of(id_col, text_col)).alias("draw_key"), source.alias("source"), size.alias("size")))
     targets = source_targets(sizes, weights, max_copies)
     n_sources, most = targets.agg(F.count("*"), F.max("n_docs")).first()
     side = targets.withColumnRenamed("source", "of")

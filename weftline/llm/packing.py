@@ -32,8 +32,8 @@ SHARD_TOKENS = 4 << 20
 #: Weight of the quadratic share: a full sequence of one piece costs twice its length.
 QUADRATIC = 1.0
 
-_PIECES = "doc_id long, tag int, start long, length long, ids_crc32 long, doc_tokens long"
-_PIECES_SCHEMA = pa.schema([("doc_id", pa.int64()), ("tag", pa.int32()), *((c, pa.int64()) for c in ("start", "length", "ids_crc32", "doc_tokens"))])
+_PIECES = "doc_id long, tag binary, start long, length long, ids_crc32 long, doc_tokens long"
+_PIECES_SCHEMA = pa.schema([("doc_id", pa.int64()), ("tag", pa.binary()), *((c, pa.int64()) for c in ("start", "length", "ids_crc32", "doc_tokens"))])
 _PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 

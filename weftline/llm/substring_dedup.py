@@ -47,7 +47,7 @@ def removal_spans(docs: DataFrame, width: int = WINDOW_WORDS, id_col: str = "doc
     buckets = Buckets(bucket_count(docs, text_bytes(docs, text_col)))
     lost = marked_places(rows.drop(*carry).mapInArrow(_ask(width, buckets), REQUEST), buckets)
     more = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in carry)
-    schema = f"doc_id long, tag int, n_words long, spans array<struct<start:int,stop:int>>, cleaned string{more}"
+    schema = f"doc_id long, tag binary, n_words long, spans array<struct<start:int,stop:int>>, cleaned string{more}"
     return with_places(rows, lost).mapInArrow(_cleaner(width, carry, as_it_was), schema)
 
 

@@ -256,7 +256,7 @@ def byte_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     buckets = Buckets(bucket_count(docs, text_bytes(docs, text_col), BUCKET_BYTES))
     first = marked_places(rows.mapInArrow(_ask_stretches(buckets), REQUEST), buckets, ("earlier", "other"))
     lost = marked_places(with_places(rows, first).mapInArrow(_ask_strings(buckets), REQUEST), buckets, ("earlier",) * 3)
-    return with_places(rows, lost).mapInArrow(_clean, "doc_id long, tag int, n_bytes long, spans array<struct<start:bigint,stop:bigint>>, kept binary")
+    return with_places(rows, lost).mapInArrow(_clean, "doc_id long, tag binary, n_bytes long, spans array<struct<start:bigint,stop:bigint>>, kept binary")
 
 
 def suffix_report(docs: DataFrame) -> DataFrame:
