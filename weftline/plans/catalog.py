@@ -9,15 +9,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.functions.crs import parse_proj, to_lon_lat
 from weftline.functions.geometry import distance_from_start, point_and_tangent
 from weftline.functions.text import plain_number
 from weftline.operators import resolve, zones
 from weftline.operators.features import gate_pairs, in_lon_lat, lane_rectangles, zone_shapes
 from weftline.plans import projections
 from weftline.schemas import NO_OUTGOING_TEXT, NO_PROGRAM_TEXT, OUT_OF_RANGE_TEXT, SKIPPED_TEXT, NetworkFrames
-from weftline.sinks import detector_rows, feature_json, output_file
-from weftline.sources.starviews import repeated_lanes, star_network
+from weftline.sinks import detector_xml, feature_json, output_file
+from weftline.sources.starviews import WEST_LONGER, WEST_X, WEST_Y, repeated_lanes, star_network, star_networks
 
 CAP_M = 40.0
 
@@ -93,6 +92,36 @@ def _status_literal(net: NetworkFrames) -> DataFrame:
     return joined.select("lane_id", "conn_pos", resolve.in_range(F.col("link_index"), F.col("phases")).alias("in_range"))
 
 
+def _zones_by_network(net: NetworkFrames) -> DataFrame:
+    """Zones of networks whose ids are the same throughout."""
+    lanes = F.array_join(F.transform("entries", lambda g: g.lane), " ")
+    positions = F.array_join(F.transform("exits", lambda g: plain_number(g.pos)), " ")
+    return _zones(net).select("net", "junction_pos", "zone_id", F.size("entries").alias("n_lanes"), lanes.alias("lanes"), positions.alias("exit_positions"))
+
+
+def _stop_lines_by_network(net: NetworkFrames) -> DataFrame:
+    """Stop lines of networks of different projections."""
+    shapes, there = in_lon_lat(zone_shapes(_zones(net), net), net)
+    return shapes.select("net", "junction_pos", "zone_id", there(F.col("stop_line")).alias("q")).select("net", "junction_pos", "zone_id", F.round("q.lon", 6).alias("lon"), F.round("q.lat", 6).alias("lat"))
+
+
+#: What prices are multiplied by, by line number: numbers that are very small, very large, and between.
+SCALES = [1e-20, 1e-7, 1e-3, 1.0, 1e6, 1e12, 1e16]
+
+
+def _numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices at several scales as plain numbers, and whether they are read back as they were."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    x = F.col("l_extendedprice") * F.get(F.array(*map(F.lit, SCALES)), F.col("l_linenumber") - 1) * F.when(F.col("l_returnflag") == "A", -1.0).when(F.col("l_returnflag") == "R", -0.0).otherwise(1.0)
+    return items.select("l_orderkey", "l_linenumber", x.alias("x")).select("l_orderkey", "l_linenumber", plain_number(F.col("x")).alias("plain"), (plain_number(F.col("x")).cast("double") == F.col("x")).alias("same"))
+
+
+_BOTH_QUERIES: dict[str, Callable[[NetworkFrames], DataFrame]] = {
+    "networks_zones": _zones_by_network,
+    "networks_messages": lambda net: zones.generate(net)[1].select("net", "junction_pos", "inc_pos", "message"),
+    "networks_stop_lines": _stop_lines_by_network,
+}
+
 _NETWORK_QUERIES: dict[str, Callable[[NetworkFrames], DataFrame]] = {
     "zones_flagship": _flagship,
     "lanes_unnest": lambda net: net.lanes.select("edge_id", "lane_id", "lane_index", "length_m", F.array_join("allow", " ").alias("allow")),
@@ -118,7 +147,8 @@ _NETWORK_QUERIES: dict[str, Callable[[NetworkFrames], DataFrame]] = {
     "zone_stop_lines": _stop_lines,
     "zone_rings_lonlat": _rings_lonlat,
     "phase_reversal_invariance": _phase_reversal,
-    "zones_xml": lambda net: detector_rows(_zones(net)).select("_id", "_file", "_pos", F.to_json("detEntry").alias("entries"), F.to_json("detExit").alias("exits")),
+    "zones_xml": lambda net: detector_xml(_zones(net)).select("junction_pos", "element"),
+    "zones_geojson_text": lambda net: feature_json(_zones(net, CAP_M), net, digits=6, pretty=True).select("junction_pos", "feature"),
     "zones_geojson": lambda net: feature_json(_zones(net, CAP_M), net, digits=6).drop("net").withColumn("dir_ords", F.array_join(F.transform("dir_ords", lambda o: o.cast("string")), ",")),
 }
 
@@ -128,7 +158,7 @@ def _lanes_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _on_network(build) for name, build in _NETWORK_QUERIES.items()} | {"lanes_last_wins": _lanes_last_wins} | projections.queries()
+    return {name: _on_network(build) for name, build in _NETWORK_QUERIES.items()} | {name: lambda spark, sf_dir, build=build: build(star_networks(spark, sf_dir)) for name, build in _BOTH_QUERIES.items()} | {"lanes_last_wins": _lanes_last_wins, "numbers_plain": _numbers} | projections.queries()
 
 
 _FRAMES = """
@@ -293,9 +323,9 @@ def _number(x: str) -> str:
 _NO_CAP = "0.0::DOUBLE"
 
 
-def _gates_json(position: str) -> str:
-    gate = f"""'{{"_lane":"' || lane || '","_pos":"' || {_number(position)} || '","_friendlyPos":"true"}}'"""
-    return f"'[' || string_agg({gate}, ',' ORDER BY gate_pos) || ']'"
+def _gates_xml(kind: str, position: str) -> str:
+    gate = f"""'        <{kind} lane="' || lane || '" pos="' || {_number(position)} || '" friendlyPos="true"/>' || chr(10)"""
+    return f"string_agg({gate}, '' ORDER BY gate_pos)"
 
 
 _GATES = "SELECT junction_pos, zone_id, gate_pos, lane, {entry} AS entry_pos, length_m AS exit_pos, true AS friendly FROM gates"
@@ -322,12 +352,68 @@ FROM gates GROUP BY junction_pos, junction_id, from_edge, dir_ords, zone_id""",
     "zone_gates": _GATES.format(entry=_NO_CAP),
     "zone_gates_capped": _GATES.format(entry=_ENTRY),
     "zone_stop_lines": f"SELECT junction_pos, zone_id, n_rings, round(x, 6) AS x, round(y, 6) AS y FROM ({_STOPS})",
-    "zones_xml": f"""SELECT zone_id AS _id, 'detector_output/' || zone_id || '.xml' AS _file, {_number("any_value(x)")} || ',' || {_number("any_value(y)")} AS _pos, {_gates_json(_NO_CAP)} AS entries, {_gates_json("length_m")} AS exits
+    "zones_xml": f"""SELECT junction_pos, '    <e3Detector id="' || zone_id || '" file="detector_output/' || zone_id || '.xml" pos="' || {_number("any_value(x)")} || ',' || {_number("any_value(y)")} || '">' || chr(10)
+  || {_gates_xml("detEntry", _NO_CAP)} || {_gates_xml("detExit", "length_m")} || '    </e3Detector>' AS element
 FROM gates GROUP BY junction_pos, from_edge, dir_ords, zone_id""",
     "phase_reversal_invariance": "SELECT 'zones' AS side, count(*) AS n FROM (SELECT DISTINCT junction_pos, from_edge, dir_ords FROM gates)",
 }
 
 
+def _lines(*lines: str) -> str:
+    """SQL of lines of text, in which {x} stands for a column."""
+    parts = re.split(r"\{(\w+)\}", "\n".join(lines))
+    return " || ".join(x for k, text in enumerate(parts) for x in ([text] if k % 2 else [_quoted(y) if y != "\n" else "chr(10)" for y in re.split("(\n)", text) if y]))
+
+
+_GEOJSON_TEXT = f"""{_RINGS}, stops AS ({_STOPS}), points AS (
+  SELECT junction_pos, from_edge, dir_ords, zone_id, gate_pos, corner, x, y FROM rings
+  UNION ALL SELECT junction_pos, from_edge, dir_ords, zone_id, NULL, NULL, x, y FROM stops
+){_LONLAT.format(points="points")}, texts AS (
+  SELECT *, {_lines("              [", "                {lon},", "                {lat}", "              ]")} AS corner_text, {_lines("[", "          {lon},", "          {lat}", "        ]")} AS point FROM placed
+), polygons AS (
+  SELECT junction_pos, from_edge, dir_ords, zone_id, gate_pos, {_lines("          [", "            [", "{corners}", "            ]", "          ]")} AS polygon
+  FROM (SELECT junction_pos, from_edge, dir_ords, zone_id, gate_pos, string_agg(corner_text, ',' || chr(10) ORDER BY corner) AS corners FROM texts WHERE corner IS NOT NULL GROUP BY ALL)
+), shapes AS (
+  SELECT junction_pos, from_edge, dir_ords, zone_id, string_agg(polygon, ',' || chr(10) ORDER BY gate_pos) AS shape FROM polygons GROUP BY ALL
+)
+SELECT junction_pos, {_lines('    {', '      "type": "Feature",', '      "geometry": {', '        "type": "MultiPolygon",', '        "coordinates": [', "{shape}", "        ]", "      },", '      "properties": {', '        "stop_line": {point},', '        "waiting_zone_id": "{zone_id}"', "      }", "    }")} AS feature
+FROM shapes JOIN (SELECT junction_pos, from_edge, dir_ords, zone_id, point FROM texts WHERE corner IS NULL) USING (junction_pos, from_edge, dir_ords, zone_id)"""
+
+
+def _west(frames: str) -> str:
+    """The tables of the western network: lanes longer than they are drawn, a state less in every phase, no turns straight on."""
+    longer = f" + {WEST_LONGER}::DOUBLE"
+    head, drawn = frames.replace("floor(o_totalprice / 250) / 4.0 AS length_m", f"floor(o_totalprice / 250) / 4.0{longer} AS length_m").split("drawn AS (")
+    head = head.replace("SELECT CAST(s_suppkey AS VARCHAR) AS tl, 4 + (", "SELECT CAST(s_suppkey AS VARCHAR) AS tl, 3 + (").replace("FROM lineitem JOIN lanes ON l_orderkey = o_orderkey", "FROM lineitem JOIN lanes ON l_orderkey = o_orderkey QUALIFY l_linenumber <> 1")
+    first, rest = drawn.split("width_m,", 1)
+    return f"{head}drawn AS ({first}width_m,{rest.replace('length_m', f'(length_m - {WEST_LONGER}::DOUBLE)')}"
+
+
+def _of_both(east: str, west: str) -> str:
+    return f"SELECT 'east' AS net, * FROM ({_FRAMES}{east}) UNION ALL SELECT 'west' AS net, * FROM ({_west(_FRAMES)}{west})"
+
+
+_ZONES_BY_NETWORK = f"""SELECT junction_pos, zone_id, CAST(count(*) AS INTEGER) AS n_lanes, string_agg(lane, ' ' ORDER BY gate_pos) AS lanes, string_agg({_number("length_m")}, ' ' ORDER BY gate_pos) AS exit_positions
+FROM gates GROUP BY junction_pos, from_edge, dir_ords, zone_id"""
+_MESSAGES = f"SELECT junction_pos, inc_pos, {_MESSAGE} AS message FROM reasons WHERE reason <> 'grouped'"
+_STOPS_EAST = f", points AS ({_STOPS}){_LONLAT.format(points='points')} SELECT junction_pos, zone_id, lon, lat FROM placed"
+_STOPS_WEST = f""", points AS (SELECT *, row_number() OVER (ORDER BY junction_pos, from_edge, dir_ords) AS o_orderkey FROM ({_STOPS})
+), grid AS (SELECT o_orderkey, x - {WEST_X}::DOUBLE AS x, y - {WEST_Y}::DOUBLE AS y FROM points
+), {projections.lambert(35, 65, 52, 10, 4000000, 2800000)} SELECT junction_pos, zone_id, round(degrees(lon), 6) AS lon, round(degrees(lat), 6) AS lat FROM points JOIN found USING (o_orderkey)"""
+
+_PLAIN = """WITH scaled AS (
+  SELECT l_orderkey, l_linenumber, l_extendedprice * [%(scales)s][l_linenumber] * CASE l_returnflag WHEN 'A' THEN -1.0::DOUBLE WHEN 'R' THEN -0.0::DOUBLE ELSE 1.0::DOUBLE END AS x FROM lineitem
+), texts AS (
+  SELECT *, CAST(abs(x) AS VARCHAR) AS t, CASE WHEN CAST(x AS VARCHAR) LIKE '-%%' THEN '-' ELSE '' END AS sign FROM scaled
+), parts AS (
+  SELECT *, split_part(split_part(t, 'e', 1), '.', 1) AS whole, split_part(split_part(t, 'e', 1), '.', 2) AS part, CASE WHEN contains(t, 'e') THEN CAST(split_part(t, 'e', 2) AS INTEGER) ELSE 0 END AS e FROM texts
+), digits AS (
+  SELECT *, rtrim(ltrim(whole || part, '0'), '0') AS d, length(whole) + e - (length(whole || part) - length(ltrim(whole || part, '0'))) AS p FROM parts
+)
+SELECT l_orderkey, l_linenumber, sign || CASE WHEN d = '' THEN '0' WHEN p <= 0 THEN '0.' || repeat('0', -p) || d WHEN p >= length(d) THEN d || repeat('0', p - length(d)) ELSE left(d, p) || '.' || substring(d, p + 1) END AS plain, true AS same
+FROM digits"""
+
+
 def oracle_sql() -> dict[str, str]:
     return projections.oracle_sql() | {name: f"{_FRAMES}\n{sql}" for name, sql in _SQL.items()} | {
         "lane_point_at": _points_sql("station"),
@@ -335,6 +421,11 @@ def oracle_sql() -> dict[str, str]:
         "lane_rings": f"{_RINGS}\nSELECT junction_pos, zone_id, gate_pos, corner, round(x, 6) AS x, round(y, 6) AS y FROM rings",
         "zone_rings_lonlat": f"{_RINGS}{_LONLAT.format(points='rings')} SELECT junction_pos, zone_id, gate_pos, corner, lon, lat FROM placed",
         "zones_geojson": _GEOJSON,
+        "zones_geojson_text": _GEOJSON_TEXT,
+        "networks_zones": _of_both(_ZONES_BY_NETWORK, _ZONES_BY_NETWORK),
+        "networks_messages": _of_both(_MESSAGES, _MESSAGES),
+        "networks_stop_lines": _of_both(_STOPS_EAST, _STOPS_WEST),
+        "numbers_plain": _PLAIN % {"scales": ", ".join(f"{x!r}::DOUBLE" for x in SCALES)},
         "lanes_last_wins": """SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem
 QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey DESC, l_suppkey DESC, l_extendedprice DESC, l_quantity DESC) = 1""",
     }

@@ -96,12 +96,13 @@ def _sql(name: str, body: str, last: str = "found") -> str:
 SELECT o_orderkey, round(degrees(lon), 6) AS lon, round(degrees(lat), 6) AS lat FROM {last}"""
 
 
-def _lambert() -> str:
-    e, (b1, b2, b0) = _Ellipsoid(*ELLIPSOIDS["GRS80"]), map(_radians, (49, 44, 46.5))
+def lambert(lat1: float, lat2: float, lat0: float, lon0: float, x0: float, y0: float) -> str:
+    """CTEs from grid to found, for a conformal cone on GRS80 with two parallels."""
+    e, (b1, b2, b0) = _Ellipsoid(*ELLIPSOIDS["GRS80"]), map(_radians, (lat1, lat2, lat0))
     n = f"(ln({e.m(b1)} / {e.m(b2)}) / ({e.psi(b2)} - {e.psi(b1)}))"
     return f"""k AS (SELECT {n} AS n, {e.m(b1)} / {n} * exp({n} * {e.psi(b1)}) AS f
-), polar AS (SELECT o_orderkey, n, f, (x - 700000) / {e.a} AS u, f * exp(-n * {e.psi(b0)}) - (y - 6600000) / {e.a} AS v FROM grid, k
-), {e.by_psi(f"SELECT o_orderkey, {_radians(3)} + atan2(u, v) / n AS lon, ln(f / sqrt(u * u + v * v)) / n AS psi FROM polar")}"""
+), polar AS (SELECT o_orderkey, n, f, (x - {x0}::DOUBLE) / {e.a} AS u, f * exp(-n * {e.psi(b0)}) - (y - {y0}::DOUBLE) / {e.a} AS v FROM grid, k
+), {e.by_psi(f"SELECT o_orderkey, {_radians(lon0)} + atan2(u, v) / n AS lon, ln(f / sqrt(u * u + v * v)) / n AS psi FROM polar")}"""
 
 
 def _albers() -> str:
@@ -165,7 +166,7 @@ def _datum_shift() -> str:
 
 def oracle_sql() -> dict[str, str]:
     bodies = {
-        "lonlat_lambert": _lambert(),
+        "lonlat_lambert": lambert(49, 44, 46.5, 3, 700000, 6600000),
         "lonlat_albers": _albers(),
         "lonlat_azimuthal": _azimuthal(),
         "lonlat_stereographic": _stereographic(),
