@@ -2,9 +2,12 @@
 
 import json
 import math
+import random
+import struct
 import subprocess
 import sys
 import xml.etree.ElementTree as ET
+from decimal import Decimal
 from pathlib import Path
 
 import pytest
@@ -44,6 +47,19 @@ def test_numbers_are_plain(spark):
     assert {r["v"]: r["t"] for r in rows} == pairs
 
 
+def test_numbers_come_back(spark):
+    """Every finite double is read back as itself, in as few digits as it takes; signs of zero too."""
+    rng = random.Random(7)
+    values = [0.0, -0.0, 1e21, 1e-20, 1.2345678901234568e-05, 5e-324, -5e-324, 2.2250738585072014e-308, 1.7976931348623157e308, 2e23, 9007199254740993.0, 8.41e21, 1e22, 1e23, 123456789012345680.0]
+    values += [v for v in (struct.unpack("d", rng.randbytes(8))[0] for _ in range(3000)) if math.isfinite(v)]
+    values += [round(rng.uniform(-1e5, 1e5), rng.randrange(9)) for _ in range(1000)] + [float(f"{rng.randrange(1, 10**rng.randrange(1, 18))}e{rng.randrange(-320, 290)}") for _ in range(2000)]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", plain_number(F.col("v")).alias("t")).collect()
+    digits = lambda t: t.replace(".", "").strip("-0")
+    for v, t in rows:
+        assert float(t) == v and t.startswith("-") == (math.copysign(1, v) < 0) and not {*t} - {*"-.0123456789"}, (v, t)
+        assert len(digits(t)) == len(digits(format(Decimal(repr(v)), "f"))) and (v == 0 or not t.endswith(".")) and not (("." in t) and t.endswith("0")), (v, t)
+
+
 def test_detector_file(spark, files):
     source, out, _ = files
     cli.run(cli.Config(source, out, 40.0), spark)

@@ -47,7 +47,10 @@ def shortest(size: Column) -> Column:
 
 
 def plain_number(x: Column) -> Column:
-    """Shortest plain decimal form, without exponent, that is read back as the same double: 10, 2.5, -3, -0, 0.000012. NaN and infinities as the platform writes them."""
+    """Shortest plain decimal form, without exponent, that is read back as the same double: 10, 2.5, -3, -0, 0.000012.
+
+    Of several shortest ones of 17 digits, as some large numbers have, it is the
+    platform's. NaN and infinities are written as the platform writes them."""
     text = x.cast("string")
 
     def plain(f):
