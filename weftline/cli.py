@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 from weftline.operators.zones import diagnostics_of, lane_reasons, zones_of
 from weftline.schemas import NetworkFrames
 from weftline.sinks import staged, write_detectors, write_geojson
-from weftline.sources.network import frames_of, scan_network
+from weftline.sources.network import frames_of, scan_network, scan_tags, tables_of_tags
 
 # Suffixes of the files that are read and written, and what is said when one is written.
 NET_SUFFIX, OUT_SUFFIX = ".net.xml", ".waiting-zones.add.xml"
 GEOJSON_WRITTEN, DETECTORS_WRITTEN = "GeoJSON written successfully: %s", "Processing completed successfully: %s"
+#: A file of more bytes than this is read by several tasks.
+LARGE_BYTES = 256 << 20
 
 
 @dataclass(frozen=True)
@@ -50,11 +52,12 @@ def run(config: Config, spark: SparkSession) -> None:
 
     What becomes of each lane is worked out once and staged, partitioned by whether the
     lane is grouped; zones and diagnostics are read from there."""
-    scan = scan_network(spark, str(config.input)).persist()
+    large = config.input.is_file() and config.input.stat().st_size > LARGE_BYTES
+    scan = (scan_tags if large else scan_network)(spark, str(config.input)).persist()
     try:
-        if scan.count() > 1:
+        if not large and scan.count() > 1:
             raise ValueError(f"several networks at {str(config.input)!r}: a document is of one network")
-        net = frames_of(scan)
+        net = tables_of_tags(scan) if large else frames_of(scan)
         with staged(spark) as folder:
             lanes = lane_reasons(net)
             lanes.withColumn("grouped", F.col("reason").isNull()).write.partitionBy("grouped").parquet(f"{folder}/lanes")

@@ -32,18 +32,24 @@ OUT_OF_RANGE_TEXT = "connection's linkIndex %d is out of range for tlLogic \"%s\
 PEDESTRIAN = "pedestrian"
 DEFAULT_LANE_WIDTH_M = 3.2
 
-#: The parts of a network file that are read. Explicit, so that a single child is an array too.
-NET = """
-location struct<_netOffset: string, _projParameter: string>,
-edge array<struct<_id: string, _function: string, lane: array<struct<_id: string, _index: int, _speed: double,
-  _length: double, _width: double, _allow: string, _disallow: string, _shape: string>>>>,
-tlLogic array<struct<_id: string, _type: string, _programID: string, _offset: double,
-  phase: array<struct<_duration: double, _state: string>>>>,
-junction array<struct<_id: string, _type: string, _x: double, _y: double, _z: double,
-  _incLanes: string, _intLanes: string, _shape: string>>,
-connection array<struct<_from: string, _to: string, _fromLane: int, _toLane: int, _via: string, _tl: string,
-  _linkIndex: int, _dir: string, _state: string, _pass: boolean, _keepClear: boolean>>
-"""
+# The attributes that are read of each element, and the parts of a network file that are
+# read. Explicit, so that a single child is an array too.
+LOCATION = "_netOffset string, _projParameter string"
+EDGE = "_id string, _function string"
+LANE = "_id string, _index int, _speed double, _length double, _width double, _allow string, _disallow string, _shape string"
+PROGRAM = "_id string, _type string, _programID string, _offset double"
+PHASE = "_duration double, _state string"
+JUNCTION = "_id string, _type string, _x double, _y double, _z double, _incLanes string, _intLanes string, _shape string"
+CONNECTION = "_from string, _to string, _fromLane int, _toLane int, _via string, _tl string, _linkIndex int, _dir string, _state string, _pass boolean, _keepClear boolean"
+
+
+def _struct(fields: str) -> str:
+    return f"struct<{', '.join(': '.join(f.split()) for f in fields.split(', '))}>"
+
+
+_EDGE_WITH_LANES = _struct(EDGE)[:-1] + f", lane: array<{_struct(LANE)}>>"
+_PROGRAM_WITH_PHASES = _struct(PROGRAM)[:-1] + f", phase: array<{_struct(PHASE)}>>"
+NET = f"location {_struct(LOCATION)}, edge array<{_EDGE_WITH_LANES}>, tlLogic array<{_PROGRAM_WITH_PHASES}>, junction array<{_struct(JUNCTION)}>, connection array<{_struct(CONNECTION)}>"
 
 
 @dataclass(frozen=True)

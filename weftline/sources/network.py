@@ -1,11 +1,23 @@
-"""Network files as tables: one scan, unnested."""
+"""Network files as tables, read in one of two ways that give the same rows.
+
+read_network takes a file as one row of nested arrays: places in it are known at
+once, but a task holds a whole file.
+
+read_large_network takes a file as a stream of tags, cut at every "<" and read by
+as many tasks as it has splits.  A sign "<" stands in no value, so that each piece
+is one tag.  A tag's place is rebuilt from where its split begins, its place within
+the split, and how many tags of its kind the splits before hold; a lane belongs
+to the edge that was opened last, a phase to the program.  Comments are recognised
+by counting where they begin and end.  CDATA sections aren't read this way, and are an
+error; text between tags is passed over.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftline.schemas import DEFAULT_LANE_WIDTH_M, DIRECTIONS, NET, NetworkFrames
+from weftline.schemas import CONNECTION, DEFAULT_LANE_WIDTH_M, DIRECTIONS, EDGE, JUNCTION, LANE, LOCATION, NET, PHASE, PROGRAM, NetworkFrames
 
 
 def tokens(column: Column) -> Column:
@@ -41,15 +53,21 @@ def read_network(spark: SparkSession, path: str) -> NetworkFrames:
 
 
 def frames_of(net: DataFrame) -> NetworkFrames:
-    offset = F.split(F.col("location._netOffset"), ",")
-    location = net.select("net", F.get(offset, 0).cast("double").alias("net_x"), F.get(offset, 1).cast("double").alias("net_y"), F.nullif(F.col("location._projParameter"), F.lit("!")).alias("proj"))
     edges = net.select("net", F.posexplode("edge").alias("edge_pos", "e"))
-    lanes = edges.select("net", "edge_pos", F.col("e._id").alias("edge_id"), F.posexplode("e.lane").alias("lane_pos", "l"))
-    junctions = net.select("net", F.posexplode("junction").alias("junction_pos", "j"))
-    connections = net.select("net", F.posexplode("connection").alias("conn_pos", "c"))
-    programs = net.select("net", F.posexplode("tlLogic").alias("program_pos", "t"))
+    return _frames(
+        location=net.select("net", F.col("location").alias("o")),
+        lanes=edges.select("net", "edge_pos", F.col("e._id").alias("edge_id"), F.posexplode("e.lane").alias("lane_pos", "l")),
+        junctions=net.select("net", F.posexplode("junction").alias("junction_pos", "j")),
+        connections=net.select("net", F.posexplode("connection").alias("conn_pos", "c")),
+        programs=net.select("net", F.posexplode("tlLogic").alias("program_pos", "t")).select("net", "program_pos", F.col("t._id").alias("tl"), F.col("t.phase").alias("phase")),
+    )
+
+
+def _frames(location: DataFrame, lanes: DataFrame, junctions: DataFrame, connections: DataFrame, programs: DataFrame) -> NetworkFrames:
+    """The tables from elements with their places: location o, lanes l, junctions j and connections c as structs of attributes, programs with their phases."""
+    offset = F.split(F.col("o._netOffset"), ",")
     return NetworkFrames(
-        location=location,
+        location=location.select("net", F.get(offset, 0).cast("double").alias("net_x"), F.get(offset, 1).cast("double").alias("net_y"), F.nullif(F.col("o._projParameter"), F.lit("!")).alias("proj")),
         lanes=lanes.select(
             "net",
             "edge_pos",
@@ -76,7 +94,70 @@ def frames_of(net: DataFrame) -> NetworkFrames:
         programs=programs.select(
             "net",
             "program_pos",
-            F.col("t._id").alias("tl"),
-            F.transform(F.coalesce("t.phase", F.array().cast("array<struct<_duration:double,_state:string>>")), lambda p: F.struct(p["_duration"].alias("duration"), p["_state"].alias("state"))).alias("phases"),
+            "tl",
+            F.transform(F.coalesce("phase", F.array().cast("array<struct<_duration:double,_state:string>>")), lambda p: F.struct(p["_duration"].alias("duration"), p["_state"].alias("state"))).alias("phases"),
         ),
     )
+
+
+_KINDS = {"edge": EDGE, "lane": LANE, "junction": JUNCTION, "connection": CONNECTION, "tlLogic": PROGRAM, "phase": PHASE, "location": LOCATION}
+_SPLIT = ["net", "block"]
+
+
+def scan_tags(spark: SparkSession, path: str) -> DataFrame:
+    """net, block, at, kind, tag, and n_<kind>: of every tag that is read, where its split begins, its place there, its text, and how many of each kind stand before it in the file.
+
+    Callers that use several tables of it may persist it (tables_of_tags)."""
+    pieces = spark.read.option("lineSep", "<").text(path).select(F.col("_metadata.file_path").alias("net"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    opens, closes = F.startswith("value", F.lit("!--")), F.contains("value", F.lit("-->"))
+    kind = F.when(F.startswith("value", F.lit("![CDATA[")), F.raise_error("CDATA sections are read by read_network only")).otherwise(F.regexp_extract("value", r"^([A-Za-z]+)[\s/>]", 1))
+    tags = pieces.select("*", kind.alias("kind"), opens.cast("int").alias("opens"), closes.cast("int").alias("closes"))
+    so_far = Window.partitionBy(*_SPLIT).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    counted = {"opens": F.col("opens"), "closes": F.col("closes")}
+    counted_tags = tags.select("*", *(F.coalesce(F.sum(c).over(so_far), F.lit(0)).alias(f"in_{n}") for n, c in counted.items()))
+    before = _before(tags.groupBy(*_SPLIT).agg(*(F.sum(n).alias(n) for n in counted)), list(counted))
+    open_ = counted_tags.join(before, _SPLIT).where(F.col("in_opens") + F.col("before_opens") == F.col("in_closes") + F.col("before_closes"))
+    own = open_.where(F.col("kind").isin(list(_KINDS))).select(*_SPLIT, "at", "kind", F.col("value").alias("tag"))
+    running = own.select("*", *(F.coalesce(F.sum((F.col("kind") == k).cast("long")).over(so_far), F.lit(0)).alias(f"in_{k}") for k in _KINDS))
+    before = _before(own.groupBy(*_SPLIT).agg(*(F.sum((F.col("kind") == k).cast("long")).alias(k) for k in _KINDS)), list(_KINDS))
+    return running.join(before, _SPLIT).select(*_SPLIT, "at", "kind", "tag", *((F.col(f"in_{k}") + F.col(f"before_{k}")).alias(f"n_{k}") for k in _KINDS))
+
+
+def _before(sums: DataFrame, names: list[str]) -> DataFrame:
+    """For each split, a row with what the splits before it in its file add up to; there are as many as a file has splits."""
+    earlier = Window.partitionBy("net").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    return sums.select(*_SPLIT, *(F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"before_{n}") for n in names))
+
+
+def _attributes(tag: Column, schema: str) -> Column:
+    """A tag's attributes, of an opening tag or an element without content."""
+    whole = F.rtrim(F.regexp_replace(tag, r"\s+$", ""))
+    return F.from_xml(F.concat(F.lit("<"), F.regexp_replace(whole, "/?>$", ""), F.lit("/>")), schema, {"mode": "FAILFAST"})
+
+
+def tables_of_tags(tags: DataFrame) -> NetworkFrames:
+    def every(kind: str, place: str, name: str) -> DataFrame:
+        rows = tags.where(F.col("kind") == kind)
+        return rows.select("net", F.col(f"n_{kind}").cast("int").alias(place), _attributes(F.col("tag"), _KINDS[kind]).alias(name))
+
+    def inside(kind: str, outer: str, place: str) -> DataFrame:
+        """Elements of a kind with the number of the outer one that was opened last, and their places in it."""
+        rows = tags.where(F.col("kind") == kind)
+        own = Window.partitionBy("net", place).orderBy("block", "at")
+        return rows.withColumn(place, (F.col(f"n_{outer}") - 1).cast("int")).select("net", place, (F.row_number().over(own) - 1).alias("inner_pos"), _attributes(F.col("tag"), _KINDS[kind]).alias("x"))
+
+    edges = every("edge", "edge_pos", "e").select("net", "edge_pos", F.col("e._id").alias("edge_id"))
+    phases = inside("phase", "tlLogic", "program_pos").groupBy("net", "program_pos").agg(F.array_sort(F.collect_list(F.struct("inner_pos", "x"))).alias("p"))
+    programs = every("tlLogic", "program_pos", "t").select("net", "program_pos", F.col("t._id").alias("tl"))
+    return _frames(
+        location=tags.select("net").distinct().join(every("location", "place", "o"), "net", "left").select("net", "o"),  # a network without one is told, not lost
+        lanes=inside("lane", "edge", "edge_pos").withColumnsRenamed({"inner_pos": "lane_pos", "x": "l"}).join(edges, ["net", "edge_pos"]),
+        junctions=every("junction", "junction_pos", "j"),
+        connections=every("connection", "conn_pos", "c"),
+        programs=programs.join(phases, ["net", "program_pos"], "left").select("net", "program_pos", "tl", F.transform("p", lambda q: q.x).alias("phase")),
+    )
+
+
+def read_large_network(spark: SparkSession, path: str) -> NetworkFrames:
+    """Tables of the network files at a path, each file read by as many tasks as it has splits."""
+    return tables_of_tags(scan_tags(spark, path))
