@@ -4,9 +4,11 @@ import random
 
 import pytest
 from networks import crossing, plan, street, town, turn
+from pyspark.sql import functions as F
 
 from weftline import cli
 from weftline.operators.zones import generate
+from weftline.sources.netfiles import write_networks
 from weftline.sources.network import read_large_network, read_network, scan_tags
 
 TABLES = ("location", "lanes", "junctions", "inc_lanes", "connections", "programs")
@@ -63,6 +65,21 @@ def test_several_files(spark, tmp_path, small_splits):
     same(spark, tmp_path / "nets")
 
 
+def test_networks_written_back(spark, tmp_path):
+    """Tables written as files and read again are the same, names of the networks aside."""
+    (tmp_path / "nets").mkdir()
+    for k in range(2):
+        text = city(random.Random(10 + k), 15).replace('<edge id="empty"/>', "")
+        (tmp_path / "nets" / f"{k}.net.xml").write_text(text, encoding="utf-8")
+    frames = read_network(spark, str(tmp_path / "nets"))
+    named = frames.with_frames(**{t: getattr(frames, t).withColumn("net", F.regexp_extract("net", "([0-9])[.]net", 1)) for t in TABLES})
+    write_networks(named, str(tmp_path / "again"))
+    again = read_network(spark, str(tmp_path / "again"))
+    for table in TABLES:
+        a, b = getattr(named, table), getattr(again, table).withColumn("net", F.regexp_extract("net", "net=([0-9])/", 1))
+        assert sorted(map(repr, a.collect())) == sorted(map(repr, b.select(*a.columns).collect())), table
+
+
 def test_documents_of_a_large_network(spark, tmp_path, small_splits, monkeypatch):
     """The command line writes the same documents, whichever way it reads."""
     path = tmp_path / "city.net.xml"

@@ -15,8 +15,10 @@ from weftline.operators import resolve, zones
 from weftline.operators.features import gate_pairs, in_lon_lat, lane_rectangles, zone_shapes
 from weftline.plans import projections
 from weftline.schemas import NO_OUTGOING_TEXT, NO_PROGRAM_TEXT, OUT_OF_RANGE_TEXT, SKIPPED_TEXT, NetworkFrames
-from weftline.sinks import detector_xml, feature_json, output_file
-from weftline.sources.starviews import WEST_LONGER, WEST_X, WEST_Y, repeated_lanes, star_network, star_networks
+from weftline.sinks import detector_xml, feature_json, kept, output_file, staged
+from weftline.sources.netfiles import write_networks
+from weftline.sources.network import scan_tags, tables_of_tags
+from weftline.sources.starviews import WEST_LONGER, WEST_X, WEST_Y, city_networks, repeated_lanes, star_network, star_networks
 
 CAP_M = 40.0
 
@@ -116,6 +118,17 @@ def _numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select("l_orderkey", "l_linenumber", x.alias("x")).select("l_orderkey", "l_linenumber", plain_number(F.col("x")).alias("plain"), (plain_number(F.col("x")).cast("double") == F.col("x")).alias("same"))
 
 
+def _zones_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Networks written as files in the shared folder, read from there as streams of tags, and their zones."""
+    with staged(spark) as folder:
+        write_networks(city_networks(spark, sf_dir), f"{folder}/nets")
+        tags = scan_tags(spark, f"{folder}/nets")
+        tags.write.parquet(f"{folder}/tags")
+        net = tables_of_tags(spark.read.schema(tags.schema).parquet(f"{folder}/tags"))
+        z = _zones_by_network(net).join(net.junctions.select("net", "junction_pos", "junction_id"), ["net", "junction_pos"])
+        return kept(z.select(F.regexp_extract("net", "/net=([^/]+)/", 1).alias("net"), "junction_id", "zone_id", "n_lanes", "lanes", "exit_positions"))
+
+
 _BOTH_QUERIES: dict[str, Callable[[NetworkFrames], DataFrame]] = {
     "networks_zones": _zones_by_network,
     "networks_messages": lambda net: zones.generate(net)[1].select("net", "junction_pos", "inc_pos", "message"),
@@ -158,7 +171,7 @@ def _lanes_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _on_network(build) for name, build in _NETWORK_QUERIES.items()} | {name: lambda spark, sf_dir, build=build: build(star_networks(spark, sf_dir)) for name, build in _BOTH_QUERIES.items()} | {"lanes_last_wins": _lanes_last_wins, "numbers_plain": _numbers} | projections.queries()
+    return {name: _on_network(build) for name, build in _NETWORK_QUERIES.items()} | {name: lambda spark, sf_dir, build=build: build(star_networks(spark, sf_dir)) for name, build in _BOTH_QUERIES.items()} | {"lanes_last_wins": _lanes_last_wins, "numbers_plain": _numbers, "zones_from_files": _zones_from_files} | projections.queries()
 
 
 _FRAMES = """
@@ -422,6 +435,10 @@ def oracle_sql() -> dict[str, str]:
         "zone_rings_lonlat": f"{_RINGS}{_LONLAT.format(points='rings')} SELECT junction_pos, zone_id, gate_pos, corner, lon, lat FROM placed",
         "zones_geojson": _GEOJSON,
         "zones_geojson_text": _GEOJSON_TEXT,
+        "zones_from_files": f"""{_FRAMES}
+SELECT CAST(c_nationkey AS VARCHAR) AS net, 'J' || from_edge AS junction_id, from_edge || '_' || dirs AS zone_id, CAST(count(*) AS INTEGER) AS n_lanes,
+  string_agg(lane_id, ' ' ORDER BY o_orderkey) AS lanes, string_agg({_number("length_m")}, ' ' ORDER BY o_orderkey) AS exit_positions
+FROM lanes JOIN keys USING (lane_id) JOIN customer ON c_custkey = o_custkey WHERE n_ok > 0 AND allow <> 'pedestrian' AND o_custkey % 5 IN (0, 2, 3) GROUP BY c_nationkey, from_edge, dirs""",
         "networks_zones": _of_both(_ZONES_BY_NETWORK, _ZONES_BY_NETWORK),
         "networks_messages": _of_both(_MESSAGES, _MESSAGES),
         "networks_stop_lines": _of_both(_STOPS_EAST, _STOPS_WEST),

@@ -98,12 +98,18 @@ class WriteError(OSError):
     """A document that couldn't be written, with its path."""
 
 
-@contextlib.contextmanager
-def staged(spark: SparkSession) -> Iterator[str]:
-    """A folder for Spark's writers, removed afterwards: within the cluster's shared one, or one of our own where all of Spark runs in this process."""
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder that the driver and all executors share; none is needed where all of Spark runs in this process."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None and (not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster")):
         raise WriteError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return shared
+
+
+@contextlib.contextmanager
+def staged(spark: SparkSession) -> Iterator[str]:
+    """A folder for Spark's writers, removed afterwards: within the cluster's shared one, or one of our own where all of Spark runs in this process."""
+    shared = shared_folder(spark)
     folder = f"{shared}/documents-{uuid.uuid4().hex}" if shared else Path(tempfile.mkdtemp(prefix="weftline-documents-")).as_uri()
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     try:
@@ -112,6 +118,15 @@ def staged(spark: SparkSession) -> Iterator[str]:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def kept(frame: DataFrame) -> DataFrame:
+    """frame materialised by a checkpoint, in the cluster's shared folder or one of our own where all of Spark runs in this process; what it was made from may go."""
+    spark = frame.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(spark) or tempfile.mkdtemp(prefix="weftline-checkpoints-"))
+    return frame.checkpoint()
+
+
 @contextlib.contextmanager
 def _writing(path: Path) -> Iterator[None]:
     try:

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from weftline.schemas import DEFAULT_LANE_WIDTH_M, NetworkFrames
 
+#: Nations of the tables, at any scale.
+NATIONS = 25
 KINDS = ["traffic_light", "priority", "traffic_light_unregulated", "traffic_light_right_on_red", "rail_signal"]
 #: UTM zone 33 north on GRS80, with the offset of a city on the Spree.
 PROJECTION, NET_X, NET_Y = "+proj=utm +zone=33 +ellps=GRS80 +units=m +no_defs", -390000.0, -5810000.0
@@ -93,6 +95,26 @@ def _star_tables(spark: SparkSession, sf_dir: str) -> NetworkFrames:
     )
 
 
+def city_networks(spark: SparkSession, sf_dir: str) -> NetworkFrames:
+    """A network for each nation: the streets of its customers, each with a junction of its own at the end, and all signals."""
+    star = _star_tables(spark, sf_dir)
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("string").alias("edge_id"), F.col("c_custkey").alias("custkey"), F.col("c_nationkey").cast("string").alias("net"))
+    nets = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("string").alias("net"))
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("inc_pos"), F.col("o_custkey").alias("custkey"))
+    key = F.col("custkey")
+    # places in a file: one order for all programs, and for all connections
+    programs = star.programs.withColumn("program_pos", F.col("tl").cast("long") * 2 + F.col("program_pos"))
+    connections = star.connections.withColumn("conn_pos", F.col("conn_pos") + F.col("from_lane").cast("long") * 16)
+    return NetworkFrames(
+        location=nets.select("net", F.lit(NET_X).alias("net_x"), F.lit(NET_Y).alias("net_y"), F.lit(PROJECTION).alias("proj")),
+        lanes=star.lanes.join(customers.select("edge_id", "net"), "edge_id"),
+        junctions=customers.select("net", key.alias("junction_pos"), F.concat(F.lit("J"), "edge_id").alias("junction_id"), F.get(F.array(*map(F.lit, KINDS)), (key % 5).cast("int")).alias("kind"), (key * 2.5).alias("x"), (key * -0.5).alias("y"), F.lit(0.0).alias("z")),
+        inc_lanes=orders.join(customers, "custkey").select("net", key.alias("junction_pos"), "inc_pos", F.col("inc_pos").cast("string").alias("lane_id")),
+        connections=connections.join(customers.select(F.col("edge_id").alias("from_edge"), "net"), "from_edge").withColumn("conn_pos", F.col("from_edge").cast("long") * 4096 + F.col("conn_pos")),
+        programs=programs.withColumn("net", F.explode(F.array(*(F.lit(str(k)) for k in range(NATIONS))))),
+    )
+
+
 def length_of(price):
     """Lane length in whole quarters of a metre, which both engines hold exactly."""
     return F.floor(price / 250) / 4.0
