@@ -44,7 +44,7 @@ def direction_ordinal(code: Column) -> Column:
 def scan_network(spark: SparkSession, path: str) -> DataFrame:
     """One row per file, so that places in it are known; what is unnested is dealt out again by Spark's joins. A folder or pattern gives a row for each of its files, named by its path."""
     rows = spark.read.format("xml").option("rowTag", "net").option("mode", "FAILFAST").schema(NET).load(path)
-    return rows.select("*", F.col("_metadata.file_path").alias("net"))
+    return rows.select("location", "edge", "tlLogic", "junction", "connection", F.col("_metadata.file_path").alias("net"))
 
 
 def read_network(spark: SparkSession, path: str) -> NetworkFrames:
