@@ -90,6 +90,33 @@ def test_references_and_distances(spark):
     assert nothing.words == {} and quality_rules.quality(df.where("doc_id < 60"), refs=nothing).where("kept").count() == 60
 
 
+@pytest.mark.parametrize("n", [1, 70])
+def test_many_languages(spark, n):
+    """Distances from the nearest of many languages that share words, in plain Python; the plan has as many steps for any number of them."""
+    rng = random.Random(n)
+    vocabulary = [f"w{k}" for k in range(60)]
+    words, classes = {}, {}
+    for k in range(n):
+        counts = {w: rng.randrange(1, 30) for w in rng.sample(vocabulary, rng.randrange(1, 12))}
+        words[f"l{k:02}"] = {w: c / (sum(counts.values()) + rng.randrange(60)) for w, c in counts.items()}
+        shares = [rng.random() + 0.01 for _ in range(quality_rules.CLASSES)]
+        classes[f"l{k:02}"] = [x / sum(shares) for x in shares]
+    refs = quality_rules.References(classes, words)
+    texts = [" ".join(rng.choices([*vocabulary, "x", "y"], k=rng.randrange(1, 60))) for _ in range(60)] + ["none of them", "w1", "W1 9 !"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", quality_rules.word_distance(F.split("t", " "), refs).alias("w"), quality_rules.class_distance(F.col("t"), refs).alias("c"))
+    for r in df.collect():
+        own = Counter(r["t"].split(" "))
+        near = []
+        for q in words.values():
+            p = [own[w] / own.total() for w in q]
+            near.append(js_distance([*p, max(1 - sum(p), 0)], [*q.values(), max(1 - sum(q.values()), 0)]))
+        assert r["w"] == pytest.approx(min(near), abs=1e-7), r["t"]
+        assert r["c"] == pytest.approx(min(js_distance(class_shares(r["t"]), q) for q in classes.values()), abs=1e-7), r["t"]
+    steps = lambda refs: str(df.select(quality_rules.word_distance(F.split("t", " "), refs), quality_rules.class_distance(F.col("t"), refs))._jdf.queryExecution().analyzed()).count("lambdafunction")
+    two = quality_rules.References({k: classes[k] for k in sorted(classes)[:2]}, {k: words[k] for k in sorted(words)[:2]})
+    assert steps(refs) == steps(two)
+
+
 def water_level(sizes):
     """Targets by the contract's words."""
     order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))

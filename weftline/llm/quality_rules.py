@@ -116,9 +116,16 @@ def class_distance(text: Column, refs: References) -> Column:
     """Distance of a text's character classes from the nearest language; 0 for an empty text, or without references."""
     if not refs.classes:
         return F.lit(0.0)
+    listed = list(refs.classes.values())
+    every, entropies = _constant([x for q in listed for x in q], "double"), _constant([sum(map(_plain, q)) for q in listed], "double")
     shares = let(class_counts(text), lambda c: let(F.greatest(_total(c), F.lit(1.0)), lambda n: F.transform(c, lambda x: x / n)))
-    one = lambda p, own, q: own + F.lit(sum(map(_plain, q))) - _total(F.zip_with(p, _constant(q, "double"), _shared))
-    nearest = let(shares, lambda p: let(_total(F.transform(p, _entropy)), lambda own: F.array_min(F.array(*(_distance(one(p, own, q)) for q in refs.classes.values())))))
+
+    def one(p, own, lang):
+        """The distance from a language, by its number."""
+        return _distance(own + F.get(entropies, lang) - _total(F.transform(p, lambda x, i: _shared(x, F.get(every, lang * CLASSES + i)))))
+
+    numbers = F.sequence(F.lit(0), F.lit(len(listed) - 1))
+    nearest = let(shares, lambda p: let(_total(F.transform(p, _entropy)), lambda own: F.array_min(F.transform(numbers, lambda lang: one(p, own, lang)))))
     return F.when(F.length(text) > 0, nearest).otherwise(0.0)
 
 
@@ -131,48 +138,79 @@ def word_distance(words: Column, refs: References) -> Column:
     """Distance of a text's words from the frequent ones of the nearest language; words: array of lower-case words; 1 without words.
 
     Reference words are numbered; a word's number is found by its hash, and words
-    that share a slot stand next to each other.  Only reference words that the text
-    has are gone through, once each: one that it lacks adds its share."""
+    that share a slot stand next to each other.  One table leads from a word's
+    number to the languages that have it, with their shares.  Only reference words that
+    the text has are gone through, once for each of their languages: their terms
+    are sorted by language and added up in one pass.  A word that the text lacks adds
+    its share alone; of the languages of which the text has no word the nearest is
+    known beforehand.  So the plan is one and the same for any number of languages."""
     if not refs.words:
         return F.lit(0.0)
     known = sorted({w for q in refs.words.values() for w in q})
+    n_slots = max(_SLOTS, 1 << (4 * len(known)).bit_length())
     slots: dict[int, list[str]] = {}
     for w in known:
-        slots.setdefault(xxhash.xxh64_intdigest(w.encode(), seed=42) % _SLOTS, []).append(w)  # as xxhash64 has it
+        slots.setdefault(xxhash.xxh64_intdigest(w.encode(), seed=42) % n_slots, []).append(w)  # as xxhash64 has it
     known = [w for own in slots.values() for w in own]
     begins = dict(zip(slots, itertools.accumulate(map(len, slots.values()), initial=0), strict=False))
-    listed, first = _constant(known, "string"), _constant([begins.get(s, -1) for s in range(_SLOTS)], "int")
-    shares = {lang: _constant([q.get(w, 0.0) for w in known], "double") for lang, q in refs.words.items()}
+    listed, first = _constant(known, "string"), _constant([begins.get(s, -1) for s in range(n_slots)], "int")
     deepest = max(map(len, slots.values()))
 
+    langs = list(refs.words.values())
+    of_word = [[(k, q[w]) for k, q in enumerate(langs) if w in q] for w in known]
+    starts = _constant(list(itertools.accumulate(map(len, of_word), initial=0)), "int")
+    owners, shares = (_constant([x[i] for own in of_word for x in own], kind) for i, kind in ((0, "int"), (1, "double")))
+    alone = _constant([_plain(q) - q for own in of_word for _, q in own], "double")
+    sums = [sum(q.values()) for q in langs]
+    others = [max(1 - x, 0.0) for x in sums]
+    total, other, other_entropy = (_constant(x, "double") for x in (sums, others, list(map(_plain, others))))
+    without = [math.sqrt(max(0.0, (x + _plain(o) - (1 + o) * math.log2((1 + o) / 2)) / 2)) for x, o in zip(sums, others, strict=True)]
+    by_distance, distances = _constant(sorted(range(len(langs)), key=lambda k: without[k]), "int"), _constant(without, "double")
+
     def number(w):
         at = lambda s: F.coalesce(*(F.when(F.get(listed, s + k) == w, s + k) for k in range(deepest)))
-        return let(F.get(first, F.pmod(F.xxhash64(w), F.lit(_SLOTS)).cast("int")), at)
+        return let(F.get(first, F.pmod(F.xxhash64(w), F.lit(n_slots)).cast("int")), at)
 
     def ends(ordered):
         return F.filter(F.transform(ordered, lambda x, i: F.when(x != F.coalesce(F.get(ordered, i + 1), F.lit("")), i + 1)), lambda i: i.isNotNull())
 
-    def nearest(runs):
-        """runs: struct number, share, entropy of each reference word that the text has."""
-
-        def one(lang, q):
-            share, alone = shares[lang], _constant([_plain(q.get(w, 0.0)) - q.get(w, 0.0) for w in known], "double")
-            of = lambda x: F.get(share, x.number)
-            added = F.aggregate(runs, F.lit(sum(q.values())), lambda a, x: a + F.when(of(x) > 0, x.entropy + F.get(alone, x.number) - (x.share + of(x)) * F.log2((x.share + of(x)) / 2)).otherwise(0.0))
-            rest = 1 - F.aggregate(runs, F.lit(0.0), lambda a, x: a + F.when(of(x) > 0, x.share).otherwise(0.0))
-            other = max(1 - sum(q.values()), 0.0)
-            return _distance(added + let(F.greatest(rest, F.lit(0.0)), lambda r: _entropy(r) + F.lit(_plain(other)) - _shared(r, F.lit(other))))
-
-        return F.array_min(F.array(*(one(lang, q) for lang, q in refs.words.items())))
-
     def run(s, e, n):
         """The run that ends with each of the places e in the sorted words s."""
         part = F.transform(e, lambda x, i: F.struct(F.get(s, x - 1).alias("word"), ((x - F.coalesce(F.get(e, i - 1), F.lit(0))) / n).alias("share")))
         return F.transform(part, lambda x: F.struct(number(x.word).alias("number"), x.share.alias("share"), _entropy(x.share).alias("entropy")))
 
+    def terms(x):
+        """What a reference word of the text adds for each language that has it."""
+
+        def term(j):
+            q = F.get(shares, j)
+            return F.struct(F.get(owners, j).alias("lang"), (x.entropy + F.get(alone, j) - (x.share + q) * F.log2((x.share + q) / 2)).alias("added"), x.share.alias("taken"))
+
+        return F.transform(F.sequence(F.get(starts, x.number), F.get(starts, x.number + 1) - 1), term)
+
+    def distance(s):
+        """Of the language that a state has added up; further than any before there was one."""
+        rest = F.greatest(1 - s.taken, F.lit(0.0))
+        whole = F.get(total, s.lang) + s.added + let(rest, lambda r: _entropy(r) + F.get(other_entropy, s.lang) - _shared(r, F.get(other, s.lang)))
+        return F.when(s.lang < 0, F.lit(2.0)).otherwise(_distance(whole))
+
+    def state(lang, added, taken, best):
+        return F.struct(lang.alias("lang"), added.alias("added"), taken.alias("taken"), best.alias("best"))
+
+    def step(s, x):
+        same = state(s.lang, s.added + x.added, s.taken + x.taken, s.best)
+        return F.when(s.lang == x.lang, same).otherwise(state(x.lang, x.added, x.taken, F.least(s.best, distance(s))))
+
+    def nearest(ordered):
+        start = state(F.lit(-1), F.lit(0.0), F.lit(0.0), F.lit(2.0))
+        met = F.aggregate(ordered, start, step, lambda s: F.least(s.best, distance(s)))
+        unmet = F.get(distances, F.get(F.array_except(by_distance, F.transform(ordered, lambda x: x.lang)), 0))
+        return F.least(met, unmet)  # null if every language was met
+
     frequent = F.sort_array(F.filter(words, lambda w: w.isin(known)))
     counted = let(frequent, lambda s: let(ends(s), lambda e: run(s, e, F.size(words))))
-    return F.when(F.size(words) > 0, let(counted, lambda r: nearest(r))).otherwise(1.0)
+    every = let(counted, lambda r: F.sort_array(F.flatten(F.transform(r, terms))))
+    return F.when(F.size(words) > 0, let(every, nearest)).otherwise(1.0)
 
 
 def repeated_words(words: Column) -> Column:
