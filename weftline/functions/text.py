@@ -60,7 +60,9 @@ def plain_number(x: Column) -> Column:
         return F.when(n == 0, F.lit("0")).when(point <= 0, small).when(point >= n, large).otherwise(F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, n)))
 
     sign = F.when(F.startswith(text, F.lit("-")), "-").otherwise("")
-    return F.when(F.isnan(x) | (F.abs(x) == float("inf")), text).otherwise(F.concat(sign, let(shortest(F.abs(x)), plain)))
+    # no two decimals of 15 digits or less are the same double, so a short one is the shortest
+    as_it_is = ~F.contains(text, F.lit("E")) & (F.length(text) <= 16)
+    return F.when(as_it_is, F.regexp_replace(text, r"\.0$", "")).otherwise(F.concat(sign, let(shortest(F.abs(x)), plain)))
 
 
 def plain_position(point: Column) -> Column:
