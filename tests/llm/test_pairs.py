@@ -6,12 +6,13 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from weftline.llm import fingerprints, first_owner, minhash_dedup, substring_dedup, suffix_dedup
 from weftline.llm.bucket_pointers import bucket_pointers
-from weftline.llm.common import word_hashes
+from weftline.llm.common import TAG, word_hashes
 from weftline.llm.components import connected
 
 
@@ -234,6 +235,28 @@ def test_exchange_in_two_levels(spark, corpus, fan_out, monkeypatch):
     assert (sorted(map(tuple, substring_dedup.substring_report(docs).collect())), sorted(map(tuple, suffix_dedup.suffix_report(docs).collect()))) == expected
 
 
+@pytest.mark.parametrize("rule", ["earlier", "other"])
+def test_hot_keys_are_settled_on_the_way(rule):
+    """A passage in every document, a chunk for each: of what is dealt again a hot key goes on about once in so many entries, the rest is settled, and none is lost."""
+    buckets = first_owner.Buckets(8, fan_out=2, again_entries=1000)
+    rng, hot, rows = np.random.default_rng(3), np.arange(1, 6, dtype=np.uint64) << np.uint64(61), []
+    for c in range(400):
+        main = np.concatenate((hot, rng.integers(1 << 20, 1 << 63, 20, np.uint64)))
+        none, doc = np.zeros(25, np.uint16), np.zeros(25, np.int64)
+        for batch in first_owner.requests(buckets, main, none, doc, np.arange(25), np.array([c]), np.frombuffer(hashlib.md5(bytes([c % 256, c // 256])).digest(), TAG), rule=rule):
+            rows += batch.to_pylist()
+    rows.sort(key=lambda r: (r["kind"], r["bucket"]))
+    schema = first_owner._REQUEST_SCHEMA
+    gathered = [pa.RecordBatch.from_pylist(rows[i : i + 50], schema) for i in range(0, len(rows), 50)]
+    out = [r for b in first_owner._deal_again(buckets, (rule,))(iter(gathered)) for r in b.to_pylist()]
+    going = np.concatenate([np.frombuffer(r["main"], np.uint64) for r in out if not r["settled"]])
+    settled = sum(int(first_owner._unpacked(r)[2].sum()) for r in out if r["settled"])
+    passes = 400 * 25 // 1000 + 2
+    assert 5 <= np.isin(going, hot).sum() <= 5 * passes * (2 if rule == "other" else 1)
+    assert len(going) + settled == 400 * 25 if rule == "earlier" else settled == 400 * 5
+    assert all(first_owner.bucket_of(np.frombuffer(r["main"], np.uint64), 8).tolist() == [r["bucket"]] * (len(r["main"]) // 8) for r in out if not r["settled"])
+
+
 def test_hot_shingles_are_not_paired_within_a_component(spark):
     """Many sets with one common part: pairs are made across components only."""
     common = list(range(1000, 1090))

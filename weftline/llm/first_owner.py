@@ -13,9 +13,11 @@ documents hold reaches its bucket once per chunk and not once per document.
 Buckets grow in number with the input, and chunks do too.  A chunk deals its
 entries to at most `fan_out` coarse buckets, whatever their number; where there are
 more buckets than that, rows of one coarse bucket are gathered by the million
-entries, sorted, and dealt to the buckets within it.  So rows hold many entries at
-any size, and their number grows with the input and not with its square.  A
-bucket is sorted in slices of its keys, of which one is held at a time.
+entries, settled among themselves by the same rules as a chunk's, and what is
+left is dealt to the buckets within it.  So rows hold many entries at any size,
+their number grows with the input and not with its square, and a key that every
+chunk has reaches its bucket once in a million entries.  A bucket is sorted in
+slices of its keys, of which one is held at a time.
 """
 
 from __future__ import annotations
@@ -191,12 +193,20 @@ def _entries(rows: list[dict]) -> tuple:
     return main, extra, holder, np.repeat(np.arange(len(owners), dtype=np.int32), counts), places, owners, tags
 
 
-def _deal_again(buckets: Buckets):
-    """Rows of coarse buckets, one bucket after another, to rows of the buckets within them."""
+def _deal_again(buckets: Buckets, rules: tuple[str, ...]):
+    """Rows of coarse buckets, one bucket after another, to rows of the buckets within them; entries that those gathered with them mark are settled."""
 
-    def flush(rows: list[dict], kind: int) -> list[tuple]:
+    def flush(rows: list[dict], kind: int, coarse: int) -> list[tuple]:
         main, extra, holder, doc, place, owners, tags = _entries(rows)
-        return _dealt(bucket_of(main, buckets.n), kind, slice(None), main, extra, holder, doc, place, owners, tags)
+        marked, witness = _marked(main, extra, owners[doc] if holder is None else holder, rules[kind])
+        ask = ~marked
+        if rules[kind] == "other":
+            ask[witness] = True
+        asked, settled = np.flatnonzero(ask), np.flatnonzero(marked)
+        out = _dealt(bucket_of(main[asked], buckets.n), kind, asked, main, extra, holder, doc, place, owners, tags)
+        if len(settled):
+            out.append((kind, coarse * buckets.n // buckets.coarse, True, b"", b"", None, *_packed(doc[settled], place[settled], owners, tags)))
+        return out
 
     def deal(batches):
         held, size, of = [], 0, None
@@ -206,13 +216,13 @@ def _deal_again(buckets: Buckets):
                     yield from _batches([(row["kind"], row["bucket"] * buckets.n // buckets.coarse, True, *(None if row[c] is None else bytes(row[c]) for c in _REQUEST_SCHEMA.names[3:]))], _REQUEST_SCHEMA)
                     continue
                 if held and (size >= buckets.again_entries or of != (row["kind"], row["bucket"])):
-                    yield from _batches(flush(held, of[0]), _REQUEST_SCHEMA)
+                    yield from _batches(flush(held, *of), _REQUEST_SCHEMA)
                     held, size = [], 0
                 of = (row["kind"], row["bucket"])
                 held.append({k: bytes(v) if isinstance(v, pa.Buffer) else v for k, v in row.items()})
                 size += len(row["main"]) // 8
         if held:
-            yield from _batches(flush(held, of[0]), _REQUEST_SCHEMA)
+            yield from _batches(flush(held, *of), _REQUEST_SCHEMA)
 
     return deal
 
@@ -261,7 +271,7 @@ def marked_places(asked: DataFrame, buckets: Buckets, rules: tuple[str, ...] = (
     if buckets.n > buckets.coarse:
         # a coarse bucket is split over as many tasks as it has buckets, so that no task gathers one
         spread = F.pmod(F.xxhash64("main"), F.lit(-(-buckets.n // buckets.coarse)))
-        asked = asked.repartition(n_tasks, "bucket", spread).sortWithinPartitions("kind", "bucket").mapInArrow(_deal_again(buckets), REQUEST)
+        asked = asked.repartition(n_tasks, "bucket", spread).sortWithinPartitions("kind", "bucket").mapInArrow(_deal_again(buckets, rules), REQUEST)
     # a task for each bucket, as far as a job can have so many
     asked = asked.repartitionById(buckets.n, "bucket") if buckets.n <= MOST_TASKS else asked.repartition(n_tasks, "bucket")
     answers = cut(asked.groupBy("kind", "bucket").applyInArrow(_answer(buckets, rules), _ANSWER))
