@@ -243,6 +243,8 @@ def _setup_tmerc(w: _Words, a: float, rf: float, utm: bool = False):
         lat0, k0, x0, y0, lon0 = 0.0, 0.9996, 500000.0, 10000000.0 if "south" in w else 0.0, math.radians(6 * zone - 183)
     else:
         lat0, k0, x0, y0, lon0 = w.angle("lat_0"), w.scale(), w.number("x_0"), w.number("y_0"), w.angle("lon_0")
+    if "approx" in w:
+        return "tmerc_series", [k0, *_footpoint(lat0, a, rf), squared_eccentricity(rf)], x0, y0, lon0
     xi = _conformal(lat0, e)
     start = xi + sum(c * math.sin(2 * j * xi) for j, c in enumerate(alpha, 1))
     return "tmerc", [k0 * radius, start, *beta, *_from_conformal(rf)], x0, y0, lon0
@@ -265,6 +267,36 @@ def _tmerc(x: Column, y: Column, a: Column, c: Sequence[Column]) -> Column:
     return let(let(plane, sphere), geodetic)
 
 
+def _footpoint(lat0: float, a: float, rf: float) -> list[float]:
+    """The meridian's arc up to a latitude, the radius of the rectifying sphere, and the terms from its latitude to the geodetic one."""
+    e2 = squared_eccentricity(rf)
+    arcs = [1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256 - 175 * e2**4 / 16384, -(3 * e2 / 8 + 3 * e2**2 / 32 + 45 * e2**3 / 1024 + 105 * e2**4 / 4096), 15 * e2**2 / 256 + 45 * e2**3 / 1024 + 525 * e2**4 / 16384, -(35 * e2**3 / 3072 + 175 * e2**4 / 12288), 315 * e2**4 / 131072]
+    e1 = (1 - math.sqrt(1 - e2)) / (1 + math.sqrt(1 - e2))
+    terms = [3 * e1 / 2 - 27 * e1**3 / 32, 21 * e1**2 / 16 - 55 * e1**4 / 32, 151 * e1**3 / 96, 1097 * e1**4 / 512]
+    return [a * (arcs[0] * lat0 + sum(c * math.sin(2 * j * lat0) for j, c in enumerate(arcs[1:], 1))), a * arcs[0], *terms]
+
+
+def _tmerc_series(x: Column, y: Column, a: Column, c: Sequence[Column]) -> Column:
+    """The same by powers of the distance from the central meridian (+approx): to 5e-11 degrees within two degrees of it, and no more than an approximation beyond four."""
+    k0, arc, radius, terms, e2 = c[0], c[1], c[2], c[3:7], c[7]
+    second = e2 / (1 - e2)
+
+    def parts(f):
+        bend = 1 - e2 * F.pow(F.sin(f), F.lit(2.0))
+        n = a / F.sqrt(bend)
+        return F.struct(f.alias("f"), F.cos(f).alias("cos"), F.tan(f).alias("tan"), F.pow(F.tan(f), F.lit(2.0)).alias("t"), (second * F.pow(F.cos(f), F.lit(2.0))).alias("c"), n.alias("n"), (a * (1 - e2) / F.pow(bend, F.lit(1.5))).alias("r"), (x / k0 / n).alias("d"))
+
+    def geodetic(q):
+        t, k, d = q.t, q.c, q.d
+        p = lambda m: F.pow(d, F.lit(float(m)))
+        lon = (d - (1 + 2 * t + k) * p(3) / 6 + (5 - 2 * k + 28 * t - 3 * k * k + 8 * second + 24 * t * t) * p(5) / 120 - (61 + 662 * t + 1320 * t * t + 720 * t * t * t) * p(7) / 5040) / q.cos
+        fourth, sixth = 5 + 3 * t + 10 * k - 4 * k * k - 9 * second, 61 + 90 * t + 298 * k + 45 * t * t - 252 * second - 3 * k * k
+        lat = q.f - q.n * q.tan / q.r * (d * d / 2 - fourth * p(4) / 24 + sixth * p(6) / 720 - (1385 + 3633 * t + 4095 * t * t + 1575 * t * t * t) * p(8) / 40320)
+        return _place(lon, lat)
+
+    return let(let(_series((arc + y / k0) / radius, terms), parts), geodetic)
+
+
 def _place(lon: Column, lat: Column) -> Column:
     return F.struct(lon.alias("lon"), lat.alias("lat"))
 
@@ -468,7 +500,7 @@ _SETUPS = {
     "somerc": _setup_somerc,
     "omerc": _setup_omerc,
 }
-INVERSES: dict[str, Callable[[Column, Column, Column, Sequence[Column]], Column]] = {"tmerc": _tmerc, "merc": _merc, "lcc": _lcc, "aea": _aea, "laea": _laea, "stere": _stere, "sterea": _sterea, "somerc": _somerc, "omerc": _omerc}
+INVERSES: dict[str, Callable[[Column, Column, Column, Sequence[Column]], Column]] = {"tmerc": _tmerc, "tmerc_series": _tmerc_series, "merc": _merc, "lcc": _lcc, "aea": _aea, "laea": _laea, "stere": _stere, "sterea": _sterea, "somerc": _somerc, "omerc": _omerc}
 #: The most numbers that a projection has.
 N_NUMBERS = _COMMON + 13
 
