@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from weftline.functions.crs import Projection, ProjectionError, parse_proj, to_lon_lat, to_lon_lat_by
+from weftline.functions.expressions import let
 from weftline.functions.geometry import centroid, distance_from_start, point_and_tangent, rectangle
 from weftline.operators.resolve import unique_lanes
 from weftline.schemas import NetworkFrames
@@ -49,11 +50,10 @@ def lane_rectangles(zones: DataFrame, net: NetworkFrames, seen: Observation | No
         where = F.struct("net", "junction_pos", "gate_pos", "zone_id", "lane_id")
         pairs = pairs.observe(seen, F.count(F.when(missing, 1)).alias("n_missing"), F.min(F.when(missing, where)).alias("first_missing"))
     at = lambda side: point_and_tangent(F.col("shape"), distance_from_start(F.col(f"{side}.pos"), F.col(f"{side}.from_end"), F.col("length_m")))
-    pairs = pairs.withColumn("entry_at", at("entry")).withColumn("exit_at", at("exit"))
-    ring = rectangle(F.col("entry_at"), F.col("exit_at"), F.col("width_m"))
+    ends = let(F.struct(at("entry").alias("entry"), at("exit").alias("exit")), lambda e: F.struct(rectangle(e["entry"], e["exit"], F.col("width_m")).alias("ring"), F.struct(*(e["exit"][c].alias(c) for c in "xyz")).alias("stop")))
+    pairs = pairs.withColumn("drawn", ends)
     instead = F.raise_error(F.format_string(UNKNOWN_LANE_TEXT, F.col("zone_id"), F.col("lane_id"))) if seen is None else F.lit(None)
-    stop = F.struct("exit_at.x", "exit_at.y", "exit_at.z")
-    return pairs.select(*ZONE, "zone_id", "gate_pos", "lane_id", F.when(missing, instead.cast("array<struct<x:double,y:double,z:double>>")).otherwise(ring).alias("ring"), stop.alias("stop"))
+    return pairs.select(*ZONE, "zone_id", "gate_pos", "lane_id", F.when(missing, instead.cast("array<struct<x:double,y:double,z:double>>")).otherwise(F.col("drawn.ring")).alias("ring"), F.col("drawn.stop").alias("stop"))
 
 
 def zone_shapes(zones: DataFrame, net: NetworkFrames, seen: Observation | None = None) -> DataFrame:
