@@ -12,6 +12,7 @@ from dataclasses import fields
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weftline.operators.resolve import dealt
 from weftline.schemas import DEFAULT_LANE_WIDTH_M, NetworkFrames
 
 #: Nations of the tables, at any scale.
@@ -49,12 +50,12 @@ def _star_tables(spark: SparkSession, sf_dir: str) -> NetworkFrames:
     text = lambda c: F.col(c).cast("string")
     customers = table("customer").select("c_custkey", "c_nationkey")
     orders = table("orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
-    lanes = orders.withColumn("lane_index", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1)
+    lanes = dealt(orders, "o_custkey").withColumn("lane_index", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1)
     incoming = orders.select("o_orderkey", "o_custkey").join(customers, F.col("o_custkey") == F.col("c_custkey"))
     items = table("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag")
     ordered = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
     of_lane = lanes.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "lane_index")
-    connections = items.withColumn("conn_pos", F.row_number().over(ordered)).join(of_lane, "l_orderkey")
+    connections = dealt(items, "l_orderkey").withColumn("conn_pos", F.row_number().over(ordered)).join(of_lane, "l_orderkey")
     suppliers = table("supplier").where("s_suppkey % 5 <> 0").select("s_suppkey", F.col("s_nationkey").cast("long").alias("n"))
     programs = suppliers.withColumn("program_pos", F.explode(F.when(F.col("s_suppkey") % 2 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
     state = lambda i: F.repeat(F.lit("G"), (4 + (F.col("s_suppkey") + i + 3 * F.col("program_pos")) % 8).cast("int"))
