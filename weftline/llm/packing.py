@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import cut, keyed
+from weftline.llm.common import CHUNK_BYTES, cut, keyed
 from weftline.llm.pieces import default_path, vocabulary
 
 CAPACITY = 2048
@@ -39,7 +39,7 @@ _PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 
 def token_ids(raw: bytes, path: str) -> np.ndarray:
     """The ids that the tokenizer file gives for a text."""
-    return vocabulary(path).text_ids(raw.decode(), raw) if raw else np.empty(0, "<u4")
+    return vocabulary(path).ids_of_texts([raw])[0]
 
 
 def piece_bounds(n: int, capacity: int = CAPACITY, step: int = CUT) -> list[int]:
@@ -49,17 +49,32 @@ def piece_bounds(n: int, capacity: int = CAPACITY, step: int = CUT) -> list[int]
     return sorted({*range(0, full, capacity), full, rest, n} - ({n} if n == 0 else set()) | {n})
 
 
+def _groups(batch: pa.RecordBatch, limit: int):
+    """(doc_ids, tags, texts) of rows one after another, of at most `limit` bytes of text, or one row."""
+    at, size, texts = 0, 0, batch.column(2).cast(pa.binary()).fill_null(b"").to_pylist()
+    for i, raw in enumerate([*texts, None]):
+        if i > at and (raw is None or size + len(raw) > limit):
+            yield batch.column(0).slice(at, i - at).to_pylist(), batch.column(1).slice(at, i - at).to_pylist(), texts[at:i]
+            at, size = i, 0
+        size += len(raw or b"")
+
+
 def _cut(path: str, capacity: int, step: int, end_id: int):
+    end = end_id.to_bytes(4, "little")
+
     def pieces(batches):
+        vocab = vocabulary(path)
         for batch in batches:
-            rows = []
-            for doc_id, tag, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).fill_null(b"").to_pylist(), strict=True):
-                ids = np.append(token_ids(raw, path), np.uint32(end_id)).astype("<u4")
-                bounds = piece_bounds(len(ids), capacity, step)
-                data = memoryview(ids).cast("B")
-                rows += [(doc_id, tag, s, e - s, zlib.crc32(data[4 * s : 4 * e]), len(ids)) for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
-            columns = zip(*rows, strict=True) if rows else [[]] * 6
-            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, _PIECES_SCHEMA, strict=True)], schema=_PIECES_SCHEMA)
+            for doc_ids, tags, texts in _groups(batch, CHUNK_BYTES):
+                rows, at = [], 0
+                ids, ends = vocab.ids_of_texts(texts)
+                data = memoryview(ids.tobytes())
+                for doc_id, tag, to in zip(doc_ids, tags, (4 * ends).tolist(), strict=True):
+                    n = (to - at) // 4 + 1
+                    bounds = piece_bounds(n, capacity, step)
+                    rows += [(doc_id, tag, s, e - s, zlib.crc32(end if e == n else b"", zlib.crc32(data[at + 4 * s : min(at + 4 * e, to)])), n) for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
+                    at = to
+                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PIECES_SCHEMA, strict=True)], schema=_PIECES_SCHEMA)
 
     return pieces
 
