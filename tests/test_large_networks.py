@@ -1,6 +1,9 @@
 """A network read as a stream of tags by several tasks, against the same file read as one row."""
 
 import random
+import time
+from pathlib import Path
+from urllib.parse import urlparse
 
 import pytest
 from networks import crossing, plan, street, town, turn
@@ -8,7 +11,8 @@ from pyspark.sql import functions as F
 
 from weftline import cli
 from weftline.operators.zones import generate
-from weftline.sources.netfiles import write_networks
+from weftline.plans import catalog
+from weftline.sources.netfiles import in_groups, write_networks
 from weftline.sources.network import placed_tags, read_large_network, read_network, scan_splits, scan_tags, tables_of_tags
 
 TABLES = ("location", "lanes", "junctions", "inc_lanes", "connections", "programs")
@@ -104,6 +108,36 @@ def test_networks_written_back(spark, tmp_path):
         assert sorted(map(repr, a.collect())) == sorted(map(repr, b.select(*a.columns).collect())), table
 
 
+def test_one_group_of_networks_lies_on_disk(spark, monkeypatch):
+    """Files of a few networks at a time; these and all shuffles behind them are gone when zones are made of the staged tags."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        files = disk.getAllFiles()
+        return {name for k in range(files.size()) if (name := files.apply(k).getName()).startswith("shuffle_")}
+
+    def write(net, folder):
+        write_networks(net, folder)
+        folders.append(Path(urlparse(folder).path))
+        written.append(len(list(folders[-1].glob("net=*"))))
+
+    def keep(frame, kept=catalog.kept):
+        end = time.time() + 20
+        while (left := shuffles() - before) and time.time() < end:  # Spark doesn't wait until they are removed
+            time.sleep(0.1)
+        lying.append((len(left), [f for f in folders if f.exists()]))
+        return kept(frame)
+
+    monkeypatch.setattr(catalog, "write_networks", write)
+    monkeypatch.setattr(catalog, "kept", keep)
+    monkeypatch.setattr(catalog, "in_groups", lambda net: in_groups(net, few=3000))
+    before, folders, written, lying = shuffles(), [], [], []
+    zones = catalog.queries()["zones_from_files"](spark, "/root/testdata/sf0.001")
+    assert lying == [(0, [])] * len(written) and len(written) > 1
+    assert sum(written) == 25 and max(written) < 25
+    assert zones.select("net").distinct().count() > 20 and zones.count() == zones.select("junction_id", "zone_id").distinct().count()
+
+
 def test_documents_of_a_large_network(spark, tmp_path, small_splits, monkeypatch):
     """The command line writes the same documents, whichever way it reads."""
     path = tmp_path / "city.net.xml"

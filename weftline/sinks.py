@@ -118,6 +118,23 @@ def staged(spark: SparkSession) -> Iterator[str]:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_CLEAN_UP, _WRITERS = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.maxConcurrentOutputFileWriters"
+
+
+@contextlib.contextmanager
+def lean(spark: SparkSession, writers: int = 0) -> Iterator[None]:
+    """What is written or kept within leaves no shuffle files behind, where Spark would wait for the driver's garbage collector. writers: a task that deals its rows to as many folders at most doesn't sort them for it."""
+    settings = {_CLEAN_UP: "true"} | ({_WRITERS: str(writers)} if writers else {})
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def kept(frame: DataFrame) -> DataFrame:
     """frame materialised by a checkpoint, in the cluster's shared folder or one of our own where all of Spark runs in this process; what it was made from may go."""
     spark = frame.sparkSession

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import fields
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -73,3 +74,26 @@ def write_networks(net: NetworkFrames, folder: str) -> None:
     """A file for each network, in a folder net=<its name>; a file is in order, and so it is written by one task, line by line."""
     order = ["net", "section", "first", "second"]
     network_lines(net).repartition("net").sortWithinPartitions(*order).select("net", F.col("line").alias("value")).write.partitionBy("net").text(folder)
+
+
+def stage_networks(net: NetworkFrames, folder: str) -> NetworkFrames:
+    """The tables as Parquet in a folder, to be read several times."""
+
+    def stage(name: str) -> DataFrame:
+        frame = getattr(net, name)
+        frame.write.option("compression", "zstd").parquet(f"{folder}/{name}")
+        return frame.sparkSession.read.schema(frame.schema).parquet(f"{folder}/{name}")
+
+    return NetworkFrames(**{f.name: stage(f.name) for f in fields(NetworkFrames)})
+
+
+#: Connections of networks that are small enough to be taken all at once.
+FEW = 2_000_000
+
+
+def in_groups(net: NetworkFrames, few: int = FEW) -> list[NetworkFrames]:
+    """The networks in groups, so that files and shuffles of one group at a time lie on disk: as many networks as there are cores, since each file is written by one task, or more if they have few connections in all."""
+    names = sorted(r["net"] for r in net.location.select("net").collect())
+    cores = net.location.sparkSession.sparkContext.defaultParallelism
+    groups = max(1, min(-(-len(names) // cores), -(-net.connections.count() // few)))
+    return [NetworkFrames(**{f.name: getattr(net, f.name).where(F.col("net").isin(names[k::groups])) for f in fields(NetworkFrames)}) for k in range(groups)]
